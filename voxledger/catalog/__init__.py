@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scan",)
+MODULES = ("scan", "prepare")
 
 
 def load():

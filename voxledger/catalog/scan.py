@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from voxledger import constants as K
 from voxledger.catalog.bindings import b_windows, oracle, sql_round
 from voxledger.catalog.registry import query
-from voxledger.functions.ordered import SEG
 from voxledger.operators import synthesis as S
 
 _FLAGS = f"""w0 AS (SELECT *, 0.40e0*spectral_score+0.35e0*vocoder_score+0.25e0*prosody_score AS raw FROM b_windows),
@@ -220,10 +219,10 @@ def _syn13(spark, sf):
     ),
 )
 def _syn14(spark, sf):
-    from voxledger.functions.ordered import attach
+    from voxledger.functions.ordered import attach, seg_of
 
     w = b_windows(spark, sf)
-    segs = w.groupBy("clip_id").agg(F.max(SEG).alias(SEG))
+    segs = w.groupBy("clip_id").agg(seg_of(w, F.max))
     axis = S.timeline_axis(w, models(w)).join(segs, "clip_id")
     return attach(S.timeline_points(w), axis, ["clip_id"]).select("clip_id", "window_id", "t", "axis_end")
 

@@ -25,9 +25,24 @@ HOT_PIECES = 256
 HOT_MIN_ROWS = 1_000_000
 HOT_MIN_ROWS_CONF = "spark.voxledger.hot.minRows"
 
+_PLAIN = {"whole": True}
 _KINDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
+def whole() -> Column:
+    """``seg`` of a table without hot groups, marked so that later steps can skip the pieces."""
+    return F.lit(WHOLE).alias(SEG, metadata=_PLAIN)
+
+
+def is_whole(df: DataFrame) -> bool:
+    return df.schema[SEG].metadata.get("whole", False)
+
+
+def seg_of(df: DataFrame, fn=F.min) -> Column:
+    """Aggregate that keeps ``seg`` when rows are grouped."""
+    return whole() if is_whole(df) else fn(SEG).alias(SEG)
+
+
 def _piece(pos: Column) -> Column:
     width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
     step = F.floor((pos - F.col("_lo")) * F.lit(float(HOT_PIECES)) / width)
@@ -55,7 +70,7 @@ def with_segments(df: DataFrame, by: Sequence[str], pos: Column | str) -> DataFr
     pos = col(pos)
     hot = hot_groups(df, by, pos)
     if not hot:
-        return df.withColumn(SEG, F.lit(WHOLE))
+        return df.withColumn(SEG, whole())
     schema = T.StructType(
         [df.schema[c] for c in by] + [T.StructField(c, T.DoubleType()) for c in ("_lo", "_hi")]
     )
@@ -69,6 +84,8 @@ def with_segments(df: DataFrame, by: Sequence[str], pos: Column | str) -> DataFr
 
 def resegment(df: DataFrame, by: Sequence[str], pos: Column | str) -> DataFrame:
     """Cut the groups that already carry pieces along another order."""
+    if is_whole(df):
+        return df
     pos = col(pos).cast("double")
     ranges = (
         df.where(F.col(SEG) >= 0)
@@ -102,13 +119,30 @@ def ordered(
     totals    ("sum"|"min"|"max", expr) over the whole group
     """
     previous, sums, maxes, totals = previous or {}, sums or {}, maxes or {}, totals or {}
-    part = [*by, SEG]
+    plain = is_whole(df)
+    part = list(by) if plain else [*by, SEG]
     w = Window.partitionBy(*part).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*part)
+    entire = Window.partitionBy(*part)
     prev = F.struct(*[col(e).alias(f"p{i}") for i, e in enumerate(previous.values())]) if previous else None
 
+    local = []
+    if index:
+        local.append(F.row_number().over(w).alias("_li"))
+    if previous:
+        local.append(F.lag(prev).over(w).alias("_lp"))
+    local += [F.sum(col(e)).over(upto).alias(f"_ls{i}") for i, e in enumerate(sums.values())]
+    local += [F.max(col(e)).over(before).alias(f"_lm{i}") for i, e in enumerate(maxes.values())]
+    local += [_KINDS[k](col(e)).over(entire).alias(f"_lt{i}") for i, (k, e) in enumerate(totals.values())]
+    joined = df.select("*", *local)
+    if plain:
+        out = [(F.col("_li") - 1).cast("long").alias(index)] if index else []
+        out += [F.col("_lp").getField(f"p{i}").alias(n) for i, n in enumerate(previous)]
+        for tag, names in (("s", sums), ("m", maxes), ("t", totals)):
+            out += [F.col(f"_l{tag}{i}").alias(n) for i, n in enumerate(names)]
+        return joined.select(*[F.col(c) for c in df.columns], *out)
+
     pieces = [F.count(F.lit(1)).alias("_n")]
     if previous:
         pieces.append(F.max_by(prev, F.struct(*order)).alias("_p"))
@@ -128,15 +162,7 @@ def ordered(
         df.where(F.col(SEG) >= 0).groupBy(*part).agg(*pieces).select(*part, *carried)
     )
 
-    local = []
-    if index:
-        local.append(F.row_number().over(w).alias("_li"))
-    if previous:
-        local.append(F.lag(prev).over(w).alias("_lp"))
-    local += [F.sum(col(e)).over(upto).alias(f"_ls{i}") for i, e in enumerate(sums.values())]
-    local += [F.max(col(e)).over(before).alias(f"_lm{i}") for i, e in enumerate(maxes.values())]
-    local += [_KINDS[k](col(e)).over(whole).alias(f"_lt{i}") for i, (k, e) in enumerate(totals.values())]
-    joined = df.select("*", *local).join(F.broadcast(carry), part, "left")
+    joined = joined.join(F.broadcast(carry), part, "left")
 
     out = []
     if index:
@@ -164,6 +190,8 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     ``stats`` carries the group's largest ``seg``; a hot group's row is repeated
     once per piece, so its rows are never joined in one task.
     """
+    if is_whole(df):
+        return df.join(stats.drop(SEG), list(by))
     pieces = F.when(F.col(SEG) >= 0, F.sequence(F.lit(0), F.lit(HOT_PIECES - 1))).otherwise(F.array(F.lit(WHOLE)))
     return df.join(stats.withColumn(SEG, F.explode(pieces)), [*by, SEG])
 
@@ -182,8 +210,9 @@ def quantiles(
         d.withColumn("_x", col(x).cast("double"))
         .where(F.col("_x").isNotNull())
         .groupBy(*by, "_x")
-        .agg(F.count(F.lit(1)).alias("_w"), F.max(SEG).alias(SEG))
+        .agg(F.count(F.lit(1)).alias("_w"), seg_of(d, F.max))
     )
+    plain = is_whole(d)
     counts = counts.withColumn("_any", F.col(SEG))
     ranked = ordered(
         resegment(counts, by, "_x"), by, ["_x"], sums={"_cum": "_w"}, totals={"_all": ("sum", "_w")}
@@ -202,7 +231,7 @@ def quantiles(
             F.max(k - F.floor(k)).alias(f"_f{i}"),
         ]
         out.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(name))
-    aggs.append(F.max("_any").alias(SEG))
+    aggs.append(whole() if plain else F.max("_any").alias(SEG))
     return ranked.groupBy(*by).agg(*aggs).select(*by, *out, SEG)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxledger import constants as K
 from voxledger.functions.numbers import clip, fixed, present, round_dp
-from voxledger.functions.ordered import SEG, attach, ordered, with_segments
+from voxledger.functions.ordered import SEG, attach, ordered, seg_of, with_segments
 from voxledger.functions.vectors import euclid, mean_vector
 
 CLIP = ["clip_id"]
@@ -111,7 +111,7 @@ def window_spectral(frames: DataFrame, n_mfcc: int = K.N_MFCC) -> DataFrame:
     w = Window.partitionBy(*WINDOW)  # frames of one window
     d = frames.withColumn("_q", F.percentile("rms", F.lit(0.2)).over(w))
     quiet = F.avg(F.when(F.col("rms") < F.col("_q"), F.col("rms")))
-    seg = [F.min(SEG).alias(SEG)] if SEG in frames.columns else []
+    seg = [seg_of(frames)] if SEG in frames.columns else []
     return d.groupBy(*WINDOW).agg(
         mean_vector("mfcc", n_mfcc).alias("mfcc_mean"),
         F.avg("centroid").alias("centroid_mean"),
@@ -135,14 +135,14 @@ def mfcc_baseline(frames: DataFrame, n_mfcc: int = K.N_MFCC, chunk: int = 93, ho
         d.where(lo <= hi)
         .withColumn("chunk_id", F.explode(F.sequence(lo, hi)))
         .groupBy("clip_id", "chunk_id")
-        .agg(mean_vector("mfcc", n_mfcc).alias("m"), F.min(SEG).alias(SEG))
+        .agg(mean_vector("mfcc", n_mfcc).alias("m"), seg_of(d))
     )
     steps = ordered(chunks, CLIP, ["chunk_id"], previous={"_pm": "m"}).withColumn("dist", euclid("m", "_pm"))
     n = F.count("dist")
     return steps.groupBy("clip_id").agg(
         F.when(n >= 1, F.avg("dist")).otherwise(30.0).alias("mu"),
         F.when(n >= 1, F.stddev_pop("dist") + F.lit(1e-6)).otherwise(10.0).alias("sigma"),
-        F.max(SEG).alias(SEG),
+        seg_of(d, F.max),
     )
 
 

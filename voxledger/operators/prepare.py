@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxledger import constants as K
 from voxledger.functions.numbers import clip, fixed, present, round_dp
-from voxledger.functions.ordered import SEG, attach, ordered, quantiles, with_segments
+from voxledger.functions.ordered import SEG, attach, ordered, quantiles, seg_of, with_segments
 from voxledger.functions.vectors import dot
 
 CLIP = ["clip_id"]
@@ -30,13 +30,13 @@ def cap_duration(samples: DataFrame, sr: int = K.SAMPLE_RATE, max_seconds: int =
 
 def frames_from_samples(samples: DataFrame, frame_len: int = K.GATE_FRAME) -> DataFrame:
     """Sample rows to frame rows; a frame holds at most ``frame_len`` samples."""
+    d = with_segments(samples, CLIP, "seq")
     return (
-        with_segments(samples, CLIP, "seq")
-        .groupBy("clip_id", F.floor(F.col("seq") / frame_len).alias("frame_id"))
+        d.groupBy("clip_id", F.floor(F.col("seq") / frame_len).alias("frame_id"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.array_sort(F.collect_list(F.struct("seq", "x"))).alias("rows"),
-            F.min(SEG).alias(SEG),
+            seg_of(d),
         )
         .select("clip_id", "frame_id", "n", F.col("rows.x").alias("xs"), SEG)
     )
@@ -81,7 +81,7 @@ def energy_profile(frames: DataFrame) -> DataFrame:
         F.sum("ss").alias("clip_ss"),
         F.sum(F.col("full").cast("long")).alias("n_frames"),
         F.stddev_pop(F.when(F.col("full"), F.col("rms_db"))).alias("std_db"),
-        F.max(SEG).alias(SEG),
+        seg_of(frames, F.max),
     )
     floor = quantiles(frames.where("full"), CLIP, "rms_db", {"noise_floor_db": K.GATE_FLOOR_QUANTILE}).drop(SEG)
     rms = F.sqrt(F.col("clip_ss") / F.col("n_samples"))
@@ -151,7 +151,7 @@ def edge_bounds(
         frames.select("clip_id", SEG, "xs", "n", start.alias("start"), F.explode(F.sequence(first, last)).alias("cell"))
         .select("clip_id", SEG, "cell", (hi - lo).alias("m"), dot(part, part).alias("ss"))
         .groupBy("clip_id", "cell")
-        .agg(F.sum("ss").alias("ss"), F.sum("m").alias("m"), F.min(SEG).alias(SEG))
+        .agg(F.sum("ss").alias("ss"), F.sum("m").alias("m"), seg_of(frames))
     )
     half = trim_frame // (2 * trim_hop)
     spread = F.sequence(F.greatest(F.lit(0), F.col("cell") - half + 1), F.col("cell") + half)
@@ -160,7 +160,7 @@ def edge_bounds(
         .groupBy("clip_id", "f")
         .agg(
             F.sqrt(F.sum("ss") / F.lit(float(trim_frame))).alias("rms"),
-            F.min(SEG).alias(SEG),
+            seg_of(frames),
             F.sum(F.when(F.col("own") == F.col("f"), F.col("m")).otherwise(0)).alias("m"),
         )
         .withColumn("db", F.lit(20.0) * F.log10(F.greatest(F.col("rms"), F.lit(1e-5))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxledger import constants as K
 from voxledger.functions.numbers import clip, col, fixed, ladder, round_dp
-from voxledger.functions.ordered import SEG, ordered, with_segments
+from voxledger.functions.ordered import SEG, ordered, seg_of, with_segments
 
 CLIP = ["clip_id"]
 SIGNALS = {"vocoder": "vocoder_score", "spectral": "spectral_score", "prosody": "prosody_score"}
@@ -95,7 +95,7 @@ def merge_intervals(
             F.min(start).alias("t_start"),
             F.max(end).alias("t_end"),
             F.count(F.lit(1)).alias("n_windows"),
-            F.max(SEG).alias(SEG),
+            seg_of(d, F.max),
         )
         .withColumn("duration_sec", round_dp(F.col("t_end") - F.col("t_start"), 2))
     )
