@@ -9,7 +9,26 @@ from pyspark.sql import functions as F
 
 
 def col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """A column, or SQL text; text is one call to the JVM however long it is."""
+    return F.expr(c) if isinstance(c, str) else c
+
+
+def round_sql(x: str, d: int = 0) -> str:
+    """SQL text of ``round_dp``."""
+    if d == 0:
+        return f"(rint({x})+0D)"
+    b = f"{10**d}D"
+    p = f"(({x})*{b})"
+    if d == 1:
+        e = f"(({x})*2D-({p}-({x})*8D))"
+    else:
+        c = f"(({x})*134217729D)"
+        hi = f"({c}-({c}-({x})))"
+        e = f"(({hi}*{b}-{p})+(({x})-{hi})*{b})"
+    return (
+        f"((CASE WHEN abs({p}-rint({p})) < 0.5D THEN rint({p}) WHEN {e} = 0 THEN rint({p}) "
+        f"ELSE {p}+signum({e})*0.5D END)/{b}+0D)"
+    )
 
 
 def round_dp(x: Column | str, d: int = 0) -> Column:
@@ -20,7 +39,9 @@ def round_dp(x: Column | str, d: int = 0) -> Column:
     part of the exact product lost in ``p`` (Dekker's split), which settles a
     product that lands on .5 only by rounding.
     """
-    x = col(x).cast("double")
+    if isinstance(x, str):
+        return F.expr(round_sql(f"CAST({x} AS DOUBLE)", d))
+    x = x.cast("double")
     if d == 0:
         return F.rint(x) + F.lit(0.0)
     b = float(10**d)
@@ -48,13 +69,22 @@ def fixed(x: Column | str, d: int) -> Column:
 
 def ladder(x: Column | str, steps: Sequence[tuple[float, object]], below: object) -> Column:
     """Value of the first step whose lower bound is reached, else ``below``."""
+    if isinstance(x, str):
+        whens = " ".join(f"WHEN {x} >= {float(bound)}D THEN '{value}'" for bound, value in steps)
+        return F.expr(f"CASE {whens} ELSE '{below}' END")
     out = None
     for bound, value in steps:
-        cond = col(x) >= F.lit(float(bound))
+        cond = x >= F.lit(float(bound))
         out = F.when(cond, F.lit(value)) if out is None else out.when(cond, F.lit(value))
     return out.otherwise(F.lit(below))
 
 
+def named(key: str, names: dict[str, str]) -> Column:
+    """Look a text up in a fixed table; null where it is not listed."""
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items())
+    return F.expr(f"CASE {key} {whens} END")
+
+
 def present(*items: Column) -> Column:
     """Array of the non-null items, in order."""
     return F.filter(F.array(*items), lambda s: s.isNotNull())
@@ -75,10 +105,6 @@ def linear_similarity(
 
 def weighted_mean_present(weights: dict[str, float]) -> Column:
     """Weighted mean over the non-null columns; weights renormalised."""
-    num = den = None
-    for name, w in weights.items():
-        v = F.coalesce(F.col(name) * F.lit(w), F.lit(0.0))
-        u = F.when(F.col(name).isNotNull(), F.lit(w)).otherwise(F.lit(0.0))
-        num = v if num is None else num + v
-        den = u if den is None else den + u
-    return F.when(den > 0, num / den).otherwise(F.lit(0.0))
+    num = " + ".join(f"coalesce({c} * {w}D, 0D)" for c, w in weights.items())
+    den = " + ".join(f"if({c} IS NULL, 0D, {w}D)" for c, w in weights.items())
+    return F.expr(f"coalesce(({num}) / nullif({den}, 0D), 0D)")

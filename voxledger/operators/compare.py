@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger import constants as K
-from voxledger.functions.numbers import col, fixed, ladder, linear_similarity, present, round_dp, weighted_mean_present
+from voxledger.functions.numbers import col, fixed, ladder, linear_similarity, named, present, round_dp, weighted_mean_present
 from voxledger.functions.vectors import cosine
 from voxledger.operators.synthesis import gap_pairs
 
@@ -147,7 +147,7 @@ def fuse(pairs: DataFrame, weights: dict[str, float] = K.DIMENSION_WEIGHTS) -> D
     )
     return (
         d.withColumn("verdict", F.when(mute, F.lit("Cannot Compare")).otherwise(ladder("similarity", K.VERDICTS, K.VERDICT_BELOW)))
-        .withColumn("colour", F.coalesce(F.create_map(*[F.lit(x) for kv in K.VERDICT_COLOURS.items() for x in kv])[F.col("verdict")], F.lit("neutral")))
+        .withColumn("colour", F.coalesce(named("verdict", K.VERDICT_COLOURS), F.lit("neutral")))
         .withColumn("confidence", confidence())
         .withColumn("no_speech_files", present(F.when(F.col("no_speech_1"), F.lit("Target Sample")), F.when(F.col("no_speech_2"), F.lit("Comparison Sample"))))
     )
@@ -171,17 +171,17 @@ def threshold_note(steps=K.VERDICTS, below: str = K.VERDICT_BELOW) -> str:
 
 def contradictions(fused: DataFrame, threshold: float = K.DIMENSION_GAP) -> DataFrame:
     """Rows for every two dimensions that diverge, and for a high identity score under synthetic risk."""
-    phrase = F.create_map(*[F.lit(x) for kv in K.DIMENSION_PHRASES.items() for x in kv])
+    high, low = named("high", K.DIMENSION_PHRASES), named("low", K.DIMENSION_PHRASES)
     live = fused.where(~F.col("no_speech"))
-    rows = live.select("pair_id", F.inline(gap_pairs({n: n for n in K.DIMENSION_ORDER}, threshold)))
+    rows = live.select("pair_id", F.inline(gap_pairs(K.DIMENSION_ORDER, threshold)))
     dims = rows.select(
         "pair_id", F.lit("dimension_conflict").alias("type"),
         F.col("high").alias("dim_high"), F.col("low").alias("dim_low"),
         round_dp("score_high", 1).alias("score_high"), round_dp("score_low", 1).alias("score_low"),
         round_dp("delta", 1).alias("delta"),
         F.concat(
-            phrase[F.col("high")], F.lit(" shows high agreement ("), fixed("score_high", 1), F.lit("%) while "),
-            phrase[F.col("low")], F.lit(" shows low agreement ("), fixed("score_low", 1),
+            high, F.lit(" shows high agreement ("), fixed("score_high", 1), F.lit("%) while "),
+            low, F.lit(" shows low agreement ("), fixed("score_low", 1),
             F.lit(
                 "%). This divergence is forensically significant and warrants closer examination of "
                 "each dimension independently."

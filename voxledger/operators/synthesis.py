@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger import constants as K
-from voxledger.functions.numbers import clip, col, fixed, ladder, round_dp
+from voxledger.functions.numbers import col, fixed, named, round_dp, round_sql
 from voxledger.functions.ordered import SEG, ordered, seg_of, with_segments
 
 CLIP = ["clip_id"]
@@ -17,15 +17,14 @@ DOCUMENT_PART = 4096
 
 
 def combined_suspicion() -> Column:
-    parts = [F.lit(w) * F.col(c) for c, w in K.COMBINED_WEIGHTS.items()]
-    return round_dp(parts[0] + parts[1] + parts[2], 1)
+    return round_dp(" + ".join(f"{w}D * {c}" for c, w in K.COMBINED_WEIGHTS.items()), 1)
 
 
 def flag_windows(windows: DataFrame) -> DataFrame:
     """Add ``combined_score`` (1 decimal, tested after rounding) and ``is_suspicious``."""
     return windows.withColumn("combined_score", combined_suspicion()).withColumn(
         "is_suspicious",
-        (F.col("combined_score") >= K.SUSPICION_COMBINED) | (F.col("spectral_score") >= K.SUSPICION_SPECTRAL),
+        F.expr(f"combined_score >= {K.SUSPICION_COMBINED}D OR spectral_score >= {K.SUSPICION_SPECTRAL}D"),
     )
 
 
@@ -51,34 +50,36 @@ def _take_top(counts: DataFrame, by: Sequence[str], k: Column) -> DataFrame:
     group = Window.partitionBy(*by)
     before = group.orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        counts.withColumn("n", F.sum("_w").over(group))
-        .withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0)))
-        .withColumn("_t", F.greatest(F.lit(0), F.least(F.col("_w"), k - F.col("_before"))))
+        counts.select("*", F.sum("_w").over(group).alias("n"), F.sum("_w").over(before).alias("_before"))
+        .withColumn("_k", k)
+        .withColumn("_t", F.expr("greatest(0, least(_w, _k - coalesce(_before, 0)))"))
     )
 
 
 def signal_scores(windows: DataFrame) -> DataFrame:
-    """Clip-level vocoder (top quartile), spectral (top two) and prosody (mean) scores in one job."""
-    names = list(SIGNALS)
+    """Clip-level vocoder (top quartile), spectral (top two) and prosody (mean) scores in one job.
+
+    Also the window count, and the flag and boundary counts where the windows
+    carry them, so that a verdict reads the windows once for all of these.
+    """
+    extra = [c for c in ("is_suspicious", "boundary_detected") if c in windows.columns]
     pairs = ", ".join(f"'{n}', {c}" for n, c in SIGNALS.items())
     counts = (
-        windows.selectExpr("clip_id", f"stack({len(names)}, {pairs}) AS (signal, score)")
-        .groupBy("clip_id", "signal", F.rint(F.col("score") * 10.0).cast("long").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_w"))
+        windows.selectExpr("clip_id", *extra, f"stack({len(SIGNALS)}, {pairs}) AS (signal, score)")
+        .groupBy("clip_id", "signal", F.expr("CAST(rint(score * 10D) AS BIGINT)").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_w"), *[F.expr(f"count_if({c})").alias(c) for c in extra])
     )
-    n = F.col("n")
-    k = (
-        F.when(F.col("signal") == "vocoder", F.greatest(F.lit(1), F.floor(n / 4)))
-        .when(F.col("signal") == "spectral", F.least(F.lit(2), n))
-        .otherwise(n)
+    k = F.expr(
+        "CASE signal WHEN 'vocoder' THEN greatest(1, floor(n / 4)) WHEN 'spectral' THEN least(2, n) ELSE n END"
     )
     top = _take_top(counts, ["clip_id", "signal"], k)
-    aggs = [F.max("n").alias("n_windows")]
-    for name in names:
-        here = F.col("signal") == name
-        num = F.sum(F.when(here, F.col("_v") * F.col("_t")))
-        aggs.append(round_dp(num / F.lit(10.0) / F.sum(F.when(here, F.col("_t"))), 1).alias(name))
-    return top.groupBy("clip_id").agg(*aggs)
+    means = [
+        round_dp(f"sum(_v * _t) FILTER (WHERE signal = '{n}') / 10D / sum(_t) FILTER (WHERE signal = '{n}')", 1).alias(n)
+        for n in SIGNALS
+    ]
+    names = {"is_suspicious": "n_flagged", "boundary_detected": "n_boundaries"}
+    tallies = [F.expr(f"sum({c}) FILTER (WHERE signal = 'prosody')").alias(names[c]) for c in extra]
+    return top.groupBy("clip_id").agg(F.max("n").alias("n_windows"), *means, *tallies)
 
 
 def merge_intervals(
@@ -108,31 +109,27 @@ def suspect_intervals(windows: DataFrame) -> DataFrame:
 
 
 def composite_score() -> Column:
-    parts = [F.col(c) * F.lit(w) for c, w in K.COMPOSITE_WEIGHTS.items()]
-    return clip(round_dp(parts[0] + parts[1] + parts[2] + parts[3], 1), 1.0, 99.0)
+    raw = " + ".join(f"{c} * {w}D" for c, w in K.COMPOSITE_WEIGHTS.items())
+    return F.expr(f"greatest(1D, least(99D, {round_sql(raw, 1)}))")
 
 
 def with_empty_defaults(clips: DataFrame) -> DataFrame:
     """Clips without windows score 10 on every signal."""
-    return clips.fillna(10.0, subset=list(SIGNALS)).fillna(0, subset=["n_windows"])
+    counts = [c for c in ("n_windows", "n_flagged", "n_boundaries") if c in clips.columns]
+    return clips.fillna({**{s: 10.0 for s in SIGNALS}, **{c: 0 for c in counts}})
 
 
 def boundary_times(windows: DataFrame) -> DataFrame:
     """Midpoint of every boundary window."""
     return windows.where("boundary_detected").select(
-        "clip_id", "window_id", round_dp((F.col("start_time") + F.col("end_time")) / F.lit(2.0), 2).alias("t"),
+        "clip_id", "window_id", round_dp("(start_time + end_time) / 2D", 2).alias("t"),
         *([SEG] if SEG in windows.columns else []),
     )
 
 
 def lone_flag() -> Column:
     """A single flagged window in an otherwise calm clip does not count."""
-    return (
-        (F.col("n_flagged") == 1)
-        & (F.col("composite") < 46.0)
-        & (F.col("model") < 20.0)
-        & (F.col("n_boundaries") == 0)
-    )
+    return F.expr("n_flagged = 1 AND composite < 46 AND model < 20 AND n_boundaries = 0")
 
 
 def synthesise(windows: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,100 +140,82 @@ def synthesise(windows: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFr
     has exactly one flagged window and so exactly one interval.
     """
     d = flag_windows(with_segments(windows, CLIP, "window_id"))
-    flags = d.groupBy("clip_id").agg(
-        F.sum(F.col("is_suspicious").cast("long")).alias("n_flagged"),
-        F.sum(F.col("boundary_detected").cast("long")).alias("n_boundaries"),
-    )
-    clips = (
-        models.join(signal_scores(d), "clip_id", "left")
-        .join(flags, "clip_id", "left")
-        .fillna(0, subset=["n_flagged", "n_boundaries"])
-    )
-    clips = with_empty_defaults(clips).withColumn("composite", composite_score())
-    clips = clips.withColumn("suppressed", lone_flag())
     intervals = merge_intervals(d.where("is_suspicious"), CLIP, "start_time", "end_time")
     spans = intervals.groupBy("clip_id").agg(
-        F.count(F.lit(1)).alias("n_intervals"), F.sum(F.col("t_end") - F.col("t_start")).alias("span_sec")
+        F.count(F.lit(1)).alias("_ni"), F.expr("sum(t_end - t_start)").alias("_span")
     )
-    clips = clips.join(spans, "clip_id", "left")
-    zero = F.col("suppressed")
+    clips = with_empty_defaults(models.join(signal_scores(d), "clip_id", "left")).join(spans, "clip_id", "left")
     clips = (
-        clips.withColumn("n_intervals", F.when(zero, 0).otherwise(F.coalesce("n_intervals", F.lit(0))))
-        .withColumn("span_sec", F.when(zero, 0.0).otherwise(F.coalesce("span_sec", F.lit(0.0))))
-        .withColumn("n_flagged", F.when(zero, 0).otherwise(F.col("n_flagged")))
-        .withColumn("span_ratio", F.col("span_sec") / F.greatest(F.col("duration_sec"), F.lit(0.1)))
-        .withColumn("flag_ratio", F.when(F.col("n_windows") > 0, F.col("n_flagged") / F.nullif(F.col("n_windows"), F.lit(0))).otherwise(0.0))
+        clips.withColumn("composite", composite_score())
+        .withColumn("suppressed", lone_flag())
+        .withColumns(
+            {
+                "n_intervals": F.expr("if(suppressed, 0L, coalesce(_ni, 0L))"),
+                "span_sec": F.expr("if(suppressed, 0D, coalesce(_span, 0D))"),
+                "n_flagged": F.expr("if(suppressed, 0L, n_flagged)"),
+            }
+        )
+        .withColumns(
+            {
+                "span_ratio": F.expr("span_sec / greatest(duration_sec, 0.1D)"),
+                "flag_ratio": F.expr("coalesce(n_flagged / nullif(n_windows, 0), 0D)"),
+            }
+        )
         .withColumn("category", category())
     )
     label, confidence = label_confidence()
-    clips = clips.withColumn("label", label).withColumn("confidence", confidence).withColumn(
-        "category_label", F.create_map(*[F.lit(x) for kv in K.CATEGORY_LABELS.items() for x in kv])[F.col("category")]
-    )
+    clips = clips.withColumns(
+        {"label": label, "confidence": confidence, "category_label": named("category", K.CATEGORY_LABELS)}
+    ).drop("_ni", "_span")
     kept = intervals.join(clips.where("suppressed").select("clip_id"), "clip_id", "left_anti")
     return clips, kept
 
 
 def category() -> Column:
     """Evidence consensus over clip-level columns."""
-    c, span, flags = F.col("composite"), F.col("span_ratio"), F.col("flag_ratio")
     synthetic = (
-        ((c >= 32.0) & (F.col("model") >= 60.0) & ((F.col("vocoder") >= 27.0) | (F.col("prosody") >= 12.0)))
-        | ((c >= 32.0) & (span >= 0.40))
-        | ((c >= 34.0) & (flags >= 0.35))
+        "(composite >= 32 AND model >= 60 AND (vocoder >= 27 OR prosody >= 12)) "
+        "OR (composite >= 32 AND span_ratio >= 0.40D) OR (composite >= 34 AND flag_ratio >= 0.35D)"
     )
-    has = F.col("n_intervals") > 0
     spliced = (
-        ((F.col("n_boundaries") > 0) & (c >= 28.0))
-        | (has & (span >= 0.05) & (span <= 0.65) & (c >= 32.0))
-        | ((F.col("spectral") >= 45.0) & (c >= 32.0) & (span <= 0.65) & has)
+        "(n_boundaries > 0 AND composite >= 28) "
+        "OR (n_intervals > 0 AND composite >= 32 AND span_ratio BETWEEN 0.05D AND 0.65D) "
+        "OR (n_intervals > 0 AND composite >= 32 AND spectral >= 45 AND span_ratio <= 0.65D)"
     )
-    return F.when(synthetic, K.SYNTHETIC).when(spliced, K.SPLICED).otherwise(K.AUTHENTIC)
+    return F.expr(f"CASE WHEN {synthetic} THEN '{K.SYNTHETIC}' WHEN {spliced} THEN '{K.SPLICED}' ELSE '{K.AUTHENTIC}' END")
 
 
 def label_confidence() -> tuple[Column, Column]:
-    c, spliced = F.col("composite"), F.col("category") == K.SPLICED
-    label = (
-        F.when(c >= 70, "DEEPFAKE")
-        .when((c >= 40) | spliced, F.when(spliced, "SUSPICIOUS").otherwise("UNCERTAIN"))
-        .otherwise("REAL")
+    spliced = f"category = '{K.SPLICED}'"
+    label = F.expr(
+        f"CASE WHEN composite >= 70 THEN 'DEEPFAKE' WHEN {spliced} THEN 'SUSPICIOUS' "
+        "WHEN composite >= 40 THEN 'UNCERTAIN' ELSE 'REAL' END"
     )
-    confidence = (
-        F.when(c >= 70, F.when(c >= 85, "HIGH").otherwise("MEDIUM"))
-        .when((c >= 40) | spliced, "MEDIUM")
-        .otherwise(ladder(c, [(20.0, "MEDIUM")], "HIGH"))
+    confidence = F.expr(
+        "CASE WHEN composite >= 85 THEN 'HIGH' "
+        f"WHEN composite >= 20 OR {spliced} THEN 'MEDIUM' ELSE 'HIGH' END"
     )
     return label, confidence
 
 
-def gap_pairs(scores: dict[str, Column | str], threshold: float) -> Column:
-    """Array of every two present scores at least ``threshold`` apart, in column order."""
-    names = list(scores)
-    rows = []
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            sa, sb = col(scores[a]), col(scores[b])
-            a_high = sa > sb
-            rows.append(
-                F.when(
-                    F.abs(sa - sb) >= threshold,
-                    F.struct(
-                        F.when(a_high, F.lit(a)).otherwise(F.lit(b)).alias("high"),
-                        F.when(a_high, F.lit(b)).otherwise(F.lit(a)).alias("low"),
-                        F.greatest(sa, sb).alias("score_high"),
-                        F.least(sa, sb).alias("score_low"),
-                        F.abs(sa - sb).alias("delta"),
-                    ),
-                )
-            )
-    return F.filter(F.array(*rows), lambda r: r.isNotNull())
+def gap_pairs(names: Sequence[str], threshold: float) -> Column:
+    """Array of every two present score columns at least ``threshold`` apart, in column order."""
+    rows = [
+        f"if(abs({a} - {b}) >= {threshold}D, named_struct('high', if({a} > {b}, '{a}', '{b}'), "
+        f"'low', if({a} > {b}, '{b}', '{a}'), 'score_high', greatest({a}, {b}), 'score_low', least({a}, {b}), "
+        f"'delta', abs({a} - {b})), NULL)"
+        for i, a in enumerate(names)
+        for b in names[i + 1 :]
+    ]
+    return F.expr(f"filter(array({', '.join(rows)}), r -> r IS NOT NULL)")
 
 
 def signal_disagreements(clips: DataFrame) -> DataFrame:
     """One row per pair of signals that diverge, with its message."""
     rows = clips.select(
-        "clip_id", F.inline(gap_pairs({n: n for n in K.SIGNAL_NAMES}, K.SIGNAL_GAP))
+        "clip_id", F.inline(gap_pairs(list(K.SIGNAL_NAMES), K.SIGNAL_GAP))
     )
-    names = F.create_map(*[F.lit(x) for kv in K.SIGNAL_NAMES.items() for x in kv])
+    high, low = named("high", K.SIGNAL_NAMES), named("low", K.SIGNAL_NAMES)
     note = F.when(
         F.col("high") == "spectral",
         " A spectral-only spike without prosody/vocoder elevation is characteristic of a splice point "
@@ -244,14 +223,14 @@ def signal_disagreements(clips: DataFrame) -> DataFrame:
     ).otherwise("")
     return rows.select(
         "clip_id",
-        names[F.col("high")].alias("signal_high"),
-        names[F.col("low")].alias("signal_low"),
+        high.alias("signal_high"),
+        low.alias("signal_low"),
         round_dp("score_high", 1).alias("score_high"),
         round_dp("score_low", 1).alias("score_low"),
         round_dp("delta", 1).alias("delta"),
         F.concat(
-            names[F.col("high")], F.lit(" scored "), fixed("score_high", 0), F.lit("% while "),
-            names[F.col("low")], F.lit(" scored "), fixed("score_low", 0), F.lit("% — a "),
+            high, F.lit(" scored "), fixed("score_high", 0), F.lit("% while "),
+            low, F.lit(" scored "), fixed("score_low", 0), F.lit("% — a "),
             fixed("delta", 0), F.lit("% divergence."), note,
         ).alias("message"),
     )
