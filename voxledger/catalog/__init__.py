@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scan", "prepare")
+MODULES = ("scan", "prepare", "indicators", "profiles")
 
 
 def load():

@@ -13,42 +13,18 @@ from pyspark.sql import functions as F
 from voxledger import constants as K
 from voxledger.functions.numbers import clip, fixed, present, round_dp
 from voxledger.functions.ordered import SEG, attach, ordered, seg_of, with_segments
-from voxledger.functions.vectors import euclid, mean_vector
+from voxledger.functions.vectors import euclid, mean_vector, total
 
 CLIP = ["clip_id"]
 WINDOW = ["clip_id", "window_id"]
 
 
 # --- vocoder ----------------------------------------------------------------
-def _band(mag: Column, first_bin: int) -> Column:
-    """Bins from ``first_bin`` (0-based) up."""
-    return F.slice(mag, F.lit(first_bin + 1), F.size(mag))
-
-
 def hf_first_bin(n_fft: int = 1024, sr: int = K.SAMPLE_RATE, hz: float = K.HF_BAND_HZ) -> int:
     """First bin strictly above ``hz``."""
     return int(hz * n_fft // sr) + 1
 
 
-def hf_ripple(spectra: DataFrame, first_bin: int) -> DataFrame:
-    """Mean absolute step along frequency over mean magnitude, above the band edge."""
-    band = _band(F.col("mag"), first_bin)
-    steps = F.zip_with(F.slice("_band", 2, 1_000_000), F.slice("_band", F.lit(1), F.size("_band") - 1), lambda a, b: F.abs(a - b))
-    d = spectra.withColumn("_band", band)
-    add = lambda s, x: s + x
-    return d.groupBy(*WINDOW).agg(
-        (
-            F.sum(F.aggregate(steps, F.lit(0.0), add))
-            / F.sum(F.size("_band") - 1)
-            / (F.sum(F.aggregate("_band", F.lit(0.0), add)) / F.sum(F.size("_band")) + F.lit(1e-6))
-        ).alias("hf_ripple")
-    )
-
-
-def ripple_score(ripple: Column) -> Column:
-    return clip((ripple - F.lit(0.30)) / F.lit(0.55) * F.lit(100.0), 0, 100)
-
-
 def median_of(values: Column) -> Column:
     """Middle of a fixed-size array."""
     s = F.array_sort(values)
@@ -56,17 +32,43 @@ def median_of(values: Column) -> Column:
     return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / F.lit(2.0)
 
 
-def peak_to_median_db(spectra: DataFrame, min_voiced: int = 5) -> DataFrame:
-    """10*log10(mean of frame maxima / mean of frame medians) over voiced frames; 20 with too few."""
-    v = F.col("voiced")
-    peak = F.avg(F.when(v, F.array_max("mag")))
-    mid = F.avg(F.when(v, median_of(F.col("mag"))))
-    n = F.sum(v.cast("int"))
-    return spectra.groupBy(*WINDOW).agg(
-        F.when(n > min_voiced, F.lit(10.0) * F.log10(peak / (mid + F.lit(1e-8)))).otherwise(20.0).alias("hnr_db")
+def band_stats(spectra: DataFrame, first_bin: int) -> DataFrame:
+    """Frame scalars from magnitude arrays: high band mean and mean step, largest and middle magnitude.
+
+    ``first_bin`` (0-based) starts the high band.  The Arrow feature job yields
+    the same columns without shipping the arrays.
+    """
+    band = F.slice("mag", F.lit(first_bin + 1), F.size("mag"))
+    steps = F.zip_with(F.slice("_band", F.lit(2), F.size("_band")), F.slice("_band", F.lit(1), F.size("_band") - 1), lambda a, b: F.abs(a - b))
+    return (
+        spectra.withColumn("_band", band)
+        .withColumns(
+            {
+                "hf_step": total(steps) / (F.size("_band") - 1),
+                "hf_mean": total("_band") / F.size("_band"),
+                "mag_max": F.array_max("mag"),
+                "mag_median": median_of(F.col("mag")),
+            }
+        )
+        .drop("_band")
     )
 
 
+def hf_ripple(stats: DataFrame) -> DataFrame:
+    """Mean absolute step along frequency over mean magnitude, above the band edge."""
+    return stats.groupBy(*WINDOW).agg(F.expr("avg(hf_step) / (avg(hf_mean) + 1e-6D)").alias("hf_ripple"))
+
+
+def ripple_score(ripple: Column) -> Column:
+    return clip((ripple - F.lit(0.30)) / F.lit(0.55) * F.lit(100.0), 0, 100)
+
+
+def peak_to_median_db(stats: DataFrame, min_voiced: int = 5) -> DataFrame:
+    """10*log10(mean of frame maxima / mean of frame medians) over voiced frames; 20 with too few."""
+    db = "10D * log10(avg(mag_max) FILTER (WHERE voiced) / (avg(mag_median) FILTER (WHERE voiced) + 1e-8D))"
+    return stats.groupBy(*WINDOW).agg(F.expr(f"if(count_if(voiced) > {min_voiced}, {db}, 20D)").alias("hnr_db"))
+
+
 def hnr_score(db: Column) -> Column:
     return F.when((db < 8.0) | (db > 33.0), 70.0).when((db < 12.0) | (db > 28.0), 30.0).otherwise(5.0)
 
@@ -191,7 +193,8 @@ def spectral_indicator(windows: DataFrame, baseline: DataFrame, boundary_mode: s
         ),
     )
     return (
-        d.withColumn("spectral_score", round_dp(clip(raised, 2.0, 98.0), 1))
+        d.withColumn("raw_score", clip(raised, 2.0, 98.0))
+        .withColumn("spectral_score", round_dp("raw_score", 1))
         .withColumn("boundary_detected", F.col("_b") if boundary_mode == "detected" else F.lit(False))
         .withColumn("spectral_checks", present(jump, F.when(F.col("room_change"), K.CHECKS["room"])))
         .drop("_thr", "_jump", "_b")

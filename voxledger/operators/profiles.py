@@ -172,9 +172,12 @@ def vector_stats(df: DataFrame, v: str, size: int, dp: int = 4) -> DataFrame:
     )
 
 
-def spectral_means(sframes: DataFrame) -> DataFrame:
-    places = {"centroid": 2, "bandwidth": 2, "rolloff": 2, "contrast": 4}
-    return sframes.groupBy("clip_id").agg(*[round_dp(F.avg(c), dp).alias(f"spectral_{c}_mean") for c, dp in places.items()])
+MEAN_PLACES = {"centroid": 2, "bandwidth": 2, "rolloff": 2, "contrast": 4}
+
+
+def spectral_means(sframes: DataFrame, places: dict[str, int] = MEAN_PLACES) -> DataFrame:
+    """Clip means of the spectral shape, rounded."""
+    return sframes.groupBy("clip_id").agg(*[round_dp(f"avg({c})", dp).alias(f"spectral_{c}_mean") for c, dp in places.items()])
 
 
 def relative_db(rms: Column, top: Column, floor_db: float = 80.0) -> Column:
