@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scan", "prepare", "indicators", "profiles")
+MODULES = ("scan", "prepare", "indicators", "profiles", "compare", "evaluate", "sources")
 
 
 def load():

@@ -113,7 +113,7 @@ def _pro4(spark, sf):
     "pro7_energy_curve",
     oracle(
         f"""SELECT clip_id, j, CASE WHEN top > 0 THEN {sql_round('rms/nullif(top,0)', 4)} ELSE rms END AS level FROM (SELECT *, max(rms) OVER (PARTITION BY clip_id) AS top FROM (
- SELECT p.clip_id, j, rms FROM (SELECT clip_id, count(*) AS n FROM b_frames GROUP BY 1) c, (SELECT unnest(range(0,60)) AS j) JOIN b_frames p ON p.clip_id=c.clip_id AND p.frame_id=(j*(n-1))//59))""",
+ SELECT p.clip_id, j, rms FROM (SELECT clip_id, count(*) AS n FROM b_frames GROUP BY 1) c, (SELECT unnest(range(0,60)) AS j) JOIN b_frames p ON p.clip_id=c.clip_id AND p.frame_id=(j*(c.n-1))//59))""",
         "b_frames",
     ),
 )

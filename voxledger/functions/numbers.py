@@ -63,8 +63,9 @@ def clip(x: Column | str, lo: float, hi: float) -> Column:
 
 
 def fixed(x: Column | str, d: int) -> Column:
-    """Text with exactly ``d`` decimals, rounded as ``round_dp``."""
-    return F.format_string(f"%.{d}f", round_dp(x, d))
+    """Text with exactly ``d`` decimals, rounded as ``round_dp``; null stays null."""
+    r = round_dp(x, d)
+    return F.when(r.isNotNull(), F.format_string(f"%.{d}f", r))
 
 
 def ladder(x: Column | str, steps: Sequence[tuple[float, object]], below: object) -> Column:

@@ -197,7 +197,7 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], x: Column | str, probs: dict[str, float]
+    df: DataFrame, by: Sequence[str], x: Column | str, probs: dict[str, float], count: str | None = None
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
@@ -231,6 +231,9 @@ def quantiles(
             F.max(k - F.floor(k)).alias(f"_f{i}"),
         ]
         out.append((F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_f{i}")).alias(name))
+    if count:
+        aggs.append(F.max("_all").alias(count))
+        out.append(F.col(count))
     aggs.append(whole() if plain else F.max("_any").alias(SEG))
     return ranked.groupBy(*by).agg(*aggs).select(*by, *out, SEG)
 

@@ -225,13 +225,19 @@ STATUS_BANDS = ((65.0, "ok"), (45.0, "warn"))
 PILL_BANDS = ((75.0, "green"), (50.0, "yellow"))
 
 
+FIXED_NOTES = {
+    "neural_identity": "Composite WavLM + ECAPA-TDNN voice embedding similarity.",
+    "energy": "Signal environment and RMS loudness profile consistency.",
+}
+
+
 def telemetry_rows(fused: DataFrame, details: dict[str, dict[str, Column]] | None = None) -> DataFrame:
     """One row per dimension with its values, delta, status and pill band.
 
     ``details`` maps a dimension to columns ``val_1, val_2, delta, unit,
     delta_label, interpretation``.
     """
-    details = details or {}
+    details = {**{k: {"interpretation": F.lit(v)} for k, v in FIXED_NOTES.items()}, **(details or {})}
     rows = []
     for k in ("neural_identity", "pitch", "formants", "spectral_mfcc", "rhythm", "energy"):
         d = details.get(k, {})
@@ -361,20 +367,23 @@ def rhythm_text() -> Column:
     return F.when(both_available(), F.concat_ws(" ", body, more))
 
 
-def spectral_text(score: Column, size: int = K.N_MFCC) -> Column:
-    deltas = [round_dp(F.abs(F.get("a.mfcc_mean", F.lit(i)) - F.get("b.mfcc_mean", F.lit(i))), 3) for i in range(size)]
-    mean = sum(deltas[1:], deltas[0]) / F.lit(float(size))
-    at = (fixed(mean, 2), fixed(_gap("spectral_centroid_mean"), 0))
-    return (
+def with_spectral_text(pairs: DataFrame, score: str = "score", size: int = K.N_MFCC) -> DataFrame:
+    """Add ``text`` from the score, the mean coefficient delta and the centroid delta."""
+    deltas = F.zip_with("a.mfcc_mean", "b.mfcc_mean", lambda x, y: round_dp(F.abs(x - y), 3))
+    d = pairs.withColumn("_mean", F.aggregate(deltas, F.lit(0.0), lambda s, x: s + x) / F.lit(float(size))).withColumn(
+        "_centroid", _gap("spectral_centroid_mean")
+    )
+    at = (fixed("_mean", 2), fixed("_centroid", 0))
+    text = (
         F.when(
-            score >= 75,
+            F.col(score) >= 75,
             F.lit(
                 "Spectral and MFCC fingerprints are closely matched, suggesting similar vocal timbre and "
                 "resonance characteristics."
             ),
         )
         .when(
-            score >= 50,
+            F.col(score) >= 50,
             F.format_string(
                 "Moderate spectral divergence (MFCC mean delta=%s; centroid delta=%s Hz). Could reflect different "
                 "microphone responses or speaking styles.", *at,
@@ -387,6 +396,7 @@ def spectral_text(score: Column, size: int = K.N_MFCC) -> Column:
             )
         )
     )
+    return d.withColumn("text", text).drop("_mean", "_centroid")
 
 
 def breakdown_lines() -> Column:

@@ -101,11 +101,14 @@ def energy_curve(frames: DataFrame, k: int = K.CURVE_POINTS) -> DataFrame:
 
 def formant_profile(fframes: DataFrame, min_frames: int = 5) -> DataFrame:
     """Median F1..F4 from rows ``(clip_id, f1, f2, f3, f4)`` and dispersion (F4-F1)/3."""
-    d = with_segments(fframes, CLIP, "frame_id")
-    n = d.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n_frames"))
-    out = n
-    for f in ("f1", "f2", "f3", "f4"):
-        out = out.join(quantiles(d, CLIP, f, {f"{f}_med": 0.5}).drop(SEG), "clip_id")
+    d = with_segments(fframes, CLIP, "frame_id").selectExpr(
+        "clip_id", SEG, "stack(4, 'f1', CAST(f1 AS DOUBLE), 'f2', CAST(f2 AS DOUBLE), 'f3', CAST(f3 AS DOUBLE), 'f4', CAST(f4 AS DOUBLE)) AS (f, hz)"
+    )
+    names = ("f1", "f2", "f3", "f4")
+    med = quantiles(d, ["clip_id", "f"], "hz", {"med": 0.5}, count="n")
+    out = med.groupBy("clip_id").agg(
+        F.max("n").alias("n_frames"), *[F.expr(f"max(med) FILTER (WHERE f = '{f}')").alias(f"{f}_med") for f in names]
+    )
     ok = F.col("n_frames") >= min_frames
     meds = [F.when(ok, round_dp(f"{f}_med", 1)).alias(f"{f}_hz") for f in ("f1", "f2", "f3", "f4")]
     return out.select(

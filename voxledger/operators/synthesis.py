@@ -200,14 +200,13 @@ def label_confidence() -> tuple[Column, Column]:
 
 def gap_pairs(names: Sequence[str], threshold: float) -> Column:
     """Array of every two present score columns at least ``threshold`` apart, in column order."""
-    rows = [
-        f"if(abs({a} - {b}) >= {threshold}D, named_struct('high', if({a} > {b}, '{a}', '{b}'), "
-        f"'low', if({a} > {b}, '{b}', '{a}'), 'score_high', greatest({a}, {b}), 'score_low', least({a}, {b}), "
-        f"'delta', abs({a} - {b})), NULL)"
-        for i, a in enumerate(names)
-        for b in names[i + 1 :]
-    ]
-    return F.expr(f"filter(array({', '.join(rows)}), r -> r IS NOT NULL)")
+    items = ", ".join(f"named_struct('k', '{n}', 'x', {n})" for n in names)
+    pair = (
+        "named_struct('high', if(p.x > q.x, p.k, q.k), 'low', if(p.x > q.x, q.k, p.k), "
+        "'score_high', greatest(p.x, q.x), 'score_low', least(p.x, q.x), 'delta', abs(p.x - q.x))"
+    )
+    later = f"filter(slice(array({items}), i + 2, {len(names)}), q -> abs(p.x - q.x) >= {threshold}D)"
+    return F.expr(f"flatten(transform(array({items}), (p, i) -> transform({later}, q -> {pair})))")
 
 
 def signal_disagreements(clips: DataFrame) -> DataFrame:
