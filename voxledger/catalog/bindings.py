@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def sql_round(x: str, d: int) -> str:
-    """SQL text of ``round_dp``."""
+    """SQL text of ``round_dp``, by Dekker's split of the product."""
     b = f"{10**d}e0"
     c = f"(({x})*134217729e0)"
     hi = f"({c}-({c}-({x})))"
@@ -180,7 +180,8 @@ def b_access(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_EVENTS = """SELECT *, user_id AS clip_id, CAST(regexp_extract(props,'([0-9]+)',1) AS INTEGER) AS k,
+# text is copied (|| '') so that later joins do not carry the file's dictionary
+_EVENTS = """SELECT event_id, ts, event_type || '' AS event_type, value, user_id AS clip_id, CAST(regexp_extract(props,'([0-9]+)',1) AS INTEGER) AS k,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events"""
 
 BINDING_SQL: dict[str, str] = {

@@ -341,8 +341,8 @@ def _cmp18(spark, sf):
  SELECT *, least(min(f0_target) OVER w, min(f0_comparison) OVER w) AS lo, greatest(max(f0_target) OVER w, max(f0_comparison) OVER w) AS hi FROM (
  SELECT a.clip_id AS a_id, b.clip_id AS b_id, a.j, CASE WHEN a.voiced THEN a.f0 END AS f0_target, CASE WHEN b.voiced THEN b.f0 END AS f0_comparison FROM pt a JOIN pt b ON b.clip_id=a.clip_id+1 AND b.j=a.j) WINDOW w AS (PARTITION BY a_id))""",
         "b_pitch",
-        ctes="""pt AS (SELECT p.clip_id, j, p.frame_id, p.voiced, p.f0 FROM (SELECT clip_id, count(*) AS n FROM b_pitch GROUP BY 1) c,
- (SELECT unnest(range(0,60)) AS j) JOIN b_pitch p ON p.clip_id = c.clip_id AND p.frame_id = (j*(c.n-1))//59)""",
+        ctes="""pt AS (SELECT p.clip_id, j, p.frame_id, p.voiced, p.f0 FROM (SELECT clip_id, count(*) AS n, unnest(range(0,60)) AS j FROM b_pitch GROUP BY 1) c
+ JOIN b_pitch p ON p.clip_id = c.clip_id AND p.frame_id = (j*(c.n-1))//59)""",
     ),
 )
 def _cmp19(spark, sf):

@@ -15,8 +15,7 @@ from voxledger.operators import profiles as R
 
 
 def b_frames(spark, sf) -> DataFrame:
-    fr = P.frame_energy(P.frames_from_samples(b_samples(spark, sf), 4), 4)
-    return fr.withColumn("peak", F.expr("array_max(transform(xs, x -> abs(x)))"))
+    return P.frame_energy(P.frames_from_samples(b_samples(spark, sf), 4), 4)
 
 
 _PITCH = f"""vo AS (SELECT *, abs(f0 - lag(f0) OVER (PARTITION BY clip_id ORDER BY frame_id)) AS d FROM b_pitch WHERE voiced),
@@ -39,8 +38,8 @@ def _pro1(spark, sf):
     return pitch_profiles(spark, sf)
 
 
-_POINTS = """pt AS (SELECT p.clip_id, j, p.frame_id, p.voiced, p.f0 FROM (SELECT clip_id, count(*) AS n FROM b_pitch GROUP BY 1) c,
- (SELECT unnest(range(0,60)) AS j) JOIN b_pitch p ON p.clip_id = c.clip_id AND p.frame_id = (j*(n-1))//59)"""
+_POINTS = """pt AS (SELECT p.clip_id, j, p.frame_id, p.voiced, p.f0 FROM (SELECT clip_id, count(*) AS n, unnest(range(0,60)) AS j FROM b_pitch GROUP BY 1) c
+ JOIN b_pitch p ON p.clip_id = c.clip_id AND p.frame_id = (j*(c.n-1))//59)"""
 
 
 @query(
@@ -113,7 +112,7 @@ def _pro4(spark, sf):
     "pro7_energy_curve",
     oracle(
         f"""SELECT clip_id, j, CASE WHEN top > 0 THEN {sql_round('rms/nullif(top,0)', 4)} ELSE rms END AS level FROM (SELECT *, max(rms) OVER (PARTITION BY clip_id) AS top FROM (
- SELECT p.clip_id, j, rms FROM (SELECT clip_id, count(*) AS n FROM b_frames GROUP BY 1) c, (SELECT unnest(range(0,60)) AS j) JOIN b_frames p ON p.clip_id=c.clip_id AND p.frame_id=(j*(c.n-1))//59))""",
+ SELECT p.clip_id, j, rms FROM (SELECT clip_id, count(*) AS n, unnest(range(0,60)) AS j FROM b_frames GROUP BY 1) c JOIN b_frames p ON p.clip_id=c.clip_id AND p.frame_id=(j*(c.n-1))//59))""",
         "b_frames",
     ),
 )
@@ -175,7 +174,8 @@ ed AS (SELECT clip_id, {sql_round('m', 2)} AS rms_mean_db, {sql_round('s', 2)} A
 
 @query("pro10_energy_dynamics", oracle("SELECT * FROM ed", "b_frames", ctes=_ENERGY))
 def _pro10(spark, sf):
-    return R.energy_dynamics(b_frames(spark, sf))
+    fr = b_frames(spark, sf)
+    return R.energy_dynamics(fr).join(R.crest_factor(fr), "clip_id")
 
 
 @query(

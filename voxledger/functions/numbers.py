@@ -13,21 +13,24 @@ def col(c: Column | str) -> Column:
     return F.expr(c) if isinstance(c, str) else c
 
 
+def _bits(n: int) -> list[int]:
+    """Powers of two that add up to ``n``, largest first."""
+    return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
+
+
 def round_sql(x: str, d: int = 0) -> str:
     """SQL text of ``round_dp``."""
     if d == 0:
         return f"(rint({x})+0D)"
-    b = f"{10**d}D"
-    p = f"(({x})*{b})"
-    if d == 1:
-        e = f"(({x})*2D-({p}-({x})*8D))"
-    else:
-        c = f"(({x})*134217729D)"
-        hi = f"({c}-({c}-({x})))"
-        e = f"(({hi}*{b}-{p})+(({x})-{hi})*{b})"
+    p = f"(({x})*{10**d}D)"
+    *high, low = _bits(10**d)
+    rest = p
+    for bit in high:
+        rest = f"({rest}-({x})*{bit}D)"
+    lost = f"(({x})*{low}D-{rest})"
     return (
-        f"((CASE WHEN abs({p}-rint({p})) < 0.5D THEN rint({p}) WHEN {e} = 0 THEN rint({p}) "
-        f"ELSE {p}+signum({e})*0.5D END)/{b}+0D)"
+        f"((CASE WHEN abs({p}-rint({p})) < 0.5D THEN rint({p}) "
+        f"ELSE coalesce({p}+nullif(signum({lost}),0D)*0.5D, rint({p})) END)/{10**d}D+0D)"
     )
 
 
@@ -35,31 +38,30 @@ def round_dp(x: Column | str, d: int = 0) -> Column:
     """Round a double to ``d`` places by its exact binary value, ties to even.
 
     ``F.round`` rounds the printed decimal half up, which disagrees with IEEE
-    rounding on values such as 0.125 or 2.675.  ``p`` is x*10^d; ``e`` is the
-    part of the exact product lost in ``p`` (Dekker's split), which settles a
-    product that lands on .5 only by rounding.
+    rounding on values such as 0.125 or 2.675.  The product p = x*10^d may land
+    on .5 only by its own rounding; what it lost is found by taking the powers
+    of two in 10^d off again one by one, each step of which is exact.
     """
     if isinstance(x, str):
         return F.expr(round_sql(f"CAST({x} AS DOUBLE)", d))
     x = x.cast("double")
     if d == 0:
         return F.rint(x) + F.lit(0.0)
-    b = float(10**d)
-    p = x * F.lit(b)
-    if d == 1:  # 10x = 8x + 2x, so the lost part needs no split
-        e = x * F.lit(2.0) - (p - x * F.lit(8.0))
-    else:
-        c = x * F.lit(134217729.0)
-        hi = c - (c - x)
-        e = (hi * F.lit(b) - p) + (x - hi) * F.lit(b)
-    n = F.when(F.abs(p - F.rint(p)) < 0.5, F.rint(p)).otherwise(
-        F.when(e == 0, F.rint(p)).otherwise(p + F.signum(e) * F.lit(0.5))
-    )
-    return n / F.lit(b) + F.lit(0.0)
+    b = F.lit(float(10**d))
+    p = x * b
+    *high, low = _bits(10**d)
+    rest = p
+    for bit in high:
+        rest = rest - x * F.lit(float(bit))
+    lost = x * F.lit(float(low)) - rest
+    tie = F.coalesce(p + F.nullif(F.signum(lost), F.lit(0.0)) * F.lit(0.5), F.rint(p))
+    return F.when(F.abs(p - F.rint(p)) < 0.5, F.rint(p)).otherwise(tie) / b + F.lit(0.0)
 
 
 def clip(x: Column | str, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), col(x)))
+    """Limit to [lo, hi]; null stays null."""
+    x = col(x)
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
 
 
 def fixed(x: Column | str, d: int) -> Column:

@@ -86,17 +86,17 @@ DELTA_BAND_BELOW = "#00ff88"
 
 def mfcc_deltas(pairs: DataFrame, size: int = K.N_MFCC) -> DataFrame:
     """One row per coefficient: both values, |delta|, largest delta of the pair and band."""
-    row = lambda i: F.struct(
-        F.lit(i + 1).alias("coeff"),
-        round_dp(F.get("a.mfcc_mean", F.lit(i)), 3).alias("val_1"),
-        round_dp(F.get("b.mfcc_mean", F.lit(i)), 3).alias("val_2"),
-        round_dp(F.abs(F.get("a.mfcc_mean", F.lit(i)) - F.get("b.mfcc_mean", F.lit(i))), 3).alias("delta"),
-    )
-    d = pairs.withColumn("rows", F.array(*[row(i) for i in range(size)]))
-    d = d.withColumn("max_delta", F.array_max("rows.delta"))
+    d = pairs.select("a_id", "b_id", F.col("a.mfcc_mean").alias("_a"), F.col("b.mfcc_mean").alias("_b"))
+    d = d.withColumn("_d", F.zip_with("_a", "_b", lambda x, y: round_dp(F.abs(x - y), 3)))
+    d = d.select("a_id", "b_id", F.array_max("_d").alias("max_delta"), F.posexplode(F.arrays_zip("_a", "_b", "_d")).alias("i", "r"))
     share = F.least(F.col("delta") / F.greatest(F.col("max_delta"), F.lit(1.0)), F.lit(1.0))
-    return d.select("a_id", "b_id", "max_delta", F.inline("rows")).withColumn(
-        "band", ladder(share, DELTA_BANDS, DELTA_BAND_BELOW)
+    return (
+        d.where(F.col("i") < size)
+        .select(
+            "a_id", "b_id", (F.col("i") + 1).alias("coeff"), round_dp("r._a", 3).alias("val_1"), round_dp("r._b", 3).alias("val_2"),
+            F.col("r._d").alias("delta"), "max_delta",
+        )
+        .withColumn("band", ladder(share, DELTA_BANDS, DELTA_BAND_BELOW))
     )
 
 

@@ -165,7 +165,6 @@ def frame_features(context: DataFrame, levels: DataFrame, block_len: int) -> Dat
             level = np.maximum(sig.db(mag**2), r.top_mag - 80.0).mean(axis=1)
             _, short = _block_frames(r, block_len, 512, K.HOP)
             rms = np.sqrt((short**2).mean(axis=1))
-            mid = short[:, 256 - K.HOP // 2 : 256 + K.HOP // 2]
             k = len(mag)
             out.append(
                 pd.DataFrame(
@@ -173,13 +172,13 @@ def frame_features(context: DataFrame, levels: DataFrame, block_len: int) -> Dat
                         "clip_id": r.clip_id, "frame_id": np.arange(t0, t0 + k), SEG: getattr(r, SEG),
                         "mfcc": list(sig.cepstrum(mel, K.N_MFCC)), "centroid": centroid, "bandwidth": bandwidth,
                         "rolloff": roll85, "rolloff95": roll95, "contrast": contrast, "mean_db": level, "rms": rms,
-                        "onset": onset, "onset2": onset2, "peak": np.abs(mid).max(axis=1),
+                        "onset": onset, "onset2": onset2,
                     }
                 )
             )
         return pd.concat(out) if out else pd.DataFrame(columns=names)
 
-    names = ["clip_id", "frame_id", SEG, "mfcc", "centroid", "bandwidth", "rolloff", "rolloff95", "contrast", "mean_db", "rms", "onset", "onset2", "peak"]
+    names = ["clip_id", "frame_id", SEG, "mfcc", "centroid", "bandwidth", "rolloff", "rolloff95", "contrast", "mean_db", "rms", "onset", "onset2"]
     scalars = ", ".join(f"{n} double" for n in names[4:])
     schema = f"{_key(context, 'clip_id')}, frame_id bigint, {SEG} int, mfcc array<double>, {scalars}"
     return _map(attach(context, levels, CLIP), fn, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxledger import constants as K
 from voxledger.functions.numbers import round_dp
 from voxledger.functions.ordered import SEG, ordered, quantiles, with_segments
-from voxledger.functions.vectors import l2norm, mean_vector, var_vector
+from voxledger.functions.vectors import dot, l2norm, mean_vector, var_vector
 
 CLIP = ["clip_id"]
 
@@ -170,8 +170,8 @@ def vector_stats(df: DataFrame, v: str, size: int, dp: int = 4) -> DataFrame:
     d = df.groupBy("clip_id").agg(mean_vector(v, size).alias("_m"), var_vector(v, size).alias("_v"))
     return d.select(
         "clip_id",
-        F.array(*[round_dp(F.get("_m", F.lit(i)), dp) for i in range(size)]).alias(f"{v}_mean"),
-        F.array(*[round_dp(F.get("_v", F.lit(i)), dp) for i in range(size)]).alias(f"{v}_var"),
+        F.transform("_m", lambda x: round_dp(x, dp)).alias(f"{v}_mean"),
+        F.transform("_v", lambda x: round_dp(x, dp)).alias(f"{v}_var"),
     )
 
 
@@ -192,30 +192,32 @@ def relative_db(rms: Column, top: Column, floor_db: float = 80.0) -> Column:
 
 
 def energy_dynamics(frames: DataFrame) -> DataFrame:
-    """Mean and spread of relative dB, its P95-P5, and crest factor.
-
-    Frames carry ``rms``, ``peak`` (largest |x|), ``ss`` and ``n``.
-    """
+    """Mean and spread of a clip's relative dB, and its P95-P5."""
     d = ordered(with_segments(frames, CLIP, "frame_id"), CLIP, ["frame_id"], totals={"_top": ("max", "rms")})
     d = d.withColumn("db", relative_db(F.col("rms"), F.col("_top")))
     q = quantiles(d, CLIP, "db", {"p95": 0.95, "p05": 0.05}).drop(SEG)
-    crest = F.lit(20.0) * F.log10(
-        (F.max("peak") + F.lit(1e-9)) / (F.sqrt(F.sum("ss") / F.sum("n")) + F.lit(1e-9))
-    )
     return (
         d.groupBy("clip_id")
-        .agg(F.avg("db").alias("m"), F.stddev_pop("db").alias("s"), crest.alias("c"))
+        .agg(F.avg("db").alias("m"), F.stddev_pop("db").alias("s"))
         .join(q, "clip_id")
         .select(
             "clip_id",
             round_dp("m", 2).alias("rms_mean_db"),
             round_dp("s", 2).alias("rms_std_db"),
-            round_dp(F.col("p95") - F.col("p05"), 2).alias("dynamic_range_db"),
-            round_dp("c", 2).alias("crest_factor_db"),
+            round_dp("p95 - p05", 2).alias("dynamic_range_db"),
         )
     )
 
 
+def crest_factor(frames: DataFrame) -> DataFrame:
+    """20*log10(peak / RMS) of a clip, from its sample frames."""
+    d = frames.groupBy("clip_id").agg(
+        F.expr("max(array_max(transform(xs, x -> abs(x))))").alias("peak"),
+        F.sum(dot("xs", "xs")).alias("ss"), F.expr("sum(size(xs))").alias("n"),
+    )
+    return d.select("clip_id", round_dp("20D * log10((peak + 1e-9D) / (sqrt(ss / n) + 1e-9D))", 2).alias("crest_factor_db"))
+
+
 def environment_profile(sframes: DataFrame) -> DataFrame:
     """Mean spectrogram dB, contrast, and mean and spread of the 95 % rolloff."""
     return sframes.groupBy("clip_id").agg(

@@ -83,9 +83,10 @@ def signal_scores(windows: DataFrame) -> DataFrame:
 
 
 def merge_intervals(
-    df: DataFrame, by: Sequence[str], start: str, end: str, tol: float = K.INTERVAL_TOLERANCE
+    df: DataFrame, by: Sequence[str], start: str, end: str, tol: float = K.INTERVAL_TOLERANCE,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Union of intervals whose gap to everything before is at most ``tol``."""
+    """Union of intervals whose gap to everything before is at most ``tol``; ``extra`` aggregates go along."""
     d = with_segments(df, by, start)
     d = ordered(d, by, [start, end], maxes={"_reach": end})
     fresh = F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + F.lit(tol))
@@ -96,6 +97,7 @@ def merge_intervals(
             F.min(start).alias("t_start"),
             F.max(end).alias("t_end"),
             F.count(F.lit(1)).alias("n_windows"),
+            *[c.alias(n) for n, c in (extra or {}).items()],
             seg_of(d, F.max),
         )
         .withColumn("duration_sec", round_dp(F.col("t_end") - F.col("t_start"), 2))

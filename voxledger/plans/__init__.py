@@ -1,0 +1 @@
+"""End-to-end analyses composed from the operators."""

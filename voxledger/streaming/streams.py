@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voxledger import constants as K
+from voxledger.operators.synthesis import merge_intervals
 
 TERMINAL = ("completed", "failed")
 
@@ -18,16 +19,32 @@ TERMINAL = ("completed", "failed")
 def sessions(access: DataFrame, key: str = "session_id", ts: str = "ts", minutes: int = K.SESSION_MINUTES, late: str = "10 minutes") -> DataFrame:
     """Inactivity sessions: closed once ``minutes`` pass without access.
 
-    Partial sessions are merged before the shuffle, so a busy key sends one row
-    per session and task rather than every access.
+    As a stream this is a session window with a watermark.  As a batch, accesses
+    are first counted per quarter of an hour (or per gap, if shorter): accesses
+    of one slot can never be in different sessions, so a busy key is reduced to
+    its slots before they are merged, and merged piecewise if it is still hot.
     """
-    d = access.withWatermark(ts, late) if access.isStreaming else access
-    d = d.groupBy(key, F.session_window(ts, f"{minutes} minutes").alias("w")).agg(
+    if not access.isStreaming:
+        return _batch_sessions(access, key, ts, minutes)
+    d = access.withWatermark(ts, late).groupBy(key, F.session_window(ts, f"{minutes} minutes").alias("w")).agg(
         F.count(F.lit(1)).alias("n_access"), F.max(ts).alias("last_accessed")
     )
     return d.select(key, F.col("w.start").alias("created_at"), "last_accessed", F.col("w.end").alias("expires_at"), "n_access")
 
 
+def _batch_sessions(access: DataFrame, key: str, ts: str, minutes: int) -> DataFrame:
+    gap = minutes * 60_000_000
+    slot = min(gap, 900_000_000)
+    slots = (
+        access.select(key, F.unix_micros(ts).alias("_us"))
+        .groupBy(key, F.floor(F.col("_us") / slot).alias("_slot"))
+        .agg(F.min("_us").alias("_from"), F.max("_us").alias("_to"), F.count(F.lit(1)).alias("_n"))
+    )
+    merged = merge_intervals(slots, [key], "_from", "_to", gap, {"n_access": F.sum("_n")})
+    at = {"created_at": "t_start", "last_accessed": "t_end", "expires_at": f"t_end + {gap}"}
+    return merged.select(key, *[F.expr(f"timestamp_micros({e})").alias(n) for n, e in at.items()], "n_access")
+
+
 def latest_progress(events: DataFrame, total_stages: int = 6) -> DataFrame:
     """Latest status per job; a terminal status wins over anything later.
 
