@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger import constants as K
-from voxledger.functions.numbers import col, fixed, ladder, linear_similarity, named, present, round_dp, weighted_mean_present
+from voxledger.functions.numbers import fixed, ladder, linear_similarity, named, present, round_dp, round_sql, weighted_mean_present
 from voxledger.functions.vectors import cosine
-from voxledger.operators.synthesis import gap_pairs
+from voxledger.operators.synthesis import gap_rows
 
 
 def pair_profiles(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -112,54 +112,51 @@ def spectral_deltas() -> list[Column]:
 
 
 # --- fusion -------------------------------------------------------------------
-def neural_composite(first: Column | str, second: Column | str) -> Column:
+def neural_composite(first: str, second: str) -> Column:
     """0.6 first + 0.4 second, or the second alone."""
-    both = col(first) * F.lit(0.6) + col(second) * F.lit(0.4)
-    return round_dp(F.coalesce(both, col(second)), 1)
+    return round_dp(f"coalesce({first} * 0.6D + {second} * 0.4D, {second})", 1)
 
 
-def risk_penalty(risk: Column) -> Column:
-    return F.when(risk > 60, (risk - F.lit(60.0)) / F.lit(40.0) * F.lit(30.0)).otherwise(0.0)
+def risk_penalty(risk: str) -> Column:
+    return F.expr(f"if({risk} > 60, ({risk} - 60D) / 40D * 30D, 0D)")
 
 
 def fuse(pairs: DataFrame, weights: dict[str, float] = K.DIMENSION_WEIGHTS) -> DataFrame:
     """Fused similarity, verdict and confidence from six nullable dimension columns.
 
     Needs ``first_neural, second_neural, formants, pitch, spectral_mfcc, rhythm,
-    energy, risk1, risk2`` and optionally ``no_speech_1, no_speech_2``.
+    energy, risk1, risk2`` and optionally ``no_speech_1, no_speech_2``.  Pitch,
+    formant, rhythm and spectral scores have one decimal already.
     """
-    d = pairs.withColumn("neural_identity", neural_composite("first_neural", "second_neural"))
-    for c in ("formants", "pitch", "spectral_mfcc", "rhythm", "energy"):
-        d = d.withColumn(c, round_dp(c, 1))
+    d = pairs.withColumns({"neural_identity": neural_composite("first_neural", "second_neural"), "energy": round_dp("energy", 1)})
     for c in ("no_speech_1", "no_speech_2"):
         if c not in d.columns:
             d = d.withColumn(c, F.lit(False))
-    mute = F.col("no_speech_1") | F.col("no_speech_2")
-    d = (
-        d.withColumn("max_risk", F.greatest("risk1", "risk2"))
-        .withColumn("penalty", risk_penalty(F.col("max_risk")))
-        .withColumn("base", weighted_mean_present(weights))
-        .withColumn("no_speech", mute)
-        .withColumn(
-            "similarity",
-            F.when(mute, 0.0).otherwise(round_dp(F.greatest(F.lit(0.0), F.col("base") - F.col("penalty")), 1)),
-        )
-    )
-    return (
-        d.withColumn("verdict", F.when(mute, F.lit("Cannot Compare")).otherwise(ladder("similarity", K.VERDICTS, K.VERDICT_BELOW)))
-        .withColumn("colour", F.coalesce(named("verdict", K.VERDICT_COLOURS), F.lit("neutral")))
-        .withColumn("confidence", confidence())
-        .withColumn("no_speech_files", present(F.when(F.col("no_speech_1"), F.lit("Target Sample")), F.when(F.col("no_speech_2"), F.lit("Comparison Sample"))))
+    d = d.withColumns(
+        {
+            "no_speech": F.expr("no_speech_1 OR no_speech_2"),
+            "max_risk": F.greatest("risk1", "risk2"),
+            "base": weighted_mean_present(weights),
+        }
+    ).withColumn("penalty", risk_penalty("max_risk"))
+    d = d.withColumn("similarity", F.expr(f"if(no_speech, 0D, {round_sql('greatest(0D, base - penalty)', 1)})"))
+    verdict = ladder("similarity", K.VERDICTS, K.VERDICT_BELOW)
+    return d.withColumn("verdict", F.when(F.col("no_speech"), F.lit("Cannot Compare")).otherwise(verdict)).withColumns(
+        {
+            "colour": F.coalesce(named("verdict", K.VERDICT_COLOURS), F.lit("neutral")),
+            "confidence": confidence(),
+            "no_speech_files": F.expr(
+                "filter(array(if(no_speech_1, 'Target Sample', NULL), if(no_speech_2, 'Comparison Sample', NULL)), s -> s IS NOT NULL)"
+            ),
+        }
     )
 
 
 def confidence() -> Column:
-    s, m = F.col("similarity"), F.col("max_risk")
-    return (
-        F.when(F.col("no_speech"), "NONE")
-        .when(F.col("first_neural").isNotNull() & (s >= 65) & (m < 40), "HIGH")
-        .when((s >= 45) & (m < 60), "MEDIUM")
-        .otherwise("LOW")
+    return F.expr(
+        "CASE WHEN no_speech THEN 'NONE' "
+        "WHEN first_neural IS NOT NULL AND similarity >= 65 AND max_risk < 40 THEN 'HIGH' "
+        "WHEN similarity >= 45 AND max_risk < 60 THEN 'MEDIUM' ELSE 'LOW' END"
     )
 
 
@@ -171,41 +168,35 @@ def threshold_note(steps=K.VERDICTS, below: str = K.VERDICT_BELOW) -> str:
 
 def contradictions(fused: DataFrame, threshold: float = K.DIMENSION_GAP) -> DataFrame:
     """Rows for every two dimensions that diverge, and for a high identity score under synthetic risk."""
-    high, low = named("high", K.DIMENSION_PHRASES), named("low", K.DIMENSION_PHRASES)
-    live = fused.where(~F.col("no_speech"))
-    rows = live.select("pair_id", F.inline(gap_pairs(K.DIMENSION_ORDER, threshold)))
-    dims = rows.select(
-        "pair_id", F.lit("dimension_conflict").alias("type"),
-        F.col("high").alias("dim_high"), F.col("low").alias("dim_low"),
-        round_dp("score_high", 1).alias("score_high"), round_dp("score_low", 1).alias("score_low"),
+    live = fused.where("NOT no_speech")
+    conflicts = live.where("neural_identity >= 65 AND max_risk >= 50").selectExpr(
+        "pair_id", "'neural_identity' AS high", "'deepfake_risk' AS low", "neural_identity AS score_high",
+        "max_risk AS score_low", "abs(neural_identity - max_risk) AS delta",
+    )
+    rows = gap_rows(live, "pair_id", K.DIMENSION_ORDER, threshold).unionByName(conflicts)
+    synthetic = F.expr("low = 'deepfake_risk'")
+    shown = rows.select(
+        "pair_id", F.when(synthetic, "synthetic_identity_conflict").otherwise("dimension_conflict").alias("type"),
+        F.col("high").alias("dim_high"), F.col("low").alias("dim_low"), "score_high", "score_low",
         round_dp("delta", 1).alias("delta"),
-        F.concat(
-            high, F.lit(" shows high agreement ("), fixed("score_high", 1), F.lit("%) while "),
-            low, F.lit(" shows low agreement ("), fixed("score_low", 1),
-            F.lit(
-                "%). This divergence is forensically significant and warrants closer examination of "
-                "each dimension independently."
-            ),
-        ).alias("message"),
     )
-    return dims.unionByName(identity_conflicts(live))
-
-
-def identity_conflicts(fused: DataFrame) -> DataFrame:
-    n, m = F.col("neural_identity"), F.col("max_risk")
-    return fused.where((F.coalesce(n, F.lit(0.0)) >= 65) & (m >= 50)).select(
-        "pair_id", F.lit("synthetic_identity_conflict").alias("type"),
-        F.lit("neural_identity").alias("dim_high"), F.lit("deepfake_risk").alias("dim_low"),
-        round_dp(n, 1).alias("score_high"), round_dp(m, 1).alias("score_low"), round_dp(F.abs(n - m), 1).alias("delta"),
-        F.concat(
-            F.lit("Neural identity score is high ("), fixed(n, 1), F.lit("%) but deepfake risk is also elevated ("),
-            fixed(m, 1),
-            F.lit(
-                "%). Match confidence is reduced — one or both samples may be a voice clone targeting "
-                "the reference speaker."
-            ),
-        ).alias("message"),
+    high, low = named("dim_high", K.DIMENSION_PHRASES), named("dim_low", K.DIMENSION_PHRASES)
+    at = (F.format_string("%.1f", "score_high"), F.format_string("%.1f", "score_low"))  # one decimal already
+    gap_text = F.concat(
+        high, F.lit(" shows high agreement ("), at[0], F.lit("%) while "), low, F.lit(" shows low agreement ("), at[1],
+        F.lit(
+            "%). This divergence is forensically significant and warrants closer examination of "
+            "each dimension independently."
+        ),
+    )
+    risk_text = F.concat(
+        F.lit("Neural identity score is high ("), at[0], F.lit("%) but deepfake risk is also elevated ("), at[1],
+        F.lit(
+            "%). Match confidence is reduced — one or both samples may be a voice clone targeting "
+            "the reference speaker."
+        ),
     )
+    return shown.withColumn("message", F.when(F.col("type") == "dimension_conflict", gap_text).otherwise(risk_text))
 
 
 def dimension_rows(fused: DataFrame) -> DataFrame:

@@ -200,22 +200,28 @@ def label_confidence() -> tuple[Column, Column]:
     return label, confidence
 
 
-def gap_pairs(names: Sequence[str], threshold: float) -> Column:
-    """Array of every two present score columns at least ``threshold`` apart, in column order."""
-    items = ", ".join(f"named_struct('k', '{n}', 'x', {n})" for n in names)
-    pair = (
-        "named_struct('high', if(p.x > q.x, p.k, q.k), 'low', if(p.x > q.x, q.k, p.k), "
-        "'score_high', greatest(p.x, q.x), 'score_low', least(p.x, q.x), 'delta', abs(p.x - q.x))"
+def gap_rows(df: DataFrame, key: str, names: Sequence[str], threshold: float) -> DataFrame:
+    """One row per two present score columns at least ``threshold`` apart: names, scores, delta.
+
+    The fixed list of column pairs is tested inside the row and only the hits
+    are exploded; no rows are paired.
+    """
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+    tests = [f"if(abs({names[i]} - {names[j]}) >= {threshold}D, {n}, NULL)" for n, (i, j) in enumerate(pairs)]
+    hits = df.select(key, *names, F.explode(F.expr(f"filter(array({', '.join(tests)}), n -> n IS NOT NULL)")).alias("_n"))
+    label, score = ", ".join(f"'{n}'" for n in names), ", ".join(names)
+    left, right = (", ".join(str(p[k]) for p in pairs) for k in (0, 1))
+    d = hits.selectExpr(key, f"array({score}) AS _s", f"get(array({left}), _n) AS _i", f"get(array({right}), _n) AS _j")
+    d = d.selectExpr(key, "_i", "_j", "get(_s, _i) AS _x", "get(_s, _j) AS _y")
+    return d.selectExpr(
+        key, f"get(array({label}), if(_x > _y, _i, _j)) AS high", f"get(array({label}), if(_x > _y, _j, _i)) AS low",
+        "greatest(_x, _y) AS score_high", "least(_x, _y) AS score_low", "abs(_x - _y) AS delta",
     )
-    later = f"filter(slice(array({items}), i + 2, {len(names)}), q -> abs(p.x - q.x) >= {threshold}D)"
-    return F.expr(f"flatten(transform(array({items}), (p, i) -> transform({later}, q -> {pair})))")
 
 
 def signal_disagreements(clips: DataFrame) -> DataFrame:
     """One row per pair of signals that diverge, with its message."""
-    rows = clips.select(
-        "clip_id", F.inline(gap_pairs(list(K.SIGNAL_NAMES), K.SIGNAL_GAP))
-    )
+    rows = gap_rows(clips, "clip_id", list(K.SIGNAL_NAMES), K.SIGNAL_GAP)
     high, low = named("high", K.SIGNAL_NAMES), named("low", K.SIGNAL_NAMES)
     note = F.when(
         F.col("high") == "spectral",
