@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -177,7 +177,7 @@ def ingest_recordings(spark: SparkSession, path: str, files_per_batch: int = 100
     )
 
 
-def with_quality_metrics(df: DataFrame, name: str, rejected: str = "reject_reason") -> DataFrame:
+def with_quality_metrics(df: DataFrame, name: str | Observation, rejected: str = "reject_reason") -> DataFrame:
     """Count rows and rejects while the query runs (``observe``)."""
     return df.observe(
         name, F.count(F.lit(1)).alias("rows_in"), F.count(rejected).alias("rejected"),
