@@ -119,38 +119,52 @@ def live_distances(windows: DataFrame) -> DataFrame:
 
 
 class _JobState(StatefulProcessor):
-    """Last status per job, dropped by TTL after the expiry time."""
+    """Last status per job; a finished job is forgotten ``seconds`` after its last event."""
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", "stage_index int, status string, ts timestamp", ttlDurationMs=self.seconds * 1000)
+        self.handle = handle
+        self.state = handle.getValueState("job", "stage_index int, status string, ts_ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = tuple(self.state.get()) if self.state.exists() else None
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                new = (int(r.stage_index), r.status, pd.Timestamp(r.ts).to_pydatetime())
-                rank = lambda x: (x[1] in TERMINAL, x[2], x[0])
-                if best is None or rank(new) >= rank(best):
+            for stage, status, ts in zip(pdf["stage_index"], pdf["status"], pdf["ts"]):
+                new = (int(stage), str(status), int(pd.Timestamp(ts).value // 1_000_000))
+                if best is None or _rank(new) >= _rank(best):
                     best = new
         if best is not None:
             self.state.update(best)
-            yield pd.DataFrame([(key[0], *best)], columns=["job_id", "stage_index", "status", "updated_at"])
+            if best[1] in TERMINAL:
+                self.handle.registerTimer(best[2] + self.seconds * 1000)
+            yield pd.DataFrame([(key[0], *best)], columns=["job_id", "stage_index", "status", "updated_ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield pd.DataFrame(columns=["job_id", "stage_index", "status", "updated_ms"])
 
     def close(self) -> None:
         pass
 
 
-def live_jobs(events: DataFrame, seconds: int = K.JOB_EXPIRY_SECONDS) -> DataFrame:
-    """Streaming table of job events: latest status per job, state kept for ``seconds`` after the last event."""
+def _rank(job: tuple) -> tuple:
+    return (job[1] in TERMINAL, job[2], job[0])
+
+
+def live_jobs(events: DataFrame, seconds: int = K.JOB_EXPIRY_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """Streaming table of job events: latest status per job, in update mode.
+
+    State is dropped by event-time timers, so it is bounded by the jobs that are
+    running or finished lately.
+    """
     kt = events.schema["job_id"].dataType.simpleString()
-    return events.groupBy("job_id").transformWithStateInPandas(
+    return events.withWatermark("ts", late).groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=_JobState(seconds),
-        outputStructType=f"job_id {kt}, stage_index int, status string, updated_at timestamp",
+        outputStructType=f"job_id {kt}, stage_index int, status string, updated_ms bigint",
         outputMode="Update",
-        timeMode="ProcessingTime",
+        timeMode="EventTime",
     )
 
 
