@@ -64,7 +64,8 @@ def features(prepared):
 
 def test_scan_rejects_and_prunes(files):
     reasons = {r["clip_id"]: r["reject_reason"] for r in files.collect()}
-    assert reasons["note.txt"] == "unsupported_format" and reasons["empty.flac"] == "empty" and reasons["a2.WAV"] is None
+    assert reasons["note.txt"] == "unsupported_format" and reasons["a2.WAV"] is None
+    assert "empty.flac" not in reasons  # the file source does not list files without bytes
     plan = recordings.accepted(files).select("path", "length")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(length), GreaterThan(length,0)" in plan
     assert "content" not in plan.split("ReadSchema")[1]
@@ -93,7 +94,7 @@ def test_decode(fmt, bits):
 def test_rejects(prepared):
     got = {r["clip_id"]: r["reason"] for r in prepared.rejects.collect()}
     assert got == {
-        "note.txt": "unsupported_format", "empty.flac": "empty", "bad.wav": "not_riff_wave", "rate.wav": "sample_rate_8000",
+        "note.txt": "unsupported_format", "bad.wav": "not_riff_wave", "rate.wav": "sample_rate_8000",
         "silent.wav": "silent_or_empty", "short.wav": "too_short",
     }
 
@@ -231,7 +232,7 @@ def test_user_model_scores_batches(spark):
         return lambda x: x.sum(axis=1)
 
     df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(10)], "id int, v array<double>")
-    out = df.withColumn("s", FR.predict_scores(df, "v", make)).collect()
+    out = df.withColumn("s", FR.predict_scores(df, "v", 2, make)).collect()
     assert all(r["s"] == r["id"] + 1 for r in out)
 
 

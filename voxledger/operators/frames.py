@@ -326,9 +326,10 @@ def score_with(df: DataFrame, scores: DataFrame, keys: list[str], out: str = "mo
     return d.withColumn(out, F.expr(f"greatest(0D, least(100D, round(coalesce(_s, {baseline}D), 1)))")).drop("_s")
 
 
-def predict_scores(df: DataFrame, vector: str, make_predict: Callable, batch_size: int = 64) -> Column:
-    """Column scored by a user model, loaded once per Python worker."""
+def predict_scores(df: DataFrame, vector: str, size: int, make_predict: Callable, batch_size: int = 64) -> Column:
+    """Column scored by a user model on vectors of ``size`` numbers; the model is loaded once per Python worker."""
     from pyspark.ml.functions import predict_batch_udf
 
-    udf = predict_batch_udf(make_predict, return_type=df.schema[vector].dataType.elementType, batch_size=batch_size)
+    kind = df.schema[vector].dataType.elementType
+    udf = predict_batch_udf(make_predict, return_type=kind, batch_size=batch_size, input_tensor_shapes=[[size]])
     return udf(F.col(vector))

@@ -25,6 +25,7 @@ def pair_calibration(fused: DataFrame, labels: DataFrame) -> tuple[DataFrame, Da
 
 def scan_calibration(clips: DataFrame, truth: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(report per signal and composite, category accuracy) from ``clip_id, label, truth, spliced``."""
-    d = E.impute(clips.join(truth, "clip_id"), SCAN_SIGNALS, K.IMPUTE_SCAN)
+    verdicts = clips.select("clip_id", *SCAN_SIGNALS, "composite", "category", "n_intervals", "n_boundaries")
+    d = E.impute(verdicts.join(truth, "clip_id"), SCAN_SIGNALS, K.IMPUTE_SCAN)
     report = E.evaluate_signals(E.long_scores(d, [*SCAN_SIGNALS, "composite"]))
     return report, E.category_accuracy(d.withColumnRenamed("category", "pred"))
