@@ -25,10 +25,15 @@ def l2norm(v: Column | str) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def scaled(v: Column | str, by: Column, fn=lambda x, k: x / k) -> Column:
+    """Apply ``fn(element, by)``; ``by`` is worked out once per row, not once per element."""
+    one = F.transform(F.array(by), lambda k: F.transform(col(v), lambda x: fn(x.cast("double"), k)))
+    return F.get(one, F.lit(0))
+
+
 def l2_normalise(v: Column | str) -> Column:
     """Divide by the norm; a zero vector stays zero."""
-    n = F.greatest(l2norm(v), F.lit(1e-12))
-    return F.transform(col(v), lambda x: x.cast("double") / n)
+    return scaled(v, F.greatest(l2norm(v), F.lit(1e-12)))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

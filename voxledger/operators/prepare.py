@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxledger import constants as K
-from voxledger.functions.numbers import clip, fixed, present, round_dp
+from voxledger.functions.numbers import fixed, present, round_dp
 from voxledger.functions.ordered import SEG, attach, ordered, quantiles, seg_of, with_segments
-from voxledger.functions.vectors import dot
+from voxledger.functions.vectors import dot, scaled
 
 CLIP = ["clip_id"]
 
@@ -238,13 +238,12 @@ def normalise_rms(frames: DataFrame, target: float = K.TARGET_RMS) -> DataFrame:
         totals={"_all": ("sum", "_ss"), "speech_samples": ("sum", "n")},
     )
     rms = F.sqrt(F.col("_all") / F.nullif(F.col("speech_samples"), F.lit(0)))
-    gain = F.when(F.col("source_rms") > 1e-8, F.lit(target) / F.col("source_rms"))
-    scaled = F.transform("xs", lambda x: clip(x.cast("double") * F.col("_gain"), -1.0, 1.0))
+    gain = F.expr(f"if(source_rms > 1e-8D, {target}D / source_rms, NULL)")
+    levelled = scaled("xs", gain, lambda x, k: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * k)))
     return (
         d.withColumn("source_rms", rms)
-        .withColumn("_gain", gain)
-        .withColumn("xs", F.when(F.col("_gain").isNotNull(), scaled).otherwise(F.transform("xs", lambda x: x.cast("double"))))
-        .drop("_ss", "_all", "_gain")
+        .withColumn("xs", F.when(F.col("source_rms") > 1e-8, levelled).otherwise(F.col("xs").cast("array<double>")))
+        .drop("_ss", "_all")
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxledger import constants as K
 from voxledger.functions.numbers import round_dp
 from voxledger.functions.ordered import SEG, ordered, quantiles, with_segments
-from voxledger.functions.vectors import dot, l2norm, mean_vector, var_vector
+from voxledger.functions.vectors import dot, l2_normalise, mean_vector, var_vector
 
 CLIP = ["clip_id"]
 
@@ -231,10 +231,7 @@ def environment_profile(sframes: DataFrame) -> DataFrame:
 def pool_vectors(df: DataFrame, v: str, size: int) -> DataFrame:
     """Mean of the window vectors, then L2 normalised."""
     d = df.groupBy("clip_id").agg(mean_vector(v, size).alias("_m"))
-    norm = F.greatest(l2norm("_m"), F.lit(1e-12))
-    return d.withColumn("_n", norm).select(
-        "clip_id", F.transform("_m", lambda x: x / F.col("_n")).alias("embedding")
-    )
+    return d.select("clip_id", l2_normalise("_m").alias("embedding"))
 
 
 # values a clip gets where its profile could not be computed

@@ -60,21 +60,29 @@ def pcm_blocks(recordings: DataFrame, block_len: int = BLOCK, key: str = "clip_i
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[list] = []
         for pdf in batches:
             for k, content in zip(pdf[key], pdf["content"]):
-                try:
-                    rate, x = decode_wav(bytes(content))
-                    error = None if len(x) else "empty"
-                except (ValueError, struct.error) as e:
-                    rate, x, error = None, np.zeros((0, 0)), str(e) or "malformed"
-                if error is not None:
-                    yield pd.DataFrame([[k, None, None, None, rate, None, None, error]], columns=names)
-                    continue
-                for ch in range(x.shape[1]):
-                    starts = range(0, len(x), block_len)
-                    yield pd.DataFrame(
-                        [[k, ch, s // block_len, s, rate, x[s : s + block_len, ch], len(x), None] for s in starts], columns=names
-                    )
+                rows += blocks_of(k, content)
+                while len(rows) >= 256:  # bounds what is held and shipped at once
+                    yield pd.DataFrame(rows[:256], columns=names)
+                    rows = rows[256:]
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    def blocks_of(k, content) -> list[list]:
+        try:
+            rate, x = decode_wav(bytes(content))
+            error = None if len(x) else "empty"
+        except (ValueError, struct.error) as e:
+            rate, x, error = None, np.zeros((0, 0)), str(e) or "malformed"
+        if error is not None:
+            return [[k, None, None, None, rate, None, None, error]]
+        return [
+            [k, ch, s // block_len, s, rate, x[s : s + block_len, ch], len(x), None]
+            for ch in range(x.shape[1])
+            for s in range(0, len(x), block_len)
+        ]
 
     names = [key, "channel", "block_id", "start", "sr", "xs", "n_clip", "error"]
     kt = recordings.schema[key].dataType.simpleString()
