@@ -256,8 +256,6 @@ FLAGSHIP_SQL = _sql(
 @query("scan_suspect_regions", FLAGSHIP_SQL)
 def flagship(spark, sf) -> DataFrame:
     """Which clips hold suspicious regions, and where?  One row per interval."""
-    _, clips, intervals = verdicts(spark, sf)
-    return intervals.select("clip_id", "t_start", "t_end", "duration_sec").join(
-        clips.select("clip_id", "composite", "label", "confidence", "category", F.round("span_ratio", 6).alias("span_ratio")),
-        "clip_id",
-    )
+    w = b_windows(spark, sf)
+    d = S.suspect_regions(w, models(w), ["composite", "label", "confidence", "category", "span_ratio"])
+    return d.withColumnRenamed("interval_sec", "duration_sec").withColumn("span_ratio", F.round("span_ratio", 6))

@@ -137,9 +137,24 @@ def lone_flag() -> Column:
 def synthesise(windows: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(verdict per clip, suspect intervals).
 
-    ``models`` has one row per clip: ``clip_id, model, duration_sec``.  Windows
-    are aggregated first; only one row per clip is joined.  A suppressed clip
-    has exactly one flagged window and so exactly one interval.
+    ``models`` has one row per clip: ``clip_id, model, duration_sec``.
+    """
+    clips, intervals = _verdicts(windows, models)
+    return clips, intervals.join(clips.where("suppressed").select("clip_id"), "clip_id", "left_anti")
+
+
+def suspect_regions(windows: DataFrame, models: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per suspect interval with the named verdict columns of its clip."""
+    clips, intervals = _verdicts(windows, models)
+    at = intervals.select("clip_id", "t_start", "t_end", F.col("duration_sec").alias("interval_sec"))
+    return at.join(clips.where("NOT suppressed").select("clip_id", *columns), "clip_id")
+
+
+def _verdicts(windows: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(verdict per clip, intervals before suppression).
+
+    Windows are aggregated first; only one row per clip is joined.  A suppressed
+    clip has exactly one flagged window and so exactly one interval.
     """
     d = flag_windows(with_segments(windows, CLIP, "window_id"))
     intervals = merge_intervals(d.where("is_suspicious"), CLIP, "start_time", "end_time")
@@ -169,8 +184,7 @@ def synthesise(windows: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFr
     clips = clips.withColumns(
         {"label": label, "confidence": confidence, "category_label": named("category", K.CATEGORY_LABELS)}
     ).drop("_ni", "_span")
-    kept = intervals.join(clips.where("suppressed").select("clip_id"), "clip_id", "left_anti")
-    return clips, kept
+    return clips, intervals
 
 
 def category() -> Column:
