@@ -34,7 +34,8 @@ def _k() -> Column:
 
 
 def micros(c: str) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+    """Microseconds of a zone-less time read as UTC, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
 
 
 def _numbered_events(spark: SparkSession, sf: str, **cols: Column) -> DataFrame:
@@ -176,7 +177,7 @@ def b_jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 def b_access(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
-        F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts")
+        F.col("user_id").alias("session_id"), F.timestamp_micros(micros("ts")).alias("ts")
     )
 
 

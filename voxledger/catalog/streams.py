@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxledger.catalog.bindings import b_access, b_jobs, b_recordings, oracle, table
+from voxledger.catalog.bindings import b_access, b_jobs, b_recordings, micros, oracle, table
 from voxledger.catalog.registry import query
 from voxledger.sources.recordings import reject_reason
 from voxledger.streaming import streams as S
@@ -58,7 +58,7 @@ def _str3(spark, sf):
     ),
 )
 def _str4(spark, sf):
-    fr = table(spark, sf, "events").select(F.col("user_id").alias("clip_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("rms"))
+    fr = table(spark, sf, "events").select(F.col("user_id").alias("clip_id"), F.timestamp_micros(micros("ts")).alias("ts"), F.col("value").alias("rms"))
     d = S.live_scan(fr, length="18 hours", hop="6 hours")
     return d.select(
         "clip_id", F.unix_seconds("start_time").alias("start_sec"), "n_frames", F.round("mean_rms", 6).alias("mean_rms"),
