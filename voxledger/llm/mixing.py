@@ -64,15 +64,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     )
 
 
-def mix_copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Every row of docs with size, source_size, target, copies (0 to cap) and taken = size * copies.
-
-    A null text has size 0, a null source is a source of its own, ordered last.
-    Documents of equal size and id come in any order among themselves.  Rows
-    without words are emitted at the rate of their source.  A source without
-    words has target 0 and gives nothing.
-    """
-    row, keep = packed(docs, ["size", "source_size", "target", "copies", "taken"])
+def _with_copies(docs: DataFrame, row: Column, weights, cap: int) -> DataFrame:
+    """row with size, source_size, target and copies of its document."""
     segments = max(1, -(-docs.count() // SEGMENT_ROWS))
     source = F.col("source").cast("string")
     digest = _digest(F.col("doc_id"))
@@ -110,23 +103,30 @@ def mix_copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     offset = F.floor(offset / 64).cast("double") / 1024.0
     last = F.col("_start") + F.col("_number")
     copies = F.least(F.lit(cap).cast("long"), F.floor(last * rate + offset) - F.floor((last - 1) * rate + offset))
-    return numbered.select(
-        *unpacked(keep), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+    return numbered.select("_row", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix_copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """Every row of docs with size, source_size, target, copies (0 to cap) and taken = size * copies.
+
+    A null text has size 0, a null source is a source of its own, ordered last.
+    Documents of equal size and id come in any order among themselves.  Rows
+    without words are emitted at the rate of their source.  A source without
+    words has target 0 and gives nothing.  Columns of docs that bear the name of
+    a result are replaced.
+    """
+    row, keep = packed(docs, ["size", "source_size", "target", "copies", "taken"])
+    return _with_copies(docs, row, weights, cap).select(
+        *unpacked(keep), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """The mix itself: rows of docs, each as many times as it was taken."""
-    _, keep = packed(docs, [])
-    names = [c for c in keep if c not in ("size", "source_size", "target", "copies", "taken")]
-    if len(names) < len(keep):
-        raise ValueError("docs has a column with the name of a result of mix_copies")
-    return (
-        mix_copies(docs, weights, cap)
-        .where(F.col("copies") > 0)
-        .withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .select(*[F.col(f"`{c}`") for c in names])
-    )
+    """The mix itself: rows of docs as they are, each as many times as it was taken."""
+    row, keep = packed(docs, [])
+    d = _with_copies(docs, row, weights, cap).where(F.col("copies") > 0)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return d.select("_row", each.alias("_each")).select(*unpacked(keep))
 
 
 #: DuckDB twin of mix_copies over documents.

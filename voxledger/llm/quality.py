@@ -95,8 +95,9 @@ def with_statistics(docs: DataFrame, names: list[str]) -> DataFrame:
     return d.select("_row", stats.alias("_s")).select(*unpacked(keep), *[F.col(f"_s.{n}").alias(n) for n in names])
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PCT)
+def base_failed(get=F.col) -> Column:
+    """get gives the column of a statistic by its name, here and below."""
+    return (get("n_words") < MIN_WORDS) | (get("n_repeat_words") * 100 > get("n_words") * MAX_REPEAT_PCT)
 
 
 #: What rules may test: one count per hundred of another.
@@ -113,9 +114,9 @@ RATIOS = {
 }
 
 
-def ratio(name: str) -> Column:
+def ratio(name: str, get=F.col) -> Column:
     top, below = RATIOS[name]
-    return F.col(top) * 100.0 / F.greatest(F.col(below), F.lit(1))
+    return get(top) * 100.0 / F.greatest(get(below), F.lit(1))
 
 
 @dataclass(frozen=True)
@@ -127,8 +128,8 @@ class Condition:
     def holds(self, row: dict) -> bool:
         return row[self.feature] > self.threshold if self.above else row[self.feature] <= self.threshold
 
-    def column(self) -> Column:
-        x = ratio(self.feature)
+    def column(self, get=F.col) -> Column:
+        x = ratio(self.feature, get)
         return x > F.lit(self.threshold) if self.above else x <= F.lit(self.threshold)
 
 
@@ -207,13 +208,13 @@ def learn_rules(
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], get=F.col) -> Column:
     """True (keep) unless a rule of the list fires; the first that does decides."""
     out = F.when(F.lit(False), F.lit(False))
     for rule in rules:
-        cond = rule[0].column()
+        cond = rule[0].column(get)
         for c in rule[1:]:
-            cond = cond & c.column()
+            cond = cond & c.column(get)
         out = out.when(cond, F.lit(False))
     return out.otherwise(F.lit(True))
 
@@ -244,10 +245,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return learn_rules(sorted(examples, key=lambda r: sorted(r.items())))
 
 
+def _needed(rules: list[Rule]) -> list[str]:
+    used = {n for rule in rules for c in rule for n in RATIOS[c.feature]}
+    return [*BASE, *[n for n in COUNTS if n in used]]
+
+
 def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """docs with the base statistics, base_failed and kept."""
-    used = {n for rule in rules for c in rule for n in RATIOS[c.feature]}
     row, keep = packed(docs, [*BASE, *COUNTS, "base_failed", "kept"])
-    d = with_statistics(docs.select(row, F.col("text")), [*BASE, *[n for n in COUNTS if n in used]])
+    d = with_statistics(docs.select(row, F.col("text")), _needed(rules))
     d = d.withColumn("base_failed", base_failed())
     return d.select(*unpacked(keep), *BASE, "base_failed", (~F.col("base_failed") & verdict(rules)).alias("kept"))
+
+
+def passing(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of docs that judged() keeps, as they are."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    names = _needed(rules)
+
+    def keeps(s: Column) -> Column:
+        return ~base_failed(s.getField) & verdict(rules, s.getField)
+
+    # one expression, so that the statistics are computed once where the filter runs
+    return docs.where(let(words(text), lambda w: let(F.struct(*[_statistic(n, text, w) for n in names]), keeps)))
