@@ -182,7 +182,7 @@ def _pruned(rule: Rule, bad: list[dict], good: list[dict]) -> Rule:
 
 
 def learn_rules(
-    examples: list[dict], *, most_rules: int = 8, longest: int = 3, precision: float = 0.9, least: int = 8, cuts: int = 64
+    examples: list[dict], *, most_rules: int = 8, longest: int = 3, precision: float = 0.9, least: int = 4, cuts: int = 64
 ) -> list[Rule]:
     """Decision list from examples: dicts of RATIOS with "bad" (bool) and "fold" (0 to 2; 2 prunes).
 

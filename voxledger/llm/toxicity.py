@@ -30,7 +30,7 @@ from voxledger.llm.work import let, scratch, small_batches, stored
 MAX_LABELLED = 10_000
 #: An entry stands beside so many different words in the toxic documents of the sample (one passage that
 #: is copied often has the same neighbours everywhere), and in this share of these documents.
-LEAST_CONTEXTS = 8
+LEAST_CONTEXTS = 5
 LEAST_SHARE = 0.004
 #: Log odds from which a beginning or word is an entry.
 LEAST_WEIGHT = 3.5
