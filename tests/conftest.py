@@ -16,18 +16,18 @@ def spark():
 
 @pytest.fixture(autouse=True)
 def ordinary_groups(request):
-    """Every test starts with the normal threshold for hot groups."""
+    """Every test starts with the normal size of pieces."""
     if "spark" in request.fixturenames:
-        request.getfixturevalue("spark").conf.unset("spark.voxledger.hot.minRows")
+        request.getfixturevalue("spark").conf.unset("spark.voxledger.pieceRows")
     yield
 
 
 @pytest.fixture
 def hot(spark, ordinary_groups):
-    """Treat every group above the share as hot, so that the piecewise path runs."""
-    spark.conf.set("spark.voxledger.hot.minRows", "0")
+    """Small pieces, so that most groups have several."""
+    spark.conf.set("spark.voxledger.pieceRows", "16")
     yield
-    spark.conf.unset("spark.voxledger.hot.minRows")
+    spark.conf.unset("spark.voxledger.pieceRows")
 
 
 def wav_bytes(x, sr=16000, channels=1) -> bytes:

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from voxledger.functions.ordered import SEG, attach, global_index, is_whole, ordered, quantiles, with_segments
+from voxledger.functions.ordered import SEG, attach, global_index, ordered, quantiles, with_cuts, with_segments
 
 
 @pytest.fixture(scope="module")
@@ -16,23 +16,36 @@ def table(spark):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_hot_group_is_cut(spark, table, hot):
+def test_large_group_is_cut(spark, table, hot):
     _, df = table
-    d = with_segments(df, ["g"], "t")
-    assert not is_whole(d)
-    per = d.where("g = 0").groupBy(SEG).count().toPandas()
-    assert len(per) > 200 and per["count"].max() < 100 and per[SEG].min() >= 0
-    # groups below the share stay whole
-    assert d.groupBy("g").agg(F.count("*").alias("n"), F.max(SEG).alias("s")).where("n * 1024 <= 6000 AND s >= 0").count() == 0
+    per = with_segments(df, ["g"], "t").where("g = 0").groupBy(SEG).count().toPandas()
+    assert len(per) > 200 and per["count"].max() <= 16
+
+
+@pytest.mark.parametrize("far", [False, True])
+def test_cuts_follow_the_rows(spark, hot, far):
+    """One group is the whole table; with far, a few values lie far out."""
+    rng = np.random.default_rng(2)
+    v = np.where(rng.random(4000) < 0.002, 1e15, rng.random(4000)) if far else rng.lognormal(0, 6, 4000)
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "v": v}))
+    per = with_cuts(df, ["g"], "v").groupBy(SEG).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    per = per.orderBy(SEG).toPandas()
+    assert len(per) >= 200 and per["n"].max() <= 40
+    assert (per["hi"].to_numpy()[:-1] < per["lo"].to_numpy()[1:]).all()
+
+
+def test_small_groups_stay_whole(spark, table):
+    _, df = table
+    assert with_segments(df, ["g"], "t").where(f"{SEG} <> 0").count() == 0
+    assert with_cuts(df, ["g"], "x").where(f"{SEG} <> 0").count() == 0
 
 
 @pytest.mark.parametrize("cut", [False, True])
 def test_ordered_columns(spark, table, cut):
     pdf, df = table
     if cut:
-        spark.conf.set("spark.voxledger.hot.minRows", "0")
+        spark.conf.set("spark.voxledger.pieceRows", "16")
     d = with_segments(df, ["g"], "t")
-    assert is_whole(d) is not cut
     out = ordered(
         d, ["g"], ["t"], index="i", previous={"p": "x"}, sums={"s": "x"}, maxes={"m": "x"},
         totals={"n": ("sum", F.lit(1)), "top": ("max", "x"), "low": ("min", "x")},
@@ -51,7 +64,7 @@ def test_ordered_columns(spark, table, cut):
 def test_quantiles(spark, table, cut):
     pdf, df = table
     if cut:
-        spark.conf.set("spark.voxledger.hot.minRows", "0")
+        spark.conf.set("spark.voxledger.pieceRows", "16")
     out = quantiles(df, ["g"], "x", {"a": 0.02, "b": 0.5, "c": 0.95}).toPandas().set_index("g")
     for name, p in (("a", 0.02), ("b", 0.5), ("c", 0.95)):
         want = pdf.groupby("g")["x"].quantile(p)

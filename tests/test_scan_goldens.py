@@ -140,7 +140,7 @@ def test_gate_tiers(spark, kind, cut):
         x[:16] = 0
         x[190:] = 0
     if cut:
-        spark.conf.set("spark.voxledger.hot.minRows", "0")
+        spark.conf.set("spark.voxledger.pieceRows", "16")
     tier, want = reference_gate(x, 4, 8, 2, 8)
     out = P.resequence(P.gate(P.frames_from_samples(samples(spark, x), 4), 4, 8, 2, 8))
     rows = out.orderBy("pos", "n").collect()
@@ -169,7 +169,7 @@ def test_curve_matches_brute_force(spark, cut):
     rng = np.random.default_rng(4)
     rows = [(int(label), "a", float(np.round(s, 2))) for label, s in zip(rng.integers(0, 2, 400), rng.normal(50, 20, 400))]
     if cut:
-        spark.conf.set("spark.voxledger.hot.minRows", "0")
+        spark.conf.set("spark.voxledger.pieceRows", "16")
     c = E.error_curve(spark.createDataFrame(rows, SCORES)).orderBy("idx").toPandas()
     pos, neg = (np.array([s for label, _, s in rows if label == k]) for k in (1, 0))
     allv = np.concatenate([pos, neg])

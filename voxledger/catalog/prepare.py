@@ -283,7 +283,7 @@ def _win3b(spark, sf):
     ),
 )
 def _win1b(spark, sf):
-    b = with_segments(blocks(spark, sf, 8), ["clip_id"], "start")
+    b = with_segments(blocks(spark, sf, 8), ["clip_id"], "start", step=8)
     b = ordered(b, ["clip_id"], ["start"], totals={"n_clip": ("sum", F.size("xs"))})
     d = W.window_blocks(b, "n_clip", 24, 8)
     return _weighted(d.withColumnRenamed("window_id", "frame_id")).withColumnRenamed("frame_id", "window_id")

@@ -1,102 +1,80 @@
 """Ordered operations per group that survive a group holding much of the table.
 
 A plain ``Window.partitionBy(clip)`` sends one whole clip to one task.  Here a
-table carries a ``seg`` column: -1 for ordinary groups, and for a group that
-holds more than 1/HOT_SHARE of the rows the number of the ordered piece the row
-falls in.  Windows run over ``(group, seg)``; what a piece needs from the pieces
-before it is one summary row per piece.  There can be at most HOT_SHARE such
-groups and so HOT_SHARE * HOT_PIECES summary rows, which bounds the broadcasts.
+table carries a ``seg`` column that cuts each group along its order, and windows
+run over ``(group, seg)``.  What a piece needs from the pieces before it is one
+summary row per piece, found by equi-join on ``(group, seg)``.  There is one plan
+for groups of any size, and nothing runs while it is built.
+
+Numbered rows (frames, blocks, samples) are cut by position: ``seg`` is the number
+divided by a constant width.  Rows ordered by a value (scores, times) are cut at
+values drawn by hash from their group, so pieces hold about equally many distinct
+values wherever these lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxledger.functions.numbers import col
 
 SEG = "seg"
-WHOLE = -1
-HOT_SHARE = 1024
-HOT_PIECES = 256
-HOT_MIN_ROWS = 1_000_000
-HOT_MIN_ROWS_CONF = "spark.voxledger.hot.minRows"
-
-_PLAIN = {"whole": True}
+#: Rows of a piece, as far as positions are dense.
+PIECE_ROWS = 65_536
+PIECE_ROWS_CONF = "spark.voxledger.pieceRows"
+#: Values drawn from a group that is cut by value.
+DRAWN = 4096
 _KINDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def whole() -> Column:
-    """``seg`` of a table without hot groups, marked so that later steps can skip the pieces."""
-    return F.lit(WHOLE).alias(SEG, metadata=_PLAIN)
-
-
-def is_whole(df: DataFrame) -> bool:
-    return df.schema[SEG].metadata.get("whole", False)
+def piece_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(PIECE_ROWS_CONF, str(PIECE_ROWS)))
 
 
 def seg_of(df: DataFrame, fn=F.min) -> Column:
     """Aggregate that keeps ``seg`` when rows are grouped."""
-    return whole() if is_whole(df) else fn(SEG).alias(SEG)
-
-
-def _piece(pos: Column) -> Column:
-    width = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-    step = F.floor((pos - F.col("_lo")) * F.lit(float(HOT_PIECES)) / width)
-    return F.greatest(F.lit(0), F.least(F.lit(HOT_PIECES - 1), step)).cast("int")
+    return fn(SEG).alias(SEG)
 
 
-def hot_groups(df: DataFrame, by: Sequence[str], pos: Column) -> list:
-    """Groups above the share, with their position range; at most HOT_SHARE rows."""
-    spark = df.sparkSession
-    floor_rows = int(spark.conf.get(HOT_MIN_ROWS_CONF, str(HOT_MIN_ROWS)))
-    sizes = (
-        df.withColumn("_pos", pos.cast("double"))
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_lo"), F.max("_pos").alias("_hi"))
-        .where(F.col("_n") > F.lit(floor_rows))
-    )
-    everything = df.agg(F.count(F.lit(1)).alias("t")).scalar()
-    return sizes.where(F.col("_n") * HOT_SHARE > everything).select(*by, "_lo", "_hi").collect()
-
+def with_segments(df: DataFrame, by: Sequence[str], pos: Column | str, step: int = 1) -> DataFrame:
+    """Add ``seg``; a table that already has one is returned as it is.
 
-def with_segments(df: DataFrame, by: Sequence[str], pos: Column | str) -> DataFrame:
-    """Add ``seg``; a table that already has one is returned as it is."""
+    ``pos`` numbers the rows of a group if it is an integer, about ``step`` apart;
+    anything else is a value that orders them.
+    """
     if SEG in df.columns:
         return df
     pos = col(pos)
-    hot = hot_groups(df, by, pos)
-    if not hot:
-        return df.withColumn(SEG, whole())
-    schema = T.StructType(
-        [df.schema[c] for c in by] + [T.StructField(c, T.DoubleType()) for c in ("_lo", "_hi")]
-    )
-    ranges = df.sparkSession.createDataFrame(hot, schema)
-    return (
-        df.join(F.broadcast(ranges), list(by), "left")
-        .withColumn(SEG, F.when(F.col("_lo").isNotNull(), _piece(pos.cast("double"))).otherwise(F.lit(WHOLE)))
-        .drop("_lo", "_hi")
-    )
+    if isinstance(df.select(pos).schema[0].dataType, T.IntegralType):
+        width = piece_rows(df.sparkSession) * step
+        return df.withColumn(SEG, F.coalesce(F.floor(pos / F.lit(width)), F.lit(-1)).cast("long"))
+    return with_cuts(df, by, pos)
 
 
-def resegment(df: DataFrame, by: Sequence[str], pos: Column | str) -> DataFrame:
-    """Cut the groups that already carry pieces along another order."""
-    if is_whole(df):
-        return df
-    pos = col(pos).cast("double")
-    ranges = (
-        df.where(F.col(SEG) >= 0)
-        .groupBy(*by)
-        .agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-    )
-    return (
-        df.join(F.broadcast(ranges), list(by), "left")
-        .withColumn(SEG, F.when(F.col("_lo").isNotNull(), _piece(pos)).otherwise(F.lit(WHOLE)))
-        .drop("_lo", "_hi")
+def with_cuts(df: DataFrame, by: Sequence[str], value: Column | str) -> DataFrame:
+    """Add ``seg`` by values that need not be dense, of a number, time or text.
+
+    A group of more than ``piece_rows`` rows gives about DRAWN of its distinct
+    values, those of the smallest hash; every so manyth of them, in order, is a cut.
+    """
+    width = piece_rows(df.sparkSession)
+    value = col(value)
+    d = df.withColumn("_v", value)
+    sizes = d.groupBy(*by).agg(F.count("_v").alias("_rows")).where(F.col("_rows") > width)
+    top = F.lit(float(1 << 62)) * F.least(F.lit(1.0), F.lit(float(DRAWN)) / F.col("_rows")) * 2
+    drawn = (
+        d.select(*by, "_v").join(sizes, list(by)).where(F.abs(F.xxhash64(*by, "_v").cast("double")) <= top)
+        .groupBy(*by).agg(F.sort_array(F.collect_set("_v")).alias("_drawn"), F.max("_rows").alias("_rows"))
     )
+    every = F.greatest(F.lit(1), F.ceil(F.size("_drawn") / F.ceil(F.col("_rows") / width)).cast("int"))
+    cuts = drawn.select(*by, F.filter("_drawn", lambda v, i: (i + 1) % every == 0).alias("_cuts"))
+    before = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))), F.lit(0))
+    seg = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(before).cast("long")
+    return d.join(cuts, list(by), "left").withColumn(SEG, seg).select(*df.columns, SEG)
 
 
 def ordered(
@@ -110,7 +88,7 @@ def ordered(
     maxes: dict[str, Column | str] | None = None,
     totals: dict[str, tuple[str, Column | str]] | None = None,
 ) -> DataFrame:
-    """Ordered columns over ``(by, seg)`` in one shuffle.
+    """Ordered columns per group of a table with ``seg``.
 
     index     0-based position in the group
     previous  value on the row before
@@ -119,8 +97,7 @@ def ordered(
     totals    ("sum"|"min"|"max", expr) over the whole group
     """
     previous, sums, maxes, totals = previous or {}, sums or {}, maxes or {}, totals or {}
-    plain = is_whole(df)
-    part = list(by) if plain else [*by, SEG]
+    part = [*by, SEG]
     w = Window.partitionBy(*part).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -135,13 +112,6 @@ def ordered(
     local += [F.sum(col(e)).over(upto).alias(f"_ls{i}") for i, e in enumerate(sums.values())]
     local += [F.max(col(e)).over(before).alias(f"_lm{i}") for i, e in enumerate(maxes.values())]
     local += [_KINDS[k](col(e)).over(entire).alias(f"_lt{i}") for i, (k, e) in enumerate(totals.values())]
-    joined = df.select("*", *local)
-    if plain:
-        out = [(F.col("_li") - 1).cast("long").alias(index)] if index else []
-        out += [F.col("_lp").getField(f"p{i}").alias(n) for i, n in enumerate(previous)]
-        for tag, names in (("s", sums), ("m", maxes), ("t", totals)):
-            out += [F.col(f"_l{tag}{i}").alias(n) for i, n in enumerate(names)]
-        return joined.select(*[F.col(c) for c in df.columns], *out)
 
     pieces = [F.count(F.lit(1)).alias("_n")]
     if previous:
@@ -152,17 +122,17 @@ def ordered(
     cw = Window.partitionBy(*by).orderBy(SEG)
     cbefore = cw.rowsBetween(Window.unboundedPreceding, -1)
     call = Window.partitionBy(*by)
-    carried = [F.sum("_n").over(cbefore).alias("_cn")]
+    carried = [F.count(F.lit(1)).over(call).alias("_pieces"), F.sum("_n").over(cbefore).alias("_cn")]
     if previous:
         carried.append(F.lag("_p").over(cw).alias("_cp"))
     carried += [F.sum(f"_s{i}").over(cbefore).alias(f"_cs{i}") for i in range(len(sums))]
     carried += [F.max(f"_m{i}").over(cbefore).alias(f"_cm{i}") for i in range(len(maxes))]
     carried += [_KINDS[k](f"_t{i}").over(call).alias(f"_ct{i}") for i, (k, _) in enumerate(totals.values())]
-    carry = (
-        df.where(F.col(SEG) >= 0).groupBy(*part).agg(*pieces).select(*part, *carried)
-    )
+    carry = df.groupBy(*part).agg(*pieces).select(*part, *carried)
+    # a group in one piece needs nothing carried, which leaves few rows to join or none
+    carry = carry.where(F.col("_pieces") > 1).drop("_pieces")
 
-    joined = joined.join(F.broadcast(carry), part, "left")
+    joined = df.select("*", *local).join(carry, part, "left")
 
     out = []
     if index:
@@ -177,23 +147,16 @@ def ordered(
         for i, n in enumerate(sums)
     ]
     out += [F.greatest(F.col(f"_lm{i}"), F.col(f"_cm{i}")).alias(n) for i, n in enumerate(maxes)]
-    out += [
-        F.when(F.col(SEG) < 0, F.col(f"_lt{i}")).otherwise(F.col(f"_ct{i}")).alias(n)
-        for i, n in enumerate(totals)
-    ]
+    out += [F.coalesce(F.col(f"_ct{i}"), F.col(f"_lt{i}")).alias(n) for i, n in enumerate(totals)]
     return joined.select(*[F.col(c) for c in df.columns], *out)
 
 
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Join one row per group to the group's rows on ``(by, seg)``.
+    """Join one row per group to the group's rows; ``seg`` is that of ``df``.
 
-    ``stats`` carries the group's largest ``seg``; a hot group's row is repeated
-    once per piece, so its rows are never joined in one task.
+    An equi-join on the group: adaptive execution splits the rows of a large one.
     """
-    if is_whole(df):
-        return df.join(stats.drop(SEG), list(by))
-    pieces = F.when(F.col(SEG) >= 0, F.sequence(F.lit(0), F.lit(HOT_PIECES - 1))).otherwise(F.array(F.lit(WHOLE)))
-    return df.join(stats.withColumn(SEG, F.explode(pieces)), [*by, SEG])
+    return df.join(stats.drop(SEG), list(by))
 
 
 def quantiles(
@@ -202,21 +165,16 @@ def quantiles(
     """Exact quantiles with linear interpolation, one row per group.
 
     Equal values are counted first, so a value that fills the table is one row;
-    the distinct values of a hot group are cut by value and ranked piecewise.
+    the distinct values of a group are cut by value and ranked piecewise.
     Nothing is gathered per group, unlike ``percentile``.
     """
-    d = df if SEG in df.columns else with_segments(df, by, x)
     counts = (
-        d.withColumn("_x", col(x).cast("double"))
+        df.withColumn("_x", col(x).cast("double"))
         .where(F.col("_x").isNotNull())
         .groupBy(*by, "_x")
-        .agg(F.count(F.lit(1)).alias("_w"), seg_of(d, F.max))
-    )
-    plain = is_whole(d)
-    counts = counts.withColumn("_any", F.col(SEG))
-    ranked = ordered(
-        resegment(counts, by, "_x"), by, ["_x"], sums={"_cum": "_w"}, totals={"_all": ("sum", "_w")}
+        .agg(F.count(F.lit(1)).alias("_w"))
     )
+    ranked = ordered(with_cuts(counts, by, "_x"), by, ["_x"], sums={"_cum": "_w"}, totals={"_all": ("sum", "_w")})
 
     def at(rank: Column) -> Column:
         here = (F.col("_cum") - F.col("_w") <= rank) & (rank < F.col("_cum"))
@@ -234,8 +192,7 @@ def quantiles(
     if count:
         aggs.append(F.max("_all").alias(count))
         out.append(F.col(count))
-    aggs.append(whole() if plain else F.max("_any").alias(SEG))
-    return ranked.groupBy(*by).agg(*aggs).select(*by, *out, SEG)
+    return ranked.groupBy(*by).agg(*aggs).select(*by, *out)
 
 
 def global_index(df: DataFrame, key: str, out: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from voxledger import constants as K
 from voxledger.functions import signal as sig
-from voxledger.functions.ordered import SEG, attach, is_whole, ordered, seg_of, whole, with_segments
+from voxledger.functions.ordered import SEG, attach, ordered, seg_of, with_segments
 
 CLIP = ["clip_id"]
 N_FFT = 2048
@@ -27,10 +27,7 @@ def _map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str)
             for lo in range(0, len(pdf), 64):  # bounds the memory of one step
                 yield fn(pdf.iloc[lo : lo + 64])
 
-    out = df.mapInPandas(run, schema)
-    if SEG in df.columns and is_whole(df):
-        return out.withColumn(SEG, whole())
-    return out
+    return df.mapInPandas(run, schema)
 
 
 def _key(df: DataFrame, *names: str) -> str:

@@ -47,7 +47,7 @@ def frames_from_blocks(blocks: DataFrame, frame_len: int = K.GATE_FRAME) -> Data
 
     Block starts are multiples of ``frame_len``.
     """
-    d = with_segments(blocks, CLIP, "start")
+    d = with_segments(blocks, CLIP, "start", step=frame_len)
     cuts = F.sequence(F.lit(0), F.floor((F.size("xs") - 1) / frame_len).cast("int"))
     return (
         d.where(F.size("xs") > 0)
@@ -83,7 +83,7 @@ def energy_profile(frames: DataFrame) -> DataFrame:
         F.stddev_pop(F.when(F.col("full"), F.col("rms_db"))).alias("std_db"),
         seg_of(frames, F.max),
     )
-    floor = quantiles(frames.where("full"), CLIP, "rms_db", {"noise_floor_db": K.GATE_FLOOR_QUANTILE}).drop(SEG)
+    floor = quantiles(frames.where("full"), CLIP, "rms_db", {"noise_floor_db": K.GATE_FLOOR_QUANTILE})
     rms = F.sqrt(F.col("clip_ss") / F.col("n_samples"))
     return (
         level.join(floor, "clip_id", "left")

@@ -40,7 +40,7 @@ def pitch_profile(pframes: DataFrame, min_voiced: int = 5) -> DataFrame:
         F.max("f0").alias("max_f0"),
         F.coalesce(F.avg(F.abs(F.col("f0") - F.col("_p"))) / mean * F.lit(100.0), F.lit(0.0)).alias("jitter_pct"),
     )
-    median = quantiles(voiced, CLIP, "f0", {"median_f0": 0.5}).drop(SEG)
+    median = quantiles(voiced, CLIP, "f0", {"median_f0": 0.5})
     all_clips = frames.join(stats, "clip_id", "left").join(median, "clip_id", "left").fillna(0, subset=["n_voiced"])
     ok = F.col("n_voiced") >= min_voiced
 
@@ -195,7 +195,7 @@ def energy_dynamics(frames: DataFrame) -> DataFrame:
     """Mean and spread of a clip's relative dB, and its P95-P5."""
     d = ordered(with_segments(frames, CLIP, "frame_id"), CLIP, ["frame_id"], totals={"_top": ("max", "rms")})
     d = d.withColumn("db", relative_db(F.col("rms"), F.col("_top")))
-    q = quantiles(d, CLIP, "db", {"p95": 0.95, "p05": 0.05}).drop(SEG)
+    q = quantiles(d, CLIP, "db", {"p95": 0.95, "p05": 0.05})
     return (
         d.groupBy("clip_id")
         .agg(F.avg("db").alias("m"), F.stddev_pop("db").alias("s"))

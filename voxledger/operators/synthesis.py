@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxledger import constants as K
 from voxledger.functions.numbers import col, fixed, named, round_dp, round_sql
-from voxledger.functions.ordered import SEG, ordered, seg_of, with_segments
+from voxledger.functions.ordered import SEG, ordered, seg_of, with_cuts, with_segments
 
 CLIP = ["clip_id"]
 SIGNALS = {"vocoder": "vocoder_score", "spectral": "spectral_score", "prosody": "prosody_score"}
@@ -87,7 +87,7 @@ def merge_intervals(
     extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Union of intervals whose gap to everything before is at most ``tol``; ``extra`` aggregates go along."""
-    d = with_segments(df, by, start)
+    d = with_cuts(df, by, start) if SEG not in df.columns else df
     d = ordered(d, by, [start, end], maxes={"_reach": end})
     fresh = F.col("_reach").isNull() | (F.col(start) > F.col("_reach") + F.lit(tol))
     d = ordered(d.withColumn("_new", fresh.cast("int")), by, [start, end], sums={"island": "_new"})

@@ -42,7 +42,7 @@ def prepare(files: DataFrame, sr: int = K.SAMPLE_RATE) -> Prepared:
     bad_decode = raw.where("error IS NOT NULL").select("clip_id", F.col("error").alias("reason")).distinct()
 
     mono = pcm.cap_blocks(pcm.downmix_blocks(raw)).where(F.size("xs") > 0)
-    mono = with_segments(mono, CLIP, "start")
+    mono = with_segments(mono, CLIP, "start", step=K.GATE_FRAME)
     peak = "max(array_max(transform(xs, x -> abs(x))))"
     lengths = mono.groupBy("clip_id").agg(
         F.max("n_clip").alias("raw_samples"), F.max("channels").alias("channels"), F.expr(peak).alias("peak")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxledger import constants as K
-from voxledger.functions.ordered import ordered, global_index, with_segments
+from voxledger.functions.ordered import global_index, ordered, with_cuts
 
 
 def draw(seed: int, *parts: Column | str) -> Column:
@@ -31,7 +31,7 @@ def trial_pairs(files: DataFrame, trials: DataFrame, seed: int = 42, key: str =
     sizes = files.groupBy("speaker").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= 2)
     speakers = global_index(sizes, "speaker", "speaker_no")
     numbered = ordered(
-        with_segments(files.join(sizes, "speaker", "left_semi"), ["speaker"], key), ["speaker"], [key], index="file_no"
+        with_cuts(files.join(sizes, "speaker", "left_semi"), ["speaker"], key), ["speaker"], [key], index="file_no"
     ).select("speaker", "file_no", F.col(key).alias("f"))
     n = sizes.agg(F.count(F.lit(1))).scalar()
 
