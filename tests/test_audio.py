@@ -64,7 +64,7 @@ def features(prepared):
 
 def test_scan_rejects_and_prunes(files):
     reasons = {r["clip_id"]: r["reject_reason"] for r in files.collect()}
-    assert reasons["note.txt"] == "unsupported_format" and reasons["a2.WAV"] is None
+    assert reasons["note.txt"] == "unsupported_format" and reasons["spk1/a2.WAV"] is None
     assert "empty.flac" not in reasons  # the file source does not list files without bytes
     plan = recordings.accepted(files).select("path", "length")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(length), GreaterThan(length,0)" in plan
@@ -74,6 +74,30 @@ def test_scan_rejects_and_prunes(files):
 def test_speakers(files):
     d = recordings.with_speaker(files.where("path RLIKE 'spk'"))
     assert {r["speaker"]: r["n_files"] for r in recordings.speaker_index(d).collect()} == {"spk1": 2}
+    both = recordings.speaker_index(d, d.where("clip_id LIKE 'spk2%'")).collect()
+    assert {r["speaker"]: r["n_files"] for r in both} == {"spk1": 2, "spk2": 2}
+
+
+def test_equal_names_are_two_clips(spark, tmp_path):
+    """The same base name in two folders, below roots given in several ways."""
+    for spk, f0 in (("s1", 120), ("s2", 210)):
+        (tmp_path / spk).mkdir()
+        (tmp_path / spk / "utt1.wav").write_bytes(wav_bytes(voice(f0, f0)))
+    for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}", f"file:{tmp_path}"):
+        found = recordings.scan_recordings(spark, root)
+        assert {r["clip_id"] for r in found.select("clip_id").collect()} == {"s1/utt1.wav", "s2/utt1.wav"}
+    one = recordings.scan_recordings(spark, f"{tmp_path}/s*")
+    assert {r["clip_id"][-11:] for r in one.select("clip_id").collect()} == {"s1/utt1.wav", "s2/utt1.wav"}
+    clips = prep_plan.prepare(found).clips.collect()
+    assert len(clips) == 2 and not any("downmix" in s for r in clips for s in r["steps"])
+
+
+def test_long_clips_are_taken_whole(spark, tmp_path):
+    (tmp_path / "long.wav").write_bytes(wav_bytes(np.tile(0.3 * np.sin(2 * np.pi * 220 * T), 44)[: 16000 * 130]))
+    found = recordings.scan_recordings(spark, str(tmp_path))
+    whole_clip, cut = prep_plan.prepare(found).clips.first(), prep_plan.prepare(found, max_seconds=120).clips.first()
+    assert whole_clip["speech_sec"] == 130.0 and not any("Truncated" in s for s in whole_clip["steps"])
+    assert cut["speech_sec"] == 120.0 and "Truncated to 120s" in cut["steps"]
 
 
 @pytest.mark.parametrize("fmt,bits", [(1, 8), (1, 16), (1, 24), (1, 32), (3, 32), (3, 64)])
@@ -101,10 +125,10 @@ def test_rejects(prepared):
 
 def test_clips(prepared):
     by = {r["clip_id"]: r for r in prepared.clips.collect()}
-    assert set(by) == {"a1.wav", "a2.WAV", "b1.wav", "tone.wav"}
-    assert by["a2.WAV"]["steps"][0] == "Stereo -> Mono downmix"
+    assert set(by) == {"spk1/a1.wav", "spk1/a2.WAV", "spk2/b1.wav", "tone.wav"}
+    assert by["spk1/a2.WAV"]["steps"][0] == "Stereo -> Mono downmix"
     assert by["tone.wav"]["custody"]["raw_duration_sec"] == 3.0 and by["tone.wav"]["speech_sec"] == 3.0
-    assert "tier2" in by["a1.wav"]["steps"][0] and by["a1.wav"]["speech_sec"] < 3.0
+    assert "tier2" in by["spk1/a1.wav"]["steps"][0] and by["spk1/a1.wav"]["speech_sec"] < 3.0
     rms = prepared.frames.groupBy("clip_id").agg(F.expr("sqrt(sum(aggregate(xs, 0D, (s, x) -> s + x * x)) / sum(n))").alias("r"))
     assert all(r["r"] == pytest.approx(0.1, abs=1e-3) for r in rms.collect())
 
@@ -116,7 +140,7 @@ def whole(prepared, clip):
 
 
 def test_block_features_equal_whole_clip(prepared, features):
-    for clip in ("a1.wav", "tone.wav"):
+    for clip in ("spk1/a1.wav", "tone.wav"):
         x = whole(prepared, clip)
         got = features.where(F.col("clip_id") == clip).orderBy("frame_id").toPandas()
         mag = np.abs(sig.spectrum(sig.centred(x, 2048, 256)))
@@ -140,9 +164,9 @@ def test_pitch_of_a_tone(prepared):
     p = FR.pitch_frames(FR.with_context(prepared.blocks, 2048), pcm.BLOCK)
     f0 = [r["f0"] for r in p.where("clip_id = 'tone.wav' AND frame_id BETWEEN 8 AND 170").collect()]
     assert len(f0) == 163 and np.allclose(f0, 220, atol=0.5)
-    x = whole(prepared, "a1.wav")
+    x = whole(prepared, "spk1/a1.wav")
     want, _ = sig.yin(sig.centred(x, 2048, 256), 16000, 60, 500)
-    got = p.where("clip_id = 'a1.wav'").orderBy("frame_id").toPandas()
+    got = p.where("clip_id = 'spk1/a1.wav'").orderBy("frame_id").toPandas()
     np.testing.assert_allclose(got["f0_any"], want, atol=1e-6)
 
 
@@ -176,25 +200,25 @@ def test_formants_of_a_known_filter(spark):
 
 def test_windows_from_blocks(prepared):
     d = ordered(prepared.blocks, ["clip_id"], ["block_id"], totals={"n_clip": ("sum", F.size("xs"))})
-    rows = W.window_blocks(d).where("clip_id = 'a1.wav'").orderBy("window_id").collect()
-    x = whole(prepared, "a1.wav")
+    rows = W.window_blocks(d).where("clip_id = 'spk1/a1.wav'").orderBy("window_id").collect()
+    x = whole(prepared, "spk1/a1.wav")
     assert len(rows) == (len(x) - 24000) // 8000 + 1
     for r in rows:
         np.testing.assert_allclose(r["xs"], x[r["window_id"] * 8000 : r["window_id"] * 8000 + 24000])
 
 
 def test_scan_and_pairs(spark, prepared, features):
-    scores = spark.createDataFrame([("a1.wav", 10.0), ("b1.wav", 130.0)], "clip_id string, score double")
+    scores = spark.createDataFrame([("spk1/a1.wav", 10.0), ("spk2/b1.wav", 130.0)], "clip_id string, score double")
     s = scan_plan.scan(prepared, scores, features=features)
     clips = {r["clip_id"]: r for r in s.clips.collect()}
-    assert clips["a1.wav"]["model"] == 10.0 and clips["b1.wav"]["model"] == 100.0 and clips["tone.wav"]["model"] == 50.0
+    assert clips["spk1/a1.wav"]["model"] == 10.0 and clips["spk2/b1.wav"]["model"] == 100.0 and clips["tone.wav"]["model"] == 50.0
     assert all(2 <= r[c] <= 98 for r in s.windows.collect() for c in ("vocoder_score", "spectral_score", "prosody_score"))
     tone = s.windows.where("clip_id = 'tone.wav' AND window_id = 1").first()
     assert K.CHECKS["entropy_severe"] in tone["triggered_checks"] and K.CHECKS["jitter_low"] in tone["triggered_checks"]
 
     prof = pair.clip_profiles(prepared, features).cache()
     pairs = spark.createDataFrame(
-        [(1, "a1.wav", "a1.wav"), (2, "a1.wav", "b1.wav"), (3, "a1.wav", "silent.wav"), (4, "a2.WAV", "a1.wav")], "pair_id int, a_id string, b_id string"
+        [(1, "spk1/a1.wav", "spk1/a1.wav"), (2, "spk1/a1.wav", "spk2/b1.wav"), (3, "spk1/a1.wav", "silent.wav"), (4, "spk1/a2.WAV", "spk1/a1.wav")], "pair_id int, a_id string, b_id string"
     )
     emb = prof.select("clip_id", F.col("mfcc_mean").alias("embedding"))
     res = pair.compare_pairs(pairs, prof, s.clips, emb, emb)
@@ -207,13 +231,13 @@ def test_scan_and_pairs(spark, prepared, features):
     report, weights = calibrate.pair_calibration(res, labels)
     assert {r["signal"]: r["auc"] for r in report.collect()}["pitch"] == 1.0
     assert weights.agg(F.sum("weight")).first()[0] == pytest.approx(1.0)
-    truth = spark.createDataFrame([("a1.wav", 0, "LIKELY_AUTHENTIC", False), ("b1.wav", 1, "FULLY_SYNTHETIC", False)], "clip_id string, label int, truth string, spliced boolean")
+    truth = spark.createDataFrame([("spk1/a1.wav", 0, "LIKELY_AUTHENTIC", False), ("spk2/b1.wav", 1, "FULLY_SYNTHETIC", False)], "clip_id string, label int, truth string, spliced boolean")
     report, acc = calibrate.scan_calibration(s.clips, truth)
     assert report.count() == 5 and acc.count() == 1
 
 
 def test_onsets_match_sequential_rule(spark, features):
-    clip = features.where("clip_id = 'a1.wav'")
+    clip = features.where("clip_id = 'spk1/a1.wav'")
     rise = np.array([r["onset"] for r in clip.orderBy("frame_id").collect()])
     env = np.concatenate([np.zeros(5), rise[1:]])[: len(rise)]
     v = (env - env.min()) / (env.max() - env.min())

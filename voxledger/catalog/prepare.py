@@ -69,7 +69,7 @@ def _pre1(spark, sf):
 def _pre2(spark, sf):
     # raw length is taken before the cap
     s = b_samples(spark, sf)
-    kept = P.cap_duration(s, sr=10, max_seconds=5).groupBy("clip_id").agg(
+    kept = P.cap_duration(s, max_seconds=5, sr=10).groupBy("clip_id").agg(
         F.count(F.lit(1)).alias("kept_samples"), F.round(F.sum("x"), 6).alias("kept_sum")
     )
     return s.groupBy("clip_id").agg(F.count(F.lit(1)).alias("raw_samples")).join(kept, "clip_id")
@@ -213,7 +213,7 @@ def _pre12(spark, sf):
 )
 def _pre13(spark, sf):
     d = _clip_states(spark, sf).where("tier IS NOT NULL").withColumn("channels", F.lit(2)).withColumn("raw_samples", F.col("n_samples"))
-    return d.select("clip_id", F.array_join(P.step_log(), "; ").alias("steps"))
+    return d.select("clip_id", F.array_join(P.step_log(max_seconds=120), "; ").alias("steps"))
 
 
 @query(

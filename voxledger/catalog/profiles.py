@@ -267,15 +267,16 @@ def _frm6(spark, sf):
 @query(
     "frm7_score_with_baseline",
     oracle(
-        """SELECT p.clip_id, coalesce(CAST(s AS DOUBLE), 50e0) AS model FROM pc p LEFT JOIN (SELECT c_custkey AS clip_id, c_custkey*13 % 101 AS s FROM customer WHERE c_custkey % 3 = 0) USING (clip_id)""",
+        f"""SELECT p.clip_id, greatest(0e0, least(100e0, {sql_round('coalesce(s, 50e0)', 1)})) AS model FROM pc p LEFT JOIN
+ (SELECT c_custkey AS clip_id, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey*13 % 2100)/20e0 - 2e0 END AS s FROM customer) USING (clip_id)""",
         "b_pitch", ctes=_PITCH,
     ),
 )
 def _frm7(spark, sf):
     clips = b_pitch(spark, sf).select("clip_id").distinct()
-    scores = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(
-        F.col("c_custkey").alias("clip_id"), F.expr("CAST(c_custkey * 13 % 101 AS DOUBLE)").alias("score")
-    )
+    # twentieths, so that halves of the last decimal occur, some beyond 0 to 100 and some null
+    score = F.expr("CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey * 13 % 2100) / 20D - 2D END")
+    scores = table(spark, sf, "customer").select(F.col("c_custkey").alias("clip_id"), score.alias("score"))
     return FR.score_with(clips, scores, ["clip_id"])
 
 

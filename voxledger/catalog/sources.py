@@ -14,13 +14,6 @@ from voxledger.sources import documents as D
 from voxledger.sources import pcm, recordings, splice, trials
 
 
-@query("src1_scan_tables")
-def _src1(spark, sf):
-    """The table files themselves, scanned as binary files (sizes differ per host: no SQL twin)."""
-    d = recordings.scan_recordings(spark, sf, extensions=(".parquet",))
-    return d.select("clip_id", "length", "reject_reason")
-
-
 @query(
     "src1_validation",
     oracle(
@@ -90,15 +83,16 @@ def _src4(spark, sf):
 @query(
     "src5_speaker_index",
     oracle(
-        "SELECT split_part(path, '/', 2) AS speaker, count(*) AS n_files FROM b_recordings WHERE regexp_matches(path, '(wav|MP3|flac)$') GROUP BY 1 HAVING count(*) >= 2", "b_recordings"
+        """SELECT speaker, count(*) AS n_files FROM (SELECT split_part(path, '/', 1) AS speaker FROM b_recordings WHERE path LIKE '%.flac'
+ UNION ALL SELECT split_part(path, '/', 2) FROM b_recordings WHERE NOT path LIKE '%.flac') GROUP BY 1 HAVING count(*) >= 2""",
+        "b_recordings",
     ),
 )
 def _src5(spark, sf):
-    files = recordings.with_speaker(b_recordings(spark, sf))
-    primary = files.where("path LIKE '%.flac' AND speaker = 'en'")
-    both = files.where("path RLIKE '(wav|MP3|flac)$'")
-    # the primary tree has one speaker, fewer than two, so the secondary one is indexed
-    return recordings.speaker_index(primary, both, min_speakers=2)
+    """Two trees: one with the speaker two folders above a file, one with the speaker's folder right above it."""
+    files = b_recordings(spark, sf)
+    primary = recordings.with_speaker(files.where("path LIKE '%.flac'"), depth=2)
+    return recordings.speaker_index(primary, recordings.with_speaker(files.where("NOT path LIKE '%.flac'")))
 
 
 def speaker_files(spark, sf) -> DataFrame:
@@ -107,7 +101,7 @@ def speaker_files(spark, sf) -> DataFrame:
 
 def _draw(*parts: str) -> str:
     key = " || '|' || ".join(["'42'", *parts])
-    return f"('0x' || substr(md5({key}), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5({key}), 1, 15))::BIGINT"
 
 
 _TRIALS = f"""sf AS (SELECT c_custkey AS f, 'spk' || (c_custkey % 37) AS speaker FROM customer),
@@ -170,9 +164,9 @@ def _files(spark, sf, name: str, key: str) -> DataFrame:
     "src8_labelled_corpus",
     oracle(
         """SELECT file_id, path, 0 AS label, 'LIKELY_AUTHENTIC' AS category_ground_truth, 'bona_fide' AS sample_type, false AS is_spliced, NULL::DOUBLE AS t_start, NULL::DOUBLE AS t_end FROM
- (SELECT c_custkey AS file_id, 'customer/' || c_custkey AS path FROM customer ORDER BY 1 LIMIT 40)
- UNION ALL SELECT file_id, path, 1, 'FULLY_SYNTHETIC', 'synthetic_vits_tts', false, NULL, NULL FROM (SELECT s_suppkey AS file_id, 'supplier/' || s_suppkey AS path FROM supplier ORDER BY 1 LIMIT 40)
- UNION ALL SELECT file_id, path, 1, 'SPLICED_PARTIAL', 'spliced_neural_hybrid', true, 1.5, 3.0 FROM (SELECT p_partkey AS file_id, 'part/' || p_partkey AS path FROM part ORDER BY 1 LIMIT 40)""",
+ (SELECT c_custkey AS file_id, 'customer/' || c_custkey AS path FROM customer)
+ UNION ALL SELECT file_id, path, 1, 'FULLY_SYNTHETIC', 'synthetic_vits_tts', false, NULL, NULL FROM (SELECT s_suppkey AS file_id, 'supplier/' || s_suppkey AS path FROM supplier)
+ UNION ALL SELECT file_id, path, 1, 'SPLICED_PARTIAL', 'spliced_neural_hybrid', true, 1.5, 3.0 FROM (SELECT p_partkey AS file_id, 'part/' || p_partkey AS path FROM part)""",
     ),
 )
 def _src8(spark, sf):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from voxledger import constants as K
 from voxledger.functions import signal as sig
+from voxledger.functions.numbers import round_dp
 from voxledger.functions.ordered import SEG, attach, ordered, seg_of, with_segments
 
 CLIP = ["clip_id"]
@@ -319,8 +320,9 @@ def onsets(envelope: DataFrame, reach: int = 512) -> DataFrame:
 
 def score_with(df: DataFrame, scores: DataFrame, keys: list[str], out: str = "model", baseline: float = 50.0) -> DataFrame:
     """Attach a model's score (0..100, one decimal); a missing one is the baseline."""
-    d = df.join(scores.select(*keys, F.col("score").alias("_s")), keys, "left")
-    return d.withColumn(out, F.expr(f"greatest(0D, least(100D, round(coalesce(_s, {baseline}D), 1)))")).drop("_s")
+    d = df.join(scores.select(*keys, F.col("score").cast("double").alias("_s")), keys, "left")
+    rounded = round_dp(F.coalesce("_s", F.lit(float(baseline))), 1)
+    return d.withColumn(out, F.greatest(F.lit(0.0), F.least(F.lit(100.0), rounded))).drop("_s")
 
 
 def predict_scores(df: DataFrame, vector: str, size: int, make_predict: Callable, batch_size: int = 64) -> Column:

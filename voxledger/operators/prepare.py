@@ -23,7 +23,7 @@ def downmix(samples: DataFrame) -> DataFrame:
     return samples.groupBy("clip_id", "seq").agg(F.avg("x").alias("x"))
 
 
-def cap_duration(samples: DataFrame, sr: int = K.SAMPLE_RATE, max_seconds: int = K.MAX_SECONDS) -> DataFrame:
+def cap_duration(samples: DataFrame, max_seconds: int, sr: int = K.SAMPLE_RATE) -> DataFrame:
     """First ``max_seconds`` of each clip."""
     return samples.where(F.col("seq") < sr * max_seconds)
 
@@ -285,8 +285,8 @@ def split_rejects(clips: DataFrame, sr: int = K.SAMPLE_RATE, min_seconds: float
     return d.where("reason IS NULL").drop("reason"), d.where("reason IS NOT NULL").select("clip_id", "reason")
 
 
-def step_log(sr: int = K.SAMPLE_RATE) -> Column:
-    """Ordered list of what was applied, from clip-level columns."""
+def step_log(sr: int = K.SAMPLE_RATE, max_seconds: int | None = None) -> Column:
+    """Ordered list of what was applied, from clip-level columns; ``max_seconds`` as the clips were cut to, if they were."""
     kept = fixed(F.col("speech_samples") / F.lit(float(sr)), 2)
     std = fixed("std_db", 1)
     share = fixed(F.col("n_active") / F.nullif(F.col("n_frames"), F.lit(0)) * 100.0, 0)
@@ -314,7 +314,7 @@ def step_log(sr: int = K.SAMPLE_RATE) -> Column:
     )
     return present(
         F.when(F.col("channels") > 1, F.lit("Stereo -> Mono downmix")),
-        F.when(F.col("raw_samples") > F.lit(K.MAX_SECONDS * sr), F.lit(f"Truncated to {K.MAX_SECONDS}s")),
+        *([] if max_seconds is None else [F.when(F.col("raw_samples") > F.lit(max_seconds * sr), F.lit(f"Truncated to {max_seconds}s"))]),
         gate_step,
         F.when(
             F.col("source_rms") > 1e-8,

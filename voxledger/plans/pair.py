@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxledger import constants as K
+from voxledger.functions.numbers import round_dp
 from voxledger.functions import vectors as V
 from voxledger.operators import compare as C
 from voxledger.operators import frames as FR
@@ -45,8 +46,8 @@ def clip_profiles(prep: Prepared, features: DataFrame) -> DataFrame:
         R.spectral_means(features),
         R.energy_dynamics(features),
         R.crest_factor(prep.frames),
-        R.relative_variation(legacy, "pitch", "frame_id", "jitter").select("clip_id", F.round("mean_pitch", 2).alias("mean_pitch"), F.round("jitter", 3).alias("jitter")),
-        R.relative_variation(shimmer, "o", "frame_id", "shimmer").select("clip_id", F.round("shimmer", 3).alias("shimmer")),
+        R.relative_variation(legacy, "pitch", "frame_id", "jitter").select("clip_id", round_dp("mean_pitch", 2).alias("mean_pitch"), round_dp("jitter", 3).alias("jitter")),
+        R.relative_variation(shimmer, "o", "frame_id", "shimmer").select("clip_id", round_dp("shimmer", 3).alias("shimmer")),
         R.environment_profile(even),
     ]
     out = prep.clips.select("clip_id")

@@ -28,20 +28,24 @@ class Prepared:
     rejects: DataFrame
 
 
-def prepare(files: DataFrame, sr: int = K.SAMPLE_RATE) -> Prepared:
-    """Decode, downmix, cap, gate, level.  ``files`` as from ``scan_recordings``.
+def prepare(files: DataFrame, sr: int = K.SAMPLE_RATE, max_seconds: int | None = None) -> Prepared:
+    """Decode, downmix, gate, level.  ``files`` as from ``scan_recordings``.
+
+    Clips are taken whole; ``max_seconds`` (120 gives the results of the service
+    whose results are matched) cuts them, which the step log then says.
 
     The decoded blocks and the levelled frames are written to the shared folder:
     both are read by several later steps.
     """
     bad_files = files.where("reject_reason IS NOT NULL").select("clip_id", F.col("reject_reason").alias("reason"))
-    good = files.where("reject_reason IS NULL")
+    good = recordings.accepted(files)
     raw = written(pcm.pcm_blocks(good), "pcm")
     wrong_rate = F.when(F.col("sr") != sr, F.concat(F.lit("sample_rate_"), F.col("sr").cast("string")))
     raw = raw.withColumn("error", F.coalesce("error", wrong_rate))
     bad_decode = raw.where("error IS NOT NULL").select("clip_id", F.col("error").alias("reason")).distinct()
 
-    mono = pcm.cap_blocks(pcm.downmix_blocks(raw)).where(F.size("xs") > 0)
+    mono = pcm.downmix_blocks(raw)
+    mono = (mono if max_seconds is None else pcm.cap_blocks(mono, max_seconds)).where(F.size("xs") > 0)
     mono = with_segments(mono, CLIP, "start", step=K.GATE_FRAME)
     peak = "max(array_max(transform(xs, x -> abs(x))))"
     lengths = mono.groupBy("clip_id").agg(
@@ -61,7 +65,7 @@ def prepare(files: DataFrame, sr: int = K.SAMPLE_RATE) -> Prepared:
     clips = ok.select(
         "clip_id", "speech_samples", (F.col("speech_samples") / F.lit(float(sr))).alias("speech_sec"),
         recordings.custody_durations(F.col("raw_samples"), F.col("speech_samples"), sr).alias("custody"),
-        P.step_log(sr).alias("steps"),
+        P.step_log(sr, max_seconds).alias("steps"),
     )
     kept = frames.where("reject_reason IS NULL AND n > 0").join(clips.select("clip_id"), "clip_id", "left_semi")
     kept = kept.select("clip_id", "frame_id", "pos", "n", "xs", SEG)

@@ -102,7 +102,7 @@ def downmix_blocks(blocks: DataFrame, key: str = "clip_id") -> DataFrame:
     return d.select(key, "block_id", "start", "sr", "n_clip", "channels", F.when(F.col("channels") == 1, F.col("all")[0]).otherwise(mean).alias("xs"))
 
 
-def cap_blocks(blocks: DataFrame, max_seconds: int = K.MAX_SECONDS) -> DataFrame:
+def cap_blocks(blocks: DataFrame, max_seconds: float) -> DataFrame:
     """Samples before ``max_seconds``; whole blocks are dropped without touching the rest."""
     top = F.col("sr") * max_seconds
     return (

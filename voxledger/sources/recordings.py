@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,32 +13,42 @@ from voxledger import constants as K
 from voxledger.functions.numbers import round_dp
 
 
-def reject_reason(extensions: Sequence[str] = K.EXTENSIONS, max_bytes: int = K.MAX_FILE_BYTES) -> Column:
-    """Why a file is not accepted; null for a good one."""
+def reject_reason(extensions: Sequence[str] = K.EXTENSIONS, max_bytes: int | None = None) -> Column:
+    """Why a file is not accepted; null for a good one.  No size is too large unless ``max_bytes`` says so."""
     known = "(?i)(" + "|".join(e.replace(".", "\\.") for e in extensions) + ")$"
-    return (
-        F.when(~F.col("path").rlike(known), "unsupported_format")
-        .when(F.col("length") == 0, "empty")
-        .when(F.col("length") > max_bytes, "too_large")
-    )
+    reason = F.when(~F.col("path").rlike(known), "unsupported_format").when(F.col("length") == 0, "empty")
+    return reason if max_bytes is None else reason.when(F.col("length") > max_bytes, "too_large")
+
+
+def clip_name(path: Column, root: str) -> Column:
+    """Path of a file below ``root``, the whole path where it lies elsewhere.
+
+    Folders are part of the name: recordings of several speakers often share base names.
+    """
+    below = re.sub(r"^[a-z][a-z0-9+.-]*:/*(?=/)", "", root, flags=re.IGNORECASE).rstrip("/")
+    if re.search(r"[*?\[{]", below):
+        return path
+    return F.regexp_replace(path, F.lit(rf"^(?i:[a-z][a-z0-9+.-]*:/*(?=/))?\Q{below}\E/"), F.lit(""))
 
 
 def scan_recordings(
-    spark: SparkSession, path: str, extensions: Sequence[str] = K.EXTENSIONS, max_bytes: int = K.MAX_FILE_BYTES
+    spark: SparkSession, path: str, extensions: Sequence[str] = K.EXTENSIONS, max_bytes: int | None = None
 ) -> DataFrame:
-    """All files under ``path`` with their reject reason.
+    """All files under ``path`` with their reject reason; ``clip_id`` is the path below it.
 
     Bytes are only read where ``content`` is used; a filter on ``length``
     reaches the file listing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.withColumn("reject_reason", reject_reason(extensions, max_bytes)).withColumn(
-        "clip_id", F.regexp_extract("path", "([^/]+)$", 1)
+        "clip_id", clip_name(F.col("path"), path)
     )
 
 
-def accepted(recordings: DataFrame, max_bytes: int = K.MAX_FILE_BYTES) -> DataFrame:
-    return recordings.where((F.col("length") > 0) & (F.col("length") <= max_bytes) & F.col("reject_reason").isNull())
+def accepted(recordings: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Good files; the bounds on ``length`` reach the file listing."""
+    good = (F.col("length") > 0) & F.col("reject_reason").isNull()
+    return recordings.where(good if max_bytes is None else good & (F.col("length") <= max_bytes))
 
 
 def with_custody(df: DataFrame, content: str = "content") -> DataFrame:
@@ -78,15 +90,11 @@ def with_speaker(df: DataFrame, depth: int = 1) -> DataFrame:
     return df.withColumn("speaker", F.regexp_extract("path", pattern, 1))
 
 
-def speaker_index(primary: DataFrame, secondary: DataFrame | None = None, min_speakers: int = 10, min_files: int = 2) -> DataFrame:
-    """Files per speaker for speakers with at least ``min_files``.
+def speaker_index(*trees: DataFrame, min_files: int = 2) -> DataFrame:
+    """Files per speaker, over all ``trees`` given, for speakers with at least ``min_files``.
 
-    The secondary corpus is used where the primary has fewer than
-    ``min_speakers`` speakers; the choice is one scalar, not a driver decision.
+    Trees may keep speakers at different depths (``with_speaker``); a speaker of
+    several trees has the files of all.
     """
-    files = primary
-    if secondary is not None:
-        enough = primary.select("speaker").distinct().limit(min_speakers).agg(F.count(F.lit(1)) >= min_speakers).scalar()
-        files = primary.where(enough).unionByName(secondary.where(~enough))
-    sizes = files.groupBy("speaker").agg(F.count(F.lit(1)).alias("n_files"))
+    sizes = reduce(DataFrame.union, [t.select("speaker") for t in trees]).groupBy("speaker").agg(F.count(F.lit(1)).alias("n_files"))
     return sizes.where(F.col("n_files") >= min_files)

@@ -10,10 +10,10 @@ from voxledger.functions.ordered import global_index, ordered, with_cuts
 
 
 def draw(seed: int, *parts: Column | str) -> Column:
-    """Reproducible number in [0, 2^32) from the seed and the parts."""
+    """Reproducible number in [0, 2^60) from the seed and the parts."""
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
     key = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
 def hash_order(df: DataFrame, seed: int, key: str) -> DataFrame:
@@ -63,18 +63,18 @@ def trial_pairs(files: DataFrame, trials: DataFrame, seed: int = 42, key: str =
     )
 
 
-def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest key (a sampling quota of the corpus, not a cap on work)."""
-    return df.orderBy(key).limit(n)
+def drawn(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows drawn by hash of the key."""
+    return df.orderBy(draw(seed, key), key).limit(n)
 
 
-def labelled_corpus(bona_fide: DataFrame, synthetic: DataFrame, spliced: DataFrame, n: int = 40, seed: int = 42) -> DataFrame:
-    """Up to ``n`` of each class with label, truth and splice interval, in hash order.
+def labelled_corpus(bona_fide: DataFrame, synthetic: DataFrame, spliced: DataFrame, n: int | None = None, seed: int = 42) -> DataFrame:
+    """All rows of each class, or ``n`` drawn by hash, with label, truth, splice interval and ``draw_rank``.
 
     Inputs: ``file_id, path``; spliced also ``t_start, t_end``.
     """
     def part(df: DataFrame, label: int, truth: str, kind: str, is_spliced: bool) -> DataFrame:
-        return first_n(df, "file_id", n).select(
+        return (df if n is None else drawn(df, "file_id", n, seed)).select(
             *df.columns, F.lit(label).alias("label"), F.lit(truth).alias("category_ground_truth"),
             F.lit(kind).alias("sample_type"), F.lit(is_spliced).alias("is_spliced"),
         )
