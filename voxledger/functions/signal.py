@@ -124,23 +124,36 @@ def yin(frames: np.ndarray, sr: int, fmin: float, fmax: float, threshold: float
     return sr / (at + np.clip(shift, -1, 1)), b
 
 
-def formants(frames: np.ndarray, sr: int, order: int, count: int = 4) -> list[list[float] | None]:
-    """Lowest ``count`` resonances per frame by linear prediction, or None."""
+def predictors(frames: np.ndarray, order: int) -> np.ndarray:
+    """Linear-prediction polynomials (1, a1 .. a_order) of pre-emphasised, windowed frames.
+
+    All normal equations are solved at once; frames without energy, or whose
+    equations have no answer, get the polynomial 1.
+    """
     x = np.concatenate([frames[:, :1], frames[:, 1:] - 0.97 * frames[:, :-1]], axis=1)
     x = x * np.hanning(x.shape[1])
-    lags = np.stack([(x[:, : x.shape[1] - k] * x[:, k:]).sum(axis=1) for k in range(order + 1)], axis=1)
-    out: list[list[float] | None] = [None] * len(frames)
-    live = np.flatnonzero(lags[:, 0] > 0)
-    grid = np.abs(np.arange(order)[:, None] - np.arange(order)[None])
-    for i in live:
-        try:
-            coef = np.linalg.solve(lags[i][grid], -lags[i, 1:])
-        except np.linalg.LinAlgError:
-            continue
-        roots = np.roots(np.concatenate([[1.0], coef]))
-        roots = roots[(np.abs(roots) < 1.0) & (roots.imag > 0)]
-        hz = np.sort(np.angle(roots) * sr / (2 * np.pi))
-        hz = hz[(hz > 50) & (hz < 5000)]
-        if len(hz) >= count:
-            out[i] = [round(float(f), 1) for f in hz[:count]]
-    return out
+    size = 2 ** int(np.ceil(np.log2(2 * x.shape[1])))
+    acf = np.fft.irfft(np.abs(np.fft.rfft(x, size, axis=1)) ** 2, size, axis=1)[:, : order + 1]
+    live = (x**2).sum(axis=1) > 0
+    acf[~live] = np.eye(1, order + 1)
+    toeplitz = acf[:, np.abs(np.subtract.outer(np.arange(order), np.arange(order)))]
+    live &= np.linalg.slogdet(toeplitz)[0] > 0
+    toeplitz[~live] = np.eye(order)
+    a = np.linalg.solve(toeplitz, -acf[:, 1:, None])[:, :, 0]
+    return np.concatenate([np.ones((len(a), 1)), np.where(live[:, None], a, 0.0)], axis=1)
+
+
+def formants(frames: np.ndarray, sr: int, order: int, count: int = 4) -> np.ndarray:
+    """(frames, count): the lowest resonances by linear prediction; NaN in rows that have fewer.
+
+    Resonances are eigenvalues of companion matrices inside the unit circle and
+    above the real axis, between 50 and 5000 Hz.
+    """
+    poly = predictors(frames, order)
+    companion = np.zeros((len(poly), order, order))
+    companion[:, 0] = -poly[:, 1:]
+    companion[:, np.arange(1, order), np.arange(order - 1)] = 1.0
+    z = np.linalg.eigvals(companion) if len(poly) else np.zeros((0, order), dtype=complex)
+    hz = np.angle(z) * sr / (2 * np.pi)
+    hz = np.sort(np.where((np.abs(z) < 1.0) & (z.imag > 0) & (hz > 50) & (hz < 5000), hz, np.nan), axis=1)[:, :count]
+    return np.where(np.isnan(hz).any(axis=1, keepdims=True), np.nan, np.round(hz, 1))

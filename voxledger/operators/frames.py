@@ -220,10 +220,9 @@ def formant_frames(frames: DataFrame, pframes: DataFrame, sr: int = K.SAMPLE_RAT
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         found = sig.formants(np.stack(pdf["xs"].to_list()), sr, order=sr // 1000 + 2)
-        keep = [i for i, f in enumerate(found) if f is not None]
-        out = pdf.iloc[keep][["clip_id", "frame_id", SEG]].reset_index(drop=True)
-        vals = np.array([found[i] for i in keep]).reshape(len(keep), 4)
-        return out.assign(**{f"f{i + 1}": vals[:, i] for i in range(4)})
+        keep = ~np.isnan(found[:, 0])
+        out = pdf.loc[keep, ["clip_id", "frame_id", SEG]].reset_index(drop=True)
+        return out.assign(**{f"f{i + 1}": found[keep, i] for i in range(4)})
 
     voiced = frames.join(pframes.where("voiced").select("clip_id", "frame_id"), ["clip_id", "frame_id"], "left_semi")
     schema = f"{_key(frames, 'clip_id', 'frame_id', SEG)}, f1 double, f2 double, f3 double, f4 double"
