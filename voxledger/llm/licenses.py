@@ -165,7 +165,9 @@ def _search(d: DataFrame, rows: list[dict]) -> DataFrame:
             ))))
         return F.concat(*[F.coalesce(x, found[0]) for x in found])
 
-    met = d.where(F.size("sh") > 0).select("doc_id", "text_hash", F.explode(hits(F.col("sh"))).alias("hit")).select("doc_id", "text_hash", "hit.*")
+    # explode_outer: a plain explode is planned with a test for empty arrays, which computes the array twice
+    found = let(F.col("sh"), lambda sh: F.when(F.size(sh) > 0, hits(sh)))
+    met = d.select("doc_id", "text_hash", F.explode_outer(found).alias("hit")).select("doc_id", "text_hash", "hit.*").where("band IS NOT NULL")
     bands = sorted({(b, i) for i, r in enumerate(rows) for b in r["bands"]})
     by_band = spark.createDataFrame(bands, "band long, template int")
     by_template = spark.createDataFrame(
