@@ -15,16 +15,27 @@ from pyspark.sql import functions as F
 from voxledger.llm.work import drop_folder, scratch, stored
 
 
+#: The rows of one node are dealt to so many tasks where its smallest neighbour is joined to them.
+SPLIT = 8
+
+
+def _with_low(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """rows (node, near) with the low of their node; the centre of a large star spreads over SPLIT tasks."""
+    part = F.pmod(F.xxhash64("near"), F.lit(SPLIT)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1)))
+    return rows.withColumn("part", part).join(low.withColumn("part", parts), ["node", "part"])
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select("b", "a")).toDF("node", "near")
     low = both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("low"))
-    return both.where(F.col("near") > F.col("node")).join(low, "node").select(F.col("near").alias("a"), F.col("low").alias("b"))
+    return _with_low(both.where(F.col("near") > F.col("node")), low).select(F.col("near").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("near"))
     low = down.groupBy("node").agg(F.min("near").alias("low"))
-    hung = down.join(low, "node").where(F.col("near") != F.col("low")).select(F.col("near").alias("a"), F.col("low").alias("b"))
+    hung = _with_low(down, low).where(F.col("near") != F.col("low")).select(F.col("near").alias("a"), F.col("low").alias("b"))
     return hung.union(low.select(F.col("node").alias("a"), F.col("low").alias("b")))
 
 

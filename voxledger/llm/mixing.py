@@ -78,6 +78,7 @@ def _with_copies(docs: DataFrame, row: Column, weights, cap: int) -> DataFrame:
         n_words(F.col("text")).alias("size"),
         digest.alias("_hash"),
         F.floor(share * segments).alias("_segment"),
+        F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]).alias("_tie"),
     )
     group, piece = ["null_source", "source"], ["null_source", "source", "size", "_segment"]
     pieces = base.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
@@ -94,7 +95,7 @@ def _with_copies(docs: DataFrame, row: Column, weights, cap: int) -> DataFrame:
         .join(targets, group)
         .select(*piece, (F.col("_smaller") + F.col("_ahead")).alias("_start"), "source_size", "target")
     )
-    number = F.row_number().over(Window.partitionBy(*piece).orderBy("_hash", "_id"))
+    number = F.row_number().over(Window.partitionBy(*piece).orderBy("_hash", "_id", "_tie"))
     numbered = base.withColumn("_number", number).join(starts, piece)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     name = F.when(~F.col("null_source"), F.col("source"))
@@ -110,7 +111,7 @@ def mix_copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """Every row of docs with size, source_size, target, copies (0 to cap) and taken = size * copies.
 
     A null text has size 0, a null source is a source of its own, ordered last.
-    Documents of equal size and id come in any order among themselves.  Rows
+    Documents of equal size and id come in order of a hash of the row.  Rows
     without words are emitted at the rate of their source.  A source without
     words has target 0 and gives nothing.  Columns of docs that bear the name of
     a result are replaced.
