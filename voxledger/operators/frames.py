@@ -237,7 +237,7 @@ def window_frames(windows: DataFrame, voiced_below: float = 0.2) -> DataFrame:
     """
     first = int(K.HF_BAND_HZ * 1024 // K.SAMPLE_RATE) + 1
 
-    def one(x: np.ndarray) -> tuple[list[dict], float]:
+    def one(x: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         mag = np.abs(sig.spectrum(sig.centred(x, 1024, K.HOP)))
         wide = np.abs(sig.spectrum(sig.centred(x, N_FFT, K.HOP)))
         freqs = np.fft.rfftfreq(N_FFT, 1.0 / K.SAMPLE_RATE)
@@ -250,27 +250,27 @@ def window_frames(windows: DataFrame, voiced_below: float = 0.2) -> DataFrame:
         ok = (ap < voiced_below) & (f0 >= 60) & (f0 <= 500) & ((voice**2).sum(axis=1) > 0)
         phase = np.diff(sig.phase_of(sig.spectrum(sig.centred(x, 512, 128))), axis=0)
         hf = mag[:, first:]
-        cols = (
-            np.abs(np.diff(hf, axis=1)).mean(axis=1), hf.mean(axis=1), mag.max(axis=1), np.median(mag, axis=1), centroid, rms,
-        )
-        rows = [
-            (t, *(float(c[t]) for c in cols), mfcc[t].tolist(), float(f0[t]) if ok[t] else None, bool(ok[t]))
-            for t in range(len(mag))
-        ]
-        names = ("frame_id", "hf_step", "hf_mean", "mag_max", "mag_median", "centroid", "rms", "mfcc", "f0", "voiced")
-        return [dict(zip(names, r)) for r in rows], float(phase.var())
+        fields = {
+            "frame_id": np.arange(len(mag)), "hf_step": np.abs(np.diff(hf, axis=1)).mean(axis=1), "hf_mean": hf.mean(axis=1),
+            "mag_max": mag.max(axis=1), "mag_median": np.median(mag, axis=1), "centroid": centroid, "rms": rms,
+            "mfcc": list(mfcc), "f0": np.where(ok, f0, np.nan), "voiced": ok,
+        }
+        return fields, float(phase.var())
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         done = [one(np.asarray(x, dtype=float)) for x in pdf["xs"]]
-        return pdf.drop(columns="xs").assign(frames=[d[0] for d in done], phase_var=[d[1] for d in done])
+        out = pdf.drop(columns="xs").assign(phase_var=[d[1] for d in done])
+        return out.assign(**{n: [d[0][n] for d in done] for n in kinds})
 
     keep = [c for c in windows.columns if c != "xs"]
-    frame = (
-        "struct<frame_id:bigint,hf_step:double,hf_mean:double,mag_max:double,mag_median:double,centroid:double,"
-        "rms:double,mfcc:array<double>,f0:double,voiced:boolean>"
-    )
-    schema = f"{_key(windows, *keep)}, frames array<{frame}>, phase_var double"
-    return _map(windows.select(*keep, "xs"), fn, schema)
+    kinds = {
+        "frame_id": "bigint", "hf_step": "double", "hf_mean": "double", "mag_max": "double", "mag_median": "double",
+        "centroid": "double", "rms": "double", "mfcc": "array<double>", "f0": "double", "voiced": "boolean",
+    }
+    schema = f"{_key(windows, *keep)}, phase_var double, " + ", ".join(f"{n} array<{k}>" for n, k in kinds.items())
+    fields = F.transform("f0", lambda v: F.nullif(v, F.lit(float("nan")))).alias("f0")
+    zipped = F.arrays_zip(*[fields if n == "f0" else F.col(n) for n in kinds]).alias("frames")
+    return _map(windows.select(*keep, "xs"), fn, schema).select(*keep, zipped, "phase_var")
 
 
 # peak picking in frames at hop 256 (30 ms before, 100 ms around): a frame is an
