@@ -92,6 +92,9 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     d = keyed(docs).select("k1", "k2", F.coalesce("id", F.lit(int(_LAST))).alias("ord"), "text")
     pressed = d.mapInArrow(press, "k1 long, k2 long, ord long, z binary")
+    # Inner joins on the keys would add this filter, but only to some uses.  All uses take all columns of the
+    # same rows, so that they share one exchange.
+    pressed = pressed.where(F.col("k1").isNotNull() & F.col("k2").isNotNull())
     return pressed.groupBy("k1", "k2").agg(F.min("ord").alias("ord"), F.first("z").alias("z"))
 
 
@@ -287,7 +290,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     small_batches(spark)
     classes = _classes(docs)
 
-    met = classes.select("k1", "k2", "z").mapInArrow(_anchors(window, period, cover), "h long, k1 long, at long")
+    met = classes.mapInArrow(_anchors(window, period, cover), "h long, k1 long, at long")
     met = met.repartition("h").sortWithinPartitions("h", "k1", "at")
     places = met.mapInArrow(_repeated, "k1 long, k2 long, pos int").groupBy("k1", "k2").agg(F.collect_list("pos").alias("pos"))
 
