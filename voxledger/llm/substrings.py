@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxledger.llm.work import small_batches
@@ -276,14 +276,8 @@ def _kept(window: int):
     return run
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_text (kept words, joined by one space).
-
-    A null text has no words.  Rows with equal doc_id and equal text are one
-    document, each gets its result; of rows with equal doc_id and other texts,
-    and of rows without doc_id, which come last, the order is that of a hash of
-    the text.  An empty table gives an empty result.
-    """
+def _class_results(docs: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """(k1, k2, ord, n_words, n_removed, kept_text) of the first document of each class."""
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or not 1 <= period <= window:
         raise ValueError("cover must be a difference cover modulo period, and period no longer than window")
     spark = docs.sparkSession
@@ -303,22 +297,35 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     )
 
     kinds = "k1 long, k2 long, ord long, n_words long, n_removed long, kept_text string"
-    done = classes.join(removed, ["k1", "k2"], "left").mapInArrow(_kept(window), kinds)
-
-    return (
-        keyed(docs).select("id", "k1", "k2").join(done, ["k1", "k2"]).select(
-            F.col("id").alias("doc_id"), "n_words",
-            F.when(_copy(window), F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
-            F.when(_copy(window), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
-        )
+    return classes.join(removed, ["k1", "k2"], "left").mapInArrow(_kept(window), kinds)
+
+
+def _per_document(docs: DataFrame, results: DataFrame, window: int, kept: str, nothing: Column) -> DataFrame:
+    """Results of classes for all rows of docs; later copies long enough to hold a window keep nothing."""
+    copy = (F.coalesce("id", F.lit(int(_LAST))) != F.col("ord")) & (F.col("n_words") >= window)
+    return keyed(docs).select("id", "k1", "k2").join(results, ["k1", "k2"]).select(
+        F.col("id").alias("doc_id"), "n_words",
+        F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(copy, nothing).otherwise(F.col(kept)).alias(kept),
     )
 
 
-def _copy(window: int):
-    """A later document of a class, long enough to hold a window."""
-    return (F.coalesce("id", F.lit(int(_LAST))) != F.col("ord")) & (F.col("n_words") >= window)
+def without_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_text (kept words, joined by one space).
+
+    A null text has no words.  Rows with equal doc_id and equal text are one
+    document, each gets its result; of rows with equal doc_id and other texts,
+    and of rows without doc_id, which come last, the order is that of a hash of
+    the text.  An empty table gives an empty result.
+    """
+    return _per_document(docs, _class_results(docs, window, period, cover), window, "kept_text", F.lit(""))
+
+
+def _sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
 
 
 def document_repeats(docs: DataFrame) -> DataFrame:
     """Digest: doc_id, n_words, n_removed, kept_sha256."""
-    return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    results = _class_results(docs, WINDOW, PERIOD, COVER).withColumn("kept_sha256", _sha256(F.col("kept_text"))).drop("kept_text")
+    return _per_document(docs, results, WINDOW, "kept_sha256", _sha256(F.lit("")))
