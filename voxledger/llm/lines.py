@@ -7,8 +7,8 @@ other is a field.  What remains of a line is its template; if at least half of
 its words are constant and the template stands in min_docs documents or more, it
 is boilerplate, and every line of it is dropped.
 
-Lines travel as hashes until it is known which leaves recur; their texts follow
-only once for each distinct line and task.  Counts are combined before they are
+Lines travel as hashes, in a table in the shared folder, until it is known which
+leaves recur; their texts follow only once for each distinct line and task.  Counts are combined before they are
 shuffled, so a line in a third of all documents is one row per task.
 """
 
@@ -17,11 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxledger.llm.work import SPACE_CHARS, let, words
+from voxledger.llm.work import SPACE_CHARS, SPACES, scratch, stored, words
 
 FIELD = "<*>"
-#: A word with a digit, an @ or ://.
-VARIABLE = r"[^\s0-9@:]*:*(?:[0-9@]|//)\S*"
+#: A word with a digit or an @, or a link; tried at the beginnings of words only, without backtracking.
+VARIABLE = r"(?<![^ \t-\r])(?:[^ \t-\r0-9@]*+[0-9@]|[A-Za-z]++://)[^ \t-\r]*+"
+_MAY_VARY = r"[0-9@]|://"
 DEPTH = 3
 MIN_DOCS = 10
 CONSTANT_SHARE = 0.5
@@ -29,8 +30,11 @@ CONSTANT_SHARE = 0.5
 
 def _masked_lines(text: Column) -> Column:
     """Lines of a text with variable words masked, trimmed; "" for those without a word, so numbers stay."""
-    masked = F.regexp_replace(F.coalesce(text, F.lit("")), VARIABLE, FIELD)
-    return F.transform(F.split(masked, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)))
+    t = F.coalesce(text, F.lit(""))
+    lines = F.split(t, "\n")
+    mask = lambda x: F.when(x.rlike(_MAY_VARY), F.regexp_replace(x, VARIABLE, FIELD)).otherwise(x)
+    masked = F.when(t.rlike(_MAY_VARY), F.transform(lines, mask)).otherwise(lines)
+    return F.transform(masked, lambda x: F.btrim(x, F.lit(SPACE_CHARS)))
 
 
 def _key(line: Column) -> Column:
@@ -38,13 +42,26 @@ def _key(line: Column) -> Column:
 
 
 def _leaf(line: Column) -> Column:
-    return let(words(line), lambda w: F.xxhash64(F.size(w), F.array_join(F.slice(w, 1, DEPTH), " ")))
+    """Leaf of a trimmed line: its number of words and the first DEPTH of them."""
+    count = F.regexp_count(line, F.lit(SPACES))
+    return F.xxhash64(count, F.slice(F.split(line, SPACES, DEPTH + 1), 1, DEPTH))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(line): keys of masked lines whose template recurs."""
-    own = docs.select(F.explode(F.array_distinct(_masked_lines(F.col("text")))).alias("line")).where(F.col("line") != "")
-    counted = own.select(_key(F.col("line")).alias("key"), _leaf(F.col("line")).alias("leaf")).groupBy("leaf", "key").agg(
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """(text_hash, at, line, leaf): the lines with words of every text, as hashes."""
+    # explode_outer, here and below: a plain explode is planned with a test for empty arrays, which parses all texts twice
+    own = docs.select(_text_hash().alias("text_hash"), F.posexplode_outer(_masked_lines(F.col("text"))).alias("at", "x"))
+    return own.where(F.col("x") != "").select("text_hash", "at", _key(F.col("x")).alias("line"), _leaf(F.col("x")).alias("leaf"))
+
+
+def recurring_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(line): hashes of lines of docs whose template recurs; table is line_table(docs)."""
+    own = docs.select(F.explode_outer(F.array_distinct(_masked_lines(F.col("text")))).alias("line")).where(F.col("line") != "")
+    counted = table.select("leaf", F.col("line").alias("key"), "text_hash").distinct().groupBy("leaf", "key").agg(
         F.count(F.lit(1)).alias("n")
     )
     leaves = counted.groupBy("leaf").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
@@ -74,15 +91,14 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFr
 
     Lines end at \\n.  Lines without a word are never dropped.  A null text has
     no line, an empty one has one.  A document counts once for a line that it
-    repeats; each row is a document, so repeated rows count as often as they come.
+    repeats, and documents with equal texts count once, so that copies do not make
+    boilerplate of what they say; each row still gets its result.
     """
     text = F.col("text")
-    d = docs.select("doc_id", "text", F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
-    numbered = d.select(
-        F.col("text_hash"), F.posexplode(F.transform(_masked_lines(text), lambda x: F.when(x != "", _key(x)))).alias("at", "line")
-    ).where(F.col("line").isNotNull())
+    table = stored(line_table(docs), scratch(docs.sparkSession))
+    d = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
     gone = (
-        numbered.join(recurring_lines(docs, min_docs), "line", "left_semi")
+        table.select("text_hash", "at", "line").join(recurring_lines(docs, table, min_docs), "line", "left_semi")
         .groupBy("text_hash").agg(F.collect_set("at").alias("gone"))
     )
     lines = F.when(text.isNotNull(), F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
