@@ -17,6 +17,7 @@ in blocks.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -122,10 +123,17 @@ def _windows(sh: Column, step: int) -> Column:
     return F.transform(starts, lambda i: F.struct(at(i).alias("at"), _bands(F.slice(sh, at(i) + 1, F.lit(WIDTH))).alias("bands")))
 
 
+def _inline(spark: SparkSession, rows: list[dict], kinds: str) -> DataFrame:
+    """A small table from one literal, so that no Python worker takes part."""
+    text = json.dumps(rows, ensure_ascii=False)
+    parsed = F.from_json(F.lit(text), f"array<struct<{kinds}>>")
+    return spark.range(0, 1, 1, 1).select(F.explode(parsed).alias("r")).select("r.*")
+
+
 def template_table(spark: SparkSession, templates: dict[str, list[str]]) -> list[dict]:
     """license_id, shingles (distinct) and bands of every template, computed as for documents."""
-    rows = [(k, t) for k, texts in sorted(templates.items()) for t in texts]
-    d = spark.createDataFrame(rows, "license_id string, text string").select("license_id", shingles(F.col("text")).alias("sh"))
+    rows = [{"license_id": k, "text": t} for k, texts in sorted(templates.items()) for t in texts]
+    d = _inline(spark, rows, "license_id: string, text: string").select("license_id", shingles(F.col("text")).alias("sh"))
     d = d.where(F.size("sh") > 0)
     long = F.flatten(F.transform(_windows(F.col("sh"), 1), lambda w: w.bands))
     d = d.select("license_id", F.array_distinct("sh").alias("shingles"), F.when(F.size("sh") >= LONG, long).otherwise(F.col("sh")).alias("bands"))
@@ -169,9 +177,9 @@ def _search(d: DataFrame, rows: list[dict]) -> DataFrame:
     found = let(F.col("sh"), lambda sh: F.when(F.size(sh) > 0, hits(sh)))
     met = d.select("doc_id", "text_hash", F.explode_outer(found).alias("hit")).select("doc_id", "text_hash", "hit.*").where("band IS NOT NULL")
     bands = sorted({(b, i) for i, r in enumerate(rows) for b in r["bands"]})
-    by_band = spark.createDataFrame(bands, "band long, template int")
-    by_template = spark.createDataFrame(
-        [(i, r["license_id"], r["shingles"]) for i, r in enumerate(rows)], "template int, license_id string, shingles array<long>"
+    by_band = _inline(spark, [{"band": b, "template": i} for b, i in bands], "band: bigint, template: int")
+    by_template = _inline(
+        spark, [r | {"template": i} for i, r in enumerate(rows)], "template: int, license_id: string, shingles: array<bigint>"
     )
     share = F.size(F.array_intersect("shingles", "region")) / F.size("shingles")
     return (
