@@ -67,7 +67,8 @@ def recurring_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS)
     leaves = counted.groupBy("leaf").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
     kept = counted.join(leaves, "leaf")
     texts = own.groupBy(_key(F.col("line")).alias("key")).agg(F.first("line").alias("line"))
-    lines = kept.join(texts, "key").select("leaf", "key", "n", words(F.col("line")).alias("w"))
+    # few lines are left; what follows reads them several times
+    lines = stored(kept.join(texts, "key"), scratch(docs.sparkSession)).select("leaf", "key", "n", words(F.col("line")).alias("w"))
 
     at = lines.select("leaf", "key", "n", F.posexplode("w").alias("place", "word"))
     constant = at.groupBy("leaf", "place", "word").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
@@ -95,7 +96,8 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFr
     boilerplate of what they say; each row still gets its result.
     """
     text = F.col("text")
-    table = stored(line_table(docs), scratch(docs.sparkSession))
+    # joins would add these filters, but only to some uses; with them in all, equal parts of the plan share exchanges
+    table = stored(line_table(docs), scratch(docs.sparkSession)).where("line IS NOT NULL AND leaf IS NOT NULL")
     d = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
     gone = (
         table.select("text_hash", "at", "line").join(recurring_lines(docs, table, min_docs), "line", "left_semi")
