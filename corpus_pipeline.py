@@ -48,7 +48,7 @@ STAGES = [
     ("sharding", shard),
 ]
 
-#: Learned rules, components and random walks are not for SQL; tests hold the result against a brute-force version.
+#: Learned rules, components and edit distances are not for SQL; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 

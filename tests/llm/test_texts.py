@@ -4,6 +4,7 @@ import random
 import re
 from html import unescape
 
+import numpy as np
 import pytest
 
 from tests.llm.conftest import frame, rows_of
@@ -55,6 +56,19 @@ def test_leaks_with_edits(spark, small, documents):
     assert found >= 0.95 * len(rows)
 
 
+@pytest.mark.parametrize("n", [15, 30, 59, 80, 150, 400])
+def test_leaks_of_every_length(n):
+    """With any number of edits up to the limit, every copy is found at its smallest distance."""
+    rnd = random.Random(n)
+    for k in sorted({int(share * n) for share in (0, 0.02, 0.05, 0.1, 0.2)}):
+        for _ in range(10):
+            words = [f"w{rnd.randrange(5000)}" for _ in range(n)]
+            item = decontamination.Items([(7, " ".join(words))])
+            text = [item.vocabulary.get(w, 0) for w in ["x"] * rnd.randrange(50) + _edited(rnd, words, k) + ["y"] * rnd.randrange(50)]
+            want = decontamination.edits(item.words[0], text, int(0.2 * n))
+            assert list(item.matches([np.array(text, dtype=np.uint64)])) == [(0, 0, *want)] and want[0] <= k
+
+
 def test_leaks_of_odd_rows(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, ""), (4, "x"), (None, "solo item here now")], "item_id long, text string")
     d = frame(spark, [(1, None), (2, ""), (None, "a one two three, FOUR five six seven!"), (5, "x"), (6, "solo item here now")], "item_id")

@@ -1,16 +1,11 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and edit verification.
+"""Benchmark decontamination by unchanged pieces and edit verification.
 
 An item of n words leaks into a document where a run of its words is within
-floor(0.2 n) word edits of the item.  Windows as long as an item are embedded by
-random walks: at step j the walk writes the word it stands on and moves on by a
-random bit of (j, word), so sequences at a small edit distance come out at a
-small Hamming distance.  A repetition is one walk of which a few steps are
-sampled; windows and items that agree on all of them are candidates, and the
-edit distance of the words decides.
-
-Walks are taken only from places that can hold an item.  With k edits, one of
-k + 1 pieces of the item stands unchanged in the window and starts within k
-words of its place, so windows are taken from such places; this loses nothing.
+floor(0.2 n) word edits of the item.  With k edits, one of k + 1 pieces of the
+item stands unchanged in the run and at most k words from its place, so the runs
+of a document that can be an item lie around such pieces; this loses nothing.
+There the edit distance decides, computed for all words of the item at once on
+the bits of one number.  The result is exact for items of any length.
 
 Items are a query set: they go to the tasks in blocks of at most BLOCK_ITEMS,
 so what is sent at a time has a bound however large the benchmark is.
@@ -32,11 +27,6 @@ from voxledger.llm.work import packed, small_batches, unpacked
 #: Edits allowed per word of an item.
 SHARE = 0.2
 BLOCK_ITEMS = 10_000
-#: Walks, and steps sampled of each.
-REPETITIONS = 96
-SAMPLED = 2
-WINDOWS_AT_ONCE = 4096
-SEED = 11
 _TOKEN = re.compile(r"\w+")
 
 
@@ -61,55 +51,31 @@ def edits(a: list[int], b: list[int], most: int) -> tuple[int, int, int]:
     return found
 
 
-class Walks:
-    """The random walks: the same for items and windows."""
-
-    def __init__(self, longest: int, repetitions: int = REPETITIONS, sampled: int = SAMPLED, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        self.factors = rng.integers(1, 1 << 62, size=(repetitions, 3 * longest), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.draws = rng.random((repetitions, sampled))
-        self.mix = rng.integers(1, 1 << 62, size=sampled, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-    def keys(self, x: np.ndarray, start: np.ndarray, n: int, end: np.ndarray) -> np.ndarray:
-        """(windows, repetitions) keys of windows of x, each from start, n words long, cut at end; beyond it stands 0.
-
-        Steps 0 to 2 n - 1 can be sampled: an undisturbed walk has passed all n words by then, on average.
-        """
-        x = np.append(x, np.uint64(0))
-        steps = (self.draws * (2 * n)).astype(int)
-        place = np.repeat(start[:, None], len(self.factors), axis=1)
-        last = np.minimum(start + n, end)[:, None]
-        key = np.zeros(place.shape, dtype=np.uint64)
-        for j in range(int(steps.max()) + 1):
-            word = x[np.where(place < last, place, len(x) - 1)] + np.uint64(1)
-            for s, mix in enumerate(self.mix):
-                hit = np.flatnonzero(steps[:, s] == j)
-                if len(hit):
-                    key[:, hit] += word[:, hit] * mix
-            place += (word * self.factors[:, j] >> np.uint64(63)).astype(np.int64)
-        return key
-
-
 class Items:
-    """One block of items, ready to be searched for."""
-
-    def __init__(self, items: list[tuple[int, str]], repetitions: int = REPETITIONS, sampled: int = SAMPLED):
-        rows = [(i, t) for i, t in ((i, tokens(text)) for i, text in items) if t]
-        self.ids = [i for i, _ in rows]
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, t in rows for w in t}), 1)}
-        self.words = [[self.vocabulary[w] for w in t] for _, t in rows]
+    """One block of items, ready to be searched for; items of equal words are searched for once."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        same: dict[tuple[str, ...], list[int]] = {}
+        for i, text in items:
+            if t := tokens(text):
+                same.setdefault(tuple(t), []).append(i)
+        self.ids = list(same.values())
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in same for w in t}), 1)}
+        self.words = [[self.vocabulary[w] for w in t] for t in same]
         self.most = [int(SHARE * len(t)) for t in self.words]
-        self.walks = Walks(max(map(len, self.words), default=1), repetitions, sampled)
-        self.pieces: dict[int, dict[tuple, set[tuple[int, int, int]]]] = {}
-        self.found: dict[tuple[int, int, int], list[int]] = {}
+        self.distinct = [frozenset(t) for t in self.words]
+        # by item and word, one bit for each place of the word
+        self.bits: list[dict[int, int]] = []
+        self.pieces: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
         for k, (t, most) in enumerate(zip(self.words, self.most, strict=True)):
             n, count = len(t), most + 1
             for p in range(count):
                 a, b = p * n // count, (p + 1) * n // count
-                self.pieces.setdefault(b - a, {}).setdefault(tuple(t[a:b]), set()).add((n, a, most))
-            keys = self.walks.keys(np.array(t, dtype=np.uint64), np.zeros(1, dtype=np.int64), n, np.array([n]))[0]
-            for r, key in enumerate(keys.tolist()):
-                self.found.setdefault((n, r, key), []).append(k)
+                self.pieces.setdefault(b - a, {}).setdefault(tuple(t[a:b]), []).append((k, a))
+            bits: dict[int, int] = {}
+            for j, w in enumerate(t):
+                bits[w] = bits.get(w, 0) | 1 << j
+            self.bits.append(bits)
         # by length of the pieces, what the hash of a piece modulo 2**20 can be
         self.marks = {}
         for width, pieces in self.pieces.items():
@@ -124,45 +90,66 @@ class Items:
             h ^= h >> np.uint64(31)
         return (h >> np.uint64(44)).astype(np.int64)
 
-    def windows(self, texts: list[np.ndarray]) -> list[tuple[int, int, int]]:
-        """(words, text, start) of windows of texts (word numbers) that can hold an item, in order."""
+    def places(self, texts: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """By text and item, the parts of the text (word numbers) that hold every run within the allowed edits; they do not overlap."""
         gap = np.zeros(max(self.marks, default=1), dtype=np.uint64)
         x = np.concatenate([part for t in texts for part in (t, gap)] or [gap])
         first = np.cumsum([0, *[len(t) + len(gap) for t in texts]])
-        out: set[tuple[int, int, int]] = set()
+        found: dict[tuple[int, int], set[int]] = {}
         for width, marks in self.marks.items():
             hits = np.flatnonzero(marks[self._slot(x, width)])
             for at, i in zip(hits.tolist(), (np.searchsorted(first, hits, "right") - 1).tolist(), strict=True):
-                for n, offset, most in self.pieces[width].get(tuple(x[at : at + width].tolist()), ()):
-                    low = at - int(first[i]) - offset
-                    out.update((n, i, s) for s in range(max(0, low - most), min(len(texts[i]), max(0, low + most) + 1)))
-        return sorted(out)
+                for k, offset in self.pieces[width].get(tuple(x[at : at + width].tolist()), ()):
+                    found.setdefault((i, k), set()).add(at - int(first[i]) - offset)
+        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for (i, k), starts in found.items():
+            n, most, parts = len(self.words[k]), self.most[k], []
+            for s in sorted(starts):
+                a, b = max(0, s - most), min(len(texts[i]), s + n + most)
+                if parts and a <= parts[-1][1]:
+                    parts[-1] = (parts[-1][0], b)
+                else:
+                    parts.append((a, b))
+            out[i, k] = parts
+        return out
+
+    def nearest(self, k: int, text: list[int]) -> tuple[int, int, int] | None:
+        """edits() of item k and text, or None where there is no run within the allowed edits."""
+        words, most = self.words[k], self.most[k]
+        n = len(words)
+        if len(self.distinct[k].difference(text)) > most:
+            return None
+        # Myers' algorithm: bits of up and down say where the column of distances rises and falls
+        bits, full, last = self.bits[k], (1 << n) - 1, 1 << n - 1
+        up, down, distance = full, 0, n
+        least, end = most + 1, 0
+        for j, word in enumerate(text, 1):
+            same = bits.get(word, 0)
+            across = (((same & up) + up) ^ up) | same
+            rise, fall = down | ~(across | up) & full, up & across
+            if rise & last:
+                distance += 1
+            elif fall & last:
+                distance -= 1
+            rise, fall, same = rise << 1 & full, fall << 1 & full, same | down
+            up, down = fall | ~(same | rise) & full, rise & same
+            if distance < least:
+                least, end = distance, j
+        if least > most:
+            return None
+        if not least:
+            return 0, end - n, end
+        # the first of the nearest runs starts where one that ends at end can, and no run is longer than n + least words
+        low = max(0, end - n - least)
+        d, a, b = edits(words, text[low : end + 2 * least], most)
+        return d, low + a, low + b
 
     def matches(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, distance, start, end): the best place of every item that leaks into one of texts (word numbers)."""
-        windows = self.windows(texts)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        cuts = [k for k in range(len(windows) + 1) if k in (0, len(windows)) or windows[k][0] != windows[k - 1][0]]
-        parts = [(a, min(b, a + WINDOWS_AT_ONCE)) for lo, b in zip(cuts, cuts[1:], strict=False) for a in range(lo, b, WINDOWS_AT_ONCE)]
-        for a, b in parts:
-            some, n = windows[a:b], windows[a][0]
-            which = sorted({i for _, i, _ in some})
-            ends = dict(zip(which, np.cumsum([len(texts[i]) for i in which]).tolist(), strict=True))
-            start = np.array([ends[i] - len(texts[i]) + s for _, i, s in some])
-            x = np.concatenate([texts[i] for i in which])
-            keys = self.walks.keys(x, start, n, np.array([ends[i] for _, i, _ in some]))
-            for (_, i, s), row in zip(some, keys.tolist(), strict=True):
-                for k in {k for r, key in enumerate(row) for k in self.found.get((n, r, key), ())}:
-                    most = self.most[k]
-                    so_far = best.get((i, k), (most + 1, 0, 0))
-                    if so_far[0] == 0:
-                        continue
-                    low = max(0, s - most)
-                    d, a, b = edits(self.words[k], texts[i][low : s + n + most].tolist(), most)
-                    if d <= most:
-                        best[i, k] = min(so_far, (d, low + a, low + b))
-        for (i, k), found in sorted(best.items()):
-            yield (i, k, *found)
+        """(text, item, distance, start, end): the nearest place of every item that leaks into one of texts (word numbers)."""
+        for (i, k), parts in sorted(self.places(texts).items()):
+            near = [(d, a + s, a + e) for a, b in parts if (got := self.nearest(k, texts[i][a:b].tolist())) for d, s, e in [got]]
+            if near:
+                yield (i, k, *min(near))
 
 
 def _search(items: list[tuple[int, str]]):
@@ -172,7 +159,10 @@ def _search(items: list[tuple[int, str]]):
         for b in batches:
             ids, hashes = b.column("id").to_pylist(), b.column("text_hash").to_pylist()
             texts = [np.array([get(w, 0) for w in tokens(t.as_py())], dtype=np.uint64) for t in b.column("text")]
-            out = [(ids[i], hashes[i], block.ids[k], a, e - a, len(block.words[k]), d) for i, k, d, a, e in block.matches(texts)]
+            out = [
+                (ids[i], hashes[i], item, a, e - a, len(block.words[k]), d)
+                for i, k, d, a, e in block.matches(texts) for item in block.ids[k]
+            ]
             columns = list(zip(*out, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _LEAK)
