@@ -51,6 +51,19 @@ def test_shards_of_odd_rows(spark):
     assert sharding.document_shards(frame(spark, [(1, None)])).first()["size"] == 1
 
 
+def test_whole_documents_are_sharded(spark, documents, tmp_path, monkeypatch):
+    """The digest is that of rows written with their texts, a text in many rows included."""
+    monkeypatch.setattr(sharding, "scratch", lambda spark: str(tmp_path / "shards"))
+    odd = frame(spark, [(100_000 + i, "hot " * 3000) for i in range(300)] + [(200_000, None), (200_001, "")])
+    docs = documents.union(odd)
+    got = {r.doc_id: r for r in sharding.document_shards(docs).collect()}
+    written = spark.read.parquet(str(tmp_path / "shards"))
+    assert rows_of(written.select(docs.columns)) == rows_of(docs)
+    for r in written.collect():
+        raw, d = (r.text or "").encode(), got[r.doc_id]
+        assert (d.size, d.text_crc32, d.shard, d.slot) == (len(raw) + 1, zlib.crc32(raw), r.shard, r.slot)
+
+
 def _targets(sizes: dict, cap=3):
     """Shares by weight; what is above cap is given to the others again, until none is above."""
     names = sorted(sizes, key=lambda s: (s is None, s))

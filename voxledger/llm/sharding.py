@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxledger.llm.work import packed, unpacked
+from voxledger.llm.work import packed, scratch, stored, unpacked
 
 #: Copies of one row that a task writes out at a time.
 STRIDE = 4096
@@ -82,16 +82,14 @@ def shard_rows(df: DataFrame, shards: int = 16, *, seed: int = 17, bucket_bytes:
 
 
 def document_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """Digest of the sharding of documents: size, checksum and place, without the texts.
+    """Digest of the sharding of documents: size, checksum and place.
 
-    A null text has size 1 and, like an empty one, checksum 0.
+    Whole rows are sharded and written to the shared folder; the digest is taken
+    from what was written.  A null text has size 1 and, like an empty one, checksum 0.
     """
+    written = stored(shard_rows(docs, shards), scratch(docs.sparkSession), compression="zstd")
     text = F.coalesce(F.col("text"), F.lit(""))
-    light = docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-    )
-    placed = shard_rows(light, shards)
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+    return written.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
