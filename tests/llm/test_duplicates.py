@@ -169,3 +169,14 @@ def test_fields_are_found_by_frequency(spark):
     rows += [(100 + i, f"User {chr(97 + i)} left {chr(98 + i)} with {chr(99 + i)} too") for i in range(3)]
     got = {r.doc_id: r.n_dropped for r in lines.without_recurring_lines(frame(spark, rows), min_docs=10).collect()}
     assert {got[i] for i in range(14)} <= {0, 1} and {got[100 + i] for i in range(3)} == {0}
+
+
+@pytest.mark.parametrize("n", [400, 20_000])
+def test_fields_in_a_large_corpus(spark, n):
+    """The same template is found whether the values of its fields stand in few documents or in many."""
+    rnd = random.Random(n)
+    value = lambda kind: f"{kind}{''.join(chr(97 + int(c)) for c in str(rnd.randrange(50)))}"
+    rows = [(i, f"This article was written by {value('F')} {value('L')} in {value('C')}\n{i}") for i in range(n)]
+    rows += [(n + i, f"This is the {value('p')} {value('q')} {value('r')} {value('s')} {value('t')} {value('u')}") for i in range(n // 2)]
+    got = lines.without_recurring_lines(frame(spark, rows), min_docs=10)
+    assert got.where(f"n_dropped <> CAST(doc_id < {n} AS INT)").count() == 0

@@ -1,11 +1,19 @@
 """Line dedup by log templates: lines that recur across documents as a template are dropped.
 
 A fixed-depth tree parses lines: first by the number of words, then by the first
-DEPTH words (with digits, addresses and links taken for a field <*>).  In a leaf,
-a word is constant at its place if at least min_docs documents have it there; any
-other is a field.  What remains of a line is its template; if at least half of
-its words are constant and the template stands in min_docs documents or more, it
-is boilerplate, and every line of it is dropped.
+DEPTH words (with digits, addresses and links taken for a field <*>).  After the
+first word, words that fewer than min_docs documents have at their node go to a
+wildcard child together.  In a leaf, a word is constant at its place if at least
+min_docs documents have it there; any other is a field.  What remains of a line
+is its template; if at least half of its words are constant and the template
+stands in min_docs documents or more, it is boilerplate, and every line of it is
+dropped.
+
+In a large corpus each value of a field stands in min_docs documents, so lines
+have a second template, of the words that at least USUAL of the documents of the
+leaf have at their place.  For it, and in leaves below a wildcard, at least half
+of the words after the first DEPTH must be constant too, so that prose with a
+common beginning is no boilerplate.
 
 Lines travel as hashes, in a table in the shared folder, until it is known which
 leaves recur; their texts follow only once for each distinct line and task.  Counts are combined before they are
@@ -17,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxledger.llm.work import SPACE_CHARS, SPACES, scratch, stored, words
+from voxledger.llm.work import SPACE_CHARS, SPACES, let, scratch, stored, words
 
 FIELD = "<*>"
 #: A word with a digit or an @, or a link; tried at the beginnings of words only, without backtracking.
@@ -26,6 +34,8 @@ _MAY_VARY = r"[0-9@]|://"
 DEPTH = 3
 MIN_DOCS = 10
 CONSTANT_SHARE = 0.5
+#: Share of the documents of a leaf from which a word is usual at its place.
+USUAL = 0.2
 
 
 def _masked_lines(text: Column) -> Column:
@@ -41,10 +51,13 @@ def _key(line: Column) -> Column:
     return F.xxhash64(line, F.xxhash64(F.lit(5), line))
 
 
-def _leaf(line: Column) -> Column:
-    """Leaf of a trimmed line: its number of words and the first DEPTH of them."""
+def _path(line: Column) -> Column:
+    """Path of a trimmed line in the tree, as hashes: its number of words with the first of them, then the others up to DEPTH."""
     count = F.regexp_count(line, F.lit(SPACES))
-    return F.xxhash64(count, F.slice(F.split(line, SPACES, DEPTH + 1), 1, DEPTH))
+    return let(
+        F.split(line, SPACES, DEPTH + 1),
+        lambda w: F.array(F.xxhash64(count, F.get(w, F.lit(0))), *[F.xxhash64(F.get(w, F.lit(k))) for k in range(1, DEPTH)]),
+    )
 
 
 def _text_hash() -> Column:
@@ -52,39 +65,56 @@ def _text_hash() -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(text_hash, at, line, leaf): the lines with words of every text, as hashes."""
+    """(text_hash, at, line, path): the lines with words of every text, as hashes."""
     # explode_outer, here and below: a plain explode is planned with a test for empty arrays, which parses all texts twice
     own = docs.select(_text_hash().alias("text_hash"), F.posexplode_outer(_masked_lines(F.col("text"))).alias("at", "x"))
-    return own.where(F.col("x") != "").select("text_hash", "at", _key(F.col("x")).alias("line"), _leaf(F.col("x")).alias("leaf"))
+    return own.where(F.col("x") != "").select("text_hash", "at", _key(F.col("x")).alias("line"), _path(F.col("x")).alias("path"))
 
 
 def recurring_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(line): hashes of lines of docs whose template recurs; table is line_table(docs)."""
     own = docs.select(F.explode_outer(F.array_distinct(_masked_lines(F.col("text")))).alias("line")).where(F.col("line") != "")
-    counted = table.select("leaf", F.col("line").alias("key"), "text_hash").distinct().groupBy("leaf", "key").agg(
-        F.count(F.lit(1)).alias("n")
+    lines = table.select(
+        F.col("line").alias("key"), F.col("path")[0].alias("leaf"), *[F.col("path")[k].alias(f"next{k}") for k in range(1, DEPTH)], "text_hash"
     )
-    leaves = counted.groupBy("leaf").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs).select("leaf")
-    kept = counted.join(leaves, "leaf")
+    later = [f"next{k}" for k in range(1, DEPTH)]
+    counted = lines.distinct().groupBy("key", "leaf", *later).agg(F.count(F.lit(1)).alias("n")).withColumn("wild", F.lit(False))
+
+    def often_in(d: DataFrame, *by: str) -> DataFrame:
+        return d.groupBy(*by).agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
+
+    for name in later:
+        # written, as all that follows reads it several times
+        counted = stored(counted.join(often_in(counted, "leaf").select("leaf"), "leaf", "left_semi"), scratch(docs.sparkSession))
+        known = often_in(counted, "leaf", name).select("leaf", name, F.lit(True).alias("known"))
+        counted = counted.join(known, ["leaf", name], "left").select(
+            "key", F.xxhash64("leaf", F.when(F.col("known"), F.col(name)), F.lit(name)).alias("leaf"), *later[later.index(name) + 1 :], "n",
+            (F.col("wild") | F.col("known").isNull()).alias("wild"),
+        )
+    kept = counted.join(often_in(counted, "leaf"), "leaf")
     texts = own.groupBy(_key(F.col("line")).alias("key")).agg(F.first("line").alias("line"))
     # few lines are left; what follows reads them several times
-    lines = stored(kept.join(texts, "key"), scratch(docs.sparkSession)).select("leaf", "key", "n", words(F.col("line")).alias("w"))
-
-    at = lines.select("leaf", "key", "n", F.posexplode("w").alias("place", "word"))
-    constant = at.groupBy("leaf", "place", "word").agg(F.sum("n").alias("docs")).where(F.col("docs") >= min_docs)
-    constant = constant.where(F.col("word") != FIELD).select("leaf", "place", "word", F.lit(True).alias("constant"))
-    shown = at.join(constant, ["leaf", "place", "word"], "left").select(
-        "leaf", "key", "n", "place", F.when(F.col("constant"), F.col("word")).alias("word")
-    )
-    template = shown.groupBy("leaf", "key", "n").agg(
-        F.xxhash64(F.to_json(F.sort_array(F.collect_list(F.struct("place", F.coalesce("word", F.lit(FIELD)).alias("word")))))).alias("template"),
-        F.avg(F.col("word").isNotNull().cast("double")).alias("share"),
-    )
-    often = (
-        template.where(F.col("share") >= CONSTANT_SHARE).groupBy("leaf", "template").agg(F.sum("n").alias("docs"))
-        .where(F.col("docs") >= min_docs).select("leaf", "template")
+    lines = stored(kept.join(texts, "key"), scratch(docs.sparkSession)).select("leaf", "docs", "wild", "key", "n", words(F.col("line")).alias("w"))
+
+    # a word at its place in a leaf is a number; it is even for the first DEPTH words, so two numbers a word are all that is shuffled
+    number = F.xxhash64("leaf", "place", "word").bitwiseAND(F.lit(-2)) + F.when(F.col("place") < DEPTH, 0).otherwise(1)
+    at = lines.select("leaf", "docs", "key", "n", F.posexplode("w").alias("place", "word")).where(F.col("word") != FIELD)
+    at = at.select("docs", "key", "n", number.alias("word"))
+    constant = at.groupBy("word").agg(F.sum("n").alias("here"), F.first("docs").alias("docs")).where(F.col("here") >= min_docs)
+    constant = constant.select("word", (F.col("here") >= USUAL * F.col("docs")).alias("usual"))
+    # per line and kind of template, its constant words
+    kinds = F.when(F.col("usual"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    template = at.select("key", "word").join(constant, "word").select("key", "word", F.explode(kinds).alias("relative"))
+    template = template.groupBy("key", "relative").agg(
+        F.xxhash64(F.sort_array(F.collect_list("word"))).alias("template"), F.count(F.lit(1)).alias("fixed"),
+        F.count_if(F.col("word").bitwiseAND(F.lit(1)) == 1).alias("fixed_after"),
     )
-    return template.join(often, ["leaf", "template"], "left_semi").select(F.col("key").alias("line"))
+    template = template.join(lines.select("leaf", "wild", "key", "n", F.size("w").alias("size")), "key")
+    after = F.col("size") - DEPTH
+    holds = (after > 0) & (F.col("fixed_after") >= CONSTANT_SHARE * after)
+    template = template.where((F.col("fixed") >= CONSTANT_SHARE * F.col("size")) & (holds | ~(F.col("wild") | F.col("relative"))))
+    often = often_in(template, "leaf", "relative", "template").drop("docs")
+    return template.join(often, ["leaf", "relative", "template"], "left_semi").select(F.col("key").alias("line")).distinct()
 
 
 def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -97,7 +127,7 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFr
     """
     text = F.col("text")
     # joins would add these filters, but only to some uses; with them in all, equal parts of the plan share exchanges
-    table = stored(line_table(docs), scratch(docs.sparkSession)).where("line IS NOT NULL AND leaf IS NOT NULL")
+    table = stored(line_table(docs), scratch(docs.sparkSession)).where("line IS NOT NULL")
     d = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
     gone = (
         table.select("text_hash", "at", "line").join(recurring_lines(docs, table, min_docs), "line", "left_semi")
