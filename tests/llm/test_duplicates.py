@@ -180,3 +180,14 @@ def test_fields_in_a_large_corpus(spark, n):
     rows += [(n + i, f"This is the {value('p')} {value('q')} {value('r')} {value('s')} {value('t')} {value('u')}") for i in range(n // 2)]
     got = lines.without_recurring_lines(frame(spark, rows), min_docs=10)
     assert got.where(f"n_dropped <> CAST(doc_id < {n} AS INT)").count() == 0
+
+
+def test_fields_among_the_first_words(spark):
+    """Wildcards stand for rare second and third words; what differs in most words stays."""
+    name = lambda i: f"{chr(97 + i)}{chr(98 + i)}"
+    rows = [(i, f"User {name(i)} has joined the room") for i in range(14)]
+    rows += [(100 + i, f"User {name(i)} {name(i)}son has left the room") for i in range(14)]
+    rows += [(200 + i, f"Dear {name(i)} {name(i + 1)} {name(i + 2)} {name(i + 3)} {name(i + 4)}") for i in range(14)]
+    rows += [(300 + i, f"User {name(i)} left {name(i)} with {name(i)} too") for i in range(3)]
+    got = {r.doc_id: r.n_dropped for r in lines.without_recurring_lines(frame(spark, rows), min_docs=10).collect()}
+    assert got == {i: int(i < 200) for i, _ in rows}
