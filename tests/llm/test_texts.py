@@ -128,6 +128,20 @@ def test_main_text():
     assert htmltext.main_text("<article>" + "<div>" * 5000 + "deep") == "deep"
 
 
+def test_main_text_in_wrappers():
+    """Names of wrappers do not empty a page; what they name beside an article still goes."""
+    prose = "This is the story of a house that was built by the sea and of all the people who have lived in it. "
+    page = f"<article><p>{prose * 3}</p></article><div class='ad'>{prose}</div>"
+    want = " ".join((prose * 3).split())
+    for start in ("<div class='site has-sidebar'>", "<div id='page' class='no-comments'>", "<div class='social search'>"):
+        assert htmltext.main_text(f"<body>{start}{page}</div></body>") == want
+    assert htmltext.main_text(f"<article class='post legal'><p>{prose}</p></article>") == prose.strip()
+    beside = f"<div class='sidebar'><article>{prose}</article></div><div class='comments'><article>{prose * 9}</article></div>"
+    assert htmltext.main_text(page + beside) == want
+    other = "Taloon muutti viime kesänä uusi perhe, joka oli asunut siihen asti kaupungissa meren rannalla kauan. "
+    assert htmltext.main_text(f"<div><p>{other}</p></div><div class='ad'>x</div>") == other.strip()
+
+
 def test_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r.text for r in htmltext.extracted(pages).collect()}

@@ -48,6 +48,15 @@ _HINTS = frozenset(
     "overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations "
     "outbrain taboola pagination pager copyright legal disclaimer skip hidden complementary contentinfo dialog".split()
 )
+#: Of these, the names below which an article is none.
+_FIRM = frozenset(
+    "comment comments commentlist disqus reply replies respond menu menus nav navbar navigation navi breadcrumb breadcrumbs footer "
+    "foot contentinfo complementary hidden cookie cookies consent gdpr dialog popup modal".split()
+)
+#: Names that tell what the page has or lacks, not what the element is.
+_ABOUT = re.compile(r"(?:has|no|with|without)[-_]")
+#: Share of the text of a page from which an element is a wrapper, whatever its name.
+MOST = 0.5
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)",
@@ -67,31 +76,58 @@ class Block:
     place: str  # "main", "dropped" or "page"
 
 
-def _place(tag: str, attributes: str, outer: str) -> str:
-    """Where the content of an element stands."""
-    if outer == "dropped" or tag in _DROPPED or (tag == "header" and outer != "main") or _HIDING.search(attributes):
-        return "dropped"
+#: Where content stands: the place, and the hinted elements around it, outside and inside of the innermost article.
+_Where = tuple[str, tuple[int, ...], tuple[int, ...]]
+
+
+def _place(tag: str, attributes: str, outer: _Where, number: int) -> _Where:
+    """Where the content of an element stands; number is that of the element."""
+    place, outside, inside = outer
+    if place == "dropped" or tag in _DROPPED or (tag == "header" and place != "main") or _HIDING.search(attributes):
+        return "dropped", (), ()
+    hinted: tuple[int, ...] = ()
     if attributes and tag not in ("html", "body"):
-        names = [n for _, v in _ATTRIBUTE.findall(attributes) for n in _NAME.split(v.lower())]
+        whole = [n for _, v in _ATTRIBUTE.findall(attributes) for n in v.lower().strip("\"'").split() if not _ABOUT.match(n)]
+        names = [n for w in whole for n in _NAME.split(w)]
         if "main" in names and re.search(r"role\s*=\s*[\"']?main", attributes, re.I):
-            return "main"
+            return "main", outside + inside, ()
+        if not _FIRM.isdisjoint(names):
+            return "dropped", (), ()
         if not _HINTS.isdisjoint(names):
-            return "dropped"
-    return "main" if tag in _MAIN else outer
+            hinted = (number,)
+    if tag in _MAIN:
+        return "main", outside + inside + hinted, ()
+    return place, outside, inside + hinted
+
+
+def _settled(found: list[tuple[str, int, _Where]]) -> list[Block]:
+    """Blocks with their places: hinted elements are dropped unless they hold most of the text or the only article."""
+    held: dict[int, int] = {}
+    for text, _, (_, outside, inside) in found:
+        for number in {*outside, *inside}:
+            held[number] = held.get(number, 0) + len(text)
+    total = sum(len(text) for text, _, where in found if where[0] != "dropped")
+    bad = {number for number, n in held.items() if n <= MOST * total}
+    clear = any(p == "main" and bad.isdisjoint(o) and bad.isdisjoint(i) for _, _, (p, o, i) in found)
+    return [
+        Block(text, links, place if bad.isdisjoint(inside) and (bad.isdisjoint(outside) or not clear) else "dropped")
+        for text, links, (place, outside, inside) in found
+    ]
 
 
 def blocks(html: str) -> list[Block]:
-    out: list[Block] = []
+    out: list[tuple[str, int, _Where]] = []
     parts: list[str] = []
     links = in_link = 0
-    open_: list[tuple[str, str]] = []
-    place = "page"
+    open_: list[tuple[str, _Where]] = []
+    page: _Where = ("page", (), ())
+    place = page
 
     def flush() -> None:
         nonlocal links
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, links, place))
+            out.append((text, links, place))
         parts.clear()
         links = 0
 
@@ -119,13 +155,13 @@ def blocks(html: str) -> list[Block]:
                 flush()
             if at is not None and (tag in _BLOCK or tag in _DROPPED):
                 del open_[at:]
-                place = open_[-1][1] if open_ else "page"
+                place = open_[-1][1] if open_ else page
             continue
         if tag == "body":
             flush()
             open_.clear()
-            place = "page"
-        here = _place(tag, attributes, place)
+            place = page
+        here = _place(tag, attributes, place, m.start())
         if tag in _BLOCK or here != place:
             flush()
         if tag in _BLOCK or tag in _DROPPED or here != place:
@@ -134,11 +170,11 @@ def blocks(html: str) -> list[Block]:
             open_.append((tag, here))
             place = here
     flush()
-    return out
+    return _settled(out)
 
 
-def _first_pass(b: Block, has_main: bool) -> bool | None:
-    """Good, bad, or open."""
+def _first_pass(b: Block, has_main: bool, known: bool = True) -> bool | None:
+    """Good, bad, or open; where the language is not known, stop words do not tell, and long text is good."""
     if b.place == "dropped" or (has_main and b.place != "main"):
         return False
     if b.in_links >= LINK_DENSITY * len(b.text.replace(" ", "")):
@@ -146,7 +182,7 @@ def _first_pass(b: Block, has_main: bool) -> bool | None:
     words = b.text.split()
     stops = sum(w.strip(_EDGE).lower() in _STOP for w in words) / max(1, len(words))
     if len(b.text) >= SHORT:
-        if stops >= PROSE:
+        if stops >= PROSE or not known:
             return True
         if stops < LOW and b.place != "main":
             return False
@@ -184,7 +220,10 @@ def main_text(html: str | None) -> str:
     has_main = any(b.place == "main" for b in found)
     if has_main:  # what stands in the article is judged among itself, and is good where nothing decides
         found = [b for b in found if b.place == "main"]
-    labels = _second_pass([_first_pass(b, has_main) for b in found], [b.place == "main" for b in found])
+    first = [_first_pass(b, has_main) for b in found]
+    if not has_main and True not in first:
+        first = [_first_pass(b, has_main, known=False) for b in found]
+    labels = _second_pass(first, [b.place == "main" for b in found])
     return " ".join(b.text for b, good in zip(found, labels, strict=True) if good)
 
 
