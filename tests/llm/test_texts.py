@@ -119,6 +119,14 @@ PAGE = """<html><head><title>x</title></head><body class="has-comments"><header>
 so and that it is good for all of us.</p></article></section><footer>c</footer><script>var a="</p>";"""
 
 
+def test_common_licenses(spark):
+    names = ["LGPL-2.1", "BSD-2-Clause", "EPL-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "Apache-2.0"]
+    texts = [(k, n, t) for k, (n, t) in enumerate((n, t) for n in names for t in licenses.TEMPLATES[n])]
+    docs = frame(spark, [(k, f"some words before it {t} and some words after it") for k, _, t in texts])
+    got = licenses.license_notices(docs).select("doc_id", "license_id")
+    assert rows_of(got) == sorted(((k, n) for k, n, _ in texts), key=repr)
+
+
 def test_main_text():
     assert htmltext.main_text(PAGE) == "Title & more The first of the things that are in the article. one two x < y z"
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<div><a href=1>a</a>") == ""
