@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +69,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS)), SPACES), "")
 
 
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Words of a UTF-8 text, unchanged, in lists that come from about ``size`` bytes each, so that a long text is never a list as a whole."""
+    start = 0
+    while len(text) - start > size:
+        end = _SPACE.search(text, start + size)
+        if end is None:
+            break
+        yield text[start : end.start()].split()
+        start = end.end()
+    yield text[start:].split()
+
+
 def packed(df: DataFrame, outputs: list[str], name: str = "_row") -> tuple[Column, list[str]]:
     """All columns in one struct, so that working columns cannot clash with them.
 
