@@ -44,45 +44,65 @@ HELD = 400_000
 #: Sources of one block of pairs.
 TILE = 128
 
-_CHUNKS = "lang string, source string, chunk string, n long, docs long, first long, last long"
-
-
-def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per group and chunk: occurrences, documents, and the smallest and largest row among these."""
-    held: dict[tuple, dict[bytes, list]] = {}
-    size = 0
-
-    def passed_on():
-        for (lang, source), chunks in held.items():
-            counts = list(zip(*chunks.values()))
-            if counts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(chunks)), pa.array([source] * len(chunks)), pa.array(chunks.keys(), pa.binary()).cast(pa.string())]
-                    + [pa.array(c, pa.int64()) for c in counts],
-                    names=["lang", "source", "chunk", "n", "docs", "first", "last"],
-                )
-
-    for batch in batches:
-        langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
-        for lang, source, row, text in zip(langs, sources, batch.column("row").to_pylist(), batch.column("text")):
-            count: Counter = Counter()
-            for part in word_blocks(text.as_py().lower()):  # of bytes: only A to Z change
-                count.update(part)
-            chunks = held.setdefault((lang, source), {})
-            before = len(chunks)
-            for chunk, n in count.items():
-                kept = chunks.get(chunk)
-                if kept is None:
-                    chunks[chunk] = [n, 1, row, row]
-                else:
-                    kept[0] += n
-                    kept[1] += 1
-                    kept[3] = row
-            size += len(chunks) - before
-            if size > HELD:
-                yield from passed_on()
-                held, size = {}, 0
-    yield from passed_on()
+_CHUNKS = "chunk string, lang string, sure boolean, rows array<long>, groups array<struct<source: string, n: long>>"
+
+
+def _lists(values: pa.Array, at: np.ndarray, n: int) -> pa.ListArray:
+    """n lists; value k goes to list at[k]."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(pa.array(np.argsort(at, kind="stable"))))
+
+
+class _Counts:
+    """Chunks of one language: documents, the first and last of these, and occurrences by source."""
+
+    def __init__(self) -> None:
+        self.seen: dict[bytes, list[int]] = {}
+        self.sources: dict[str, dict[bytes, int]] = {}
+
+    def add(self, source: str, row: int, count: Counter) -> None:
+        own, seen = self.sources.setdefault(source, {}), self.seen
+        for chunk, n in count.items():
+            own[chunk] = own.get(chunk, 0) + n
+            known = seen.get(chunk)
+            if known is None:
+                seen[chunk] = [1, row, row]
+            else:
+                known[0] += 1
+                known[2] = row
+
+    def batch(self, lang: str, min_docs: int) -> pa.RecordBatch:
+        size = len(self.seen)
+        place = {chunk: i for i, chunk in enumerate(self.seen)}
+        docs, first, last = np.array(list(self.seen.values()), np.int64).T
+        one, two = np.flatnonzero(docs < min_docs), np.flatnonzero((docs < min_docs) & (docs > 1))
+        rows = _lists(pa.array(np.concatenate([first[one], last[two]])), np.concatenate([one, two]), size)
+        at = np.concatenate([np.fromiter(map(place.__getitem__, own), np.int64, len(own)) for own in self.sources.values()])
+        n = np.concatenate([np.fromiter(own.values(), np.int64, len(own)) for own in self.sources.values()])
+        names = pa.array(list(self.sources), pa.string()).take(pa.array(np.repeat(np.arange(len(self.sources)), [len(own) for own in self.sources.values()])))
+        groups = _lists(pa.StructArray.from_arrays([names, pa.array(n)], names=["source", "n"]), at, size)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(self.seen), pa.binary()).cast(pa.string()), pa.array([lang] * size), pa.array(docs >= min_docs), rows, groups],
+            names=["chunk", "lang", "sure", "rows", "groups"],
+        )
+
+
+def _count_chunks(min_docs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, _Counts] = {}
+        for batch in batches:
+            langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
+            for lang, source, row, text in zip(langs, sources, batch.column("row").to_pylist(), batch.column("text")):
+                count: Counter = Counter()
+                for part in word_blocks(text.as_py().lower()):  # of bytes: only A to Z change
+                    count.update(part)
+                held.setdefault(lang, _Counts()).add(source, row, count)
+                if sum(len(c.seen) for c in held.values()) > HELD:
+                    yield from (c.batch(k, min_docs) for k, c in held.items() if c.seen)
+                    held = {}
+        yield from (c.batch(k, min_docs) for k, c in held.items() if c.seen)
+
+    return run
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -97,38 +117,41 @@ def apart(p: str, q: str) -> Column:
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term, total, groups[(source, n)]) of the terms in at least ``min_docs`` documents of a language, written and read again."""
+    """(id, lang, term, total, groups[(source, n)]) of the terms in at least ``min_docs`` documents of a language, written and read again."""
     if min_docs > 3:
         raise ValueError("the two rows kept of a chunk prove at most three documents")
     spark = docs.sparkSession
     small_batches(spark)
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
     rows = docs.select(_named("lang"), _named("source"), text, F.monotonically_increasing_id().alias("row"))
-    # one exchange, by chunk, serves the counts, the list of distinct chunks and the join of both
-    parts = rows.mapInArrow(_count_chunks, _CHUNKS).repartition("chunk")
-    counts = parts.groupBy("chunk", "lang", "source").agg(
-        F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last")
+    # the rows of a chunk meet in one task; the first of them has it cut into terms, and all others share these
+    by_chunk = Window.partitionBy("chunk").orderBy("lang")
+    here = rows.mapInArrow(_count_chunks(min_docs), _CHUNKS).repartition("chunk").withColumn("_k", F.row_number().over(by_chunk))
+    cut = F.when(F.col("_k") == 1, F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)))
+    here = here.withColumn("_cut", cut).withColumn("terms", F.first("_cut", ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, 0)))
+    none, no_row = F.lit(None).cast("string"), F.lit(None).cast("long")
+
+    def fact(source, n, row, sure):
+        return F.struct(source, n, row, sure).cast("struct<source: string, n: bigint, row: bigint, sure: boolean>")
+
+    facts = F.concat(
+        F.transform("groups", lambda g: fact(g["source"], g["n"], no_row, F.lit(False))),
+        F.transform("rows", lambda r: fact(none, F.lit(0), r, F.lit(False))),
+        F.array(fact(none, F.lit(0), no_row, F.col("sure"))),
     )
     terms = (
-        counts.groupBy("chunk").agg(F.lit(1).alias("_one"))
-        .select("chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term"))
-        .groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("times"))
-    )
-    occurrences = (
-        counts.select("chunk", "lang", "source", "n").join(terms, "chunk")
-        .groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("times")).alias("n"))
-        .groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("groups"), F.sum("n").alias("total"))
-    )
-    # a chunk in fewer than min_docs documents may have more than two; these are named by rows of their own
-    spread = counts.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"))
-    known = F.when(F.col("docs") >= min_docs, F.array(F.lit(None).cast("long"))).otherwise(F.array("first", "last"))
-    seen = (
-        spread.join(terms, "chunk").select("lang", "term", F.explode(F.array_distinct(known)).alias("row"))
-        .groupBy("lang", "term", "row").agg(F.lit(1).alias("_one"))
-        .groupBy("lang", "term").agg(F.count("row").alias("docs"), F.max(F.col("row").isNull()).alias("sure"))
-        .where(F.col("sure") | (F.col("docs") >= min_docs)).select("lang", "term")
+        here.select("lang", F.explode("terms").alias("term"), facts.alias("facts"))
+        .select("lang", "term", F.inline("facts"))
+        .groupBy("lang", "term", "source", "row").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"))
+        .groupBy("lang", "term")
+        .agg(
+            F.collect_list(F.when(F.col("source").isNotNull(), F.struct("source", "n"))).alias("groups"),
+            F.sum("n").alias("total"), F.count("row").alias("docs"), F.max("sure").alias("sure"),
+        )
+        .where(F.col("sure") | (F.col("docs") >= min_docs)).select("lang", "term", "groups", "total")
     )
-    return stored(occurrences.join(seen, ["lang", "term"]), f"{scratch(spark)}/terms")
+    kept = stored(terms, f"{scratch(spark)}/terms")
+    return kept.withColumn("id", F.monotonically_increasing_id())
 
 
 def _named(name: str) -> Column:
@@ -200,8 +223,8 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_T
     groups = stored(group_totals(docs, kept), f"{scratch(docs.sparkSession)}/groups")
 
     own = (
-        kept.select("lang", "term", F.col("total").alias("lang_n"), F.explode("groups").alias("g"))
-        .select("lang", "term", "lang_n", F.col("g.source").alias("source"), F.col("g.n").alias("n"))
+        kept.select("lang", "id", "term", F.col("total").alias("lang_n"), F.explode("groups").alias("g"))
+        .select("lang", "id", "term", "lang_n", F.col("g.source").alias("source"), F.col("g.n").alias("n"))
         .join(groups, ["lang", "source"])
         .withColumn("p", share(F.col("n"), F.col("total"), F.col("kept")))
     )
@@ -211,7 +234,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_T
     )
 
     both = (
-        own.groupBy("lang", "term").agg(F.collect_list(F.struct("at", "p", "lacking")).alias("groups"))
+        own.groupBy("lang", "id").agg(F.collect_list(F.struct("at", "p", "lacking")).alias("groups"))
         .mapInArrow(_tiles, "lang string, a long, b long, value long")
     )
     by_share = own.groupBy("lang", "at", "p").agg(F.count(F.lit(1)).alias("m"))
