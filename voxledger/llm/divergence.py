@@ -24,6 +24,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +37,7 @@ from voxledger.llm.work import scratch, small_batches, stored, word_blocks
 
 #: Fixed by the contract: what a term is, in lower case of A to Z only.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 MIN_DOCS = 3
 TOP_TERMS = 200
@@ -44,16 +46,21 @@ HELD = 400_000
 #: Sources of one block of pairs.
 TILE = 128
 
-_CHUNKS = "chunk string, lang string, sure boolean, rows array<long>, groups array<struct<source: string, n: long>>"
+_CHUNKS = "chunk string, lang string, first long, last long, sources binary"
+_TERMS = "lang string, term string, sure boolean, rows array<long>, groups array<struct<source: string, n: long>>"
+_TERM_BYTES = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
-def _lists(values: pa.Array, at: np.ndarray, n: int) -> pa.ListArray:
-    """n lists; value k goes to list at[k]."""
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(pa.array(np.argsort(at, kind="stable"))))
+def _tag(source: str) -> bytes:
+    """A source's name between zero bytes; a zero byte in the name is written as \\0."""
+    return source.replace("\\", "\\\\").replace("\0", "\\0").encode() + b"\0"
+
 
+def _untag(tag: bytes) -> str:
+    return re.sub(r"\\(.)", lambda m: "\0" if m[1] == "0" else m[1], tag.decode())
 
-class _Counts:
+
+class _Chunks:
     """Chunks of one language: documents, the first and last of these, and occurrences by source."""
 
     def __init__(self) -> None:
@@ -72,35 +79,90 @@ class _Counts:
                 known[2] = row
 
     def batch(self, lang: str, min_docs: int) -> pa.RecordBatch:
-        size = len(self.seen)
-        place = {chunk: i for i, chunk in enumerate(self.seen)}
-        docs, first, last = np.array(list(self.seen.values()), np.int64).T
-        one, two = np.flatnonzero(docs < min_docs), np.flatnonzero((docs < min_docs) & (docs > 1))
-        rows = _lists(pa.array(np.concatenate([first[one], last[two]])), np.concatenate([one, two]), size)
-        at = np.concatenate([np.fromiter(map(place.__getitem__, own), np.int64, len(own)) for own in self.sources.values()])
-        n = np.concatenate([np.fromiter(own.values(), np.int64, len(own)) for own in self.sources.values()])
-        names = pa.array(list(self.sources), pa.string()).take(pa.array(np.repeat(np.arange(len(self.sources)), [len(own) for own in self.sources.values()])))
-        groups = _lists(pa.StructArray.from_arrays([names, pa.array(n)], names=["source", "n"]), at, size)
+        sources = dict.fromkeys(sorted(self.seen), b"")  # sorted, neighbours compress better
+        for source, own in self.sources.items():
+            tag = _tag(source)
+            for chunk, n in own.items():
+                sources[chunk] += b"%s%d\0" % (tag, n)
+        docs, first, last = np.array([self.seen[chunk] for chunk in sources], np.int64).T
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(self.seen), pa.binary()).cast(pa.string()), pa.array([lang] * size), pa.array(docs >= min_docs), rows, groups],
-            names=["chunk", "lang", "sure", "rows", "groups"],
+            [pa.array(sources, pa.binary()).cast(pa.string()), pa.array([lang] * len(sources)), pa.array(first, mask=docs >= min_docs),
+             pa.array(last, mask=(docs >= min_docs) | (docs == 1)), pa.array(sources.values(), pa.binary())],
+            names=["chunk", "lang", "first", "last", "sources"],
         )
 
 
 def _count_chunks(min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, _Counts] = {}
+        held: dict[str, _Chunks] = {}
         for batch in batches:
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
             for lang, source, row, text in zip(langs, sources, batch.column("row").to_pylist(), batch.column("text")):
                 count: Counter = Counter()
                 for part in word_blocks(text.as_py().lower()):  # of bytes: only A to Z change
                     count.update(part)
-                held.setdefault(lang, _Counts()).add(source, row, count)
+                if count:
+                    held.setdefault(lang, _Chunks()).add(source, row, count)
                 if sum(len(c.seen) for c in held.values()) > HELD:
-                    yield from (c.batch(k, min_docs) for k, c in held.items() if c.seen)
+                    yield from (c.batch(k, min_docs) for k, c in held.items())
                     held = {}
-        yield from (c.batch(k, min_docs) for k, c in held.items() if c.seen)
+        yield from (c.batch(k, min_docs) for k, c in held.items())
+
+    return run
+
+
+def _lists(values: pa.Array, at: list[int], n: int) -> pa.ListArray:
+    """n lists; value k goes to list at[k]."""
+    place = np.array(at, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(pa.array(np.argsort(place, kind="stable"))))
+
+
+def _cut_chunks(min_docs: int):
+    """Rows sorted by chunk: each chunk is cut once, its counts are added to its terms."""
+
+    def passed_on(held):
+        keys, facts = list(held), list(held.values())
+        rows = [(i, r) for i, fact in enumerate(facts) if not fact[0] for r in fact[1]]
+        groups = [(i, source, n) for i, fact in enumerate(facts) for source, n in fact[2].items()]
+        at, source, n = zip(*groups)
+        pairs = pa.StructArray.from_arrays([pa.array([_untag(t) for t in source], pa.string()), pa.array(n, pa.int64())], names=["source", "n"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in keys]), pa.array([t for _, t in keys], pa.binary()).cast(pa.string()), pa.array([f[0] for f in facts], pa.bool_()),
+             _lists(pa.array([r for _, r in rows], pa.int64()), [i for i, _ in rows], len(facts)), _lists(pairs, at, len(facts))],
+            names=["lang", "term", "sure", "rows", "groups"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, bytes], list] = {}
+        last, terms = None, []
+        for batch in batches:
+            chunks = batch.column("chunk").cast(pa.binary()).to_pylist()
+            others = (batch.column(c).to_pylist() for c in ("lang", "first", "last", "sources"))
+            for chunk, lang, one, two, sources in zip(chunks, *others):
+                if chunk != last:
+                    last, terms = chunk, _TERM_BYTES.findall(chunk)
+                parts = sources.split(b"\0")
+                for k, term in enumerate(terms):
+                    fact = held.get((lang, term))
+                    if fact is None:
+                        fact = held[lang, term] = [False, set(), {}]
+                    if not fact[0]:
+                        if one is None:
+                            fact[0] = True
+                        else:
+                            fact[1].add(one)
+                            if two is not None:
+                                fact[1].add(two)
+                            fact[0] = len(fact[1]) >= min_docs
+                    counts = fact[2]
+                    for i in range(0, len(parts) - 1, 2):
+                        counts[parts[i]] = counts.get(parts[i], 0) + int(parts[i + 1])
+            if len(held) > HELD // 4:
+                yield passed_on(held)
+                held = {}
+        if held:
+            yield passed_on(held)
 
     return run
 
@@ -124,11 +186,9 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     small_batches(spark)
     text = F.coalesce("text", F.lit("")).cast("binary").alias("text")
     rows = docs.select(_named("lang"), _named("source"), text, F.monotonically_increasing_id().alias("row"))
-    # the rows of a chunk meet in one task; the first of them has it cut into terms, and all others share these
-    by_chunk = Window.partitionBy("chunk").orderBy("lang")
-    here = rows.mapInArrow(_count_chunks(min_docs), _CHUNKS).repartition("chunk").withColumn("_k", F.row_number().over(by_chunk))
-    cut = F.when(F.col("_k") == 1, F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)))
-    here = here.withColumn("_cut", cut).withColumn("terms", F.first("_cut", ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, 0)))
+    # dealt by its letters, a chunk with all its counts is in one task, and mostly so is a term with all its chunks
+    chunks = rows.mapInArrow(_count_chunks(min_docs), _CHUNKS).repartition(F.regexp_replace("chunk", NO_TERM, ""))
+    here = chunks.sortWithinPartitions("chunk").mapInArrow(_cut_chunks(min_docs), _TERMS).repartition("lang", "term")
     none, no_row = F.lit(None).cast("string"), F.lit(None).cast("long")
 
     def fact(source, n, row, sure):
@@ -140,8 +200,7 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         F.array(fact(none, F.lit(0), no_row, F.col("sure"))),
     )
     terms = (
-        here.select("lang", F.explode("terms").alias("term"), facts.alias("facts"))
-        .select("lang", "term", F.inline("facts"))
+        here.select("lang", "term", F.inline(facts))
         .groupBy("lang", "term", "source", "row").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"))
         .groupBy("lang", "term")
         .agg(
