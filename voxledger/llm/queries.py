@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxledger.llm import decontamination, divergence, htmltext, licenses, lines, mixing, quality, sharding, simhash, substrings, toxicity, whitening
+from voxledger.llm import decontamination, divergence, htmltext, language, licenses, lines, mixing, quality, sharding, simhash, substrings, toxicity, whitening
 from voxledger.llm.work import table
 
 
@@ -60,6 +60,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.component_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.document_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
     "op11_whitening": op11_whitening,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_divergence": op13_divergence,
 }
 
