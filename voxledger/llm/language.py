@@ -46,18 +46,18 @@ from voxledger.llm.work import scratch, small_batches, stored, word_blocks
 HELD_OUT = 10
 EXTRA = 0.1
 
-OWN_WORDS = 128
-ENDINGS = 124
+OWN_WORDS = 60
+ENDINGS = 97
 CONTEXT = 4
 SIZE = 24
 FREQUENT = 200_000
 LONGEST = 64
 #: Tokens of one step, noise classes of one step, and the step length.
-STEP, NOISE, RATE = 1024, 64, 0.12
+STEP, NOISE, RATE = 1024, 32, 0.12
 #: Shares of the training documents, in 64ths, of each round; in a round no copy of the parameters strays far.
 ROUNDS = (4, 12, 48)
 #: Tokens scored at once, and words that a task counts or remembers at once.
-BLOCK, HELD = 8192, 400_000
+BLOCK, HELD = 2048, 400_000
 START, END = 0, 1
 
 
@@ -213,10 +213,19 @@ class Parameters:
             here = scores[np.arange(len(scores)), part[CONTEXT:]].astype(np.float64)
             np.exp(scores, out=scores)
             scores[:, START] = 0  # the start is never predicted
-            out[start : start + len(scores)] = here - np.log(scores.sum(1, dtype=np.float64))
+            out[start : start + len(scores)] = here - np.log(scores.sum(1))
         return out / math.log(10)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
     """Steps of noise-contrastive estimation with a step length per row that shrinks with its gradients."""
 
@@ -239,8 +248,9 @@ class Trainer:
         # probability that a class comes from the text and not from the noise
         up = (r * p.outputs[target]).sum(1) + p.bias[target, 0] - self.log_noise[target]
         down = r @ p.outputs[false].T + p.bias[false, 0] - self.log_noise[false]
-        d_up = (1 / (1 + np.exp(-np.clip(up, -30, 30))) - 1) * real / len(target)
-        d_down = 1 / (1 + np.exp(-np.clip(down, -30, 30))) * real[:, None] / len(target)
+        share = real / np.float32(len(target))
+        d_up = (_sigmoid(up) - 1) * share
+        d_down = _sigmoid(down) * share[:, None]
         d_r = d_up[:, None] * p.outputs[target] + d_down @ p.outputs[false]
         seen = p.inputs[tokens]
         d_places, d_seen = [], np.zeros_like(seen)
@@ -248,7 +258,7 @@ class Trainer:
             at = slice(CONTEXT - 1 - i, len(tokens) - 1 - i)
             d_places.append(seen[at].T @ d_r)
             d_seen[at] += d_r @ p.places[i].T
-        order = np.argsort(tokens, kind="stable")
+        order = np.argsort(tokens.astype(np.int16), kind="stable")
         ordered = tokens[order]
         cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         classes = ordered[cut]
@@ -363,12 +373,12 @@ def _score_rows(shared):
                     count.update(words)
                     n += len(words)
                     pending += classes(words)
-                    if len(pending) > 8 * BLOCK:  # within a long text
+                    if len(pending) > 32 * BLOCK:  # within a long text
                         scored(pending, ends + [(i, len(pending) - CONTEXT)], totals)
                         pending, ends = pending[-CONTEXT:], []
                 pending += [END] + [START] * CONTEXT
                 ends.append((i, len(pending) - CONTEXT))
-                if len(pending) > BLOCK:
+                if len(pending) > 4 * BLOCK:
                     scored(pending, ends, totals)
                     pending, ends = [START] * CONTEXT, []
                 base, known, mixed, rest = math.log10(end_count + EXTRA), int(end_count > 0), 0.0, []
