@@ -65,29 +65,41 @@ class _Chunks:
 
     def __init__(self) -> None:
         self.seen: dict[bytes, list[int]] = {}
-        self.sources: dict[str, dict[bytes, int]] = {}
-
-    def add(self, source: str, row: int, count: Counter) -> None:
-        own, seen = self.sources.setdefault(source, {}), self.seen
-        for chunk, n in count.items():
-            own[chunk] = own.get(chunk, 0) + n
+        self.sure: set[bytes] = set()
+        self.sources: dict[str, Counter] = {}
+
+    def add(self, source: str, row: int, text: bytes, min_docs: int) -> None:
+        own, chunks = self.sources.setdefault(source, Counter()), set()
+        for words in word_blocks(text):
+            own.update(words)
+            chunks.update(words)
+        chunks -= self.sure
+        seen = self.seen
+        for chunk in chunks:
             known = seen.get(chunk)
             if known is None:
-                seen[chunk] = [1, row, row]
-            else:
-                known[0] += 1
-                known[2] = row
-
-    def batch(self, lang: str, min_docs: int) -> pa.RecordBatch:
-        sources = dict.fromkeys(sorted(self.seen), b"")  # sorted, neighbours compress better
+                known = seen[chunk] = [0, row, row]
+            known[0] += 1
+            known[2] = row
+            if known[0] >= min_docs:
+                del seen[chunk]
+                self.sure.add(chunk)
+
+    def __len__(self) -> int:
+        return len(self.seen) + len(self.sure)
+
+    def batch(self, lang: str) -> pa.RecordBatch:
+        sources = dict.fromkeys(sorted(self.sure.union(self.seen)), b"")  # sorted, neighbours compress better
         for source, own in self.sources.items():
             tag = _tag(source)
             for chunk, n in own.items():
                 sources[chunk] += b"%s%d\0" % (tag, n)
-        docs, first, last = np.array([self.seen[chunk] for chunk in sources], np.int64).T
+        known = [self.seen.get(chunk) for chunk in sources]
+        first = [k and k[1] for k in known]
+        last = [k[2] if k and k[0] > 1 else None for k in known]
         return pa.RecordBatch.from_arrays(
-            [pa.array(sources, pa.binary()).cast(pa.string()), pa.array([lang] * len(sources)), pa.array(first, mask=docs >= min_docs),
-             pa.array(last, mask=(docs >= min_docs) | (docs == 1)), pa.array(sources.values(), pa.binary())],
+            [pa.array(sources, pa.binary()).cast(pa.string()), pa.array([lang] * len(sources)), pa.array(first, pa.int64()), pa.array(last, pa.int64()),
+             pa.array(sources.values(), pa.binary())],
             names=["chunk", "lang", "first", "last", "sources"],
         )
 
@@ -98,15 +110,11 @@ def _count_chunks(min_docs: int):
         for batch in batches:
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
             for lang, source, row, text in zip(langs, sources, batch.column("row").to_pylist(), batch.column("text")):
-                count: Counter = Counter()
-                for part in word_blocks(text.as_py().lower()):  # of bytes: only A to Z change
-                    count.update(part)
-                if count:
-                    held.setdefault(lang, _Chunks()).add(source, row, count)
-                if sum(len(c.seen) for c in held.values()) > HELD:
-                    yield from (c.batch(k, min_docs) for k, c in held.items())
+                held.setdefault(lang, _Chunks()).add(source, row, text.as_py().lower(), min_docs)  # of bytes: only A to Z change
+                if sum(map(len, held.values())) > HELD:
+                    yield from (c.batch(k) for k, c in held.items())
                     held = {}
-        yield from (c.batch(k, min_docs) for k, c in held.items())
+        yield from (c.batch(k) for k, c in held.items() if len(c))
 
     return run
 
@@ -126,7 +134,8 @@ def _cut_chunks(min_docs: int):
         rows = [(i, r) for i, fact in enumerate(facts) if not fact[0] for r in fact[1]]
         groups = [(i, source, n) for i, fact in enumerate(facts) for source, n in fact[2].items()]
         at, source, n = zip(*groups)
-        pairs = pa.StructArray.from_arrays([pa.array([_untag(t) for t in source], pa.string()), pa.array(n, pa.int64())], names=["source", "n"])
+        names = {t: _untag(t) for t in set(source)}
+        pairs = pa.StructArray.from_arrays([pa.array([names[t] for t in source], pa.string()), pa.array(n, pa.int64())], names=["source", "n"])
         return pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in keys]), pa.array([t for _, t in keys], pa.binary()).cast(pa.string()), pa.array([f[0] for f in facts], pa.bool_()),
              _lists(pa.array([r for _, r in rows], pa.int64()), [i for i, _ in rows], len(facts)), _lists(pairs, at, len(facts))],
