@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scan", "prepare", "indicators", "profiles", "compare", "evaluate", "sources", "reports", "streams")
+MODULES = ("scan", "prepare", "indicators", "spectra", "profiles", "compare", "evaluate", "sources", "reports", "streams")
 
 
 def load():

@@ -99,6 +99,12 @@ def b_vec_windows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def b_vec_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole vectors of the windows of a clip."""
+    em = table(spark, sf, "embeddings")
+    return em.select(F.col("label").alias("clip_id"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
 def b_dims(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("o_orderkey")
 
@@ -202,6 +208,7 @@ BINDING_SQL: dict[str, str] = {
   CAST(event_id % 41 AS DOUBLE) AS prosody_score, k >= 97 AS boundary_detected FROM b_events""",
     "b_vec_windows": """SELECT label AS clip_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS window_id,
   CAST(embedding[1:13] AS DOUBLE[]) AS v FROM embeddings""",
+    "b_vec_embeddings": "SELECT label AS clip_id, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "b_dims": """SELECT o_orderkey AS pair_id,
   CASE WHEN o_orderkey % 10 <> 0 THEN CAST(o_orderkey*7 % 101 AS DOUBLE) END AS first_neural,
   CAST(o_orderkey*29 % 101 AS DOUBLE) AS second_neural,

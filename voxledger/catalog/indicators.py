@@ -108,17 +108,16 @@ bs AS (SELECT tt.clip_id, coalesce(avg(d), 30e0) AS mu, CASE WHEN count(d) >= 1
 @query(
     "ind5_window_spectral",
     oracle(
-        """SELECT wm0.clip_id, wm0.window_id, round(a.m,6) AS m0, round(b.m,6) AS m12, round(centroid_mean,6) AS centroid_mean, round(quiet_rms,6) AS quiet_rms
- FROM wm0 JOIN wv a ON a.clip_id=wm0.clip_id AND a.window_id=wm0.window_id AND a.i=1 JOIN wv b ON b.clip_id=wm0.clip_id AND b.window_id=wm0.window_id AND b.i=13""",
+        """SELECT wm0.clip_id, wm0.window_id, i-1 AS coeff, round(a.m,6) AS mfcc_mean, round(centroid_mean,6) AS centroid_mean, round(quiet_rms,6) AS quiet_rms
+ FROM wm0 JOIN wv a ON a.clip_id=wm0.clip_id AND a.window_id=wm0.window_id""",
         "b_vec_windows", ctes=_VEC,
     ),
 )
 def _ind5(spark, sf):
     d = I.window_spectral(vec_frames(spark, sf))
     return d.select(
-        "clip_id", "window_id", F.round(F.col("mfcc_mean")[0], 6).alias("m0"), F.round(F.col("mfcc_mean")[12], 6).alias("m12"),
-        F.round("centroid_mean", 6).alias("centroid_mean"), F.round("quiet_rms", 6).alias("quiet_rms"),
-    )
+        "clip_id", "window_id", F.posexplode("mfcc_mean").alias("coeff", "m"), F.round("centroid_mean", 6).alias("centroid_mean"), F.round("quiet_rms", 6).alias("quiet_rms")
+    ).withColumn("mfcc_mean", F.round("m", 6)).drop("m")
 
 
 @query("ind6_mfcc_baseline", oracle("SELECT clip_id, round(mu,6) AS mu, round(sigma,6) AS sigma FROM bs", "b_vec_windows", ctes=_VEC))

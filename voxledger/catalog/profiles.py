@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxledger.catalog.bindings import b_pitch, b_samples, b_vec_windows, oracle, sql_round, table
+from voxledger.catalog.bindings import b_pitch, b_samples, b_vec_embeddings, b_vec_windows, oracle, sql_round, table
 from voxledger.catalog.indicators import SPECTRA, b_spectra
 from voxledger.catalog.registry import query
+from voxledger.catalog.spectra import CONTRAST, b_contrast
 from voxledger.functions.ordered import SEG
 from voxledger.operators import frames as FR
 from voxledger.operators import prepare as P
@@ -153,12 +154,12 @@ def _frm3(spark, sf):
     "pro9_spectral_means",
     oracle(
         """SELECT clip_id, round(avg(centroid),1) AS spectral_centroid_mean, round(avg(bandwidth),1) AS spectral_bandwidth_mean,
- round(avg(rolloff),1) AS spectral_rolloff_mean, round(avg(centroid/100e0),3) AS spectral_contrast_mean FROM sh GROUP BY 1""",
-        "b_samples", ctes=f"{SPECTRA}, {_SHAPE}",
+ round(avg(rolloff),1) AS spectral_rolloff_mean, round(avg(contrast),3) AS spectral_contrast_mean FROM sh JOIN co USING (clip_id, frame_id) GROUP BY 1""",
+        "b_samples", ctes=f"{SPECTRA}, {_SHAPE}, {CONTRAST}",
     ),
 )
 def _pro9(spark, sf):
-    d = FR.spectral_shape(b_spectra(spark, sf), 1000.0).withColumn("contrast", F.col("centroid") / 100.0)
+    d = FR.spectral_shape(b_contrast(spark, sf), 1000.0)
     places = {"centroid": 1, "bandwidth": 1, "rolloff": 1, "contrast": 3}
     return R.spectral_means(d, {k: 9 for k in places}).select(
         "clip_id", *[F.round(f"spectral_{c}_mean", n).alias(f"spectral_{c}_mean") for c, n in places.items()]
@@ -194,17 +195,16 @@ def _pro11(spark, sf):
 @query(
     "pro12_environment_profile",
     oracle(
-        """SELECT clip_id, round(avg(mean_db),3) AS noise_floor_db, round(avg(centroid/1000e0),4) AS mean_spectral_contrast, round(avg(r95),3) AS rolloff_mean,
- round(stddev_pop(r95),3) AS rolloff_std FROM (SELECT clip_id, frame_id, any_value(sh.centroid) AS centroid, min(b) FILTER (cum >= 0.95e0*tot)*1000e0 AS r95,
- avg(20e0*log10(greatest(mag,1e-5))) AS mean_db FROM sh0 JOIN sh USING (clip_id, frame_id) GROUP BY 1,2) GROUP BY 1""",
-        "b_samples", ctes=f"{SPECTRA}, {_SHAPE}",
+        """SELECT clip_id, round(avg(mean_db),3) AS noise_floor_db, round(avg(contrast),4) AS mean_spectral_contrast, round(avg(r95),3) AS rolloff_mean,
+ round(stddev_pop(r95),3) AS rolloff_std FROM (SELECT clip_id, frame_id, any_value(contrast) AS contrast, min(b) FILTER (cum >= 0.95e0*tot)*1000e0 AS r95,
+ avg(20e0*log10(greatest(mag,1e-5))) AS mean_db FROM sh0 JOIN co USING (clip_id, frame_id) GROUP BY 1,2) GROUP BY 1""",
+        "b_samples", ctes=f"{SPECTRA}, {_SHAPE}, {CONTRAST}",
     ),
 )
 def _pro12(spark, sf):
-    d = FR.spectral_shape(b_spectra(spark, sf), 1000.0, share=0.95).withColumns(
+    d = FR.spectral_shape(b_contrast(spark, sf), 1000.0, share=0.95).withColumns(
         {
             "rolloff95": F.col("rolloff"),
-            "contrast": F.expr("centroid / 1000D"),
             "mean_db": F.expr("aggregate(transform(mag, m -> 20D * log10(greatest(m, 1e-5D))), 0D, (s, x) -> s + x) / size(mag)"),
         }
     )
@@ -218,12 +218,12 @@ def _pro12(spark, sf):
     "pro13_embedding_pool",
     oracle(
         """SELECT clip_id, i-1 AS dim, round(m/sqrt(sum(m*m) OVER (PARTITION BY clip_id)),6) AS x FROM (SELECT clip_id, i, avg(v[i]) AS m
- FROM b_vec_windows, (SELECT unnest(range(1,14)) AS i) GROUP BY 1,2)""",
-        "b_vec_windows",
+ FROM b_vec_embeddings, (SELECT unnest(range(1,65)) AS i) GROUP BY 1,2)""",
+        "b_vec_embeddings",
     ),
 )
 def _pro13(spark, sf):
-    d = R.pool_vectors(b_vec_windows(spark, sf), "v", 13)
+    d = R.pool_vectors(b_vec_embeddings(spark, sf), "v", 64)
     return d.select("clip_id", F.posexplode("embedding").alias("dim", "x")).select("clip_id", "dim", F.round("x", 6).alias("x"))
 
 

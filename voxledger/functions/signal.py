@@ -86,24 +86,36 @@ def shape(mag: np.ndarray, freqs: np.ndarray, shares: tuple[float, ...]) -> list
     return [centroid, bandwidth, *rolls]
 
 
+def octave_bands(freqs: np.ndarray, low: float = 200.0, bands: int = 6, quantile: float = 0.02) -> list[tuple[int, int, int]]:
+    """(first bin, one past the last, bins counted as strongest or weakest) of the band below ``low`` and those above, each twice as high."""
+    edges = [0.0] + [low * 2**i for i in range(bands + 1)]
+    out = []
+    for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
+        bins, top = np.flatnonzero((freqs >= lo) & (freqs <= hi)), b == bands
+        first, last = int(bins[0]) - (b > 0), (len(freqs) if top else int(bins[-1]) + 1)
+        out.append((first, last - (not top), max(1, int(np.rint(quantile * (last - first))))))
+    return out
+
+
 def contrast_levels(mag: np.ndarray, freqs: np.ndarray, quantile: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """Mean of the strongest and weakest bins per octave band (below 200 Hz, then doubling), in dB."""
-    edges = [0.0] + [200.0 * 2**i for i in range(7)]
     peaks, valleys = [], []
-    for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-        bins = np.flatnonzero((freqs >= lo) & (freqs <= hi))
-        first, last = bins[0] - (b > 0), (len(freqs) if b == len(edges) - 2 else bins[-1] + 1)
-        k = max(1, int(np.rint(quantile * (last - first))))
-        band = np.sort(mag[:, first : last - (b < len(edges) - 2)], axis=1)
+    for first, stop, k in octave_bands(freqs, quantile=quantile):
+        band = np.sort(mag[:, first:stop], axis=1)
         peaks.append(band[:, -k:].mean(axis=1))
         valleys.append(band[:, :k].mean(axis=1))
     return db(np.stack(peaks, axis=1)), db(np.stack(valleys, axis=1))
 
 
-def yin(frames: np.ndarray, sr: int, fmin: float, fmax: float, threshold: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """(f0, aperiodicity) per frame: cumulative-mean-normalised difference, first dip, parabola."""
+def lag_range(n: int, sr: int, fmin: float, fmax: float) -> tuple[int, int]:
+    """Smallest and largest lag searched in frames of n samples."""
+    return max(2, int(sr / fmax)), min(int(np.ceil(sr / fmin)), n // 2 - 1)
+
+
+def yin_dips(frames: np.ndarray, lag_lo: int, lag_hi: int, threshold: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lag, parabolic shift, dip) per frame: cumulative-mean-normalised difference, its first dip below the threshold or its minimum."""
     n = frames.shape[1]
-    w, lag_lo, lag_hi = n // 2, max(2, int(sr / fmax)), min(int(np.ceil(sr / fmin)), n // 2 - 1)
+    w = n // 2
     size = 2 * n
     head = np.fft.rfft(frames[:, :w], size, axis=1)
     acf = np.fft.irfft(np.conj(head) * np.fft.rfft(frames, size, axis=1), size, axis=1)[:, : lag_hi + 2]
@@ -114,14 +126,20 @@ def yin(frames: np.ndarray, sr: int, fmin: float, fmax: float, threshold: float
     norm = np.ones_like(diff)
     norm[:, 1:] = diff[:, 1:] * lags[1:] / np.maximum(np.cumsum(diff[:, 1:], axis=1), 1e-12)
     inner = norm[:, lag_lo : lag_hi + 1]
-    dip = (inner <= norm[:, lag_lo - 1 : lag_hi]) & (inner < norm[:, lag_lo + 1 : lag_hi + 2])
-    good = dip & (inner < threshold)
+    low = (inner <= norm[:, lag_lo - 1 : lag_hi]) & (inner < norm[:, lag_lo + 1 : lag_hi + 2])
+    good = low & (inner < threshold)
     at = np.where(good.any(axis=1), good.argmax(axis=1), inner.argmin(axis=1)) + lag_lo
     row = np.arange(len(frames))
     a, b, c = norm[row, at - 1], norm[row, at], norm[row, at + 1]
     bend = a - 2 * b + c
     shift = np.where(np.abs(bend) > 1e-12, 0.5 * (a - c) / np.where(bend == 0, 1.0, bend), 0.0)
-    return sr / (at + np.clip(shift, -1, 1)), b
+    return at, np.clip(shift, -1, 1), b
+
+
+def yin(frames: np.ndarray, sr: int, fmin: float, fmax: float, threshold: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """(f0, aperiodicity) per frame."""
+    lag, shift, dip = yin_dips(frames, *lag_range(frames.shape[1], sr, fmin, fmax), threshold)
+    return sr / (lag + shift), dip
 
 
 def predictors(frames: np.ndarray, order: int) -> np.ndarray:
@@ -143,13 +161,13 @@ def predictors(frames: np.ndarray, order: int) -> np.ndarray:
     return np.concatenate([np.ones((len(a), 1)), np.where(live[:, None], a, 0.0)], axis=1)
 
 
-def formants(frames: np.ndarray, sr: int, order: int, count: int = 4) -> np.ndarray:
-    """(frames, count): the lowest resonances by linear prediction; NaN in rows that have fewer.
+def resonances(poly: np.ndarray, sr: int, count: int = 4) -> np.ndarray:
+    """(rows, count): the lowest resonances of prediction polynomials; NaN in rows that have fewer.
 
     Resonances are eigenvalues of companion matrices inside the unit circle and
     above the real axis, between 50 and 5000 Hz.
     """
-    poly = predictors(frames, order)
+    order = poly.shape[1] - 1
     companion = np.zeros((len(poly), order, order))
     companion[:, 0] = -poly[:, 1:]
     companion[:, np.arange(1, order), np.arange(order - 1)] = 1.0
@@ -157,3 +175,8 @@ def formants(frames: np.ndarray, sr: int, order: int, count: int = 4) -> np.ndar
     hz = np.angle(z) * sr / (2 * np.pi)
     hz = np.sort(np.where((np.abs(z) < 1.0) & (z.imag > 0) & (hz > 50) & (hz < 5000), hz, np.nan), axis=1)[:, :count]
     return np.where(np.isnan(hz).any(axis=1, keepdims=True), np.nan, np.round(hz, 1))
+
+
+def formants(frames: np.ndarray, sr: int, order: int, count: int = 4) -> np.ndarray:
+    """(frames, count): the lowest resonances by linear prediction; NaN in rows that have fewer."""
+    return resonances(predictors(frames, order), sr, count)
