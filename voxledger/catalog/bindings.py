@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxledger.functions.numbers import round_dp
-from voxledger.functions.ordered import SEG, ordered, with_cuts, with_segments
+from voxledger.functions.ordered import SEG, ordered, with_segments
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,10 +38,14 @@ def micros(c: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
 
 
+#: Events of a user lie about a minute apart or more; times are cut as numbers with this step.
+EVENT_MICROS = 60_000_000
+
+
 def _numbered_events(spark: SparkSession, sf: str, **cols: Column) -> DataFrame:
     """Events with computed columns and their position inside the user, skew-safe."""
     ev = table(spark, sf, "events").withColumnRenamed("user_id", "clip_id").withColumns(cols)
-    ev = with_cuts(ev, ["clip_id"], micros("ts"))
+    ev = with_segments(ev, ["clip_id"], micros("ts"), step=EVENT_MICROS)
     return ordered(ev, ["clip_id"], ["ts", "event_id"], index="idx")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxledger.catalog.bindings import b_dims, oracle
 from voxledger.catalog.compare import _CONTRA, _FUSED
 from voxledger.catalog.registry import query
-from voxledger.catalog.scan import _FLAGS, _INTERVALS, _SIGNALS, _VERDICT, verdicts
+from voxledger.catalog.scan import _FLAGS, _INTERVALS, _SIGNALS, _TEXT, _VERDICT, verdicts
 from voxledger.catalog.sources import b_recordings
 from voxledger.operators import compare as C
 from voxledger.operators import report as R
@@ -19,8 +19,8 @@ STAMP = "2026-01-31 12:00:00 UTC"
 
 
 def pair_findings(spark, sf) -> DataFrame:
-    """Pairs 1.. as cases, every third one absent."""
-    fused = C.fuse(b_dims(spark, sf)).where("pair_id % 3 <> 0")
+    """All pairs as cases; clips whose number is no pair's are cases without a pair."""
+    fused = C.fuse(b_dims(spark, sf))
     n = C.contradictions(fused).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_contradictions"))
     return (
         fused.select("pair_id", "similarity", "verdict", "confidence").join(n, "pair_id", "left").fillna(0, subset=["n_contradictions"])
@@ -30,8 +30,7 @@ def pair_findings(spark, sf) -> DataFrame:
 
 def scan_findings(spark, sf) -> DataFrame:
     w, clips, intervals = verdicts(spark, sf)
-    text = S.interpretation(clips, intervals, w).drop("category")
-    d = R.with_lists(clips, intervals, S.boundary_times(w)).join(text, "clip_id")
+    d = R.with_lists(clips, intervals, S.boundary_times(w))
     return d.withColumnRenamed("clip_id", "case_id")
 
 
@@ -40,14 +39,14 @@ def cases(spark, sf) -> DataFrame:
 
 
 _CASES = """nc AS (SELECT pair_id, count(*) AS n FROM (SELECT pair_id FROM ct UNION ALL SELECT pair_id FROM fu WHERE NOT no_speech AND neural_identity >= 65 AND max_risk >= 50) GROUP BY 1),
-pf AS (SELECT fu.pair_id AS case_id, similarity, verdict, confidence AS pair_confidence, coalesce(n,0) AS n_contradictions FROM fu LEFT JOIN nc USING (pair_id) WHERE pair_id % 3 <> 0),
+pf AS (SELECT fu.pair_id AS case_id, similarity, verdict, confidence AS pair_confidence, coalesce(n,0) AS n_contradictions FROM fu LEFT JOIN nc USING (pair_id)),
 cs AS (SELECT coalesce(p.case_id, s.clip_id) AS case_id, p.case_id IS NOT NULL AS has_pair, s.clip_id IS NOT NULL AS has_scan, coalesce(similarity,0e0) AS similarity, coalesce(composite,0e0) AS scan_score,
  coalesce(verdict,'N/A') AS verdict, coalesce(pair_confidence,'N/A') AS pair_confidence, coalesce(n_contradictions,0) AS n_contradictions, coalesce(label,'N/A') AS label, coalesce(s.confidence,'N/A') AS scan_confidence, coalesce(category_label,'N/A') AS category_label
  FROM pf p FULL JOIN c6 s ON s.clip_id = p.case_id)"""
 
 
-def _sql(body: str) -> str:
-    return oracle(body, "b_dims", "b_windows", ctes=", ".join([_FUSED, _CONTRA, _FLAGS, _SIGNALS, _INTERVALS, _VERDICT, _CASES]))
+def _sql(body: str, *more: str) -> str:
+    return oracle(body, "b_dims", "b_windows", ctes=", ".join([_FUSED, _CONTRA, _FLAGS, _SIGNALS, _INTERVALS, _VERDICT, _CASES, *more]))
 
 
 @query(
@@ -72,12 +71,17 @@ def _rep2(spark, sf):
     _sql(
         """SELECT case_id, concat_ws(' ', CASE WHEN has_pair THEN 'Acoustic multi-dimensional fusion yielded an overall speaker similarity score of ' || similarity || '% with verdict ''' || verdict || ''' (Confidence: ' || pair_confidence ||
  '). The examination evaluated neural transformer speaker embeddings (30%), vocal tract LPC formant resonances (25%), pitch F0 intonation dynamics (25%), 13-band spectral MFCC fingerprints (15%), speaking rhythm (3%), and energy dynamics (2%).' END,
- CASE WHEN has_pair AND n_contradictions > 0 THEN 'Notice: ' || n_contradictions || ' acoustic contradiction flag(s) were identified during cross-channel evaluation. Physiological markers and neural representations exhibited divergent alignment.' END) AS head
- FROM cs WHERE NOT has_scan"""
+ CASE WHEN has_pair AND n_contradictions > 0 THEN 'Notice: ' || n_contradictions || ' acoustic contradiction flag(s) were identified during cross-channel evaluation. Physiological markers and neural representations exhibited divergent alignment.' END,
+ CASE WHEN has_scan THEN 'Multi-signal synthetic speech screening classified the target specimen as ''' || label || ''' (' || category_label || ', Anomaly Index: ' || scan_score || '%, Confidence: ' || scan_confidence || '). ' || interpretation END,
+ CASE WHEN has_scan AND ivs4 IS NOT NULL THEN 'Suspicious synthetic speech intervals were temporally localized at: [' || ivs4 || '].' END,
+ CASE WHEN has_scan AND marks IS NOT NULL THEN 'Acoustic splice boundary markers detected at: [' || marks || '].' END) AS head
+ FROM cs LEFT JOIN tx ON tx.clip_id = case_id LEFT JOIN iv4 ON iv4.clip_id = case_id LEFT JOIN mkt ON mkt.clip_id = case_id""",
+        _TEXT,
+        "iv4 AS (SELECT clip_id, string_agg(CAST(t_start AS VARCHAR) || 's–' || CAST(t_end AS VARCHAR) || 's', ', ' ORDER BY t_start) AS ivs4 FROM ivr WHERE rn <= 4 GROUP BY clip_id)",
     ),
 )
 def _rep3(spark, sf):
-    return cases(spark, sf).select("case_id", "has_scan", R.observation().alias("head")).where("NOT has_scan").drop("has_scan")
+    return cases(spark, sf).select("case_id", R.observation().alias("head"))
 
 
 @query(

@@ -191,21 +191,18 @@ def _syn12(spark, sf):
     return S.splice_only_message(b_windows(spark, sf))
 
 
-@query(
-    "syn13_interpretation",
-    _sql(
-        """SELECT c.clip_id, category, CASE category
+_TEXT = """ivr AS (SELECT iv.*, row_number() OVER (PARTITION BY iv.clip_id ORDER BY t_start) AS rn FROM iv JOIN c3 ON c3.clip_id = iv.clip_id AND NOT suppressed),
+ivt AS (SELECT clip_id, string_agg(CAST(t_start AS VARCHAR) || 's–' || CAST(t_end AS VARCHAR) || 's', ', ' ORDER BY t_start) AS ivs FROM ivr WHERE rn <= 3 GROUP BY clip_id),
+mkr AS (SELECT clip_id, (start_time+end_time)/2e0 AS t, row_number() OVER (PARTITION BY clip_id ORDER BY window_id) AS rn FROM b_windows WHERE boundary_detected),
+mkt AS (SELECT clip_id, string_agg(CAST(t AS VARCHAR) || 's', ', ' ORDER BY t) AS marks FROM mkr WHERE rn <= 4 GROUP BY clip_id),
+tx AS (SELECT c.clip_id, category, CASE category
  WHEN 'FULLY_SYNTHETIC' THEN 'High-confidence synthetic audio detected (Anomaly Index: ' || format('{:.0f}', composite) || '%). The primary neural spoof classifier (' || format('{:.0f}', model) || '%), vocoder artifact indicators (' || format('{:.0f}', vocoder) || '%), and prosody analysis (' || format('{:.0f}', prosody) || '%) collectively indicate the entire voice track was generated via TTS or voice cloning.'
  WHEN 'SPLICED_PARTIAL' THEN 'Partial audio manipulation detected (Anomaly Index: ' || format('{:.0f}', composite) || '%). Suspicious segments localized at: [' || coalesce(ivs, '') || '].' || coalesce(' Splice boundary markers were detected at: ' || marks || '.', '') || ' The spectral inconsistency indicator flagged abrupt acoustic environment changes characteristic of a recording splice.'
  ELSE 'Acoustic profile is consistent with natural unmanipulated human speech (Anomaly Index: ' || format('{:.0f}', composite) || '%). Pitch micro-variability (' || format('{:.0f}', prosody) || '% prosody score), harmonic-to-noise ratios (' || format('{:.0f}', vocoder) || '% vocoder score), and spectral continuity are within natural human phonation ranges across all time windows.' END AS interpretation
- FROM c6 c LEFT JOIN ivt USING (clip_id) LEFT JOIN mkt USING (clip_id)""",
-        _FLAGS, _SIGNALS, _INTERVALS, _VERDICT,
-        """ivr AS (SELECT iv.*, row_number() OVER (PARTITION BY iv.clip_id ORDER BY t_start) AS rn FROM iv JOIN c3 ON c3.clip_id = iv.clip_id AND NOT suppressed),
-ivt AS (SELECT clip_id, string_agg(CAST(t_start AS VARCHAR) || 's–' || CAST(t_end AS VARCHAR) || 's', ', ' ORDER BY t_start) AS ivs FROM ivr WHERE rn <= 3 GROUP BY clip_id),
-mkr AS (SELECT clip_id, (start_time+end_time)/2e0 AS t, row_number() OVER (PARTITION BY clip_id ORDER BY window_id) AS rn FROM b_windows WHERE boundary_detected),
-mkt AS (SELECT clip_id, string_agg(CAST(t AS VARCHAR) || 's', ', ' ORDER BY t) AS marks FROM mkr WHERE rn <= 4 GROUP BY clip_id)""",
-    ),
-)
+ FROM c6 c LEFT JOIN ivt USING (clip_id) LEFT JOIN mkt USING (clip_id))"""
+
+
+@query("syn13_interpretation", _sql("SELECT * FROM tx", _FLAGS, _SIGNALS, _INTERVALS, _VERDICT, _TEXT))
 def _syn13(spark, sf):
     w, clips, intervals = verdicts(spark, sf)
     return S.interpretation(clips, intervals, w)

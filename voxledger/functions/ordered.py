@@ -8,13 +8,15 @@ for groups of any size, and nothing runs while it is built.
 
 Numbered rows (frames, blocks, samples) are cut by position: ``seg`` is the number
 divided by a constant width.  Rows ordered by a value (scores, times) are cut at
-values drawn by hash from their group, so pieces hold about equally many distinct
-values wherever these lie.
+quantiles of their group, which one aggregate finds, so pieces hold about equally
+many rows wherever the values lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ SEG = "seg"
 #: Rows of a piece, as far as positions are dense.
 PIECE_ROWS = 65_536
 PIECE_ROWS_CONF = "spark.voxledger.pieceRows"
-#: Values drawn from a group that is cut by value.
+#: Quantiles of a group that is cut by value, and values drawn from one that is cut by text.
+SHARES = 1023
 DRAWN = 4096
 _KINDS = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -55,26 +58,47 @@ def with_segments(df: DataFrame, by: Sequence[str], pos: Column | str, step: int
     return with_cuts(df, by, pos)
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on keys that may be null; the keys of the left side stay."""
+    other = right.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)]
+    return left.join(other, same, how).drop(*[f"_key_{i}" for i in range(len(keys))])
+
+
 def with_cuts(df: DataFrame, by: Sequence[str], value: Column | str) -> DataFrame:
     """Add ``seg`` by values that need not be dense, of a number, time or text.
 
-    A group of more than ``piece_rows`` rows gives about DRAWN of its distinct
-    values, those of the smallest hash; every so manyth of them, in order, is a cut.
+    One aggregate finds the size of each group and, for numbers and times, SHARES
+    approximate quantiles of its rows; a group of more than ``piece_rows`` rows is
+    cut at as many of these as it has pieces.  Rows of one value stay together.
+    Text has no quantiles; there, values of the smallest hash are drawn.
     """
-    width = piece_rows(df.sparkSession)
     value = col(value)
     d = df.withColumn("_v", value)
+    cuts = _drawn_cuts(d, by) if isinstance(d.schema["_v"].dataType, T.StringType) else _quantile_cuts(d, by)
+    before = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))), F.lit(0))
+    seg = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(before).cast("long")
+    return _null_safe(d, cuts, by, "left").withColumn(SEG, seg).select(*df.columns, SEG)
+
+
+def _quantile_cuts(d: DataFrame, by: Sequence[str]) -> DataFrame:
+    width = piece_rows(d.sparkSession)
+    shares = F.array(*[F.lit((i + 1) / (SHARES + 1)) for i in range(SHARES)])
+    found = d.groupBy(*by).agg(F.count("_v").alias("_rows"), F.percentile_approx("_v", shares, F.lit(10 * SHARES)).alias("_q"))
+    every = F.greatest(F.lit(1), F.floor(F.lit(SHARES) / F.ceil(F.col("_rows") / width)).cast("int"))
+    return found.where(F.col("_rows") > width).select(*by, F.array_distinct(F.filter("_q", lambda q, i: (i + 1) % every == 0)).alias("_cuts"))
+
+
+def _drawn_cuts(d: DataFrame, by: Sequence[str]) -> DataFrame:
+    width = piece_rows(d.sparkSession)
     sizes = d.groupBy(*by).agg(F.count("_v").alias("_rows")).where(F.col("_rows") > width)
     top = F.lit(float(1 << 62)) * F.least(F.lit(1.0), F.lit(float(DRAWN)) / F.col("_rows")) * 2
     drawn = (
-        d.select(*by, "_v").join(sizes, list(by)).where(F.abs(F.xxhash64(*by, "_v").cast("double")) <= top)
+        _null_safe(d.select(*by, "_v"), sizes, by).where(F.abs(F.xxhash64(*by, "_v").cast("double")) <= top)
         .groupBy(*by).agg(F.sort_array(F.collect_set("_v")).alias("_drawn"), F.max("_rows").alias("_rows"))
     )
     every = F.greatest(F.lit(1), F.ceil(F.size("_drawn") / F.ceil(F.col("_rows") / width)).cast("int"))
-    cuts = drawn.select(*by, F.filter("_drawn", lambda v, i: (i + 1) % every == 0).alias("_cuts"))
-    before = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_v"))), F.lit(0))
-    seg = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(before).cast("long")
-    return d.join(cuts, list(by), "left").withColumn(SEG, seg).select(*df.columns, SEG)
+    return drawn.select(*by, F.filter("_drawn", lambda v, i: (i + 1) % every == 0).alias("_cuts"))
 
 
 def ordered(
@@ -96,12 +120,21 @@ def ordered(
     maxes     running maximum over the rows before
     totals    ("sum"|"min"|"max", expr) over the whole group
     """
-    previous, sums, maxes, totals = previous or {}, sums or {}, maxes or {}, totals or {}
+    previous, sums, maxes = previous or {}, sums or {}, maxes or {}
+    if totals:  # need no order and no pieces
+        d = _in_order(df, by, order, index, previous, sums, maxes) if index or previous or sums or maxes else df
+        return _null_safe(d, df.groupBy(*by).agg(*[_KINDS[k](col(e)).alias(n) for n, (k, e) in totals.items()]), by)
+    return _in_order(df, by, order, index, previous, sums, maxes)
+
+
+def _in_order(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], index: str | None, previous: dict[str, Column | str],
+    sums: dict[str, Column | str], maxes: dict[str, Column | str],
+) -> DataFrame:
     part = [*by, SEG]
     w = Window.partitionBy(*part).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    entire = Window.partitionBy(*part)
     prev = F.struct(*[col(e).alias(f"p{i}") for i, e in enumerate(previous.values())]) if previous else None
 
     local = []
@@ -111,14 +144,12 @@ def ordered(
         local.append(F.lag(prev).over(w).alias("_lp"))
     local += [F.sum(col(e)).over(upto).alias(f"_ls{i}") for i, e in enumerate(sums.values())]
     local += [F.max(col(e)).over(before).alias(f"_lm{i}") for i, e in enumerate(maxes.values())]
-    local += [_KINDS[k](col(e)).over(entire).alias(f"_lt{i}") for i, (k, e) in enumerate(totals.values())]
 
     pieces = [F.count(F.lit(1)).alias("_n")]
     if previous:
         pieces.append(F.max_by(prev, F.struct(*order)).alias("_p"))
     pieces += [F.sum(col(e)).alias(f"_s{i}") for i, e in enumerate(sums.values())]
     pieces += [F.max(col(e)).alias(f"_m{i}") for i, e in enumerate(maxes.values())]
-    pieces += [_KINDS[k](col(e)).alias(f"_t{i}") for i, (k, e) in enumerate(totals.values())]
     cw = Window.partitionBy(*by).orderBy(SEG)
     cbefore = cw.rowsBetween(Window.unboundedPreceding, -1)
     call = Window.partitionBy(*by)
@@ -127,7 +158,6 @@ def ordered(
         carried.append(F.lag("_p").over(cw).alias("_cp"))
     carried += [F.sum(f"_s{i}").over(cbefore).alias(f"_cs{i}") for i in range(len(sums))]
     carried += [F.max(f"_m{i}").over(cbefore).alias(f"_cm{i}") for i in range(len(maxes))]
-    carried += [_KINDS[k](f"_t{i}").over(call).alias(f"_ct{i}") for i, (k, _) in enumerate(totals.values())]
     carry = df.groupBy(*part).agg(*pieces).select(*part, *carried)
     # a group in one piece needs nothing carried, which leaves few rows to join or none
     carry = carry.where(F.col("_pieces") > 1).drop("_pieces")
@@ -147,7 +177,6 @@ def ordered(
         for i, n in enumerate(sums)
     ]
     out += [F.greatest(F.col(f"_lm{i}"), F.col(f"_cm{i}")).alias(n) for i, n in enumerate(maxes)]
-    out += [F.coalesce(F.col(f"_ct{i}"), F.col(f"_lt{i}")).alias(n) for i, n in enumerate(totals)]
     return joined.select(*[F.col(c) for c in df.columns], *out)
 
 
@@ -159,13 +188,20 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.join(stats.drop(SEG), list(by))
 
 
+def _step_of(x: Column) -> Column:
+    """A whole number that never falls as x grows: 64 steps to an octave, from about a millionth on."""
+    size = F.least(F.log2(F.abs(x) * F.lit(float(1 << 20)) + 1.0) * 64.0, F.lit(1e6))
+    return F.floor(F.signum(x) * size).cast("long")
+
+
 def quantiles(
     df: DataFrame, by: Sequence[str], x: Column | str, probs: dict[str, float], count: str | None = None
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
     Equal values are counted first, so a value that fills the table is one row;
-    the distinct values of a group are cut by value and ranked piecewise.
+    the distinct values of a group fall into pieces, and only pieces with a rank
+    that is asked for are ordered.
     Nothing is gathered per group, unlike ``percentile``.
     """
     counts = (
@@ -174,7 +210,18 @@ def quantiles(
         .groupBy(*by, "_x")
         .agg(F.count(F.lit(1)).alias("_w"))
     )
-    ranked = ordered(with_cuts(counts, by, "_x"), by, ["_x"], sums={"_cum": "_w"}, totals={"_all": ("sum", "_w")})
+    # groups are cut where a monotone function of the value steps; only the pieces that hold a rank asked for are ordered
+    counts = counts.withColumn(SEG, _step_of(F.col("_x")))
+    group = Window.partitionBy(*by)
+    here = F.sum("_pw").over(group.orderBy(SEG).rowsBetween(Window.unboundedPreceding, -1))
+    pieces = counts.groupBy(*by, SEG).agg(F.sum("_w").alias("_pw")).select(
+        "*", F.coalesce(here, F.lit(0)).alias("_before"), F.sum("_pw").over(group).alias("_all")
+    )
+    ranks = [fn((F.col("_all") - 1) * F.lit(float(p))) for p in probs.values() for fn in (F.floor, F.ceil)]
+    held = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_pw")) for r in ranks]
+    ranked = _null_safe(counts, pieces.where(reduce(or_, held)).drop("_pw"), [*by, SEG]).withColumn(
+        "_cum", F.col("_before") + F.sum("_w").over(Window.partitionBy(*by, SEG).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    )
 
     def at(rank: Column) -> Column:
         here = (F.col("_cum") - F.col("_w") <= rank) & (rank < F.col("_cum"))

@@ -95,17 +95,13 @@ def energy_profile(frames: DataFrame) -> DataFrame:
 def with_activity(frames: DataFrame, profile: DataFrame) -> DataFrame:
     """Attach the profile to frames and add ``active``, ``n_active``, ``last_active``."""
     active = F.col("full") & (F.col("rms_db") >= F.col("threshold_db"))
-    d = attach(frames, profile, CLIP).withColumn("active", active)
-    last = (F.col("frame_id") == F.col("n_frames") - 1) & F.col("active")
-    return ordered(
-        d,
-        CLIP,
-        ["frame_id"],
-        totals={
-            "n_active": ("sum", F.col("active").cast("long")),
-            "last_active": ("max", last.cast("int")),
-        },
+    last = (F.col("frame_id") == F.col("n_frames") - 1) & active
+    kept = [c for c in profile.columns if c not in ("clip_id", SEG)]
+    # frames without their samples meet the profile once; what comes of it goes to the frames as one row per clip
+    counts = attach(frames.select("clip_id", "frame_id", "full", "rms_db"), profile, CLIP).groupBy("clip_id").agg(
+        *[F.first(c).alias(c) for c in kept], F.sum(active.cast("long")).alias("n_active"), F.max(last.cast("int")).alias("last_active")
     )
+    return attach(frames, counts, CLIP).withColumn("active", active)
 
 
 def gate_tier(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxledger.functions.ordered import SEG, with_segments
-from voxledger.operators.synthesis import first_values
+from voxledger.functions.ordered import SEG
+from voxledger.operators.synthesis import interpretation_text, with_interval_texts
 
 CASE_TITLE = "Acoustic Biometric & Synthetic Speech Forensic Examination"
 NO_DATA = "No active audio comparison or deepfake analysis data recorded for this session."
@@ -38,11 +38,9 @@ def join_cases(pairs: DataFrame, scans: DataFrame) -> DataFrame:
 
 
 def with_lists(scans: DataFrame, intervals: DataFrame, boundaries: DataFrame, k: int = 4) -> DataFrame:
-    """The first ``k`` intervals and boundary times of each clip as texts."""
-    span = F.expr("concat(t_start, 's–', t_end, 's')")
-    ivs = first_values(with_segments(intervals, ["clip_id"], "t_start"), span, "t_start", k, "ivs")
-    marks = first_values(boundaries, F.expr("concat(t, 's')"), "t", k, "marks")
-    return scans.drop(SEG).join(ivs, "clip_id", "left").join(marks, "clip_id", "left")
+    """The interpretation and the first ``k`` intervals and boundary times of each clip as texts; each list is gathered once."""
+    d = with_interval_texts(scans.drop(SEG), intervals, boundaries, k)
+    return d.withColumn("interpretation", interpretation_text())
 
 
 def observation() -> Column:

@@ -258,8 +258,9 @@ def signal_disagreements(clips: DataFrame) -> DataFrame:
 
 
 def first_values(df: DataFrame, value: Column, order: str, k: int, out: str) -> DataFrame:
-    """The first ``k`` values per clip as an array; the rest is filtered out before gathering."""
-    d = ordered(with_segments(df, CLIP, order), CLIP, [order], index="_i").where(F.col("_i") < k)
+    """The first ``k`` values per clip as an array; every task passes on at most ``k`` rows of a clip."""
+    place = F.row_number().over(Window.partitionBy(*CLIP).orderBy(order))
+    d = df.withColumn("_i", place).where(F.col("_i") <= k)
     return d.groupBy("clip_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))), lambda r: r["v"]).alias(out)
     )
@@ -283,12 +284,22 @@ def splice_only_message(windows: DataFrame) -> DataFrame:
     )
 
 
+def with_interval_texts(clips: DataFrame, intervals: DataFrame, boundaries: DataFrame, k: int = 4) -> DataFrame:
+    """Add ``ivs`` and ``marks``, the first ``k`` intervals and boundary times of a clip as texts; null where there are none."""
+    span = F.concat(F.col("t_start").cast("string"), F.lit("s–"), F.col("t_end").cast("string"), F.lit("s"))
+    ivs = first_values(intervals, span, "t_start", k, "ivs")
+    marks = first_values(boundaries, F.concat(F.col("t").cast("string"), F.lit("s")), "t", k, "marks")
+    return clips.join(ivs, "clip_id", "left").join(marks, "clip_id", "left")
+
+
 def interpretation(clips: DataFrame, intervals: DataFrame, windows: DataFrame) -> DataFrame:
     """One sentence per clip by category, naming up to three intervals and four boundaries."""
-    span = F.concat(F.col("t_start").cast("string"), F.lit("s–"), F.col("t_end").cast("string"), F.lit("s"))
-    ivs = first_values(intervals, span, "t_start", 3, "ivs")
-    marks = first_values(boundary_times(windows), F.concat(F.col("t").cast("string"), F.lit("s")), "t", 4, "marks")
-    d = clips.join(ivs, "clip_id", "left").join(marks, "clip_id", "left")
+    d = with_interval_texts(clips, intervals, boundary_times(windows))
+    return d.select("clip_id", "category", interpretation_text().alias("interpretation"))
+
+
+def interpretation_text() -> Column:
+    """The sentence from verdict columns and the lists ``ivs`` (its first three) and ``marks``."""
     index = F.concat(F.lit("(Anomaly Index: "), fixed("composite", 0), F.lit("%)"))
     markers = F.when(
         F.col("marks").isNotNull(),
@@ -303,7 +314,7 @@ def interpretation(clips: DataFrame, intervals: DataFrame, windows: DataFrame) -
     )
     spliced = F.concat(
         F.lit("Partial audio manipulation detected "), index,
-        F.lit(". Suspicious segments localized at: ["), F.array_join(F.coalesce("ivs", F.array().cast("array<string>")), ", "),
+        F.lit(". Suspicious segments localized at: ["), F.array_join(F.slice(F.coalesce("ivs", F.array().cast("array<string>")), 1, 3), ", "),
         F.lit("]."), markers,
         F.lit(
             " The spectral inconsistency indicator flagged abrupt acoustic environment changes "
@@ -319,8 +330,7 @@ def interpretation(clips: DataFrame, intervals: DataFrame, windows: DataFrame) -
             "across all time windows."
         ),
     )
-    text = F.when(F.col("category") == K.SYNTHETIC, synthetic).when(F.col("category") == K.SPLICED, spliced).otherwise(authentic)
-    return d.select("clip_id", "category", text.alias("interpretation"))
+    return F.when(F.col("category") == K.SYNTHETIC, synthetic).when(F.col("category") == K.SPLICED, spliced).otherwise(authentic)
 
 
 def timeline_axis(windows: DataFrame, clips: DataFrame) -> DataFrame:
