@@ -69,6 +69,28 @@ def test_leaks_of_every_length(n):
             assert list(item.matches([np.array(text, dtype=np.uint64)])) == [(0, 0, *want)] and want[0] <= k
 
 
+@pytest.mark.parametrize("n", [15, 30, 59, 80, 150, 400])
+@pytest.mark.parametrize("share", [0, 0.02, 0.05, 0.1, 0.2])
+def test_recall_of_walks(n, share):
+    """Walks over segments lead to the places that the exact search finds; nothing else is reported."""
+    rnd = random.Random(n)
+    found = 0
+    for _ in range(20):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(n)]
+        item = decontamination.Items([(7, " ".join(words))])
+        edited = _edited(rnd, words, int(share * n))
+        text = np.array([item.vocabulary.get(w, 0) for w in ["x"] * rnd.randrange(50) + edited + ["y"] * rnd.randrange(50)], dtype=np.uint64)
+        got = list(decontamination.Segments(item).matches([text]))
+        assert not got or got == list(item.matches([text]))
+        found += len(got)
+    assert found >= 18 and (share or found == 20)
+
+
+def test_exact_search_agrees(spark, small, documents):
+    items = spark.read.parquet(f"{small}/benchmark.parquet")
+    assert rows_of(decontamination.leaks(documents, items)) == rows_of(decontamination.leaks(documents, items, exact=True))
+
+
 def test_leaks_of_odd_rows(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven"), (2, None), (3, ""), (4, "x"), (None, "solo item here now")], "item_id long, text string")
     d = frame(spark, [(1, None), (2, ""), (None, "a one two three, FOUR five six seven!"), (5, "x"), (6, "solo item here now")], "item_id")

@@ -1,11 +1,26 @@
-"""Benchmark decontamination by unchanged pieces and edit verification.
+"""Benchmark decontamination by CGK embedding, bit-sampling LSH and edit verification.
 
 An item of n words leaks into a document where a run of its words is within
-floor(0.2 n) word edits of the item.  With k edits, one of k + 1 pieces of the
-item stands unchanged in the run and at most k words from its place, so the runs
-of a document that can be an item lie around such pieces; this loses nothing.
-There the edit distance decides, computed for all words of the item at once on
-the bits of one number.  The result is exact for items of any length.
+floor(0.2 n) word edits of the item.
+
+Items are cut into segments of at most SEGMENT words.  Of s segments one has at
+most a share of k div s of the k edits allowed, so an item is found where one of
+its segments is found within its own share.  Windows as long as a segment are
+embedded by random walks: at step j the walk writes the word it stands on and
+moves on by a random bit of (j, word), so runs at a small edit distance come out
+at a small Hamming distance.  A repetition is one walk of which SAMPLED steps are
+sampled; a window that agrees with a segment on all of them makes its place a
+candidate, and the edit distance of the whole item decides there.  The number of
+repetitions follows from the length and edits of a segment (``repetitions``), so
+that a segment with all of its edits is found with a probability of TARGET.
+
+Walks are taken only from places that can hold a segment.  With e edits, one of
+e + 1 pieces of the segment stands unchanged in the window and starts within e
+words of its place, so windows are taken from such places; this loses nothing.
+
+``exact=True`` verifies every place around an unchanged piece of an item instead:
+it misses nothing, takes longer on large benchmarks, and is what tests measure
+the recall against.
 
 Items are a query set: they go to the tasks in blocks of at most BLOCK_ITEMS,
 so what is sent at a time has a bound however large the benchmark is.
@@ -27,6 +42,14 @@ from voxledger.llm.work import packed, small_batches, unpacked
 #: Edits allowed per word of an item.
 SHARE = 0.2
 BLOCK_ITEMS = 10_000
+#: Words of a segment at most, sampled steps of a walk, probability of finding a segment with all its edits.
+SEGMENT = 30
+SAMPLED = 2
+TARGET = 0.999
+#: Measured; see repetitions.
+AGREE = 0.85
+WINDOWS_AT_ONCE = 4096
+SEED = 11
 _TOKEN = re.compile(r"\w+")
 
 
@@ -51,31 +74,52 @@ def edits(a: list[int], b: list[int], most: int) -> tuple[int, int, int]:
     return found
 
 
-class Items:
-    """One block of items, ready to be searched for; items of equal words are searched for once."""
+def repetitions(n: int, k: int) -> int:
+    """Walks to take for segments of n words with k edits.
 
-    def __init__(self, items: list[tuple[int, str]]):
-        same: dict[tuple[str, ...], list[int]] = {}
-        for i, text in items:
-            if t := tokens(text):
-                same.setdefault(tuple(t), []).append(i)
-        self.ids = list(same.values())
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in same for w in t}), 1)}
-        self.words = [[self.vocabulary[w] for w in t] for t in same]
-        self.most = [int(SHARE * len(t)) for t in self.words]
-        self.distinct = [frozenset(t) for t in self.words]
-        # by item and word, one bit for each place of the word
-        self.bits: list[dict[int, int]] = []
+    Out of 2 n steps, a walk over an edited run agrees with that over the segment on a
+    share that falls with the edits; measured on random words, two sampled steps agree
+    with a probability of at least AGREE to the power of 100 k / n.
+    """
+    return 1 if not k else int(np.ceil(np.log(1 - TARGET) / np.log(1 - AGREE ** (100 * k / n))))
+
+
+class Walks:
+    """Random walks, the same for segments and windows of n words."""
+
+    def __init__(self, n: int, walks: int, seed: int = SEED):
+        rng = np.random.default_rng((seed, n))
+        self.n = n
+        self.factors = rng.integers(1, 1 << 62, size=(walks, 2 * n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        # steps 0 to 2 n - 1 can be sampled: an undisturbed walk has passed all n words by then, on average
+        self.steps = rng.integers(0, 2 * n, size=(walks, SAMPLED))
+        self.mix = rng.integers(1, 1 << 62, size=SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def keys(self, x: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """(windows, walks) keys of windows of x from start on; x ends in as many zeros as a window has words."""
+        place = np.repeat(start[:, None], len(self.factors), axis=1)
+        last = place + self.n
+        key = np.zeros(place.shape, dtype=np.uint64)
+        for j in range(int(self.steps.max()) + 1):
+            word = np.where(place < last, x[np.minimum(place, len(x) - 1)], 0).astype(np.uint64) + np.uint64(1)
+            for s, mix in enumerate(self.mix):
+                hit = np.flatnonzero(self.steps[:, s] == j)
+                if len(hit):
+                    key[:, hit] += word[:, hit] * mix
+            place += (word * self.factors[:, j] >> np.uint64(63)).astype(np.int64)
+        return key
+
+
+class Pieces:
+    """Word lists, found where one of most + 1 pieces of them stands unchanged."""
+
+    def __init__(self, words: list[list[int]], most: list[int]):
         self.pieces: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
-        for k, (t, most) in enumerate(zip(self.words, self.most, strict=True)):
-            n, count = len(t), most + 1
+        for k, (t, m) in enumerate(zip(words, most, strict=True)):
+            n, count = len(t), m + 1
             for p in range(count):
                 a, b = p * n // count, (p + 1) * n // count
                 self.pieces.setdefault(b - a, {}).setdefault(tuple(t[a:b]), []).append((k, a))
-            bits: dict[int, int] = {}
-            for j, w in enumerate(t):
-                bits[w] = bits.get(w, 0) | 1 << j
-            self.bits.append(bits)
         # by length of the pieces, what the hash of a piece modulo 2**20 can be
         self.marks = {}
         for width, pieces in self.pieces.items():
@@ -90,17 +134,42 @@ class Items:
             h ^= h >> np.uint64(31)
         return (h >> np.uint64(44)).astype(np.int64)
 
-    def places(self, texts: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int]]]:
-        """By text and item, the parts of the text (word numbers) that hold every run within the allowed edits; they do not overlap."""
+    def hits(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """(text, list, place in the text where the list would start if nothing before the piece were edited)."""
         gap = np.zeros(max(self.marks, default=1), dtype=np.uint64)
         x = np.concatenate([part for t in texts for part in (t, gap)] or [gap])
         first = np.cumsum([0, *[len(t) + len(gap) for t in texts]])
-        found: dict[tuple[int, int], set[int]] = {}
         for width, marks in self.marks.items():
-            hits = np.flatnonzero(marks[self._slot(x, width)])
-            for at, i in zip(hits.tolist(), (np.searchsorted(first, hits, "right") - 1).tolist(), strict=True):
+            at_all = np.flatnonzero(marks[self._slot(x, width)])
+            for at, i in zip(at_all.tolist(), (np.searchsorted(first, at_all, "right") - 1).tolist(), strict=True):
                 for k, offset in self.pieces[width].get(tuple(x[at : at + width].tolist()), ()):
-                    found.setdefault((i, k), set()).add(at - int(first[i]) - offset)
+                    yield i, k, at - int(first[i]) - offset
+
+
+class Items:
+    """One block of items, ready to be searched for; items of equal words are searched for once."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        same: dict[tuple[str, ...], list[int]] = {}
+        for i, text in items:
+            if t := tokens(text):
+                same.setdefault(tuple(t), []).append(i)
+        self.ids = list(same.values())
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in same for w in t}), 1)}
+        self.words = [[self.vocabulary[w] for w in t] for t in same]
+        self.most = [int(SHARE * len(t)) for t in self.words]
+        self.distinct = [frozenset(t) for t in self.words]
+        self.search = Pieces(self.words, self.most)
+        # by item and word, one bit for each place of the word
+        self.bits: list[dict[int, int]] = []
+        for t in self.words:
+            bits: dict[int, int] = {}
+            for j, w in enumerate(t):
+                bits[w] = bits.get(w, 0) | 1 << j
+            self.bits.append(bits)
+
+    def places(self, found: dict[tuple[int, int], set[int]], texts: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """By text and item, the parts of the text that hold every run of the item that starts near one of the places found; they do not overlap."""
         out: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for (i, k), starts in found.items():
             n, most, parts = len(self.words[k]), self.most[k], []
@@ -145,23 +214,94 @@ class Items:
         return d, low + a, low + b
 
     def matches(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, distance, start, end): the nearest place of every item that leaks into one of texts (word numbers)."""
-        for (i, k), parts in sorted(self.places(texts).items()):
+        """(text, item, distance, start, end): the nearest place of every item that leaks into one of texts (word numbers); misses none."""
+        found: dict[tuple[int, int], set[int]] = {}
+        for i, k, at in self.search.hits(texts):
+            found.setdefault((i, k), set()).add(at)
+        return self.verified(found, texts)
+
+    def verified(self, found: dict[tuple[int, int], set[int]], texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
+        """Of the places found by text and item, the nearest of each within the allowed edits."""
+        for (i, k), parts in sorted(self.places(found, texts).items()):
             near = [(d, a + s, a + e) for a, b in parts if (got := self.nearest(k, texts[i][a:b].tolist())) for d, s, e in [got]]
             if near:
                 yield (i, k, *min(near))
 
 
-def _search(items: list[tuple[int, str]]):
+class Segments:
+    """The segments of a block of items, found in texts by walks; places are handed to the items for verification."""
+
+    def __init__(self, items: Items):
+        self.items = items
+        # a segment is an item of its own to the search for unchanged pieces; of is (item, offset) of those with these words and edits
+        self.of: list[list[tuple[int, int]]] = []
+        self.words: list[list[int]] = []
+        self.most: list[int] = []
+        numbers: dict[tuple, int] = {}
+        for k, words in enumerate(items.words):
+            count = -(-len(words) // SEGMENT)
+            for p in range(count):
+                a, b = p * len(words) // count, (p + 1) * len(words) // count
+                key = (tuple(words[a:b]), items.most[k] // count)
+                if key not in numbers:
+                    numbers[key] = len(self.of)
+                    self.of.append([])
+                    self.words.append(words[a:b])
+                    self.most.append(key[1])
+                self.of[numbers[key]].append((k, a))
+        self.search = Pieces(self.words, self.most)
+        by_length: dict[int, int] = {}
+        for words, most in zip(self.words, self.most, strict=True):
+            by_length[len(words)] = max(by_length.get(len(words), 1), repetitions(len(words), most))
+        self.walks = {n: Walks(n, count) for n, count in by_length.items()}
+        self.found: dict[tuple[int, int, int], list[int]] = {}
+        for k, words in enumerate(self.words):
+            n = len(words)
+            x = np.array(words + [0] * n, dtype=np.uint64)
+            for r, key in enumerate(self.walks[n].keys(x, np.zeros(1, dtype=np.int64))[0].tolist()):
+                self.found.setdefault((n, r, key), []).append(k)
+
+    def candidates(self, texts: list[np.ndarray]) -> set[tuple[int, int, int]]:
+        """(text, item, place in the text where the item would start)."""
+        windows: dict[int, set[tuple[int, int]]] = {}
+        for i, k, at in self.search.hits(texts):
+            most = self.most[k]
+            windows.setdefault(len(self.words[k]), set()).update((i, s) for s in range(max(0, at - most), min(len(texts[i]), at + most + 1)))
+        out: set[tuple[int, int, int]] = set()
+        for n, places in windows.items():
+            some = sorted(places)
+            which = sorted({i for i, _ in some})
+            first = dict(zip(which, np.cumsum([0, *[len(texts[i]) + n for i in which]])[:-1].tolist(), strict=True))
+            x = np.concatenate([part for i in which for part in (texts[i], np.zeros(n, dtype=np.uint64))])
+            walks = self.walks[n]
+            step = max(1, WINDOWS_AT_ONCE * 64 // len(walks.factors))
+            for a in range(0, len(some), step):
+                part = some[a : a + step]
+                keys = walks.keys(x, np.array([first[i] + s for i, s in part]))
+                for (i, s), row in zip(part, keys.tolist(), strict=True):
+                    for k in {k for r, key in enumerate(row) for k in self.found.get((n, r, key), ())}:
+                        out.update((i, item, s - offset) for item, offset in self.of[k])
+        return out
+
+    def matches(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, distance, start, end): the nearest place of every item that a segment led to."""
+        found: dict[tuple[int, int], set[int]] = {}
+        for i, k, start in self.candidates(texts):
+            found.setdefault((i, k), set()).add(start)
+        return self.items.verified(found, texts)
+
+
+def _search(items: list[tuple[int, str]], exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Items(items)
+        matches = block.matches if exact else Segments(block).matches
         get = block.vocabulary.get
         for b in batches:
             ids, hashes = b.column("id").to_pylist(), b.column("text_hash").to_pylist()
             texts = [np.array([get(w, 0) for w in tokens(t.as_py())], dtype=np.uint64) for t in b.column("text")]
             out = [
                 (ids[i], hashes[i], item, a, e - a, len(block.words[k]), d)
-                for i, k, d, a, e in block.matches(texts) for item in block.ids[k]
+                for i, k, d, a, e in matches(texts) for item in block.ids[k]
             ]
             columns = list(zip(*out, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
@@ -174,7 +314,7 @@ _LEAK = ["doc_id", "text_hash", "item_id", "start_word", "n_words", "item_words"
 _LEAK_DDL = "doc_id long, text_hash long, item_id long, start_word int, n_words int, item_words int, distance int"
 
 
-def leaks(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS, exact: bool = False) -> DataFrame:
     """One row per document and benchmark item found in it, with the nearest place and its distance in word edits.
 
     docs has doc_id and text, items has item_id and text.  Null and empty texts
@@ -193,7 +333,7 @@ def leaks(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) ->
     found = []
     for k in range(blocks):
         block = [(r[0], r[1]) for r in query.where(number == k).collect()]
-        found.append(d.mapInArrow(_search(sorted(block, key=lambda r: (r[0] is None, r[0] or 0, r[1]))), _LEAK_DDL))
+        found.append(d.mapInArrow(_search(sorted(block, key=lambda r: (r[0] is None, r[0] or 0, r[1])), exact), _LEAK_DDL))
     return reduce(DataFrame.union, found)
 
 
