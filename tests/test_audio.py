@@ -275,3 +275,15 @@ def test_hot_clip_gives_the_same_verdict(spark, files, prepared, features, hot):
 def test_segments_are_kept_by_files(spark, prepared):
     assert "seg" in prepared.frames.columns
     assert with_segments(prepared.frames, ["clip_id"], "frame_id").columns == prepared.frames.columns
+
+
+def test_failed_windows_keep_the_job_going(spark):
+    """A window without usable samples has no frames and a reason; the others are as without it."""
+    from voxledger.operators import frames as FR
+
+    good = [float(v) for v in 0.1 * np.sin(np.arange(8000) / 9)]
+    rows = [("a", 0, 0, good), ("a", 1, 0, []), ("a", 2, 0, [float("nan")] * 100), ("a", 3, 0, None), ("a", 4, 0, good)]
+    d = spark.createDataFrame(rows, "clip_id string, window_id long, seg int, xs array<double>")
+    got = {r.window_id: r for r in FR.window_frames(d).collect()}
+    assert [got[k].error is None for k in range(5)] == [True, False, False, False, True]
+    assert not got[1].frames and got[1].phase_var is None and got[0].frames == got[4].frames and len(got[0].frames) > 10

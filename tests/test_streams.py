@@ -124,6 +124,19 @@ def test_ingest_takes_each_content_once(spark, tmp_path):
     assert got.count() == 2 and got.select("content_md5").distinct().count() == 2
 
 
+def test_ingest_over_three_batches_reads_kept_files_again(spark, tmp_path):
+    """Duplicates within and across batches are dropped by digest; bytes come from the kept paths, odd names included."""
+    x = 0.1 * np.sin(np.arange(4000))
+    names = {"a [1].wav": wav_bytes(x), "b{2}.wav": wav_bytes(-x), "c.wav": wav_bytes(x), "d.wav": wav_bytes(-x), "e*.wav": wav_bytes(0.5 * x)}
+    for name, data in names.items():
+        (tmp_path / name).write_bytes(data)
+    stream = S.ingest_recordings(spark, str(tmp_path), files_per_batch=2)
+    assert "content" not in stream.columns
+    got = []
+    S.run_to_end(stream, lambda batch, _: got.extend(S.with_content(spark, batch).select("content", "content_md5").collect()), str(tmp_path.parent / "steps"))
+    assert {bytes(r.content) for r in got} == set(names.values()) and len(got) == 3
+
+
 def test_quality_metrics_are_observed(spark):
     from pyspark.sql import Observation
 

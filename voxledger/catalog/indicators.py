@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxledger.catalog.bindings import b_pitch, b_samples, b_vec_windows, oracle, sql_round
-from voxledger.catalog.registry import query
+from voxledger.catalog.registry import SQL, query
 from voxledger.operators import indicators as I
 from voxledger.operators import prepare as P
 from voxledger.operators.frames import spectra_of
@@ -223,20 +223,18 @@ def _ind14(spark, sf):
     return d.select(*I.WINDOW, I.prosody_score(*c).alias("prosody_score"), F.concat_ws("; ", *I.prosody_checks(*c)).alias("checks"))
 
 
+_SCORES = {name: SQL[query_name] for name, query_name in (("vo", "ind4_vocoder_score"), ("se", "ind8_9_10_spectral_score"), ("pr", "ind14_16_17_prosody_score"))}
+
+
 @query(
     "ind17_fallback_scores",
-    oracle(
-        """SELECT pi0.clip_id, pi0.window_id, 25e0 AS vocoder_score, 15e0 AS spectral_score, coalesce(CASE WHEN n > 8 THEN round(entropy,6) END, 25e0)+0e0 AS prosody_score
- FROM pi0 LEFT JOIN eb USING (clip_id, window_id)""",
-        "b_pitch", "b_frames", ctes=_PITCH,
-    ),
+    f"""SELECT clip_id, window_id, coalesce(vocoder_score, 25e0) AS vocoder_score, coalesce(score0, 15e0) AS spectral_score, coalesce(prosody_score, 25e0) AS prosody_score,
+ coalesce(boundary_detected, false) AS boundary_detected
+ FROM ({_SCORES['vo']}) vo FULL JOIN ({_SCORES['pr']}) pr USING (clip_id, window_id) FULL JOIN ({_SCORES['se']}) se USING (clip_id, window_id)""",
 )
 def _ind17(spark, sf):
-    p = windowed_pitch(spark, sf)
-    e = I.binned_entropy(p.where("voiced"), I.WINDOW)
-    null = F.lit(None).cast("double")
-    d = p.select(*I.WINDOW).distinct().join(e, I.WINDOW, "left").select(
-        *I.WINDOW, null.alias("vocoder_score"), null.alias("spectral_score"),
-        F.when(F.col("n") > 8, F.round("entropy", 6) + F.lit(0.0)).alias("prosody_score"),
-    )
-    return I.fallback_scores(d)
+    """All windows that any indicator saw; one that has no result of an indicator gets its fallback."""
+    vocoder, prosody = _ind4(spark, sf).drop("checks"), _ind14(spark, sf).drop("checks")
+    spectral = _ind8(spark, sf).select(*I.WINDOW, F.col("score0").alias("spectral_score"), "boundary_detected")
+    d = vocoder.join(prosody, I.WINDOW, "full_outer").join(spectral, I.WINDOW, "full_outer")
+    return I.fallback_scores(d.withColumn("boundary_detected", F.coalesce("boundary_detected", F.lit(False))))

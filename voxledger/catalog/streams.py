@@ -66,6 +66,15 @@ def _str4(spark, sf):
     )
 
 
+@query(
+    "str5_ingest",
+    oracle("SELECT md5(text) AS content_md5, min(path) AS path, any_value(length) AS length, count(*) AS copies FROM b_recordings GROUP BY 1", "b_recordings"),
+)
+def _str5(spark, sf):
+    files = b_recordings(spark, sf).withColumn("modificationTime", F.lit("2026-01-31 12:00:00").cast("timestamp"))
+    return S.ingested(files).drop("modificationTime")
+
+
 @query("str6_active_counts", oracle("SELECT status, count(*) AS n FROM jb GROUP BY 1", "b_jobs", ctes=_JOBS))
 def _str6(spark, sf):
     return S.active_counts(S.latest_progress(b_jobs(spark, sf)))

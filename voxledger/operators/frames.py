@@ -233,7 +233,8 @@ def window_frames(windows: DataFrame, voiced_below: float = 0.2) -> DataFrame:
     """Scan windows ``(clip_id, window_id, xs)`` to one row each with its frames and phase variance.
 
     The window is transformed on its own, zero outside, so that frames at its
-    edges see no neighbouring sound.
+    edges see no neighbouring sound.  A window whose transforms fail, by whatever
+    its samples hold, has no frames and says why in ``error``; the job goes on.
     """
     first = int(K.HF_BAND_HZ * 1024 // K.SAMPLE_RATE) + 1
 
@@ -257,9 +258,18 @@ def window_frames(windows: DataFrame, voiced_below: float = 0.2) -> DataFrame:
         }
         return fields, float(phase.var())
 
+    def tried(x) -> tuple[dict, float | None, str | None]:
+        try:
+            samples = np.asarray(x, dtype=float)
+            if samples.ndim != 1 or not len(samples) or not np.isfinite(samples).all():
+                raise ValueError("window without finite samples")
+            return *one(samples), None
+        except (ValueError, ArithmeticError, IndexError, TypeError, np.linalg.LinAlgError) as failed:
+            return {n: [] for n in kinds}, None, f"{type(failed).__name__}: {failed}"
+
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        done = [one(np.asarray(x, dtype=float)) for x in pdf["xs"]]
-        out = pdf.drop(columns="xs").assign(phase_var=[d[1] for d in done])
+        done = [tried(x) for x in pdf["xs"]]
+        out = pdf.drop(columns="xs").assign(phase_var=[d[1] for d in done], error=[d[2] for d in done])
         return out.assign(**{n: [d[0][n] for d in done] for n in kinds})
 
     keep = [c for c in windows.columns if c != "xs"]
@@ -267,10 +277,10 @@ def window_frames(windows: DataFrame, voiced_below: float = 0.2) -> DataFrame:
         "frame_id": "bigint", "hf_step": "double", "hf_mean": "double", "mag_max": "double", "mag_median": "double",
         "centroid": "double", "rms": "double", "mfcc": "array<double>", "f0": "double", "voiced": "boolean",
     }
-    schema = f"{_key(windows, *keep)}, phase_var double, " + ", ".join(f"{n} array<{k}>" for n, k in kinds.items())
+    schema = f"{_key(windows, *keep)}, phase_var double, error string, " + ", ".join(f"{n} array<{k}>" for n, k in kinds.items())
     fields = F.transform("f0", lambda v: F.nullif(v, F.lit(float("nan")))).alias("f0")
     zipped = F.arrays_zip(*[fields if n == "f0" else F.col(n) for n in kinds]).alias("frames")
-    return _map(windows.select(*keep, "xs"), fn, schema).select(*keep, zipped, "phase_var")
+    return _map(windows.select(*keep, "xs"), fn, schema).select(*keep, zipped, "phase_var", "error")
 
 
 # peak picking in frames at hop 256 (30 ms before, 100 ms around): a frame is an

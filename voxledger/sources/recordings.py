@@ -77,10 +77,14 @@ def dedup_by_content(df: DataFrame, content: str = "content", key: str = "clip_i
 
 
 def compute_once(df: DataFrame, content: str = "content", key: str = "clip_id") -> DataFrame:
-    """One recording per distinct content, found by aggregation."""
+    """One recording per distinct content: that with the smallest key.
+
+    Keys and digests alone are grouped.  The recordings that are kept are found
+    by key and digest, so bytes are moved once at most.
+    """
     rest = [c for c in df.columns if c not in (key, content)]
     d = df.withColumn("content_md5", F.md5(F.col(content)))
-    canon = d.groupBy("content_md5").agg(F.min(key).alias(key))
+    canon = d.select(key, "content_md5").groupBy("content_md5").agg(F.min(key).alias(key))
     return d.join(canon, ["content_md5", key], "left_semi").select(key, content, *rest, "content_md5")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -178,19 +179,37 @@ BINARY_FILE = T.StructType(
 )
 
 
+def arrivals(files: DataFrame) -> DataFrame:
+    """Files as ``path, modificationTime, length, content_md5``: what comes after keeps no bytes, in shuffles or in state."""
+    return files.select("path", "modificationTime", "length", F.md5("content").alias("content_md5"))
+
+
 def ingest_recordings(spark: SparkSession, path: str, files_per_batch: int = 1000, late: str = "1 hour") -> DataFrame:
-    """New recordings as they arrive, each content once within the watermark."""
+    """New recordings as they arrive, each content once within the watermark; ``with_content`` reads those that are kept."""
     files = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch).load(path)
     )
-    return (
-        files.withColumn("content_md5", F.md5("content"))
-        .withWatermark("modificationTime", late)
-        .dropDuplicatesWithinWatermark(["content_md5"])
+    return arrivals(files).withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["content_md5"])
+
+
+def ingested(files: DataFrame) -> DataFrame:
+    """The batch twin: of each content the first path, the latest change, and how often it came."""
+    return arrivals(files).groupBy("content_md5").agg(
+        F.min("path").alias("path"), F.max("modificationTime").alias("modificationTime"), F.first("length").alias("length"), F.count(F.lit(1)).alias("copies")
     )
 
 
+def with_content(spark: SparkSession, batch: DataFrame) -> DataFrame:
+    """Bytes of the files of one micro-batch, read again; a batch has at most ``files_per_batch`` rows."""
+    paths = [r["path"] for r in batch.select("path").collect()]
+    if not paths:
+        return batch.withColumn("content", F.lit(None).cast("binary")).limit(0)
+    # names may hold what a pattern would take for a wildcard
+    files = spark.read.format("binaryFile").load([re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths])
+    return batch.join(files.select("path", "content"), "path")
+
+
 def with_quality_metrics(df: DataFrame, name: str | Observation, rejected: str = "reject_reason") -> DataFrame:
     """Count rows and rejects while the query runs (``observe``)."""
     return df.observe(
