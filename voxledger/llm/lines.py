@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxledger.llm.work import SPACE_CHARS, SPACES, let, scratch, stored, words
+from voxledger.llm.work import SPACE_CHARS, SPACES, bitmap_of, let, maybe_in, scratch, stored, words
 
 FIELD = "<*>"
 #: A word with a digit or an @, or a link; tried at the beginnings of words only, without backtracking.
@@ -92,24 +92,30 @@ def recurring_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS)
             (F.col("wild") | F.col("known").isNull()).alias("wild"),
         )
     kept = counted.join(often_in(counted, "leaf"), "leaf")
-    texts = own.groupBy(_key(F.col("line")).alias("key")).agg(F.first("line").alias("line"))
+    kept = stored(kept, scratch(docs.sparkSession))
+    # of the texts, only those of lines that are left are shuffled, and the few that a bitmap cannot tell from them
+    own = maybe_in(own.withColumn("key", _key(F.col("line"))), F.col("key"), bitmap_of(kept, "key"))
+    texts = own.groupBy("key").agg(F.first("line").alias("line"))
     # few lines are left; what follows reads them several times
-    lines = stored(kept.join(texts, "key"), scratch(docs.sparkSession)).select("leaf", "docs", "wild", "key", "n", words(F.col("line")).alias("w"))
+    lines = stored(kept.join(texts, "key"), scratch(docs.sparkSession), compression="zstd").select("leaf", "docs", "wild", "key", "n", words(F.col("line")).alias("w"))
 
     # a word at its place in a leaf is a number; it is even for the first DEPTH words, so two numbers a word are all that is shuffled
     number = F.xxhash64("leaf", "place", "word").bitwiseAND(F.lit(-2)) + F.when(F.col("place") < DEPTH, 0).otherwise(1)
-    at = lines.select("leaf", "docs", "key", "n", F.posexplode("w").alias("place", "word")).where(F.col("word") != FIELD)
-    at = at.select("docs", "key", "n", number.alias("word"))
-    constant = at.groupBy("word").agg(F.sum("n").alias("here"), F.first("docs").alias("docs")).where(F.col("here") >= min_docs)
-    constant = constant.select("word", (F.col("here") >= USUAL * F.col("docs")).alias("usual"))
-    # per line and kind of template, its constant words
-    kinds = F.when(F.col("usual"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    template = at.select("key", "word").join(constant, "word").select("key", "word", F.explode(kinds).alias("relative"))
-    template = template.groupBy("key", "relative").agg(
-        F.xxhash64(F.sort_array(F.collect_list("word"))).alias("template"), F.count(F.lit(1)).alias("fixed"),
-        F.count_if(F.col("word").bitwiseAND(F.lit(1)) == 1).alias("fixed_after"),
+    at = lines.select("leaf", "key", "n", F.posexplode("w").alias("place", "word")).where(F.col("word") != FIELD)
+    at = at.select("key", "n", number.alias("word"))
+    # what is constant has its bit in a bitmap, so that of the words of all lines few others are shuffled a second time
+    constant = stored(at.groupBy("word").agg(F.sum("n").alias("here")).where(F.col("here") >= min_docs), scratch(docs.sparkSession))
+    at = maybe_in(at.select("key", "word"), F.col("word"), bitmap_of(constant, "word"))
+    # per line its constant words, and of these the usual ones: the two kinds of template
+    fixed = at.join(constant, "word").groupBy("key").agg(F.collect_list(F.struct("word", "here")).alias("fixed"))
+    template = fixed.join(lines.select("leaf", "docs", "wild", "key", "n", F.size("w").alias("size")), "key")
+    usual = F.filter("fixed", lambda f: f["here"] >= USUAL * F.col("docs"))
+    kind = "struct<relative: boolean, fixed: array<struct<word: bigint, here: bigint>>>"
+    kinds = F.array(F.struct(F.lit(False), F.col("fixed")).cast(kind), F.struct(F.lit(True), usual).cast(kind))
+    template = template.select("leaf", "wild", "key", "n", "size", F.inline(kinds)).where(F.size("fixed") > 0).select(
+        "leaf", "wild", "key", "n", "size", "relative", F.xxhash64(F.sort_array(F.col("fixed.word"))).alias("template"), F.size("fixed").alias("fixed"),
+        F.size(F.filter("fixed", lambda f: f["word"].bitwiseAND(F.lit(1)) == 1)).alias("fixed_after"),
     )
-    template = template.join(lines.select("leaf", "wild", "key", "n", F.size("w").alias("size")), "key")
     after = F.col("size") - DEPTH
     holds = (after > 0) & (F.col("fixed_after") >= CONSTANT_SHARE * after)
     template = template.where((F.col("fixed") >= CONSTANT_SHARE * F.col("size")) & (holds | ~(F.col("wild") | F.col("relative"))))

@@ -84,6 +84,30 @@ def word_blocks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     yield text[start:].split()
 
 
+#: Bits of a bitmap of hashes, in chunks of CHUNK_BITS; a whole one is 16 MB, however many hashes it holds.
+BITMAP_BITS, CHUNK_BITS = 1 << 27, 1 << 15
+
+
+def _bit(key: Column) -> Column:
+    return F.pmod(key, F.lit(BITMAP_BITS))
+
+
+def bitmap_of(df: DataFrame, key: str) -> DataFrame:
+    """At most BITMAP_BITS / CHUNK_BITS rows of 4 kB: a bit for each hash in the column."""
+    bit = _bit(F.col(key))
+    chunks = df.select(F.floor(bit / CHUNK_BITS).alias("_chunk"), (bit % CHUNK_BITS).alias("_bit"))
+    return chunks.groupBy("_chunk").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
+    """Rows whose hash may be one of the bitmap's: none of those is lost, a few others stay, in a large corpus more of them."""
+    bit = _bit(key)
+    d = df.withColumn("_at", bit).withColumn("_chunk", F.floor(bit / CHUNK_BITS))
+    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_at % 32768 div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    set_ = F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return d.join(F.broadcast(bitmap), "_chunk").where(set_).select(*df.columns)
+
+
 def packed(df: DataFrame, outputs: list[str], name: str = "_row") -> tuple[Column, list[str]]:
     """All columns in one struct, so that working columns cannot clash with them.
 
