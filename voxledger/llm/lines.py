@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxledger.llm.work import SPACE_CHARS, SPACES, bitmap_of, let, maybe_in, scratch, stored, words
+from voxledger.llm.work import SPACE_CHARS, SPACES, bitmap_of, let, maybe_flag, maybe_in, scratch, stored, words
 
 FIELD = "<*>"
 #: A word with a digit or an @, or a link; tried at the beginnings of words only, without backtracking.
@@ -135,14 +135,20 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFr
     # joins would add these filters, but only to some uses; with them in all, equal parts of the plan share exchanges
     table = stored(line_table(docs), scratch(docs.sparkSession)).where("line IS NOT NULL")
     d = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
-    gone = (
-        table.select("text_hash", "at", "line").join(recurring_lines(docs, table, min_docs), "line", "left_semi")
-        .groupBy("text_hash").agg(F.collect_set("at").alias("gone"))
+    # bitmaps tell which lines and texts can be concerned; only these are shuffled, the texts of all others stay where they are read
+    recurring = stored(recurring_lines(docs, table, min_docs), scratch(docs.sparkSession))
+    concerned = maybe_in(table.select("text_hash", "at", "line"), F.col("line"), bitmap_of(recurring, "line"))
+    gone = stored(
+        concerned.join(recurring, "line", "left_semi").groupBy("text_hash").agg(F.collect_set("at").alias("gone")), scratch(docs.sparkSession)
+    )
+    d = maybe_flag(d, F.col("text_hash"), bitmap_of(gone, "text_hash"), "maybe")
+    d = d.where("maybe").join(gone, "text_hash", "left").select("doc_id", "text", "gone").unionByName(
+        d.where("NOT maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone"))
     )
     lines = F.when(text.isNotNull(), F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
     gone_here = F.coalesce("gone", F.array().cast("array<int>"))
     keeps = lambda x: F.filter(x, lambda v, i: ~F.array_contains(gone_here, i))
-    return d.join(gone, "text_hash", "left").select(
+    return d.select(
         "doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(gone_here).cast("long").alias("n_dropped"),
         F.array_join(keeps(lines), "\n").alias("kept_text"),
     )

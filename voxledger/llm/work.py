@@ -99,13 +99,17 @@ def bitmap_of(df: DataFrame, key: str) -> DataFrame:
     return chunks.groupBy("_chunk").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
 
 
+def maybe_flag(df: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFrame:
+    """Add a boolean: whether a row's hash may be one of the bitmap's; it never denies one that is."""
+    d = df.withColumn("_at", _bit(key)).withColumn("_chunk", F.floor(F.col("_at") / CHUNK_BITS))
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, CAST(_at % {CHUNK_BITS} div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    found = F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return d.join(F.broadcast(bitmap), "_chunk", "left").select(*df.columns, F.coalesce(found, F.lit(False)).alias(name))
+
+
 def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
     """Rows whose hash may be one of the bitmap's: none of those is lost, a few others stay, in a large corpus more of them."""
-    bit = _bit(key)
-    d = df.withColumn("_at", bit).withColumn("_chunk", F.floor(bit / CHUNK_BITS))
-    byte = F.conv(F.hex(F.expr("substring(_bits, CAST(_at % 32768 div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    set_ = F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return d.join(F.broadcast(bitmap), "_chunk").where(set_).select(*df.columns)
+    return maybe_flag(df, key, bitmap, "_maybe").where("_maybe").select(*df.columns)
 
 
 def packed(df: DataFrame, outputs: list[str], name: str = "_row") -> tuple[Column, list[str]]:
