@@ -42,7 +42,7 @@ SCALE = 1_000_000_000
 MIN_DOCS = 3
 TOP_TERMS = 200
 #: Distinct (group, chunk) that a task counts before it passes them on.
-HELD = 400_000
+HELD = 600_000
 #: Sources of one block of pairs.
 TILE = 128
 
@@ -151,11 +151,18 @@ def _cut_chunks(min_docs: int):
             for chunk, lang, one, two, sources in zip(chunks, *others):
                 if chunk != last:
                     last, terms = chunk, _TERM_BYTES.findall(chunk)
+                if not terms:
+                    continue
                 parts = sources.split(b"\0")
-                for k, term in enumerate(terms):
+                counted = [(source, int(n)) for source, n in zip(parts[::2], parts[1::2])]
+                for term in terms:
                     fact = held.get((lang, term))
                     if fact is None:
-                        fact = held[lang, term] = [False, set(), {}]
+                        held[lang, term] = fact = [False, set(), dict(counted)]
+                    else:
+                        counts = fact[2]
+                        for source, n in counted:
+                            counts[source] = counts.get(source, 0) + n
                     if not fact[0]:
                         if one is None:
                             fact[0] = True
@@ -164,10 +171,7 @@ def _cut_chunks(min_docs: int):
                             if two is not None:
                                 fact[1].add(two)
                             fact[0] = len(fact[1]) >= min_docs
-                    counts = fact[2]
-                    for i in range(0, len(parts) - 1, 2):
-                        counts[parts[i]] = counts.get(parts[i], 0) + int(parts[i + 1])
-            if len(held) > HELD // 4:
+            if len(held) > HELD // 6:
                 yield passed_on(held)
                 held = {}
         if held:
