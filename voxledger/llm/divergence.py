@@ -42,7 +42,7 @@ SCALE = 1_000_000_000
 MIN_DOCS = 3
 TOP_TERMS = 200
 #: Distinct (group, chunk) that a task counts before it passes them on.
-HELD = 600_000
+HELD = 400_000
 #: Sources of one block of pairs.
 TILE = 128
 
@@ -171,7 +171,7 @@ def _cut_chunks(min_docs: int):
                             if two is not None:
                                 fact[1].add(two)
                             fact[0] = len(fact[1]) >= min_docs
-            if len(held) > HELD // 6:
+            if len(held) > HELD // 4:
                 yield passed_on(held)
                 held = {}
         if held:
