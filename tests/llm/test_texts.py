@@ -172,6 +172,33 @@ def test_main_text_in_wrappers():
     assert htmltext.main_text(f"<div><p>{other}</p></div><div class='ad'>x</div>") == other.strip()
 
 
+PROSE = "The first of the things that are in the article is that it was long and that there is more to be said of it."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='wrap overflow-hidden'><article><p>{}</p></article></div>",
+        "<div class='wrap overflow-hidden'><p>{}</p></div>",
+        "<article data-title='The hidden cost'><p>{}</p></article>",
+        "<article class='post comments-open'><p>{}</p></article>",
+        "<p title='the hidden truth'>{}</p>",
+        "<p data-style='display:none'>{}</p>",
+        "<p class='skip-lazy'>{}</p>",
+        "<main class='page-with-comments no-footer'><p>{}</p></main>",
+        "<div class='modal-content'><p>{}</p></div>",
+        "<div class=nav-wrapper><div class='menu-body'><article><p>{}</p></article></div></div>",
+        "<div class='menu'><a href=1>x</a></div><div id='footer'><article><p>{}</p></article></div>",
+        "<div CLASS='footer'>{0}</div><div Hidden>{0}</div><p style='color:red; DISPLAY : none'>{0}</p><div role='main'>{0}</div>",
+        "<article>{0}</article><div class='site-footer'>{0}</div><div class='comment-list'><article>{0} {0} {0}</article></div>",
+        "<article>{0}</article><div class='cookie-banner'><p>{0}</p></div><span class='visually-hidden'>{0}</span>",
+        "<article><p>{0}</p><div class='hidden'><p>{0}</p></div><div id='disqus_thread'>{0}{0}{0}</div></article>",
+    ],
+)
+def test_names_of_elements(page):
+    assert htmltext.main_text(page.format(PROSE)) == PROSE
+
+
 def test_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet")
     got = {r.page_id: r.text for r in htmltext.extracted(pages).collect()}

@@ -46,15 +46,19 @@ _HINTS = frozenset(
     "widget widgets menu menus nav navbar navigation navi breadcrumb breadcrumbs footer foot masthead topbar toolbar comment "
     "comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification alert popup modal "
     "overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations "
-    "outbrain taboola pagination pager copyright legal disclaimer skip hidden complementary contentinfo dialog".split()
+    "outbrain taboola pagination pager copyright legal disclaimer skip complementary contentinfo dialog".split()
 )
-#: Of these, the names below which an article is none.
+#: Of these, the names below which an article is none, but in a wrapper.
 _FIRM = frozenset(
-    "comment comments commentlist disqus reply replies respond menu menus nav navbar navigation navi breadcrumb breadcrumbs footer "
-    "foot contentinfo complementary hidden cookie cookies consent gdpr dialog popup modal".split()
+    "menu menus nav navbar navigation navi breadcrumb breadcrumbs footer foot contentinfo complementary cookie cookies consent gdpr "
+    "dialog popup modal".split()
 )
-#: Names that tell what the page has or lacks, not what the element is.
-_ABOUT = re.compile(r"(?:has|no|with|without)[-_]")
+#: Of these, the names of what readers wrote, where an article is a comment.
+_COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Whole class names of what is not shown; as a part of a name (overflow-hidden) the word says nothing.
+_UNSEEN = frozenset("hidden is-hidden u-hidden visually-hidden visuallyhidden".split())
+#: Names that tell what the page has or lacks, or the state of an element, not what it is.
+_ABOUT = re.compile(r"(?:^|[-_])(?:has|no|with|without)[-_]|[-_](?:open|opened|closed|enabled|disabled|allowed|active|inactive|lazy|free)$")
 #: Share of the text of a page from which an element is a wrapper, whatever its name.
 MOST = 0.5
 _TOKEN = re.compile(
@@ -62,8 +66,8 @@ _TOKEN = re.compile(
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDING = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _NAME = re.compile(r"[^a-z0-9]+")
 _STOP = frozenset(STOP_WORDS)
 _EDGE = ".,;:!?()[]\"'«»„“”#*$%&|<>"
@@ -77,41 +81,73 @@ class Block:
 
 
 #: Where content stands: the place, and the hinted elements around it, outside and inside of the innermost article.
-_Where = tuple[str, tuple[int, ...], tuple[int, ...]]
+#: A hinted element is its number and how firmly its name tells: 0 a hint, 1 a firm part of a name, 2 a firm name.
+_Marks = tuple[tuple[int, int], ...]
+_Where = tuple[str, _Marks, _Marks]
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes by lower-case name; the first of a name counts."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return out
 
 
 def _place(tag: str, attributes: str, outer: _Where, number: int) -> _Where:
     """Where the content of an element stands; number is that of the element."""
     place, outside, inside = outer
-    if place == "dropped" or tag in _DROPPED or (tag == "header" and place != "main") or _HIDING.search(attributes):
+    if place == "dropped" or tag in _DROPPED or (tag == "header" and place != "main"):
         return "dropped", (), ()
-    hinted: tuple[int, ...] = ()
+    hinted: _Marks = ()
     if attributes and tag not in ("html", "body"):
-        whole = [n for _, v in _ATTRIBUTE.findall(attributes) for n in v.lower().strip("\"'").split() if not _ABOUT.match(n)]
-        names = [n for w in whole for n in _NAME.split(w)]
-        if "main" in names and re.search(r"role\s*=\s*[\"']?main", attributes, re.I):
+        given = _attributes(attributes)
+        if "hidden" in given or _NOT_SHOWN.search(given.get("style", "")):
+            return "dropped", (), ()
+        whole = {n for a in ("class", "id", "role") for n in given.get(a, "").lower().split() if not _ABOUT.search(n)}
+        names = {n for w in whole for n in _NAME.split(w)}
+        if given.get("role", "").lower().strip() == "main":
             return "main", outside + inside, ()
-        if not _FIRM.isdisjoint(names):
+        if not _UNSEEN.isdisjoint(whole) or not _COMMENTS.isdisjoint(names):
             return "dropped", (), ()
-        if not _HINTS.isdisjoint(names):
-            hinted = (number,)
+        if not _FIRM.isdisjoint(names):
+            hinted = ((number, 1 if _FIRM.isdisjoint(whole) else 2),)
+        elif not _HINTS.isdisjoint(names):
+            hinted = ((number, 0),)
     if tag in _MAIN:
         return "main", outside + inside + hinted, ()
     return place, outside, inside + hinted
 
 
 def _settled(found: list[tuple[str, int, _Where]]) -> list[Block]:
-    """Blocks with their places: hinted elements are dropped unless they hold most of the text or the only article."""
+    """Blocks with their places: hinted elements are dropped unless they hold most of the text or the only article.
+
+    Elements of firm names are dropped with any article in them unless they hold most of the text and an article
+    besides; a name of which only a part is firm may do without one where the page has none.
+    """
     held: dict[int, int] = {}
+    firm: dict[int, int] = {}
+    around: set[int] = set()
     for text, _, (_, outside, inside) in found:
-        for number in {*outside, *inside}:
+        for number, degree in {*outside, *inside}:
             held[number] = held.get(number, 0) + len(text)
+            if degree:
+                firm[number] = degree
+        around.update(number for number, _ in outside)
     total = sum(len(text) for text, _, where in found if where[0] != "dropped")
-    bad = {number for number, n in held.items() if n <= MOST * total}
-    clear = any(p == "main" and bad.isdisjoint(o) and bad.isdisjoint(i) for _, _, (p, o, i) in found)
+    has_main = any(where[0] == "main" for _, _, where in found)
+    gone = {n for n, d in firm.items() if held[n] <= MOST * total or not (n in around or d == 1 and not has_main)}
+    left = [(t, k, ("dropped", (), ()) if any(n in gone for n, _ in w[1] + w[2]) else w) for t, k, w in found]
+    total = sum(len(text) for text, _, where in left if where[0] != "dropped")
+    bad = {n for n, size in held.items() if n not in firm and size <= MOST * total}
+
+    def free(marks: _Marks) -> bool:
+        return all(n not in bad for n, _ in marks)
+
+    clear = any(p == "main" and free(o + i) for _, _, (p, o, i) in left)
     return [
-        Block(text, links, place if bad.isdisjoint(inside) and (bad.isdisjoint(outside) or not clear) else "dropped")
-        for text, links, (place, outside, inside) in found
+        Block(text, links, place if free(inside) and (free(outside) or not clear) else "dropped")
+        for text, links, (place, outside, inside) in left
     ]
 
 
