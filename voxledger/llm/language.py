@@ -37,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,9 +57,12 @@ LONGEST = 64
 STEP, NOISE, RATE = 1024, 32, 0.12
 #: Shares of the training documents, in 64ths, of each round; in a round no copy of the parameters strays far.
 ROUNDS = (4, 12, 48)
-#: Tokens scored at once, and words that a task counts or remembers at once.
+#: Tokens scored at once, words that a task counts at once, and words and bytes that it looks up together.
 BLOCK, HELD = 2048, 400_000
+TOGETHER, TOGETHER_BYTES = 1 << 16, 1 << 25
 START, END = 0, 1
+#: What stands for START and END among words.
+START_MARK, END_MARK = b" ", b""
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -113,34 +117,28 @@ class Vocabulary:
         return 3 + len(self.own) + len(self.endings)
 
     def classifier(self):
-        """Function from words to classes; remembers words, but never more than HELD."""
+        """Function from an array of words and marks to their classes."""
         first = 2 + len(self.own)
-        own = {word: 2 + k for k, word in enumerate(self.own)}
-        endings = {ending: first + k for k, ending in enumerate(self.endings)}
-        last = self.size - 1
-        known = dict(own)
-
-        def of(word: bytes) -> int:
-            text = word.decode("utf-8", "replace")
-            for n in (3, 2, 1):
-                k = endings.get(text[-n:]) if len(text) >= n else None
-                if k is not None:
-                    break
-            else:
-                k = last
-            if len(known) > HELD:
-                known.clear()
-                known.update(own)
-            known[word] = k
-            return k
-
-        def classes(words: list[bytes]) -> list[int]:
-            found = list(map(known.get, words))
-            return found if None not in found else [of(w) if k is None else k for w, k in zip(words, found)]
+        own = pa.array([START_MARK, END_MARK, *self.own], pa.large_binary())
+        endings = pa.array(self.endings, pa.large_string())
+
+        def classes(words: pa.Array | list[bytes]) -> np.ndarray:
+            words = pa.array(words, pa.large_binary()) if isinstance(words, list) else words
+            found = [pc.index_in(words, value_set=own)]
+            text = words.cast(pa.large_string())
+            for n in (3, 2, 1):  # of a shorter word this is the whole, which the next turn looks for
+                found.append(pc.add(pc.index_in(pc.utf8_slice_codeunits(text, -n), value_set=endings), first))
+            return pc.coalesce(*found, pa.scalar(self.size - 1, pa.int32())).to_numpy()
 
         return classes
 
 
+def _distinct(words: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words, and for each word which of them it is."""
+    coded = pa.array(words, pa.large_binary()).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From (word, n) of all training tokens, the end as the empty word."""
     spark = counts.sparkSession
@@ -199,7 +197,7 @@ class Parameters:
 
     def predicted(self, tokens: np.ndarray) -> np.ndarray:
         """For each token from the CONTEXT-th on, the vector that those before it add up to."""
-        seen = self.inputs[tokens]
+        seen = self.inputs.take(tokens, 0)
         return sum(seen[CONTEXT - 1 - i : len(tokens) - 1 - i] @ self.places[i] for i in range(CONTEXT))
 
     def log10_classes(self, tokens: np.ndarray) -> np.ndarray:
@@ -246,13 +244,14 @@ class Trainer:
         r = p.predicted(tokens)
         false = np.minimum(np.searchsorted(self.noise, self.draw.random(NOISE) * self.noise[-1]), len(self.noise) - 1)
         # probability that a class comes from the text and not from the noise
-        up = (r * p.outputs[target]).sum(1) + p.bias[target, 0] - self.log_noise[target]
+        wanted = p.outputs.take(target, 0)
+        up = np.einsum("ij,ij->i", r, wanted) + p.bias[target, 0] - self.log_noise[target]
         down = r @ p.outputs[false].T + p.bias[false, 0] - self.log_noise[false]
         share = real / np.float32(len(target))
         d_up = (_sigmoid(up) - 1) * share
         d_down = _sigmoid(down) * share[:, None]
-        d_r = d_up[:, None] * p.outputs[target] + d_down @ p.outputs[false]
-        seen = p.inputs[tokens]
+        d_r = d_up[:, None] * wanted + d_down @ p.outputs[false]
+        seen = p.inputs.take(tokens, 0)
         d_places, d_seen = [], np.zeros_like(seen)
         for i in range(CONTEXT):
             at = slice(CONTEXT - 1 - i, len(tokens) - 1 - i)
@@ -266,9 +265,9 @@ class Trainer:
         d_out[CONTEXT:, :SIZE] = d_up[:, None] * r
         d_out[CONTEXT:, SIZE] = d_up
         by_class = np.zeros((len(p.bias), SIZE + 1), np.float32)
-        by_class[classes] = np.add.reduceat(d_out[order], cut)
+        by_class[classes] = np.add.reduceat(d_out.take(order, 0), cut)
         np.add.at(by_class, false, np.concatenate([d_down.T @ r, d_down.sum(0)[:, None]], 1))
-        self._move("inputs", classes, np.add.reduceat(d_seen[order], cut))
+        self._move("inputs", classes, np.add.reduceat(d_seen.take(order, 0), cut))
         moved = np.flatnonzero(by_class.any(1))
         self._move("outputs", moved, by_class[moved, :SIZE])
         self._move("bias", moved, by_class[moved, SIZE:])
@@ -284,18 +283,35 @@ def _train_round(docs: DataFrame, vocab: Vocabulary, start: Parameters, seed: in
         classes = Vocabulary(0, 0, {}, own, endings, class_tokens, ()).classifier()
         noise = np.array(class_tokens, np.float64)
         noise[START] = 0
-        trainer, pending, tokens = Trainer(first, noise / max(noise.sum(), 1), seed), [START] * CONTEXT, 0
+        trainer = Trainer(first, noise / max(noise.sum(), 1), seed)
+        held, size, pending, tokens = [], 0, np.full(CONTEXT, START), 0
+
+        def trained() -> None:
+            """Steps over all held words that fill one."""
+            nonlocal held, size, pending, tokens
+            distinct, at = _distinct(held)
+            pending = np.concatenate([pending, classes(distinct)[at]])
+            held, size, start = [], 0, 0
+            while len(pending) - start >= STEP + CONTEXT:
+                trainer.step(pending[start : start + STEP + CONTEXT])
+                start += STEP
+            tokens, pending = tokens + start, pending[start:]
+
         for batch in batches:
             for text in batch.column(0):
-                for words in _blocks(text.as_py()):
-                    pending += classes(words)
-                    while len(pending) >= STEP + CONTEXT:  # within a long text
-                        trainer.step(np.array(pending[: STEP + CONTEXT]))
-                        tokens += STEP
-                        pending = pending[STEP:]
-                pending += [END] + [START] * CONTEXT
+                whole = text.as_py()
+                size += len(whole)
+                for words in _blocks(whole):
+                    held += words
+                    if len(held) > TOGETHER:  # within a long text
+                        trained()
+                held += [END_MARK] + [START_MARK] * CONTEXT
+                if size > TOGETHER_BYTES:
+                    trained()
+        if held:
+            trained()
         if len(pending) > CONTEXT:
-            trainer.step(np.array(pending))
+            trainer.step(pending)
             tokens += len(pending) - CONTEXT
         if tokens:
             rows = trainer.p.rows().astype(np.float64) * tokens
@@ -338,71 +354,86 @@ def learn(docs: DataFrame) -> Model:
 _SCORED = "row long, tokens long, known long, base double, score double, rest array<struct<word: string, n: long>>"
 
 
+class _Scores:
+    """Of the rows of one batch: tokens, known ones, base, score, and the words whose counts are still to come."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+        self.sums = np.zeros((4, n))
+        self.rest: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+
+    def add(self, row: np.ndarray, values: tuple[np.ndarray, ...], rare: np.ndarray, distinct: pa.Array, at: np.ndarray) -> None:
+        """For tokens in these rows their values; of the rare ones, the words are kept with their counts."""
+        for total, value in zip(self.sums, values):
+            total += np.bincount(row, value, self.n)
+        pair, count = np.unique(row[rare] * len(distinct) + at[rare], return_counts=True)
+        self.rest.append((pair // len(distinct), distinct.take(pa.array(pair % len(distinct))), count))
+
+    def batch(self, rows: pa.Array, base_all: float) -> pa.RecordBatch:
+        row, count = (np.concatenate([r[k] for r in self.rest]) for k in (0, 2))
+        order = np.argsort(row, kind="stable")
+        words = pa.concat_arrays([r[1] for r in self.rest]).take(pa.array(order)).cast(pa.large_string()).cast(pa.string())
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=self.n))])
+        rest = pa.StructArray.from_arrays([words, pa.array(count[order].astype(np.int64))], names=["word", "n"])
+        n, known, base, score = self.sums
+        return pa.RecordBatch.from_arrays(
+            [rows, pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base - n * base_all), pa.array(score),
+             pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rest)],
+            names=["row", "tokens", "known", "base", "score", "rest"],
+        )
+
+
 def _score_rows(shared):
     """Per row: tokens, and what can be said without the counts of rarer words, which are listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, p = shared.value
         classes = vocab.classifier()
-        log_count = {word: math.log10(n + EXTRA) for word, n in vocab.counts.items()}
-        base_all = math.log10(vocab.tokens + EXTRA * (vocab.distinct + 1))
         end_count = vocab.class_tokens[END]
+        log_count = {word: math.log10(n + EXTRA) for word, n in vocab.counts.items()} | {START_MARK: 0.0, END_MARK: math.log10(end_count + EXTRA)}
+        base_all = math.log10(vocab.tokens + EXTRA * (vocab.distinct + 1))
         words_of = np.array(vocab.class_words, np.float64)
         log_class = np.log10(np.array(vocab.class_tokens) + EXTRA * (words_of + 1))
-        alone = 2 + len(vocab.own)  # classes below this hold one token
+        alone = 2 + len(vocab.own)  # classes below this hold one token: its share is 1
         for batch in batches:
-            rows = batch.column("row").to_pylist()
-            out: list[list] = [[], [], [], [], []]
-            rest_rows: list[list[dict]] = []
-            pending, ends = [START] * CONTEXT, []
-            totals = np.zeros(len(rows))
-
-            def scored(pending, ends, totals):
-                tokens = np.array(pending)
-                values = p.log10_classes(tokens)
-                target = tokens[CONTEXT:]
-                values -= np.where(target >= alone, log_class[target], 0.0)
-                values[target == START] = 0
-                starts = [0] + [e for _, e in ends[:-1]]
-                totals[[i for i, _ in ends]] += np.add.reduceat(values, starts) if len(values) else 0
+            if not batch.num_rows:
+                continue
+            out = _Scores(batch.num_rows)
+            held, lengths, size, before = [], [], 0, np.full(CONTEXT, START)
+
+            def scored() -> None:
+                """Adds up the held words; lengths tells how many are of which row."""
+                nonlocal held, lengths, size, before
+                distinct, at = _distinct(held)
+                kinds = classes(distinct)
+                target = kinds[at]
+                logs = np.array([log_count.get(word, math.nan) for word in distinct.to_pylist()])[at]
+                rare, token = np.isnan(logs), target != START
+                logs[rare] = 0
+                tokens = np.concatenate([before, target])
+                values = p.log10_classes(tokens) + np.where(target >= alone, logs - log_class[target], 0.0)
+                known = token & ~rare if end_count else token & ~rare & (target != END)
+                row = np.repeat([i for i, _ in lengths], [n for _, n in lengths])
+                out.add(row, (token, known, logs, np.where(token, values, 0.0)), rare, distinct, at)
+                held, lengths, size, before = [], [], 0, tokens[-CONTEXT:]
 
             for i, text in enumerate(batch.column("text")):
-                count: Counter = Counter()
-                n = 1
-                for words in _blocks(text.as_py()):
-                    count.update(words)
-                    n += len(words)
-                    pending += classes(words)
-                    if len(pending) > 32 * BLOCK:  # within a long text
-                        scored(pending, ends + [(i, len(pending) - CONTEXT)], totals)
-                        pending, ends = pending[-CONTEXT:], []
-                pending += [END] + [START] * CONTEXT
-                ends.append((i, len(pending) - CONTEXT))
-                if len(pending) > 4 * BLOCK:
-                    scored(pending, ends, totals)
-                    pending, ends = [START] * CONTEXT, []
-                base, known, mixed, rest = math.log10(end_count + EXTRA), int(end_count > 0), 0.0, []
-                for word, m in count.items():
-                    c = log_count.get(word)
-                    if c is None:
-                        rest.append({"word": word.decode(), "n": m})
-                    else:
-                        known += m
-                        base += m * c
-                        mixed += m * c
-                # words with a class of their own have share 1 of it
-                mixed -= sum(count[w] * log_count[w] for w in vocab.own if w in count)
-                for column, value in zip(out, (rows[i], n, known, base - n * base_all, mixed)):
-                    column.append(value)
-                rest_rows.append(rest)
-            if ends:
-                scored(pending, ends, totals)
-            score = np.array(out[4]) + totals
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64()), pa.array(score, pa.float64()),
-                 pa.array(rest_rows, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))],
-                names=["row", "tokens", "known", "base", "score", "rest"],
-            )
+                whole = text.as_py()
+                size += len(whole)
+                mine = len(held)
+                for words in _blocks(whole):
+                    held += words
+                    if len(held) > TOGETHER:  # within a long text
+                        lengths.append((i, len(held) - mine))
+                        scored()
+                        mine = 0
+                held += [END_MARK] + [START_MARK] * CONTEXT
+                lengths.append((i, len(held) - mine))
+                if size > TOGETHER_BYTES:
+                    scored()
+            if held:
+                scored()
+            yield out.batch(batch.column("row"), base_all)
 
     return run
 
