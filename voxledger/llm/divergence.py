@@ -26,10 +26,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,8 @@ MIN_DOCS = 3
 TOP_TERMS = 200
 #: Distinct (group, chunk) that a task counts before it passes them on.
 HELD = 400_000
+#: Written counts that a task remembers as read, and their longest.
+READ, READ_BYTES = 50_000, 256
 #: Sources of one block of pairs.
 TILE = 128
 
@@ -60,46 +64,56 @@ def _untag(tag: bytes) -> str:
     return re.sub(r"\\(.)", lambda m: "\0" if m[1] == "0" else m[1], tag.decode())
 
 
+class _Written(dict):
+    """Counts of a source as they travel, by count."""
+
+    def __init__(self, source: str) -> None:
+        self.tag = _tag(source)
+
+    def __missing__(self, n: int) -> bytes:
+        self[n] = out = b"%s%d\0" % (self.tag, n)
+        return out
+
+
 class _Chunks:
-    """Chunks of one language: documents, the first and last of these, and occurrences by source."""
+    """Chunks of one language: the first documents of each, fewer than min_docs, or that it has enough; and occurrences by source."""
 
-    def __init__(self) -> None:
-        self.seen: dict[bytes, list[int]] = {}
+    def __init__(self, min_docs: int) -> None:
+        #: The k-th document of each chunk that is not sure.
+        self.rows: list[dict[bytes, int]] = [{} for _ in range(max(1, min_docs - 1))]
+        self.min_docs = min_docs
         self.sure: set[bytes] = set()
         self.sources: dict[str, Counter] = {}
 
-    def add(self, source: str, row: int, text: bytes, min_docs: int) -> None:
+    def add(self, source: str, row: int, text: bytes) -> None:
         own, chunks = self.sources.setdefault(source, Counter()), set()
         for words in word_blocks(text):
             own.update(words)
             chunks.update(words)
-        chunks -= self.sure
-        seen = self.seen
-        for chunk in chunks:
-            known = seen.get(chunk)
-            if known is None:
-                known = seen[chunk] = [0, row, row]
-            known[0] += 1
-            known[2] = row
-            if known[0] >= min_docs:
-                del seen[chunk]
-                self.sure.add(chunk)
+        left = chunks.difference(self.sure)
+        for known in self.rows[: self.min_docs - 1]:
+            new = left.difference(known)
+            known.update(dict.fromkeys(new, row))
+            left -= new
+        self.sure |= left
+        for known in self.rows:
+            for chunk in left:
+                known.pop(chunk, None)
 
     def __len__(self) -> int:
-        return len(self.seen) + len(self.sure)
+        return len(self.rows[0]) + len(self.sure)
 
     def batch(self, lang: str) -> pa.RecordBatch:
-        sources = dict.fromkeys(sorted(self.sure.union(self.seen)), b"")  # sorted, neighbours compress better
+        sources = dict.fromkeys(sorted(self.sure.union(self.rows[0])), b"")  # sorted, neighbours compress better
         for source, own in self.sources.items():
-            tag = _tag(source)
+            written = _Written(source)
             for chunk, n in own.items():
-                sources[chunk] += b"%s%d\0" % (tag, n)
-        known = [self.seen.get(chunk) for chunk in sources]
-        first = [k and k[1] for k in known]
-        last = [k[2] if k and k[0] > 1 else None for k in known]
+                sources[chunk] += written[n]
+        first, last = (pa.array(list(map(known.get, sources)), pa.int64()) for known in (self.rows[0], self.rows[-1]))
+        if len(self.rows) == 1:
+            last = pa.nulls(len(sources), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(sources, pa.binary()).cast(pa.string()), pa.array([lang] * len(sources)), pa.array(first, pa.int64()), pa.array(last, pa.int64()),
-             pa.array(sources.values(), pa.binary())],
+            [pa.array(sources, pa.binary()).cast(pa.string()), pa.array([lang] * len(sources)), first, last, pa.array(sources.values(), pa.binary())],
             names=["chunk", "lang", "first", "last", "sources"],
         )
 
@@ -110,7 +124,10 @@ def _count_chunks(min_docs: int):
         for batch in batches:
             langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
             for lang, source, row, text in zip(langs, sources, batch.column("row").to_pylist(), batch.column("text")):
-                held.setdefault(lang, _Chunks()).add(source, row, text.as_py().lower(), min_docs)  # of bytes: only A to Z change
+                known = held.get(lang)
+                if known is None:
+                    known = held[lang] = _Chunks(min_docs)
+                known.add(source, row, text.as_py().lower())  # of bytes: only A to Z change
                 if sum(map(len, held.values())) > HELD:
                     yield from (c.batch(k) for k, c in held.items())
                     held = {}
@@ -119,11 +136,9 @@ def _count_chunks(min_docs: int):
     return run
 
 
-def _lists(values: pa.Array, at: list[int], n: int) -> pa.ListArray:
-    """n lists; value k goes to list at[k]."""
-    place = np.array(at, np.int64)
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(place, minlength=n))])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.take(pa.array(np.argsort(place, kind="stable"))))
+def _lists(values: pa.Array, lengths: Iterable[int]) -> pa.ListArray:
+    """The values in lists of these lengths."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(list(lengths), dtype=np.int64)]), pa.int32()), values)
 
 
 def _cut_chunks(min_docs: int):
@@ -131,44 +146,57 @@ def _cut_chunks(min_docs: int):
 
     def passed_on(held):
         keys, facts = list(held), list(held.values())
-        rows = [(i, r) for i, fact in enumerate(facts) if not fact[0] for r in fact[1]]
-        groups = [(i, source, n) for i, fact in enumerate(facts) for source, n in fact[2].items()]
-        at, source, n = zip(*groups)
-        names = {t: _untag(t) for t in set(source)}
-        pairs = pa.StructArray.from_arrays([pa.array([names[t] for t in source], pa.string()), pa.array(n, pa.int64())], names=["source", "n"])
+        rows = [() if sure else own for sure, own, _ in facts]
+        counts = [fact[2] for fact in facts]
+        tags = list(chain.from_iterable(counts))
+        names = {t: _untag(t) for t in set(tags)}
+        pairs = pa.StructArray.from_arrays(
+            [pa.array([names[t] for t in tags], pa.string()), pa.array(list(chain.from_iterable(c.values() for c in counts)), pa.int64())], names=["source", "n"]
+        )
         return pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in keys]), pa.array([t for _, t in keys], pa.binary()).cast(pa.string()), pa.array([f[0] for f in facts], pa.bool_()),
-             _lists(pa.array([r for _, r in rows], pa.int64()), [i for i, _ in rows], len(facts)), _lists(pairs, at, len(facts))],
+             _lists(pa.array(list(chain.from_iterable(rows)), pa.int64()), map(len, rows)), _lists(pairs, map(len, counts))],
             names=["lang", "term", "sure", "rows", "groups"],
         )
 
+    def columns(batch: pa.RecordBatch) -> list[list]:
+        """chunk, lang and sources as they are; first and last with -1 for null, as no row has it."""
+        values = [batch.column(0).cast(pa.binary()), batch.column("lang"), batch.column("sources")]
+        values += [pc.fill_null(batch.column(c), -1) for c in ("first", "last")]
+        return [v.to_numpy(zero_copy_only=False).tolist() for v in values]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, bytes], list] = {}
+        read: dict[bytes, dict[bytes, int]] = {}
         last, terms = None, []
         for batch in batches:
-            chunks = batch.column("chunk").cast(pa.binary()).to_pylist()
-            others = (batch.column(c).to_pylist() for c in ("lang", "first", "last", "sources"))
-            for chunk, lang, one, two, sources in zip(chunks, *others):
+            for chunk, lang, sources, one, two in zip(*columns(batch)):
                 if chunk != last:
                     last, terms = chunk, _TERM_BYTES.findall(chunk)
                 if not terms:
                     continue
-                parts = sources.split(b"\0")
-                counted = [(source, int(n)) for source, n in zip(parts[::2], parts[1::2])]
+                counted = read.get(sources)
+                if counted is None:
+                    parts = sources.split(b"\0")
+                    counted = dict(zip(parts[:-1:2], map(int, parts[1::2])))
+                    if len(sources) <= READ_BYTES:
+                        if len(read) > READ:
+                            read.clear()
+                        read[sources] = counted
                 for term in terms:
                     fact = held.get((lang, term))
                     if fact is None:
-                        held[lang, term] = fact = [False, set(), dict(counted)]
+                        held[lang, term] = fact = [False, set(), counted.copy()]
                     else:
                         counts = fact[2]
-                        for source, n in counted:
+                        for source, n in counted.items():
                             counts[source] = counts.get(source, 0) + n
                     if not fact[0]:
-                        if one is None:
+                        if one < 0:
                             fact[0] = True
                         else:
                             fact[1].add(one)
-                            if two is not None:
+                            if two >= 0:
                                 fact[1].add(two)
                             fact[0] = len(fact[1]) >= min_docs
             if len(held) > HELD // 4:
