@@ -178,3 +178,17 @@ def test_divergence_passes_on_early(spark, monkeypatch):
 
 def test_divergence_agrees_with_sql(spark, small):
     assert diff(spark, duck(small), queries.QUERIES["op13_divergence"], queries.SQL["op13_divergence"], small) is None
+
+
+def test_language_holds_few_words(spark, documents, monkeypatch):
+    """Words that the driver does not hold are joined: the scores stay."""
+    some = documents.limit(40)
+    model = language.learn(some)
+    want = {r.doc_id: (r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in language.scored(some, model).collect()}
+    for most in (0, 100):
+        monkeypatch.setattr(language, "FREQUENT", most)
+        vocab = language.vocabulary(model.counts)
+        assert len(vocab.counts) <= max(most, language.OWN_WORDS) and vocab.class_words == model.vocabulary.class_words
+        fewer = language.Model(vocab, model.parameters, model.counts)
+        got = {r.doc_id: (r.n_known, round(r.base_score, 5), round(r.score, 5)) for r in language.scored(some, fewer).collect()}
+        assert all(got[i] == pytest.approx(want[i], abs=1e-4) for i in want)

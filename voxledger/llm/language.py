@@ -17,9 +17,9 @@ averaged by Spark, weighted by tokens.  Noise is drawn from the class
 frequencies, the same draws for a whole batch of tokens, so that all arithmetic is
 matrix products.
 
-The parameters (CLASSES x SIZE) and the counts of the FREQUENT words of at most
-LONGEST bytes are all that the driver holds and broadcasts; the counts of other
-words are joined to the texts that use them.
+The parameters (CLASSES x SIZE) and the counts of at most FREQUENT words of at most
+LONGEST bytes, the most frequent ones, are all that the driver holds and
+broadcasts; the counts of other words are joined to the texts that use them.
 
 Defined cases: a null text is empty and scores its end alone; every row is scored,
 repeated rows and doc_ids each for itself; a null doc_id is no training row and
@@ -144,8 +144,17 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     spark = counts.sparkSession
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("word") == "", F.col("n"))), F.lit(0))).first()
     short = counts.where((F.col("word") != "") & (F.octet_length("word") <= LONGEST))
-    top = short.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    own = tuple(r["word"].encode() for r in top[:OWN_WORDS])
+    first_words = short.orderBy(F.desc("n"), "word").limit(OWN_WORDS).collect()
+    own = tuple(r["word"].encode() for r in first_words)
+    # a limit of FREQUENT would send as many rows of every partition to the driver; counts fall into at most 512 steps
+    steps = short.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
+    least, held = None, 0
+    for row in sorted(steps, key=lambda r: -r["step"]):
+        held += row["words"]
+        if held > FREQUENT:
+            break
+        least = row["least"]
+    top = short.where(F.col("n") >= least).collect() if least is not None else []
     ranked = spark.createDataFrame([(w.decode(), True) for w in own], "word string, own boolean")
     rest = counts.where("word <> ''").join(F.broadcast(ranked), "word", "left").where("own IS NULL").drop("own")
     size = F.length("word")
@@ -161,10 +170,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         here = F.broadcast(places.select(F.col("ending").alias(f"e{n}"), F.col("k").alias(f"k{n}")))
         kinds = kinds.withColumn(f"e{n}", F.when(size >= n, F.right("word", F.lit(n)))).join(here, f"e{n}", "left")
     sums = {r["k"]: (r["n"], r["m"]) for r in kinds.groupBy(F.coalesce("k3", "k2", "k1", F.lit(first + len(endings))).alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).collect()}
-    fixed = [(0, 0), (total[2], 1)] + [(r["n"], 1) for r in top[: len(own)]]
+    fixed = [(0, 0), (total[2], 1)] + [(r["n"], 1) for r in first_words]
     by_class = fixed + [sums.get(k, (0, 0)) for k in range(first, first + len(endings) + 1)]
     return Vocabulary(
-        total[0], total[1], {r["word"].encode(): r["n"] for r in top}, own, endings, tuple(n for n, _ in by_class), tuple(m for _, m in by_class)
+        total[0], total[1], {r["word"].encode(): r["n"] for r in top + first_words}, own, endings, tuple(n for n, _ in by_class), tuple(m for _, m in by_class)
     )
 
 
