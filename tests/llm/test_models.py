@@ -114,6 +114,18 @@ def test_language_model_beats_counts_and_is_normalised(spark, documents):
     assert one.score == pytest.approx(want, abs=1e-4)
 
 
+@pytest.mark.parametrize("spread", [1, 6])
+def test_normaliser_equals_the_direct_sum(spread):
+    """Also where tables lose their digits: probabilities of 1e-120 and less."""
+    draw, n = np.random.default_rng(4), 40
+    arrays = draw.normal(0, 0.6 * spread, (n, language.SIZE)), draw.normal(0, 0.6, (n, language.SIZE)), draw.normal(0, 0.25, (language.CONTEXT, language.SIZE, language.SIZE)), draw.normal(0, 2, (n, 1))
+    p = language.Parameters(*[a.astype(np.float32) for a in arrays])
+    tokens = draw.integers(0, n, 3000)
+    want = p.log10_classes(tokens)
+    np.testing.assert_allclose(language.Normaliser(p).log10_classes(tokens), want, atol=1e-4)
+    assert (want[tokens[language.CONTEXT :] == language.START] == 0).all()
+
+
 def test_language_of_odd_tables(spark):
     assert language.document_scores(frame(spark, [])).count() == 0
     only_held = [(i, "a b c") for i in range(200) if _held(i)]

@@ -17,9 +17,9 @@ averaged by Spark, weighted by tokens.  Noise is drawn from the class
 frequencies, the same draws for a whole batch of tokens, so that all arithmetic is
 matrix products.
 
-The parameters (CLASSES x SIZE) and the counts of at most FREQUENT words of at most
-LONGEST bytes, the most frequent ones, are all that the driver holds and
-broadcasts; the counts of other words are joined to the texts that use them.
+The parameters (CLASSES x SIZE) and the counts of FREQUENT words (a hash decides the
+last of them, so a few hundred more at most) of at most LONGEST bytes, the most
+frequent ones, are all that the driver holds and broadcasts; the counts of other words are joined to the texts that use them.
 
 Defined cases: a null text is empty and scores its end alone; every row is scored,
 repeated rows and doc_ids each for itself; a null doc_id is no training row and
@@ -148,13 +148,16 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     own = tuple(r["word"].encode() for r in first_words)
     # a limit of FREQUENT would send as many rows of every partition to the driver; counts fall into at most 512 steps
     steps = short.groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).collect()
-    least, held = None, 0
+    # whole steps while they fit, then by hash as large a part of the next one as there is room for
+    step, in_part = F.floor(F.log2("n") * 8), F.pmod(F.xxhash64("word"), F.lit(1 << 16))
+    take, held = F.lit(False), 0
     for row in sorted(steps, key=lambda r: -r["step"]):
-        held += row["words"]
-        if held > FREQUENT:
+        if held + row["words"] > FREQUENT:
+            take = take | ((step == row["step"]) & (in_part < (FREQUENT - held) * (1 << 16) // row["words"]))
             break
-        least = row["least"]
-    top = short.where(F.col("n") >= least).collect() if least is not None else []
+        held += row["words"]
+        take = F.col("n") >= row["least"]
+    top = short.where(take).collect() if steps else []
     ranked = spark.createDataFrame([(w.decode(), True) for w in own], "word string, own boolean")
     rest = counts.where("word <> ''").join(F.broadcast(ranked), "word", "left").where("own IS NULL").drop("own")
     size = F.length("word")
@@ -210,7 +213,7 @@ class Parameters:
         return sum(seen[CONTEXT - 1 - i : len(tokens) - 1 - i] @ self.places[i] for i in range(CONTEXT))
 
     def log10_classes(self, tokens: np.ndarray) -> np.ndarray:
-        """log10 of the normalised probability of each token's class from the CONTEXT-th on."""
+        """log10 of the normalised probability of each token's class from the CONTEXT-th on; 0 for START, which is never predicted."""
         out = np.empty(len(tokens) - CONTEXT)
         for start in range(0, len(out), BLOCK):
             part = tokens[start : start + BLOCK + CONTEXT]
@@ -219,11 +222,56 @@ class Parameters:
             scores -= scores.max(1, keepdims=True)
             here = scores[np.arange(len(scores)), part[CONTEXT:]].astype(np.float64)
             np.exp(scores, out=scores)
-            scores[:, START] = 0  # the start is never predicted
+            scores[:, START] = 0
             out[start : start + len(scores)] = here - np.log(scores.sum(1))
+        out[tokens[CONTEXT:] == START] = 0
         return out / math.log(10)
 
 
+class Normaliser:
+    """The same probabilities from tables of the powers of both halves of the context, whose products are those of the whole."""
+
+    #: Products below this have lost digits; such tokens are computed without tables.
+    LEAST = 1e-25
+
+    def __init__(self, p: Parameters) -> None:
+        self.p, self.size = p, len(p.bias)
+        half, self.powers = CONTEXT // 2, []
+        for first in range(0, CONTEXT, half):
+            scores = np.zeros((1, self.size), np.float32)
+            for i in range(first, first + half):  # rows are numbered by the tokens before, the last one first
+                scores = (scores[:, None] + (p.inputs @ p.places[i] @ p.outputs.T)[None]).reshape(-1, self.size)
+            if first == 0:
+                scores += p.bias[:, 0]
+            scores -= scores.max(1, keepdims=True)
+            np.exp(scores, out=scores)
+            scores[:, START] = 0
+            self.powers.append(scores)
+
+    def log10_classes(self, tokens: np.ndarray) -> np.ndarray:
+        """As ``Parameters.log10_classes``."""
+        n, half, target = len(tokens) - CONTEXT, CONTEXT // 2, tokens[CONTEXT:]
+        rows = []
+        for first in range(0, CONTEXT, half):
+            number = np.zeros(n, np.int64)
+            for i in range(first, first + half):
+                number = number * self.size + tokens[CONTEXT - 1 - i : len(tokens) - 1 - i]
+            rows.append(number)
+        here = self.powers[0][rows[0], target] * self.powers[1][rows[1], target]
+        total = np.empty(n, np.float32)
+        for start in range(0, n, BLOCK):
+            at = slice(start, start + BLOCK)
+            np.einsum("ij,ij->i", self.powers[0].take(rows[0][at], 0), self.powers[1].take(rows[1][at], 0), out=total[at])
+        sure = (here > self.LEAST) & (target != START)
+        out = np.zeros(n)
+        out[sure] = np.log10(here[sure].astype(np.float64) / total[sure])
+        rest = np.flatnonzero(~sure & (target != START))
+        if len(rest):
+            alone = tokens[rest[:, None] + np.arange(CONTEXT + 1)]  # each with its context
+            out[rest] = self.p.log10_classes(alone.reshape(-1))[:: CONTEXT + 1]
+        return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
     np.negative(x, out=x)
@@ -397,7 +445,7 @@ def _score_rows(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, p = shared.value
-        classes = vocab.classifier()
+        classes, model = vocab.classifier(), Normaliser(p)
         end_count = vocab.class_tokens[END]
         log_count = {word: math.log10(n + EXTRA) for word, n in vocab.counts.items()} | {START_MARK: 0.0, END_MARK: math.log10(end_count + EXTRA)}
         base_all = math.log10(vocab.tokens + EXTRA * (vocab.distinct + 1))
@@ -420,7 +468,7 @@ def _score_rows(shared):
                 rare, token = np.isnan(logs), target != START
                 logs[rare] = 0
                 tokens = np.concatenate([before, target])
-                values = p.log10_classes(tokens) + np.where(target >= alone, logs - log_class[target], 0.0)
+                values = model.log10_classes(tokens) + np.where(target >= alone, logs - log_class[target], 0.0)
                 known = token & ~rare if end_count else token & ~rare & (target != END)
                 row = np.repeat([i for i, _ in lengths], [n for _, n in lengths])
                 out.add(row, (token, known, logs, np.where(token, values, 0.0)), rare, distinct, at)
