@@ -83,17 +83,65 @@ def test_late_frames_are_dropped(spark):
     assert got.where("mean_rms > 1").count() == 0 and got.where(F.col("start_time") <= F.lit(t)).count() == 3
 
 
+T0 = dt.datetime(2024, 1, 1)
+
+
+def live_windows(spark, clips=2, n=12, seed=1):
+    """Windows with all metrics, a missing vector and missing metrics among them, and a far end that moves the watermark."""
+    rng = np.random.default_rng(seed)
+    rows = [
+        (c, w, T0 + dt.timedelta(seconds=1.5 + 0.5 * w), None if (c, w) == (1, 5) else rng.normal(size=3).tolist(), float(rng.uniform(0, 0.05)),
+         *[None if (c, w) == (0, 7) else float(x) for x in rng.uniform((0.2, 5, 0.3, 1, 0.1, 0.1), (0.9, 35, 4, 3, 4.5, 0.6))])
+        for c in range(clips) for w in range(n)
+    ]
+    end = [(99, 0, T0 + dt.timedelta(hours=k), [0.0] * 3, 0.0, *[0.5] * 6) for k in (1, 2)]
+    schema = "clip_id int, window_id long, end_time timestamp, mfcc_mean array<double>, quiet_rms double, " + ", ".join(f"{m} double" for m in S.METRICS)
+    return spark.createDataFrame(rows, schema), spark.createDataFrame(end, schema)
+
+
+def shuffled_stream(spark, df, end, parts):
+    """Batches in an order of hashes: windows of a clip come out of order within and across batches."""
+    path = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    part = F.pmod(F.xxhash64("clip_id", "window_id"), F.lit(parts))
+    for p in range(parts):
+        df.where(part == p).orderBy(F.xxhash64("window_id")).coalesce(1).write.mode("append").parquet(path)
+    for row in end.collect():
+        spark.createDataFrame([row], end.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def test_live_distances(spark, rocks):
-    rng = np.random.default_rng(1)
-    v = rng.normal(size=(2, 12, 3))
-    rows = [(c, w, v[c, w].tolist()) for c in range(2) for w in range(12)]
-    df = spark.createDataFrame(rows, "clip_id int, window_id long, v array<double>")
-    got = {(r["clip_id"], r["window_id"]): r["dist"] for r in drained(spark, S.live_distances(replay(spark, df, 4, "window_id"))).collect()}
-    assert len(got) == 24
-    for c in range(2):
-        assert got[c, 0] is None or np.isnan(got[c, 0])
-        for w in range(1, 12):
-            assert got[c, w] == pytest.approx(np.linalg.norm(v[c, w] - v[c, w - 1]))
+    df, end = live_windows(spark)
+    stream = shuffled_stream(spark, df, end, 4).withColumnRenamed("mfcc_mean", "v")
+    rows = drained(spark, S.live_distances(stream, late="30 seconds")).where("clip_id < 99").collect()
+    got = {(r["clip_id"], r["window_id"]): r["mfcc_dist"] for r in rows}
+    v = {(r["clip_id"], r["window_id"]): r["mfcc_mean"] for r in df.collect()}
+    assert len(rows) == len(got) == 24
+    for (c, w), dist in got.items():
+        if w == 0 or v[c, w] is None or v[c, w - 1] is None:
+            assert dist is None
+        else:
+            assert dist == pytest.approx(np.linalg.norm(np.subtract(v[c, w], v[c, w - 1])))
+
+
+def test_idle_clips_start_anew(spark, rocks):
+    """After a pause beyond ``idle`` a window has no predecessor, whether or not its timer came first."""
+    at = [0, 1, 200, 201]
+    rows = [(1, i, T0 + dt.timedelta(seconds=s), [float(i * i)]) for i, s in enumerate(at)]
+    end = [(99, k, T0 + dt.timedelta(hours=1 + k), [0.0]) for k in range(2)]
+    stream = replay(spark, spark.createDataFrame(rows + end, "clip_id int, window_id long, end_time timestamp, v array<double>"), 6, "end_time")
+    got = {r["window_id"]: r["mfcc_dist"] for r in drained(spark, S.live_distances(stream)).where("clip_id = 1").collect()}
+    assert got == {0: None, 1: 1.0, 2: None, 3: 5.0}
+
+
+def test_live_scores_equal_the_batch(spark, rocks):
+    df, end = live_windows(spark, clips=3, n=16, seed=2)
+    base = spark.createDataFrame([(0, 1.5, 0.3), (1, 2.0, 0.5)], "clip_id int, mu double, sigma double")
+    got = drained(spark, S.live_scores(shuffled_stream(spark, df, end, 5), base, late="30 seconds")).where("clip_id < 99")
+    want = S.live_scores(df, base)
+    cols = [c for c in want.columns if c != "raw_score"]
+    assert got.count() == want.count() == 48 and got.select(cols).exceptAll(want.select(cols)).count() == 0
+    assert want.where("boundary_detected").count() > 0 and want.where("vocoder_score = 25 AND prosody_score = 25").count() >= 1
 
 
 def test_jobs(spark, rocks):

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxledger.catalog.bindings import b_access, b_jobs, b_recordings, micros, oracle, table
-from voxledger.catalog.registry import query
+from voxledger.catalog.indicators import BAND, b_spectra, vec_frames, window_frames, windowed_pitch
+from voxledger.catalog.registry import SQL, query
+from voxledger.operators import indicators as I
 from voxledger.sources.recordings import reject_reason
 from voxledger.streaming import streams as S
 
@@ -66,6 +68,25 @@ def _str4(spark, sf):
     )
 
 
+@query(
+    "str4_live_scores",
+    f"""SELECT clip_id, window_id, coalesce(vocoder_score, 25e0) AS vocoder_score, score0, coalesce(prosody_score, 25e0) AS prosody_score, boundary_detected, room_change
+ FROM ({SQL['ind8_9_10_spectral_score']}) se LEFT JOIN ({SQL['ind4_vocoder_score']}) vo USING (clip_id, window_id) LEFT JOIN ({SQL['ind14_16_17_prosody_score']}) pr USING (clip_id, window_id)""",
+)
+def _str4_scores(spark, sf):
+    """All windows of the embeddings as live windows with a known baseline, as a batch."""
+    frames, sp = vec_frames(spark, sf), b_spectra(spark, sf)
+    bands = I.band_stats(sp, BAND)
+    d = I.window_spectral(frames).withColumn("end_time", F.timestamp_seconds(F.col("window_id") + 1))
+    for part in (
+        I.hf_ripple(bands), I.peak_to_median_db(bands, min_voiced=1), I.phase_variance(sp),
+        I.pitch_indicator(windowed_pitch(spark, sf)).drop("pitch_std"), I.energy_cv(window_frames(spark, sf)),
+    ):
+        d = d.join(part.drop("seg"), I.WINDOW, "left")
+    scored = S.live_scores(d, I.mfcc_baseline(frames, chunk=12, hop=4))
+    return scored.select("clip_id", "window_id", "vocoder_score", F.round("raw_score", 0).alias("score0"), "prosody_score", "boundary_detected", "room_change")
+
+
 @query(
     "str5_ingest",
     oracle("SELECT md5(text) AS content_md5, min(path) AS path, any_value(length) AS length, count(*) AS copies FROM b_recordings GROUP BY 1", "b_recordings"),

@@ -180,7 +180,11 @@ def spectral_indicator(windows: DataFrame, baseline: DataFrame, boundary_mode: s
     ``boundary_mode="suppressed"`` reports no boundary, as the service this is
     compatible with does.
     """
-    d = attach(cross_window(windows), baseline, CLIP)
+    return spectral_scores(attach(cross_window(windows), baseline, CLIP), boundary_mode)
+
+
+def spectral_scores(d: DataFrame, boundary_mode: str = "detected") -> DataFrame:
+    """The same from ``mfcc_dist``, ``quiet_rms``, ``prev_quiet_rms`` and the baseline in each row, batch or stream."""
     score, boundary, thr = jump_score(F.col("mfcc_dist"), F.col("mu"), F.col("sigma"))
     d = d.withColumn("_thr", thr).withColumn("_jump", score).withColumn("_b", boundary)
     room = room_change(F.col("quiet_rms"), F.col("prev_quiet_rms"), F.col("mfcc_dist"), F.col("_thr"))

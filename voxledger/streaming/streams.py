@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voxledger import constants as K
+from voxledger.functions.numbers import present
+from voxledger.operators import indicators as I
 from voxledger.operators.synthesis import merge_intervals
 
 TERMINAL = ("completed", "failed")
@@ -83,39 +86,109 @@ def live_scan(frames: DataFrame, late: str = "2 seconds", length: str = "1.5 sec
     )
 
 
-class _PreviousVector(StatefulProcessor):
-    """Distance of each window's vector to the window before it; one vector of state per clip."""
+class _InOrder(StatefulProcessor):
+    """Windows of a clip in their order, each with the vector distance and the quiet level of the one before.
+
+    A window waits in a map until the watermark has passed its end, when no earlier
+    one can come any more.  The last window that left is kept for ``idle_ms`` of
+    event time; a clip that goes on later starts anew.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "window_id bigint, v array<double>")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "window_id bigint", "end_ms bigint, v array<double>, quiet double, metrics array<double>")
+        self.last = handle.getValueState("last", "end_ms bigint, v array<double>, quiet double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values("window_id")
-        before = self.last.get() if self.last.exists() else None
+        for pdf in rows:
+            ends = [int(pd.Timestamp(t).value // 1_000_000) for t in pdf["end_time"]]
+            for w, end, v, quiet, metrics in zip(pdf["window_id"], ends, pdf["v"], pdf["quiet_rms"], pdf["metrics"]):
+                self.waiting.updateValue((int(w),), (end, _numbers(v), _number(quiet), _numbers(metrics)))
+                self.handle.registerTimer(end)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        ready = sorted((row[0], w[0], *row[1:]) for w, row in self.waiting.iterator() if row[0] <= now)
+        before = tuple(self.last.get()) if self.last.exists() else None
         out = []
-        for w, v in zip(arrived["window_id"], arrived["v"]):
-            v = [float(x) for x in v]
-            if before is not None and w <= before[0]:
-                continue  # late: its successor has been compared already
-            dist = None if before is None else sum((a - b) ** 2 for a, b in zip(v, before[1])) ** 0.5
-            out.append((key[0], int(w), dist))
-            before = (int(w), v)
-        if before is not None:
+        for end, w, v, quiet, metrics in ready:
+            if before is not None and end - before[0] > self.idle_ms:
+                before = None
+            both = before is not None and v is not None and before[1] is not None
+            dist = float(np.linalg.norm(np.subtract(v, before[1], dtype=float))) if both else None
+            out.append((key[0], w, pd.Timestamp(end, unit="ms"), quiet, before and before[2], dist, metrics))
+            before = (end, v, quiet)
+            self.waiting.removeKey((w,))
+        if ready:
             self.last.update(before)
-        yield pd.DataFrame(out, columns=["clip_id", "window_id", "dist"])
+            self.handle.registerTimer(before[0] + self.idle_ms)
+        elif before is not None and before[0] + self.idle_ms <= now:
+            self.last.clear()
+        yield pd.DataFrame(out, columns=["clip_id", "window_id", "end_time", "quiet_rms", "prev_quiet_rms", "mfcc_dist", "metrics"])
 
     def close(self) -> None:
         pass
 
 
-def live_distances(windows: DataFrame) -> DataFrame:
-    """Streaming table ``(clip_id, window_id, v)``: distance to the previous window of the clip."""
+def _number(x) -> float | None:
+    return None if x is None or x != x else float(x)
+
+
+def _numbers(v) -> list | None:
+    return None if v is None else [_number(x) for x in v]
+
+
+def live_distances(windows: DataFrame, late: str = "2 seconds", idle: int = 60) -> DataFrame:
+    """Streaming table ``(clip_id, window_id, end_time, v[, quiet_rms, metrics])``: distance to the previous window of the clip.
+
+    Windows may come in any order within the watermark and leave in theirs once it
+    has passed their end; later ones are dropped as late.  A window that comes
+    again while it waits replaces itself; one without a vector has no distance, nor
+    has its successor.  Needs the RocksDB state store.  ``idle`` is in seconds.
+    """
     kt = windows.schema["clip_id"].dataType.simpleString()
-    return windows.groupBy("clip_id").transformWithStateInPandas(
-        statefulProcessor=_PreviousVector(),
-        outputStructType=f"clip_id {kt}, window_id bigint, dist double",
+    more = {"quiet_rms": F.lit(None).cast("double"), "metrics": F.array().cast("array<double>")}
+    d = windows.withColumns({n: c for n, c in more.items() if n not in windows.columns})
+    return d.select("clip_id", F.col("window_id").cast("bigint"), "end_time", "v", "quiet_rms", "metrics").withWatermark("end_time", late).groupBy("clip_id").transformWithStateInPandas(
+        statefulProcessor=_InOrder(idle * 1000),
+        outputStructType=f"clip_id {kt}, window_id bigint, end_time timestamp, quiet_rms double, prev_quiet_rms double, mfcc_dist double, metrics array<double>",
         outputMode="Append",
-        timeMode="None",
+        timeMode="EventTime",
+    )
+
+
+METRICS = ["hf_ripple", "hnr_db", "phase_var", "pitch_entropy", "micro_jitter", "energy_cv"]
+
+
+def live_scores(windows: DataFrame, baseline: DataFrame | None = None, boundary_mode: str = "detected", late: str = "2 seconds", idle: int = 60) -> DataFrame:
+    """Vocoder, spectral and prosody score, boundary flag and checks of each window as it is complete.
+
+    ``windows``: a streaming or batch table ``clip_id, window_id, end_time,
+    mfcc_mean, quiet_rms`` and METRICS.  ``baseline``: a table ``clip_id, mu,
+    sigma``, since a running clip has none of its own yet; a clip without one gets
+    that of a clip below two chunks.  Missing metrics give the fallback scores.
+    """
+    if windows.isStreaming:
+        d = live_distances(windows.select("clip_id", "window_id", "end_time", F.col("mfcc_mean").alias("v"), "quiet_rms", F.array(*METRICS).alias("metrics")), late, idle)
+        d = d.select("*", *[F.get("metrics", F.lit(i)).alias(n) for i, n in enumerate(METRICS)]).drop("metrics")
+    else:
+        d = I.cross_window(windows)
+    if baseline is None:
+        d = d.withColumns({"mu": F.lit(None).cast("double"), "sigma": F.lit(None).cast("double")})
+    else:
+        d = d.join(baseline.select("clip_id", "mu", "sigma"), "clip_id", "left")
+    d = I.spectral_scores(d.fillna({"mu": 30.0, "sigma": 10.0}), boundary_mode)
+    v, p = [F.col(n) for n in METRICS[:3]], [F.col(n) for n in METRICS[3:]]
+    found = F.coalesce("spectral_checks", F.array().cast("array<string>"))
+    return I.fallback_scores(
+        d.select(
+            "clip_id", "window_id", "end_time", I.vocoder_score(*v).alias("vocoder_score"), "spectral_score", "raw_score", I.prosody_score(*p).alias("prosody_score"),
+            "boundary_detected", "room_change", F.concat(present(*I.vocoder_checks(*v)), found, present(*I.prosody_checks(*p))).alias("triggered_checks"),
+        )
     )
 
 
