@@ -115,6 +115,23 @@ def test_decode(fmt, bits):
     np.testing.assert_allclose(y, x.reshape(2, 2))
 
 
+def test_mono_blocks_equal_the_channel_mean(spark):
+    """Decoded, averaged and cut in one task; broken and empty files are one row each."""
+    rng = np.random.default_rng(3)
+    x = np.rint(rng.uniform(-0.5, 0.5, (20500, 3)) * 32768).astype("<i2")
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 0, b"WAVE", b"fmt ", 16, 1, 3, 16000, 0, 0, 16, b"data", x.nbytes)
+    files = [("a", head + x.tobytes()), ("bad", b"RIFF"), ("none", None), ("empty", head[:-4] + struct.pack("<I", 0))]
+    d = spark.createDataFrame(files, "clip_id string, content binary")
+    rows = pcm.mono_blocks(d).where("clip_id = 'a'").orderBy("block_id").collect()
+    assert [len(r["xs"]) for r in rows] == [8000, 8000, 4500] and {(r["n_clip"], r["channels"]) for r in rows} == {(20500, 3)}
+    np.testing.assert_allclose(np.concatenate([r["xs"] for r in rows]), x.mean(axis=1) / 32768, atol=1e-12)
+    by_shuffle = pcm.downmix_blocks(pcm.pcm_blocks(d)).orderBy("block_id").collect()
+    assert [r["xs"] for r in by_shuffle] == [r["xs"] for r in rows]
+    cut = pcm.mono_blocks(d, max_seconds=0.75).where("error IS NULL").orderBy("block_id").collect()
+    assert [len(r["xs"]) for r in cut] == [8000, 4000]
+    assert {r["clip_id"]: r["error"] for r in pcm.mono_blocks(d).where("error IS NOT NULL").collect()} == {"bad": "not_riff_wave", "none": "not_riff_wave", "empty": "empty"}
+
+
 def test_rejects(prepared):
     got = {r["clip_id"]: r["reason"] for r in prepared.rejects.collect()}
     assert got == {

@@ -39,13 +39,12 @@ def prepare(files: DataFrame, sr: int = K.SAMPLE_RATE, max_seconds: int | None =
     """
     bad_files = files.where("reject_reason IS NOT NULL").select("clip_id", F.col("reject_reason").alias("reason"))
     good = recordings.accepted(files)
-    raw = written(pcm.pcm_blocks(good), "pcm")
+    raw = written(pcm.mono_blocks(good, max_seconds=max_seconds), "pcm")
     wrong_rate = F.when(F.col("sr") != sr, F.concat(F.lit("sample_rate_"), F.col("sr").cast("string")))
     raw = raw.withColumn("error", F.coalesce("error", wrong_rate))
     bad_decode = raw.where("error IS NOT NULL").select("clip_id", F.col("error").alias("reason")).distinct()
 
-    mono = pcm.downmix_blocks(raw)
-    mono = (mono if max_seconds is None else pcm.cap_blocks(mono, max_seconds)).where(F.size("xs") > 0)
+    mono = raw.where("error IS NULL").drop("error")
     mono = with_segments(mono, CLIP, "start", step=K.GATE_FRAME)
     peak = "max(array_max(transform(xs, x -> abs(x))))"
     lengths = mono.groupBy("clip_id").agg(
