@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -191,3 +192,73 @@ def test_fields_among_the_first_words(spark):
     rows += [(300 + i, f"User {name(i)} left {name(i)} with {name(i)} too") for i in range(3)]
     got = {r.doc_id: r.n_dropped for r in lines.without_recurring_lines(frame(spark, rows), min_docs=10).collect()}
     assert got == {i: int(i < 200) for i, _ in rows}
+
+
+def _recurring(texts, min_docs):
+    """Lines (masked, trimmed) whose template recurs, by the rules of lines.py one after the other."""
+    n, white = Counter(), " \t\n\x0b\f\r"
+    for t in set(texts):
+        n.update({x for x in (re.sub(lines.VARIABLE, lines.FIELD, x).strip(white) for x in t.split("\n")) if x})
+    w = {x: WORD.findall(x) for x in n}
+    leaf, wild = {x: (len(w[x]), w[x][0]) for x in n}, dict.fromkeys(n, False)
+
+    def docs(of):
+        c = Counter()
+        for x in leaf:
+            c[of(x)] += n[x]
+        return c
+
+    for k in range(1, lines.DEPTH):
+        c = docs(lambda x: leaf[x])
+        leaf = {x: v for x, v in leaf.items() if c[v] >= min_docs}
+        word = lambda x, k=k: w[x][k] if k < len(w[x]) else ""
+        c = docs(lambda x: (leaf[x], word(x)))
+        known = {x: c[leaf[x], word(x)] >= min_docs for x in leaf}
+        wild = {x: wild[x] or not known[x] for x in leaf}
+        leaf = {x: (v, word(x) if known[x] else None) for x, v in leaf.items()}
+    total = docs(lambda x: leaf[x])
+    leaf = {x: v for x, v in leaf.items() if total[v] >= min_docs}
+    here, found, often = Counter(), [], Counter()
+    for x in leaf:
+        for place, word in enumerate(w[x]):
+            here[leaf[x], place, word] += n[x]
+    for x, v in leaf.items():
+        for relative in (False, True):
+            least = max(min_docs, lines.USUAL * total[v] if relative else 0)
+            fixed = [(p, y) for p, y in enumerate(w[x]) if y != lines.FIELD and here[v, p, y] >= least]
+            after = len(w[x]) - lines.DEPTH
+            holds = after > 0 and sum(p >= lines.DEPTH for p, _ in fixed) >= after / 2
+            if fixed and len(fixed) >= len(w[x]) / 2 and (holds or not (wild[x] or relative)):
+                found.append((x, (v, relative, tuple(fixed))))
+                often[found[-1][1]] += n[x]
+    return {x for x, template in found if often[template] >= min_docs}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_lines_against_brute_force(spark, seed):
+    """Lines of all lengths in which every place, every second one or any half of them is constant."""
+    rnd = random.Random(seed)
+
+    def line():
+        size, kind = rnd.randrange(1, 12), rnd.randrange(4)
+        free = lambda p: rnd.random() < 0.15 if kind == 0 else p % 2 == kind - 1 if kind < 3 else (p * 7 + size) % 5 < 2
+        w = [rnd.choice([f"f{chr(97 + rnd.randrange(26))}", "7", "a@b"]) if free(p) else f"{'uvw'[kind % 3]}{'klm'[p % 3]}" for p in range(size)]
+        if kind == 3 and rnd.random() < 0.5:
+            w[1:2] = [chr(97 + rnd.randrange(26)) for _ in w[1:2]]
+        return rnd.choice([" "] * 6 + ["  ", "\t"]).join(w) + rnd.choice([""] * 5 + [" ", "\r"])
+
+    texts = ["\n".join(line() for _ in range(rnd.randrange(5))) for _ in range(400)]
+    texts += texts[:40] + [None]
+    got = {r.doc_id: r.n_dropped for r in lines.without_recurring_lines(frame(spark, list(enumerate(texts))), min_docs=5).collect()}
+    gone = _recurring([t for t in texts if t], 5)
+    masked = lambda x: re.sub(lines.VARIABLE, lines.FIELD, x).strip(" \t\n\x0b\f\r")
+    want = {i: sum(masked(x) in gone for x in (t or "").split("\n")) for i, t in enumerate(texts)}
+    assert got == want and 0 < sum(want.values()) < sum(len(t.split("\n")) for t in texts if t)
+
+
+def test_line_dedup_leaves_no_tables(spark, tmp_path, monkeypatch):
+    """Tables of lines are dropped after their last reader; the two that the lazy result reads stay."""
+    monkeypatch.setattr(lines, "scratch", lambda _, n=iter(range(99)): f"{tmp_path}/{next(n)}")
+    rows = [(i, f"own line {i}\nVisit our page today for more news\nUser {chr(97 + i)} has joined the room") for i in range(14)]
+    got = lines.without_recurring_lines(frame(spark, rows), min_docs=10)
+    assert len(list(tmp_path.iterdir())) == 2 and {r.n_dropped for r in got.collect()} == {3}

@@ -55,6 +55,11 @@ def stored(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """From now on the shuffle files of a query go when it ends, not when the driver happens to collect its garbage."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -102,8 +107,9 @@ def bitmap_of(df: DataFrame, key: str) -> DataFrame:
 def maybe_flag(df: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFrame:
     """Add a boolean: whether a row's hash may be one of the bitmap's; it never denies one that is."""
     d = df.withColumn("_at", _bit(key)).withColumn("_chunk", F.floor(F.col("_at") / CHUNK_BITS))
-    byte = F.conv(F.hex(F.expr(f"substring(_bits, CAST(_at % {CHUNK_BITS} div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
-    found = F.call_function("shiftright", byte, (F.col("_at") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    byte = f"hex(substring(_bits, CAST(_at % {CHUNK_BITS} div 8 AS INT) + 1, 1))"
+    digit = F.expr(f"instr('0123456789ABCDEF', substring({byte}, IF(_at % 8 < 4, 2, 1), 1)) - 1")
+    found = F.call_function("shiftright", digit, (F.col("_at") % 4).cast("int")).bitwiseAND(F.lit(1)) == 1
     return d.join(F.broadcast(bitmap), "_chunk", "left").select(*df.columns, F.coalesce(found, F.lit(False)).alias(name))
 
 
