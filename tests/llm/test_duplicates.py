@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from tests.llm.conftest import frame, rows_of
-from voxledger.llm import lines, simhash, substrings
+from voxledger.llm import lines, simhash, substrings, work
 from voxledger.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -262,3 +262,47 @@ def test_line_dedup_leaves_no_tables(spark, tmp_path, monkeypatch):
     rows = [(i, f"own line {i}\nVisit our page today for more news\nUser {chr(97 + i)} has joined the room") for i in range(14)]
     got = lines.without_recurring_lines(frame(spark, rows), min_docs=10)
     assert len(list(tmp_path.iterdir())) == 2 and {r.n_dropped for r in got.collect()} == {3}
+
+
+@pytest.mark.parametrize("chunk_bits", [1, 2, 1 << 15])
+def test_lines_by_full_bitmaps(spark, monkeypatch, chunk_bits):
+    """Where bitmaps name too many lines, the exact table of dropped lines decides; blank lines and null texts never lose any."""
+    monkeypatch.setattr(work, "CHUNK_BITS", chunk_bits)
+    monkeypatch.setattr(work, "BITMAP_BITS", 2 * chunk_bits)
+    shared = "Visit our page today for more news"
+    texts = [f"{chr(97 + i)} line of its own\n{shared}\n \nand{' so' * i} on\n\n{shared}" for i in range(14)] + [None, "", f"{shared}\nno more of this"]
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in lines.without_recurring_lines(frame(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        kept = [x for x in (t or "").split("\n") if x != shared]
+        n = 0 if t is None else len(t.split("\n"))
+        assert got[i] == (n, n - len(kept) if t else 0, "\n".join(kept))
+
+
+def _made(df):
+    """Rows from each Generate of words or pairs of words that has run, by the plans of Spark's SQL store."""
+    store = df.sparkSession._jsparkSession.sharedState().statusStore()
+    found = {}
+    for i in range(store.executionsList().size()):
+        run = store.executionsList().apply(i)
+        values = store.executionMetrics(run.executionId())
+        nodes = store.planGraph(run.executionId()).allNodes()
+        for k in range(nodes.size()):
+            node = nodes.apply(k)
+            if node.name() == "Generate":
+                for m in range(node.metrics().size()):
+                    value = values.get(node.metrics().apply(m).accumulatorId())
+                    if node.metrics().apply(m).name() == "number of output rows" and value.isDefined():
+                        found[run.executionId(), node.id()] = (node.desc(), int(value.get().replace(",", "")))
+    return found
+
+
+def test_only_words_of_likely_lines_are_rows(spark):
+    """Of many lines in the leaf of a template, only words become rows that a likely line has at the same place."""
+    word = lambda i, k: "".join(chr(97 + int(c)) for c in f"{i * 97 + k * 13 + 1000}")
+    rows = [(i, f"The {word(i, 50)} {word(i, 51)} " + " ".join(word(0, k) for k in range(17))) for i in range(12)]
+    rows += [(100 + i, "The " + " ".join(word(i + 20, k) for k in range(19))) for i in range(500)]
+    before = set(_made(frame(spark, [])))
+    got = {r.doc_id: r.n_dropped for r in lines.without_recurring_lines(frame(spark, rows), min_docs=10).collect()}
+    assert got == {i: int(i < 100) for i, _ in rows}
+    own = [n for at, (desc, n) in _made(frame(spark, [])).items() if at not in before and ("explode(filter(" in desc or "posexplode(split(line" in desc)]
+    assert own and max(own) < 2 * 512

@@ -28,7 +28,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxledger.llm.work import SPACE_CHARS, SPACES, bitmap_of, drop_folder, drop_shuffles, maybe_flag, maybe_in, scratch, stored
+from voxledger.llm.work import (
+    SPACE_CHARS, SPACES, bitmap_by, bitmap_of, drop_folder, drop_shuffles, maybe_flag, maybe_has, maybe_in, scratch, stored, with_bits,
+)
 
 FIELD = "<*>"
 #: A word with a digit or an @, or a link; tried at the beginnings of words only, without backtracking.
@@ -40,6 +42,8 @@ CONSTANT_SHARE = 0.5
 USUAL = 0.2
 #: Words from which a line is paired off; pairs hold for a CONSTANT_SHARE of half or more.
 LEAST_PAIRED = 4
+#: Bits that a dropped line has in the bitmap of places.
+PLACE_BITS = 4
 
 
 def _text_lines(docs: DataFrame) -> DataFrame:
@@ -109,8 +113,8 @@ def _pairs(lines: DataFrame) -> DataFrame:
     return d.where((F.col("a") != FIELD) & (F.col("b") != FIELD)).select("key", "n", F.hash("leaf", "i", "a", "b").alias("pair"))
 
 
-def recurring_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(line): hashes of lines of docs whose template recurs, written; table is line_table(docs)."""
+def recurring_lines(docs: DataFrame, table: DataFrame, folder: str, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(line): hashes of lines of docs whose template recurs, written to folder; table is line_table(docs)."""
     spark = docs.sparkSession
     folders = []
 
@@ -152,15 +156,19 @@ def recurring_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS)
     likely = kept_as(maybe_in(lines, F.col("key"), bitmap_of(paired.unionByName(short), "key")), compression="zstd")
 
     # a word at its place in a leaf is a number; it is even for the first DEPTH words, so two numbers a word are all that is shuffled
-    number = F.xxhash64("leaf", "place", "word").bitwiseAND(F.lit(-2)) + F.when(F.col("place") < DEPTH, 0).otherwise(1)
+    def number(place: Column, word: Column) -> Column:
+        return F.xxhash64("leaf", place, word).bitwiseAND(F.lit(-2)) + F.when(place < DEPTH, 0).otherwise(1)
 
     def numbers(d: DataFrame) -> DataFrame:
-        at = d.select("leaf", "key", "n", F.posexplode(F.split("line", " ")).alias("place", "word")).where(F.col("word") != FIELD)
-        return at.select("key", "n", number.alias("word"))
-
-    # all lines of their leaves count for the words of likely lines
-    at = numbers(maybe_in(lines, F.col("leaf"), bitmap_of(likely, "leaf"))).select("n", "word")
-    at = maybe_in(at, F.col("word"), bitmap_of(numbers(likely), "word"))
+        at = d.select("leaf", "key", F.posexplode(F.split("line", " ")).alias("place", "word")).where(F.col("word") != FIELD)
+        return at.select("leaf", "key", number(F.col("place"), F.col("word")).alias("word"))
+
+    # all lines of their leaves count for the words of likely lines; the other words of these lines are never rows
+    sought = bitmap_by(numbers(likely), "leaf", F.col("word"))
+    near = with_bits(maybe_in(lines, F.col("leaf"), bitmap_of(likely, "leaf")), "leaf", sought)
+    own = F.transform(F.split("line", " "), lambda word, place: number(place, word))
+    # explode_outer: a plain explode is planned with a test for empty arrays, which looks up all words twice
+    at = near.select("n", F.explode_outer(F.filter(own, lambda x: maybe_has(F.col("_bits"), x))).alias("word")).where("word IS NOT NULL")
     # what is constant has its bit in a bitmap, so that of the words of all lines few others are shuffled a second time
     constant = kept_as(at.groupBy("word").agg(F.sum("n").alias("here")).where(F.col("here") >= min_docs))
     drop_folder(spark, folders.pop(0))
@@ -179,11 +187,9 @@ def recurring_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS)
     holds = (after > 0) & (F.col("fixed_after") >= CONSTANT_SHARE * after)
     template = template.where((F.col("fixed") >= CONSTANT_SHARE * F.col("size")) & (holds | ~(F.col("wild") | F.col("relative"))))
     often = often_in(template, "leaf", "relative", "template").drop("docs")
-    recurring = stored(
-        template.join(often, ["leaf", "relative", "template"], "left_semi").select(F.col("key").alias("line")).distinct(), scratch(spark)
-    )
-    for folder in folders:
-        drop_folder(spark, folder)
+    recurring = stored(template.join(often, ["leaf", "relative", "template"], "left_semi").select(F.col("key").alias("line")).distinct(), folder)
+    for written in folders:
+        drop_folder(spark, written)
     return recurring
 
 
@@ -197,20 +203,31 @@ def without_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFr
     """
     text = F.col("text")
     # joins would add these filters, but only to some uses; with them in all, equal parts of the plan share exchanges
-    spark, folder = docs.sparkSession, scratch(docs.sparkSession)
+    spark, folders = docs.sparkSession, [scratch(docs.sparkSession) for _ in range(2)]
     drop_shuffles(spark)
-    table = stored(line_table(docs), folder).where("line IS NOT NULL")
-    d = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
-    # bitmaps tell which lines and texts can be concerned; only these are shuffled, the texts of all others stay where they are read
-    recurring = recurring_lines(docs, table, min_docs)
+    table = stored(line_table(docs), folders[0]).where("line IS NOT NULL")
+    recurring = recurring_lines(docs, table, folders[1], min_docs)
     concerned = maybe_in(table.select("text_hash", "at", "line"), F.col("line"), bitmap_of(recurring, "line"))
     gone = stored(concerned.join(recurring, "line", "left_semi").groupBy("text_hash").agg(F.collect_set("at").alias("gone")), scratch(spark))
-    drop_folder(spark, folder)
-    d = maybe_flag(d, F.col("text_hash"), bitmap_of(gone, "text_hash"), "maybe")
-    d = d.where("maybe").join(gone, "text_hash", "left").select("doc_id", "text", "gone").unionByName(
-        d.where("NOT maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("gone"))
-    )
+
+    # a bitmap tells each text where it stands which of its lines go; only texts for which it names others too are shuffled
+    places = gone.select("text_hash", F.explode("gone").alias("at"))
+    place = lambda at: F.xxhash64("text_hash", at)
+    dropped = bitmap_by(places, "text_hash", place(F.col("at")), PLACE_BITS)
+    named = with_bits(table.select("text_hash", "at"), "text_hash", dropped)
+    named = named.where(maybe_has(F.col("_bits"), place(F.col("at")), PLACE_BITS)).select("text_hash", "at")
+    misled = stored(named.join(places, ["text_hash", "at"], "left_anti").select("text_hash").distinct(), scratch(spark))
+    for folder in folders:
+        drop_folder(spark, folder)
+    d = maybe_flag(docs.select("doc_id", "text", _text_hash().alias("text_hash")), F.col("text_hash"), bitmap_of(misled, "text_hash"), "maybe")
+    exact = maybe_in(gone, F.col("text_hash"), bitmap_of(misled, "text_hash"))
     lines = F.when(text.isNotNull(), F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
+    has_word = lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""
+    goes = lambda x, at: maybe_has(F.col("_bits"), place(at), PLACE_BITS) & has_word(x)
+    here = F.when(F.col("_bits").isNotNull(), F.filter(F.transform(lines, lambda x, at: F.when(goes(x, at), at)), lambda at: at.isNotNull()))
+    d = d.where("maybe").join(exact, "text_hash", "left").select("doc_id", "text", "gone").unionByName(
+        with_bits(d.where("NOT maybe"), "text_hash", dropped).select("doc_id", "text", here.alias("gone"))
+    )
     gone_here = F.coalesce("gone", F.array().cast("array<int>"))
     keeps = lambda x: F.filter(x, lambda v, i: ~F.array_contains(gone_here, i))
     return d.select(

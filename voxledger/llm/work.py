@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,12 +106,17 @@ def bitmap_of(df: DataFrame, key: str) -> DataFrame:
     return chunks.groupBy("_chunk").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
 
 
+def _has_bit(bits: Column, at: Column) -> Column:
+    """Whether a chunk has the bit ``at``."""
+    byte = F.hex(F.substring(bits, F.call_function("shiftright", at, F.lit(3)).cast("int") + 1, F.lit(1)))
+    digit = F.instr(F.lit("0123456789ABCDEF"), F.substring(byte, F.when(at % 8 < 4, 2).otherwise(1), F.lit(1))) - 1
+    return F.call_function("shiftright", digit, (at % 4).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def maybe_flag(df: DataFrame, key: Column, bitmap: DataFrame, name: str) -> DataFrame:
     """Add a boolean: whether a row's hash may be one of the bitmap's; it never denies one that is."""
     d = df.withColumn("_at", _bit(key)).withColumn("_chunk", F.floor(F.col("_at") / CHUNK_BITS))
-    byte = f"hex(substring(_bits, CAST(_at % {CHUNK_BITS} div 8 AS INT) + 1, 1))"
-    digit = F.expr(f"instr('0123456789ABCDEF', substring({byte}, IF(_at % 8 < 4, 2, 1), 1)) - 1")
-    found = F.call_function("shiftright", digit, (F.col("_at") % 4).cast("int")).bitwiseAND(F.lit(1)) == 1
+    found = _has_bit(F.col("_bits"), F.col("_at") % CHUNK_BITS)
     return d.join(F.broadcast(bitmap), "_chunk", "left").select(*df.columns, F.coalesce(found, F.lit(False)).alias(name))
 
 
@@ -118,6 +125,29 @@ def maybe_in(df: DataFrame, key: Column, bitmap: DataFrame) -> DataFrame:
     return maybe_flag(df, key, bitmap, "_maybe").where("_maybe").select(*df.columns)
 
 
+def _bits_of(key: Column, times: int) -> list[Column]:
+    return [F.pmod(F.call_function("shiftright", key, F.lit(15 * j + 1)), F.lit(CHUNK_BITS)) for j in range(times)]
+
+
+def bitmap_by(df: DataFrame, group: str, key: Column, times: int = 1) -> DataFrame:
+    """A bitmap in which all hashes of a group have their bits, ``times`` for each, in the same chunk."""
+    bits = _bits_of(key, times)
+    chunk = F.pmod(F.col(group), F.lit(BITMAP_BITS // CHUNK_BITS)).alias("_chunk")
+    d = df.select(chunk, (F.explode(F.array(*bits)) if times > 1 else bits[0]).alias("_bit"))
+    return d.groupBy("_chunk").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def with_bits(df: DataFrame, group: str, bitmap: DataFrame) -> DataFrame:
+    """Add _bits, the chunk that a row's group has in a bitmap_by(); null if there is none."""
+    chunk = F.pmod(F.col(group), F.lit(BITMAP_BITS // CHUNK_BITS))
+    return df.withColumn("_chunk", chunk).join(F.broadcast(bitmap), "_chunk", "left").drop("_chunk")
+
+
+def maybe_has(bits: Column, key: Column, times: int = 1) -> Column:
+    """Whether a hash may be one of the chunk's; it never denies one that is. Made for elements of arrays, which need not be exploded."""
+    return F.coalesce(reduce(and_, [_has_bit(bits, at) for at in _bits_of(key, times)]), F.lit(False))
+
+
 def packed(df: DataFrame, outputs: list[str], name: str = "_row") -> tuple[Column, list[str]]:
     """All columns in one struct, so that working columns cannot clash with them.
 
