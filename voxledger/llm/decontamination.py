@@ -22,18 +22,28 @@ words of its place, so windows are taken from such places; this loses nothing.
 it misses nothing, takes longer on large benchmarks, and is what tests measure
 the recall against.
 
-Items are a query set: they go to the tasks in blocks of at most BLOCK_ITEMS,
-so what is sent at a time has a bound however large the benchmark is.
+Only items that can be in a text are followed there: of any run within the allowed
+edits one piece stands unchanged, and all but so many of the item's different words
+are in the text.  What this drops could not pass the edit distance either, so walks
+are taken in few texts and only over segments that may be found, and what a task
+holds is the words of the items and one row for each piece.
+
+Items are a query set: they go to the tasks in blocks of at most BLOCK_ITEMS items
+and about BLOCK_BYTES bytes, so what is sent at a time has a bound however large the
+benchmark is.  A block is broadcast, and a Python worker prepares it once for all of
+its tasks.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +51,8 @@ from voxledger.llm.work import packed, small_batches, unpacked
 
 #: Edits allowed per word of an item.
 SHARE = 0.2
-BLOCK_ITEMS = 10_000
+BLOCK_ITEMS = 200_000
+BLOCK_BYTES = 16 << 20
 #: Words of a segment at most, sampled steps of a walk, probability of finding a segment with all its edits.
 SEGMENT = 30
 SAMPLED = 2
@@ -49,6 +60,9 @@ TARGET = 0.999
 #: Measured; see repetitions.
 AGREE = 0.85
 WINDOWS_AT_ONCE = 4096
+#: Words of texts that are searched at a time, one text at least; rows that go back at a time.
+WORDS_AT_ONCE = 1 << 18
+ROWS_AT_ONCE = 50_000
 SEED = 11
 _TOKEN = re.compile(r"\w+")
 
@@ -110,69 +124,137 @@ class Walks:
         return key
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of n numbers each, one behind the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal numbers, none below 0."""
+    edge = np.append(np.flatnonzero(np.diff(x, prepend=-1)), len(x)).tolist()
+    return list(zip(edge, edge[1:], strict=False))
+
+
+class Lists:
+    """Lists of numbers in one array; list k begins at start[k] and has length[k] of them."""
+
+    def __init__(self, flat: np.ndarray, length: np.ndarray):
+        self.flat, self.length, self.start = flat, length, np.cumsum(length) - length
+
+    def __len__(self) -> int:
+        return len(self.length)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.flat[self.start[k] : self.start[k] + self.length[k]]
+
+
 class Pieces:
-    """Word lists, found where one of most + 1 pieces of them stands unchanged."""
-
-    def __init__(self, words: list[list[int]], most: list[int]):
-        self.pieces: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
-        for k, (t, m) in enumerate(zip(words, most, strict=True)):
-            n, count = len(t), m + 1
-            for p in range(count):
-                a, b = p * n // count, (p + 1) * n // count
-                self.pieces.setdefault(b - a, {}).setdefault(tuple(t[a:b]), []).append((k, a))
-        # by length of the pieces, what the hash of a piece modulo 2**20 can be
-        self.marks = {}
-        for width, pieces in self.pieces.items():
-            marks = np.zeros(1 << 20, dtype=bool)
-            marks[[self._slot(np.array(p, dtype=np.uint64), width)[0] for p in pieces]] = True
-            self.marks[width] = marks
-
-    def _slot(self, x: np.ndarray, width: int) -> np.ndarray:
-        h = np.zeros(len(x) - width + 1, dtype=np.uint64)
+    """Word lists, stretches of one array, found where one of most + 1 pieces of them stands unchanged."""
+
+    def __init__(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray, most: np.ndarray):
+        self.flat, self.start = flat, start
+        count = most + 1
+        k = np.repeat(np.arange(len(start)), count)
+        p = _spread(np.zeros(len(start), dtype=np.int64), count)
+        offset = p * length[k] // count[k]
+        widths = (p + 1) * length[k] // count[k] - offset
+        # by width of the pieces: their hashes in order, the list and the place in it of each, what the first bits of a hash can be
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for width in np.unique(widths).tolist():
+            mine = np.flatnonzero(widths == width)
+            h = self._hashes(flat, width)[start[k[mine]] + offset[mine]]
+            order = np.argsort(h, kind="stable")
+            marks = np.zeros(1 << min(24, max(12, (len(h) * 8).bit_length())), dtype=bool)
+            marks[self._slot(h, marks)] = True
+            self.pieces[width] = h[order], k[mine][order].astype(np.int32), offset[mine][order].astype(np.int32), marks
+
+    def _hashes(self, x: np.ndarray, width: int) -> np.ndarray:
+        x = x.astype(np.uint64)
+        h = np.zeros(max(0, len(x) - width + 1), dtype=np.uint64)
         for j in range(width):
-            h = (h ^ x[j : len(x) - width + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ x[j : len(h) + j]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(31)
-        return (h >> np.uint64(44)).astype(np.int64)
+        return h
+
+    def _slot(self, h: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(65 - len(marks).bit_length())).astype(np.int64)
 
-    def hits(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-        """(text, list, place in the text where the list would start if nothing before the piece were edited)."""
-        gap = np.zeros(max(self.marks, default=1), dtype=np.uint64)
+    def hits(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, list, place in the text where the list would start if nothing before the piece were edited, and start and end of the piece in the text."""
+        gap = np.zeros(max(self.pieces, default=1), dtype=np.uint64)
         x = np.concatenate([part for t in texts for part in (t, gap)] or [gap])
         first = np.cumsum([0, *[len(t) + len(gap) for t in texts]])
-        for width, marks in self.marks.items():
-            at_all = np.flatnonzero(marks[self._slot(x, width)])
-            for at, i in zip(at_all.tolist(), (np.searchsorted(first, at_all, "right") - 1).tolist(), strict=True):
-                for k, offset in self.pieces[width].get(tuple(x[at : at + width].tolist()), ()):
-                    yield i, k, at - int(first[i]) - offset
+        out = [(np.zeros(0, dtype=np.int64),) * 5]
+        for width, (known, lists, offsets, marks) in self.pieces.items():
+            h = self._hashes(x, width)
+            at = np.flatnonzero(marks[self._slot(h, marks)])
+            low = np.searchsorted(known, h[at])
+            n = np.searchsorted(known, h[at], "right") - low
+            at, piece = np.repeat(at, n), _spread(low, n)
+            for j in range(width):  # a hash may mislead
+                same = self.flat[self.start[lists[piece]] + offsets[piece] + j] == x[at + j]
+                at, piece = at[same], piece[same]
+            i = np.searchsorted(first, at, "right") - 1
+            at = at - first[i]
+            out.append((i, lists[piece].astype(np.int64), at - offsets[piece], at, at + width))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 class Items:
     """One block of items, ready to be searched for; items of equal words are searched for once."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        same: dict[tuple[str, ...], list[int]] = {}
+        seen: dict[str, int] = {}
+        same: dict[bytes, int] = {}
+        words: list[np.ndarray] = []
+        self.ids: list[list[int]] = []
         for i, text in items:
-            if t := tokens(text):
-                same.setdefault(tuple(t), []).append(i)
-        self.ids = list(same.values())
-        self.vocabulary = {w: k for k, w in enumerate(sorted({w for t in same for w in t}), 1)}
-        self.words = [[self.vocabulary[w] for w in t] for t in same]
-        self.most = [int(SHARE * len(t)) for t in self.words]
-        self.distinct = [frozenset(t) for t in self.words]
-        self.search = Pieces(self.words, self.most)
-        # by item and word, one bit for each place of the word
-        self.bits: list[dict[int, int]] = []
-        for t in self.words:
-            bits: dict[int, int] = {}
-            for j, w in enumerate(t):
-                bits[w] = bits.get(w, 0) | 1 << j
-            self.bits.append(bits)
+            t = np.array([seen.setdefault(w, len(seen)) for w in tokens(text)], dtype=np.uint32)
+            if not len(t):
+                continue
+            k = same.setdefault(t.tobytes(), len(words))
+            if k == len(words):
+                words.append(t)
+                self.ids.append([])
+            self.ids[k].append(i)
+        self.vocabulary = {w: k for k, w in enumerate(sorted(seen), 1)}
+        number = np.array([self.vocabulary[w] for w in seen], dtype=np.uint32)
+        self.words = Lists(number[np.concatenate([*words, np.zeros(0, dtype=np.uint32)])], np.array([len(t) for t in words], dtype=np.int64))
+        self.most = (SHARE * self.words.length).astype(np.int64)
+
+    @cached_property
+    def search(self) -> Pieces:
+        return Pieces(self.words.flat, self.words.start, self.words.length, self.most)
+
+    @cached_property
+    def segments(self) -> Segments:
+        return Segments(self)
+
+    @cached_property
+    def distinct(self) -> Lists:
+        """By item, its different words."""
+        size = len(self.vocabulary) + 1
+        each = np.unique(np.repeat(np.arange(len(self.words)), self.words.length) * size + self.words.flat)
+        return Lists((each % size).astype(np.uint32), np.bincount(each // size, minlength=len(self.words)))
+
+    def possible(self, text: np.ndarray, item: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+        """Whether so many of the item's words are in the text that it may be there; for pairs in order of text."""
+        here = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        out = np.zeros(len(text), dtype=bool)
+        for a, b in _runs(text):
+            words, k = texts[text[a]].astype(np.int64), item[a:b]
+            n = self.distinct.length[k]
+            here[words] = True
+            there = here[self.distinct.flat[_spread(self.distinct.start[k], n)]]
+            here[words] = False
+            out[a:b] = n - np.add.reduceat(there, np.cumsum(n) - n, dtype=np.int64) <= self.most[k]
+        return out
 
     def places(self, found: dict[tuple[int, int], set[int]], texts: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int]]]:
         """By text and item, the parts of the text that hold every run of the item that starts near one of the places found; they do not overlap."""
         out: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for (i, k), starts in found.items():
-            n, most, parts = len(self.words[k]), self.most[k], []
+            n, most, parts = int(self.words.length[k]), int(self.most[k]), []
             for s in sorted(starts):
                 a, b = max(0, s - most), min(len(texts[i]), s + n + most)
                 if parts and a <= parts[-1][1]:
@@ -184,12 +266,15 @@ class Items:
 
     def nearest(self, k: int, text: list[int]) -> tuple[int, int, int] | None:
         """edits() of item k and text, or None where there is no run within the allowed edits."""
-        words, most = self.words[k], self.most[k]
+        words, most = self.words[k].tolist(), int(self.most[k])
         n = len(words)
-        if len(self.distinct[k].difference(text)) > most:
+        if len(set(words).difference(text)) > most:
             return None
-        # Myers' algorithm: bits of up and down say where the column of distances rises and falls
-        bits, full, last = self.bits[k], (1 << n) - 1, 1 << n - 1
+        # Myers' algorithm: by word, one bit for each of its places; bits of up and down say where the column of distances rises and falls
+        bits: dict[int, int] = {}
+        for j, w in enumerate(words):
+            bits[w] = bits.get(w, 0) | 1 << j
+        full, last = (1 << n) - 1, 1 << n - 1
         up, down, distance = full, 0, n
         least, end = most + 1, 0
         for j, word in enumerate(text, 1):
@@ -216,13 +301,14 @@ class Items:
     def matches(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end): the nearest place of every item that leaks into one of texts (word numbers); misses none."""
         found: dict[tuple[int, int], set[int]] = {}
-        for i, k, at in self.search.hits(texts):
+        i, k, place, _, _ = self.search.hits(texts)
+        for i, k, at in zip(i.tolist(), k.tolist(), place.tolist(), strict=True):
             found.setdefault((i, k), set()).add(at)
-        return self.verified(found, texts)
+        return self.verified(self.places(found, texts), texts)
 
-    def verified(self, found: dict[tuple[int, int], set[int]], texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
-        """Of the places found by text and item, the nearest of each within the allowed edits."""
-        for (i, k), parts in sorted(self.places(found, texts).items()):
+    def verified(self, places: dict[tuple[int, int], list[tuple[int, int]]], texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
+        """Of the parts of texts to look into by text and item, the nearest place of each within the allowed edits."""
+        for (i, k), parts in sorted(places.items()):
             near = [(d, a + s, a + e) for a, b in parts if (got := self.nearest(k, texts[i][a:b].tolist())) for d, s, e in [got]]
             if near:
                 yield (i, k, *min(near))
@@ -233,79 +319,134 @@ class Segments:
 
     def __init__(self, items: Items):
         self.items = items
-        # a segment is an item of its own to the search for unchanged pieces; of is (item, offset) of those with these words and edits
-        self.of: list[list[tuple[int, int]]] = []
-        self.words: list[list[int]] = []
-        self.most: list[int] = []
-        numbers: dict[tuple, int] = {}
-        for k, words in enumerate(items.words):
-            count = -(-len(words) // SEGMENT)
-            for p in range(count):
-                a, b = p * len(words) // count, (p + 1) * len(words) // count
-                key = (tuple(words[a:b]), items.most[k] // count)
-                if key not in numbers:
-                    numbers[key] = len(self.of)
-                    self.of.append([])
-                    self.words.append(words[a:b])
-                    self.most.append(key[1])
-                self.of[numbers[key]].append((k, a))
-        self.search = Pieces(self.words, self.most)
+        words = items.words
+        self.count = -(-words.length // SEGMENT)
+        self.first = np.cumsum(self.count) - self.count
+        # of each segment: its item, its place in the item, its words and edits
+        self.item = np.repeat(np.arange(len(words)), self.count)
+        n, count = words.length[self.item], self.count[self.item]
+        p = _spread(np.zeros(len(words), dtype=np.int64), self.count)
+        self.offset = p * n // count
+        self.length = (p + 1) * n // count - self.offset
+        self.start = words.start[self.item] + self.offset
+        self.most = items.most[self.item] // count
+        self.search = Pieces(words.flat, self.start, self.length, self.most)
+        lengths = [tuple(x) for x in np.unique(np.stack([self.length, self.most], axis=1), axis=0).tolist()]
         by_length: dict[int, int] = {}
-        for words, most in zip(self.words, self.most, strict=True):
-            by_length[len(words)] = max(by_length.get(len(words), 1), repetitions(len(words), most))
+        for n, most in lengths:
+            by_length[n] = max(by_length.get(n, 1), repetitions(n, most))
         self.walks = {n: Walks(n, count) for n, count in by_length.items()}
-        self.found: dict[tuple[int, int, int], list[int]] = {}
-        for k, words in enumerate(self.words):
-            n = len(words)
-            x = np.array(words + [0] * n, dtype=np.uint64)
-            for r, key in enumerate(self.walks[n].keys(x, np.zeros(1, dtype=np.int64))[0].tolist()):
-                self.found.setdefault((n, r, key), []).append(k)
-
-    def candidates(self, texts: list[np.ndarray]) -> set[tuple[int, int, int]]:
-        """(text, item, place in the text where the item would start)."""
-        windows: dict[int, set[tuple[int, int]]] = {}
-        for i, k, at in self.search.hits(texts):
-            most = self.most[k]
-            windows.setdefault(len(self.words[k]), set()).update((i, s) for s in range(max(0, at - most), min(len(texts[i]), at + most + 1)))
-        out: set[tuple[int, int, int]] = set()
-        for n, places in windows.items():
-            some = sorted(places)
-            which = sorted({i for i, _ in some})
-            first = dict(zip(which, np.cumsum([0, *[len(texts[i]) + n for i in which]])[:-1].tolist(), strict=True))
-            x = np.concatenate([part for i in which for part in (texts[i], np.zeros(n, dtype=np.uint64))])
-            walks = self.walks[n]
-            step = max(1, WINDOWS_AT_ONCE * 64 // len(walks.factors))
-            for a in range(0, len(some), step):
-                part = some[a : a + step]
-                keys = walks.keys(x, np.array([first[i] + s for i, s in part]))
-                for (i, s), row in zip(part, keys.tolist(), strict=True):
-                    for k in {k for r, key in enumerate(row) for k in self.found.get((n, r, key), ())}:
-                        out.update((i, item, s - offset) for item, offset in self.of[k])
+
+    def _windows(self, n: int, hits: tuple[np.ndarray, ...], texts: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text and place of the windows of n words around the pieces that the texts of which hold, in order."""
+        text, segment, place = hits[:3]
+        near = (self.length[segment] == n) & np.isin(text, which)
+        i, at, most = text[near], place[near], self.most[segment[near]]
+        size = np.array([len(t) for t in texts], dtype=np.int64)
+        low = np.maximum(0, at - most)
+        many = np.maximum(0, np.minimum(size[i], at + most + 1) - low)
+        longest = int(size.max(initial=0)) + 1
+        return np.divmod(np.unique(np.repeat(i, many) * longest + _spread(low, many)), longest)
+
+    def _near(self, n: int, own: np.ndarray, mine: np.ndarray, hits: tuple[np.ndarray, ...], texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Where segments of n words, mine in the texts own, agree with a window on a walk: text, item and the least and largest place where the item would start, of places whose parts of the text meet."""
+        walks, items = self.walks[n], self.items
+        many = len(walks.factors)
+        salt = np.random.default_rng((SEED, n)).integers(0, 1 << 63, size=many, dtype=np.uint64)
+        mixed = lambda keys, text: (keys ^ salt ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]).ravel()
+        step = max(1, WINDOWS_AT_ONCE * 64 // many)
+        known = [walks.keys(items.words.flat, self.start[mine[a : a + step]]) for a in range(0, len(mine), step)]
+        known = mixed(np.concatenate(known), own)
+        order = np.argsort(known)
+        known = known[order]
+        which = np.unique(own)
+        text, place = self._windows(n, hits, texts, which)
+        first = np.cumsum([0, *[len(texts[j]) + n for j in which.tolist()]])
+        x = np.concatenate([part for j in which.tolist() for part in (texts[j], np.zeros(n, dtype=np.uint64))])
+        start = first[np.searchsorted(which, text)] + place
+        reach = items.words.length + 2 * items.most
+        for a in range(0, len(place), step):
+            t, at = text[a : a + step], place[a : a + step]
+            keys = mixed(walks.keys(x, start[a : a + step]), t)
+            low = np.searchsorted(known, keys)
+            count = np.searchsorted(known, keys, "right") - low
+            window, walk = np.divmod(np.repeat(np.arange(len(keys)), count), many)
+            s, r = np.divmod(order[_spread(low, count)], many)
+            right = (walk == r) & (t[window] == own[s])
+            s, window = np.divmod(np.unique(s[right] * len(t) + window[right]), len(t))
+            item, begin = self.item[mine[s]], at[window] - self.offset[mine[s]]
+            cut = np.flatnonzero((np.diff(s, prepend=-1) != 0) | (np.diff(begin, prepend=0) > reach[item]))
+            yield t[window[cut]], item[cut], begin[cut], begin[np.append(cut[1:], len(begin))[: len(cut)] - 1]
+
+    def candidates(self, texts: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """By text and item, the parts of the text that hold every run of the item that starts near a place where walks agree; they do not overlap."""
+        items, hits = self.items, self.search.hits(texts)
+        pair, which = np.unique(hits[0] * len(items.words) + self.item[hits[1]], return_inverse=True)
+        t, k = np.divmod(pair, max(1, len(items.words)))
+        stays = items.possible(t, k, texts)
+        n = self.count[k[stays]]
+        own, mine = np.repeat(t[stays], n), _spread(self.first[k[stays]], n)
+        lengths = self.length[mine]
+        found = [part for n in np.unique(lengths).tolist() for part in self._near(n, own[lengths == n], mine[lengths == n], hits, texts)]
+        if not found:
+            return {}
+        text, item, least, last = (np.concatenate(c) for c in zip(*found, strict=True))
+        pairs = np.searchsorted(pair, text * len(items.words) + item)
+        order = np.lexsort((least, pairs))
+        pairs, least, last = pairs[order], least[order], last[order]
+        # pieces by pair and place
+        order = np.lexsort((hits[3], which))
+        begin, end, cut = hits[3][order], hits[4][order], np.searchsorted(which[order], np.arange(len(pair) + 1))
+        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for a, b in _runs(pairs):
+            p = pairs[a]
+            i, item = int(t[p]), int(k[p])
+            n, most = int(items.words.length[item]), int(items.most[item])
+            top = np.maximum.accumulate(last[a:b])
+            new = np.flatnonzero(np.append(True, least[a + 1 : b] > top[:-1] + n + 2 * most))
+            low = np.maximum(0, least[a:b][new] - most)
+            high = np.minimum(len(texts[i]), top[np.append(new[1:], b - a) - 1] + n + most)
+            # a part without a whole piece of the item cannot hold it
+            pieces, ends = begin[cut[p] : cut[p + 1]], end[cut[p] : cut[p + 1]]
+            x, y = np.searchsorted(pieces, low), np.searchsorted(pieces, high)
+            parts = [(u, v) for u, v, g, h in zip(low.tolist(), high.tolist(), x.tolist(), y.tolist(), strict=True) if (ends[g:h] <= v).any()]
+            if parts:
+                out[i, item] = parts
         return out
 
     def matches(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end): the nearest place of every item that a segment led to."""
-        found: dict[tuple[int, int], set[int]] = {}
-        for i, k, start in self.candidates(texts):
-            found.setdefault((i, k), set()).add(start)
-        return self.items.verified(found, texts)
+        return self.items.verified(self.candidates(texts), texts)
+
 
+def _search(shared: Broadcast, exact: bool):
+    def rows(columns: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*columns, strict=True), kinds, strict=True)], _LEAK)
 
-def _search(items: list[tuple[int, str]], exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Items(items)
-        matches = block.matches if exact else Segments(block).matches
-        get = block.vocabulary.get
+        block: Items = shared.value  # the same one for all tasks of a Python worker
+        matches = block.matches if exact else block.segments.matches
+        get, length = block.vocabulary.get, block.words.length.tolist()
         for b in batches:
-            ids, hashes = b.column("id").to_pylist(), b.column("text_hash").to_pylist()
-            texts = [np.array([get(w, 0) for w in tokens(t.as_py())], dtype=np.uint64) for t in b.column("text")]
-            out = [
-                (ids[i], hashes[i], item, a, e - a, len(block.words[k]), d)
-                for i, k, d, a, e in matches(texts) for item in block.ids[k]
-            ]
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _LEAK)
+            ids, hashes, column = b.column("id").to_pylist(), b.column("text_hash").to_pylist(), b.column("text")
+            first, texts, held = 0, [], 0
+            out: list[tuple] = []
+            for at in range(len(ids)):
+                t = np.array(list(map(get, tokens(column[at].as_py()), repeat(0))), dtype=np.uint64)
+                texts.append(t)
+                held += len(t)
+                if held < WORDS_AT_ONCE and at + 1 < len(ids):
+                    continue
+                for i, k, d, a, e in matches(texts):
+                    for item in block.ids[k]:
+                        out.append((ids[first + i], hashes[first + i], item, a, e - a, length[k], d))
+                        if len(out) == ROWS_AT_ONCE:
+                            yield rows(out)
+                            out = []
+                first, texts, held = at + 1, [], 0
+            if out:
+                yield rows(out)
 
     return run
 
@@ -328,12 +469,14 @@ def leaks(docs: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS, exa
         F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"
     ).where(F.col("text") != "")
     query = items.select(F.col("item_id").cast("long"), F.col("text")).where(F.col("text").isNotNull())
-    blocks = max(1, -(-query.count() // block_items))
+    count, size = query.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-count // block_items), -(-size // BLOCK_BYTES))
     number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
     found = []
     for k in range(blocks):
-        block = [(r[0], r[1]) for r in query.where(number == k).collect()]
-        found.append(d.mapInArrow(_search(sorted(block, key=lambda r: (r[0] is None, r[0] or 0, r[1])), exact), _LEAK_DDL))
+        block = sorted(query.where(number == k).collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        shared = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in block]))
+        found.append(d.mapInArrow(_search(shared, exact), _LEAK_DDL))
     return reduce(DataFrame.union, found)
 
 
