@@ -7,6 +7,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from tests.llm.conftest import frame, rows_of
 from tests.llm.test_texts import _edited
 from voxledger.llm import decontamination
@@ -72,3 +73,15 @@ def test_blocks_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(decontamination.Items, "__init__", lambda self, rows: blocks.append(len(rows)) or prepare(self, rows))
     assert rows_of(decontamination.leaks(docs, query)) == whole
     assert len(blocks) > 3 and sum(blocks) == len(items)
+
+
+def test_stage_with_many_items(spark, tmp_path):
+    """The pipeline's stage reads the documents once for 12,000 items, and drops those that hold one."""
+    rnd = random.Random(7)
+    items = _benchmark(rnd, 12_000)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, items[5][1]), (2, "nothing here"), (2, f"one {items[11_999][1]} two"), (None, items[7000][1]), (3, None), (None, "")]
+    left = corpus_pipeline.decontaminate(spark, frame(spark, rows), str(tmp_path))
+    assert rows_of(left.select("doc_id", "text")) == sorted([(2, "nothing here"), (3, None), (None, "")], key=repr)
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
